@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from factstore.functions.text import _col, json_put, json_text_member
+from factstore.functions.text import _col, json_put, let
 
 _NO_CHUNKS = "cast(array() as array<string>)"
 
@@ -84,35 +84,42 @@ def pack(text: Column, room: Column, compat: bool = True) -> Column:
                        lambda acc: _push(acc["chunks"], acc["pending"]))
 
 
-def body_room(max_chars, header=None) -> Column:
+def body_room(max_chars: int, header=None) -> Column:
     """Characters left for the body once the header and its blank line are taken off."""
-    limit = F.lit(max_chars) if isinstance(max_chars, int) else _col(max_chars)
     if header is None:
-        return limit
-    head = F.coalesce(_col(header), F.lit(""))
-    return limit - F.when(head == "", F.lit(0)).otherwise(F.length(head) + 2)
+        return F.lit(max_chars)
+    return let(F.coalesce(_col(header), F.lit("")),
+               lambda head: max_chars - F.when(head == "", F.lit(0)).otherwise(F.length(head) + 2))
 
 
-def chunk_text(text, max_chars, header=None, compat: bool = True) -> Column:
+def _body(text: Column, room: Column, compat: bool) -> Column:
+    return F.when(F.length(text) <= room, F.array(text)).when(room > 0, pack(text, room, compat))
+
+
+def chunk_text(text, max_chars: int, header=None, compat: bool = True) -> Column:
     """``array<string>`` of chunks; null when the header leaves no room for the body."""
     text = _col(text)
-    room = body_room(max_chars, header)
-    body = (F.when(F.length(text) <= room, F.array(text))
-            .when(room > 0, pack(text, room, compat)))
     if header is None:
-        return body
-    head = F.coalesce(_col(header), F.lit(""))
-    prefixed = F.transform(body, lambda piece: F.concat(head, F.lit("\n\n"), piece))
-    return F.when(head == "", body).otherwise(prefixed)
+        return _body(text, F.lit(max_chars), compat)
+
+    def under(head):
+        return let(max_chars - F.length(head) - 2, lambda room: F.transform(
+            _body(text, room, compat), lambda piece: F.concat(head, F.lit("\n\n"), piece)))
+
+    return let(F.coalesce(_col(header), F.lit("")), lambda head: F.when(
+        head == "", _body(text, F.lit(max_chars), compat)).otherwise(under(head)))
 
 
 def header_server(metadata) -> Column:
     """``[Document: f] [Source: s]``, each part only when the metadata has it."""
-    def part(key, label):
-        value = json_text_member(metadata, key)
-        return F.when(value != "", F.concat(F.lit(f"[{label}: "), value, F.lit("]")))
+    def parts(data):
+        def part(key, label):
+            value = F.try_variant_get(data, f"$.{key}", "string")
+            return F.when(value != "", F.concat(F.lit(f"[{label}: "), value, F.lit("]")))
+
+        return F.concat_ws(" ", part("file", "Document"), part("source", "Source"))
 
-    return F.concat_ws(" ", part("file", "Document"), part("source", "Source"))
+    return let(F.try_parse_json(_col(metadata)), parts)
 
 
 def header_import(file) -> Column:

@@ -12,6 +12,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it.
+
+    Repeating a long expression makes the plan grow with every use, and inside a
+    fold it would be evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(_col(value)), body), 1)
+
+
 def py_strip(c) -> Column:
     """Strip Unicode whitespace from both ends."""
     return F.btrim(_col(c), F.lit(WHITESPACE))
@@ -87,11 +96,6 @@ def json_put(json_text, key: str, value) -> Column:
     return F.to_json(F.map_concat(others, member))
 
 
-def json_text_member(json_text, key: str) -> Column:
-    """One member of a JSON object as text; null when absent."""
-    return F.try_variant_get(F.try_parse_json(_col(json_text)), f"$.{key}", "string")
-
-
 def relative_path(path, root: str) -> Column:
     """Path below ``root`` (both fully qualified)."""
     base = root.rstrip("/") + "/"

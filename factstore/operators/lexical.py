@@ -48,7 +48,8 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = (matched.join(terms, ["user_id", "term"])
-              .groupBy("query_id", "id").agg(F.sum(part).alias("bm25")))
+              # Rounded so that the order of summation cannot decide a tie.
+              .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("bm25")))
     if k is None:
         return scored
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")

@@ -24,6 +24,9 @@ from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
 ROWS_PER_BLOCK = 20_000
 QUERIES_PER_PRODUCT = 512
 MAX_PUSHED_NAMESPACES = 200
+# Equal vectors must get equal scores wherever they sit in a matrix, so that ties
+# go by id and results do not depend on how the table is partitioned.
+SCORE_DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -112,7 +115,7 @@ def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np
     for start in range(0, len(query_ids), QUERIES_PER_PRODUCT):
         part = query_vectors[start:start + QUERIES_PER_PRODUCT]
         if buckets is None:
-            scores = vectors @ part.T
+            scores = np.round(vectors @ part.T, SCORE_DIGITS)
             tops = scores.max(axis=0)
             for j in range(len(part)):
                 query = query_ids[start + j]
@@ -125,7 +128,12 @@ def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np
             for j in range(len(part)):
                 near = np.flatnonzero(shared[:, j])
                 if len(near):
-                    best.offer(query_ids[start + j], vectors[near] @ part[j], ids[near])
+                    best.offer(query_ids[start + j], np.round(vectors[near] @ part[j], SCORE_DIGITS), ids[near])
+
+
+def _plain(values: list) -> pd.Series:
+    """A column of plain objects, whatever string type pandas would choose."""
+    return pd.Series(values, dtype=object)
 
 
 def _object_ids(column: pa.Array) -> np.ndarray:
@@ -201,10 +209,12 @@ def _search_by_block(store: DataFrame, queries: DataFrame, k: int, buckets: Buck
             _score_into(best, left["query_id"].to_numpy()[asked_rows].tolist(), query_vectors,
                         right["id"].to_numpy()[usable], vectors, buckets)
         return pd.DataFrame({
-            "query_id": [q for q, kept in best.scores.items() for _ in kept],
-            "id": [i for kept in best.ids.values() for i in kept],
-            "score": [s for kept in best.scores.values() for s in kept]})
+            "query_id": _plain([q for q, kept in best.scores.items() for _ in kept]),
+            "id": _plain([i for kept in best.ids.values() for i in kept]),
+            "score": np.array([s for kept in best.scores.values() for s in kept], dtype=np.float64)})
 
+    # Fresh column identities, as queries are often derived from the store itself.
+    asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])
     cell = ["user_id", "row_block", "query_block"]
     return asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(score, out)
 
@@ -324,7 +334,7 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
         found = []
         for start in range(0, len(ids), QUERIES_PER_PRODUCT):
             stop = min(start + QUERIES_PER_PRODUCT, len(ids))
-            scores = vectors[start:stop] @ vectors[:stop].T
+            scores = np.round(vectors[start:stop] @ vectors[:stop].T, SCORE_DIGITS)
             allowed = np.arange(stop)[None, :] < np.arange(start, stop)[:, None]
             if crossing:
                 # Pairs within one block belong to that block's own cell.
@@ -336,9 +346,10 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
             top = scores[np.arange(stop - start), at]
             for i in np.flatnonzero(top >= threshold):
                 found.append((ids[start + i], ids[at[i]], float(top[i])))
-        return pd.DataFrame({"user_id": [group["user_id"].iloc[0]] * len(found),
-                             "id": [f[0] for f in found], "match_id": [f[1] for f in found],
-                             "score": [f[2] for f in found]})
+        return pd.DataFrame({
+            "user_id": _plain([group["user_id"].iloc[0]] * len(found)),
+            "id": _plain([f[0] for f in found]), "match_id": _plain([f[1] for f in found]),
+            "score": np.array([f[2] for f in found], dtype=np.float64)})
 
     compared = cells.groupBy(*keys, "low", "high").applyInPandas(best_earlier, out)
     return (compared.unionByName(copies)

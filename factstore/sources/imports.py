@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factstore.functions.text import _col, is_blank, py_strip
+from factstore.functions.text import _col, is_blank, let, py_strip
 
 ITEM_COLUMNS = ("pos", "item_type", "text_type", "memory", "metadata")
 FORMATS = ("auto", "json", "jsonl", "csv", "tsv")
@@ -17,28 +17,45 @@ FORMATS = ("auto", "json", "jsonl", "csv", "tsv")
 
 def value_type(v) -> Column:
     """Type name of a JSON value: dict, list, str, bool, int, float or NoneType."""
-    name = F.schema_of_variant(_col(v))
-    whole = name.startswith("BIGINT") | name.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
-    return (F.when(name.isNull() | (name == "VOID"), "NoneType")
-            .when(name.startswith("OBJECT"), "dict")
-            .when(name.startswith("ARRAY"), "list")
-            .when(name == "STRING", "str")
-            .when(name == "BOOLEAN", "bool")
-            .when(whole, "int")
-            .otherwise("float"))
-
-
-def _member(item: str, key: str) -> Column:
-    """A text member as (type, text), or null when it counts as absent."""
-    value = F.try_variant_get(F.col(item), f"$.{key}", "variant")
-    text = F.try_variant_get(F.col(item), f"$.{key}", "string")
-    kind = value_type(value)
-    absent = (value.isNull() | (kind == "NoneType") | text.isNull() | (text == "")
-              | ((kind == "bool") & (text == "false"))
-              | (kind.isin("int", "float") & (text.try_cast("double") == 0))
-              | (kind.isin("list", "dict") & text.isin("[]", "{}")))
-    shown = F.when(kind == "bool", F.lit("True")).otherwise(text)
-    return F.when(~absent, F.struct(kind.alias("kind"), shown.alias("text")))
+    def named(name):
+        whole = name.startswith("BIGINT") | name.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+        return (F.when(name.isNull() | (name == "VOID"), "NoneType")
+                .when(name.startswith("OBJECT"), "dict")
+                .when(name.startswith("ARRAY"), "list")
+                .when(name == "STRING", "str")
+                .when(name == "BOOLEAN", "bool")
+                .when(whole, "int")
+                .otherwise("float"))
+
+    return let(F.schema_of_variant(_col(v)), named)
+
+
+def _truthy_text(value: Column) -> Column:
+    """A member as (kind, text), or null when it counts as absent."""
+    def judged(typed):
+        kind, text = typed["kind"], typed["text"]
+        absent = (text.isNull() | (text == "")
+                  | ((kind == "bool") & (text == "false"))
+                  | (kind.isin("int", "float") & (text.try_cast("double") == 0))
+                  | (kind.isin("list", "dict") & text.isin("[]", "{}")))
+        shown = F.when(kind == "bool", F.lit("True")).otherwise(text)
+        return F.when(~absent, F.struct(kind.alias("kind"), shown.alias("text")))
+
+    return let(F.struct(value_type(value).alias("kind"), value.cast("string").alias("text")), judged)
+
+
+def _parsed(item: Column) -> Column:
+    """Type, text and metadata of one item; the text only of an object."""
+    def fields(kind):
+        chosen = F.coalesce(*[_truthy_text(F.try_variant_get(item, f"$.{key}", "variant"))
+                              for key in ("memory", "text", "content")])
+        metadata = F.try_variant_get(item, "$.metadata", "variant")
+        return F.struct(
+            kind.alias("item_type"),
+            F.when(kind == "dict", chosen).alias("chosen"),
+            F.when((kind == "dict") & (F.schema_of_variant(metadata) != "VOID"), F.to_json(metadata)).alias("metadata"))
+
+    return let(value_type(item), fields)
 
 
 def parse_items(df: DataFrame, item: str = "item") -> DataFrame:
@@ -47,14 +64,11 @@ def parse_items(df: DataFrame, item: str = "item") -> DataFrame:
     The text is the first of memory, text, content that is neither missing nor empty.
     """
     kept = [c for c in df.columns if c != item]
-    chosen = F.coalesce(*[_member(item, key) for key in ("memory", "text", "content")])
-    metadata = F.try_variant_get(F.col(item), "$.metadata", "variant")
-    return (df.withColumn("item_type", value_type(item))
-            .withColumn("_chosen", F.when(F.col("item_type") == "dict", chosen))
-            .withColumn("metadata", F.when((F.col("item_type") == "dict") & (value_type(metadata) != "NoneType"),
-                                           F.to_json(metadata)))
-            .select(*kept, "item_type", F.col("_chosen.kind").alias("text_type"),
-                    F.col("_chosen.text").alias("memory"), "metadata"))
+    return (df.select(*kept, let(item, _parsed).alias("_item"))
+            .select(*kept, F.col("_item.item_type").alias("item_type"),
+                    F.col("_item.chosen.kind").alias("text_type"),
+                    F.col("_item.chosen.text").alias("memory"),
+                    F.col("_item.metadata").alias("metadata")))
 
 
 def read_json_array(df: DataFrame, column: str = "data") -> DataFrame:
