@@ -83,6 +83,19 @@ def quoted_csv_line(*cols) -> Column:
         F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')) for t in texts])
 
 
+def strict_json(c) -> Column:
+    """Parse text that must be one JSON value and nothing else; null otherwise.
+
+    ``try_parse_json`` stops after the first value and ignores what follows. Text
+    that is valid both as the only element of a list and as the only member of an
+    object cannot have closed either early, so nothing can follow it.
+    """
+    text = _col(c)
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return let(listed, lambda items: F.when((F.size(items) == 1) & alone, F.try_element_at(items, F.lit(1))))
+
+
 def variant_map(json_text) -> Column:
     """A JSON object as map<string,variant>; null when it is not an object."""
     return F.try_variant_get(F.try_parse_json(_col(json_text)), "$", "map<string,variant>")

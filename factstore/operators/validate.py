@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factstore.functions.chunking import body_room, header_server
-from factstore.functions.text import is_blank, py_strip
+from factstore.functions.text import is_blank, py_strip, strict_json
 from factstore.schema import CHUNK_CHARS, DEFAULT_USER_ID, MIN_DOCUMENT_CHARS
 
 ERROR_COLUMNS = ("error_code", "message", "fix")
@@ -87,7 +87,7 @@ def validate_updates(df: DataFrame) -> DataFrame:
 
 def validate_batches(df: DataFrame) -> DataFrame:
     """Import batches ``(user_id, data)``: a namespace and a non-empty JSON array."""
-    parsed = F.try_parse_json(F.col("data"))
+    parsed = strict_json("data")
     items = F.try_variant_get(parsed, "$", "array<variant>")
     return _checked(df, [
         (is_blank("user_id"), "user_required", "user_id is required", None),

@@ -25,6 +25,8 @@ def build_session(app_name: str = "factstore", master: str | None = None, **conf
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # As common JSON readers do, the last of two equal keys counts.
+        "spark.sql.variant.allowDuplicateKeys": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }

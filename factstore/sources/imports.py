@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from factstore.functions.text import _col, is_blank, let, py_strip
+from factstore.functions.text import _col, is_blank, let, py_strip, strict_json
 
 ITEM_COLUMNS = ("pos", "item_type", "text_type", "memory", "metadata")
 FORMATS = ("auto", "json", "jsonl", "csv", "tsv")
@@ -74,7 +74,7 @@ def parse_items(df: DataFrame, item: str = "item") -> DataFrame:
 def read_json_array(df: DataFrame, column: str = "data") -> DataFrame:
     """One row per element of the JSON arrays in ``column``, with position and type."""
     kept = [c for c in df.columns if c != column]
-    items = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "array<variant>")
+    items = F.try_variant_get(strict_json(column), "$", "array<variant>")
     return parse_items(df.select(*kept, F.posexplode(items).alias("pos", "item"))
                        .withColumn("pos", F.col("pos").cast("bigint")))
 
@@ -91,8 +91,7 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    data = F.try_parse_json(F.col("text"))
-    parsed = _texts(spark, path).select(data.alias("data"))
+    parsed = _texts(spark, path).select(strict_json("text").alias("data"))
     as_list = F.try_variant_get(F.col("data"), "$", "array<variant>")
     enveloped = F.try_variant_get(F.col("data"), "$.memories", "array<variant>")
     items = F.coalesce(as_list, enveloped, F.array("data"))
@@ -104,7 +103,7 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
 def _read_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"),
                                          py_strip("value").alias("line"))
-    parsed = lines.where(F.col("line") != "").withColumn("item", F.try_parse_json("line"))
+    parsed = lines.where(F.col("line") != "").withColumn("item", strict_json("line"))
     # A line that is no JSON is kept as an item that fails validation.
     return parsed.select("pos", F.coalesce("item", F.parse_json(F.lit("null"))).alias("item"))
 
@@ -127,10 +126,10 @@ def detect_format(spark: SparkSession, path: str) -> str:
     """Format of a payload by its content. Files of different formats need ``fmt``."""
     text = F.col("text")
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: py_strip(x)), lambda x: x != "")
-    all_json = F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    all_json = F.forall(lines, lambda x: strict_json(x).isNotNull())
     head = F.split(text, "\n")[0]
     kind = (F.when(is_blank("text"), "empty")
-            .when(F.try_parse_json(text).isNotNull(), "json")
+            .when(strict_json(text).isNotNull(), "json")
             .when(all_json, "jsonl")
             .when(head.contains("memory"), F.when(head.contains("\t"), "tsv").otherwise("csv"))
             .otherwise("unknown"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from factstore.functions.text import strict_json
 from factstore.operators.chunks import add_facts, add_verbatim
 from factstore.operators.dedup import import_memories, store_keys
 from factstore.schema import ADD_REQUEST, CHUNK_CHARS, DEFAULT_USER_ID
@@ -68,7 +69,7 @@ def import_stream(items: DataFrame, target: str, checkpoint: str, base_keys: str
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parsed = parse_items(batch.withColumn(
-            "item", F.coalesce(F.try_parse_json("data"), F.parse_json(F.lit("null")))).drop("data"))
+            "item", F.coalesce(strict_json("data"), F.parse_json(F.lit("null")))).drop("data"))
         known = _earlier_keys(spark, target, batch_id, base_keys)
         result = import_memories(parsed, None, default_user, batch="stream", keys=known)
         place = f"batch_id={batch_id}"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from factstore.functions.dates import parse_created_at
 from factstore.functions.numbers import float_or, int_or
 from factstore.functions.text import (
-    canonical_model, csv_field, dedup_key, json_put, metadata_cell, py_strip, record_id, relative_path)
+    canonical_model, csv_field, dedup_key, json_put, metadata_cell, py_strip, record_id, relative_path,
+    strict_json)
 from factstore.functions.vectors import cosine, unit
 
 
@@ -113,3 +114,12 @@ def test_cosine_and_unit(spark):
 def test_strip_property(one, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     assert one(texts, py_strip("c")) == [t.strip() for t in texts]
+
+
+def test_strict_json(one):
+    texts = ['{"a":1}', '{"a":1} x', "1,2", "1] x", "1} x", '"s"', "null", "", "[1]\n[2]", " [1, 2] ", '1,"v":2', None, "1]}"]
+    assert one(texts, strict_json("c").isNotNull()) == [t in ('{"a":1}', '"s"', "null", " [1, 2] ") for t in texts]
+
+
+def test_the_last_of_equal_keys_counts(one):
+    assert one(['{"a":1,"a":2}'], F.to_json(strict_json("c"))) == ['{"a":2}']
