@@ -11,14 +11,17 @@ from pyspark.sql import Column, functions as F
 from factstore.functions.text import _col, json_put, let
 
 _NO_CHUNKS = "cast(array() as array<string>)"
+# Up to this room the regular expression engine needs only a shallow stack.
+_PATTERN_ROOM = 8192
 
 
-def _state(chunks: Column, pending: Column) -> Column:
-    return F.struct(chunks.alias("chunks"), pending.alias("pending"))
+def _state(chunks: Column, pending: Column, size: Column) -> Column:
+    """Finished chunks, the text being filled, and that text's length."""
+    return F.struct(chunks.alias("chunks"), pending.alias("pending"), size.alias("size"))
 
 
 def _start() -> Column:
-    return _state(F.expr(_NO_CHUNKS), F.lit(""))
+    return _state(F.expr(_NO_CHUNKS), F.lit(""), F.lit(0))
 
 
 def _push(chunks: Column, piece: Column) -> Column:
@@ -30,41 +33,61 @@ def _glue(pending: Column, separator: str, piece: Column) -> Column:
     return F.when(pending == "", piece).otherwise(F.concat(pending, F.lit(separator), piece))
 
 
+def _glued_size(size: Column, separator: str, piece: Column) -> Column:
+    return F.when(size == 0, F.length(piece)).otherwise(size + len(separator) + F.length(piece))
+
+
 def split_words(line: Column, room: Column) -> Column:
-    """Pack the words of one over-long line; a word over the limit is cut by characters."""
+    """Pack the words of one over-long line; a word over the limit is cut by characters.
+
+    One pass of a pattern with three cases, in this order: the rest of a word that was
+    cut, the longest run of whole words that fits, the first cut of a word too long.
+    """
+    room_text, less = room.cast("string"), (room - 1).cast("string")
+    pattern = F.concat(
+        F.lit("(?s)(?<=[^ ])[^ ]{1,"), room_text, F.lit("}+"),
+        F.lit("|[^ ].{0,"), less, F.lit("}(?= |\\z)"),
+        F.lit("|[^ ]{"), room_text, F.lit("}+"))
+    return F.regexp_extract_all(line, pattern, F.lit(0))
+
+
+def fold_words(line: Column, room: Column) -> Column:
+    """The same packing word by word, for a room beyond what the pattern is used for."""
     def add_word(acc, word):
         chunks, pending = acc["chunks"], acc["pending"]
         huge = F.length(word) > room
-        full = (F.length(pending) + F.length(word) + 1 > room) & (pending != "")
+        full = (acc["size"] + F.length(word) + 1 > room) & (pending != "")
         # Possessive repetition: no backtracking, so no deep recursion on long words.
         cuts = F.regexp_extract_all(word, F.concat(F.lit("(?s).{1,"), room.cast("string"), F.lit("}+")), F.lit(0))
         return _state(
             F.when(huge, F.concat(_push(chunks, pending), cuts))
              .when(full, F.concat(chunks, F.array(pending)))
              .otherwise(chunks),
-            F.when(huge, F.lit("")).when(full, word).otherwise(_glue(pending, " ", word)))
+            F.when(huge, F.lit("")).when(full, word).otherwise(_glue(pending, " ", word)),
+            F.when(huge, F.lit(0)).when(full, F.length(word)).otherwise(_glued_size(acc["size"], " ", word)))
 
     return F.aggregate(F.split(line, " "), _start(), add_word,
                        lambda acc: _push(acc["chunks"], acc["pending"]))
 
 
-def _pack_lines(paragraph: Column, start: Column, room: Column, compat: bool) -> Column:
+def _pack_lines(paragraph: Column, start: Column, room: Column, compat: bool, words) -> Column:
     def add_line(acc, line):
         chunks, pending = acc["chunks"], acc["pending"]
         huge = F.length(line) > room
-        full = F.length(pending) + F.length(line) + 1 > room
+        full = acc["size"] + F.length(line) + 1 > room
         before = chunks if compat else _push(chunks, pending)
-        after = pending if compat else F.lit("")
         return _state(
-            F.when(huge, F.concat(before, split_words(line, room)))
+            F.when(huge, F.concat(before, words(line, room)))
              .when(full, _push(chunks, pending))
              .otherwise(chunks),
-            F.when(huge, after).when(full, line).otherwise(_glue(pending, "\n", line)))
+            F.when(huge, pending if compat else F.lit("")).when(full, line).otherwise(_glue(pending, "\n", line)),
+            F.when(huge, acc["size"] if compat else F.lit(0)).when(full, F.length(line))
+             .otherwise(_glued_size(acc["size"], "\n", line)))
 
     return F.aggregate(F.split(paragraph, "\n"), start, add_line)
 
 
-def pack(text: Column, room: Column, compat: bool = True) -> Column:
+def pack(text: Column, room: Column, compat: bool = True, words=split_words) -> Column:
     """Pieces of ``text``, each at most ``room`` characters long.
 
     With ``compat`` the text pending when an over-long paragraph begins is emitted
@@ -72,13 +95,13 @@ def pack(text: Column, room: Column, compat: bool = True) -> Column:
     once and always ahead of what follows it.
     """
     def add_paragraph(acc, paragraph):
-        chunks, pending = acc["chunks"], acc["pending"]
-        fits = F.length(pending) + F.length(paragraph) + 2 <= room
+        chunks, pending, size = acc["chunks"], acc["pending"], acc["size"]
+        fits = size + F.length(paragraph) + 2 <= room
         flushed = _push(chunks, pending)
-        carried = pending if compat else F.lit("")
-        return (F.when(fits, _state(chunks, _glue(pending, "\n\n", paragraph)))
-                .when(F.length(paragraph) <= room, _state(flushed, paragraph))
-                .otherwise(_pack_lines(paragraph, _state(flushed, carried), room, compat)))
+        start = _state(flushed, pending, size) if compat else _state(flushed, F.lit(""), F.lit(0))
+        return (F.when(fits, _state(chunks, _glue(pending, "\n\n", paragraph), _glued_size(size, "\n\n", paragraph)))
+                .when(F.length(paragraph) <= room, _state(flushed, paragraph, F.length(paragraph)))
+                .otherwise(_pack_lines(paragraph, start, room, compat, words)))
 
     return F.aggregate(F.split(text, "\n\n"), _start(), add_paragraph,
                        lambda acc: _push(acc["chunks"], acc["pending"]))
@@ -92,22 +115,23 @@ def body_room(max_chars: int, header=None) -> Column:
                lambda head: max_chars - F.when(head == "", F.lit(0)).otherwise(F.length(head) + 2))
 
 
-def _body(text: Column, room: Column, compat: bool) -> Column:
-    return F.when(F.length(text) <= room, F.array(text)).when(room > 0, pack(text, room, compat))
+def _body(text: Column, room: Column, compat: bool, max_chars: int) -> Column:
+    words = split_words if max_chars <= _PATTERN_ROOM else fold_words
+    return F.when(F.length(text) <= room, F.array(text)).when(room > 0, pack(text, room, compat, words))
 
 
 def chunk_text(text, max_chars: int, header=None, compat: bool = True) -> Column:
     """``array<string>`` of chunks; null when the header leaves no room for the body."""
     text = _col(text)
     if header is None:
-        return _body(text, F.lit(max_chars), compat)
+        return _body(text, F.lit(max_chars), compat, max_chars)
 
     def under(head):
         return let(max_chars - F.length(head) - 2, lambda room: F.transform(
-            _body(text, room, compat), lambda piece: F.concat(head, F.lit("\n\n"), piece)))
+            _body(text, room, compat, max_chars), lambda piece: F.concat(head, F.lit("\n\n"), piece)))
 
     return let(F.coalesce(_col(header), F.lit("")), lambda head: F.when(
-        head == "", _body(text, F.lit(max_chars), compat)).otherwise(under(head)))
+        head == "", _body(text, F.lit(max_chars), compat, max_chars)).otherwise(under(head)))
 
 
 def header_server(metadata) -> Column:

@@ -41,9 +41,15 @@ def dedup_key(c) -> Column:
     return F.lower(py_strip(c))
 
 
-def key_digest(c) -> Column:
-    """SHA-256 of the dedup key: 32 bytes to shuffle instead of a whole text."""
-    return F.unhex(F.sha2(dedup_key(c), 256))
+def key_digest(user_id, c) -> Column:
+    """SHA-256 of namespace and dedup key: 32 bytes to shuffle instead of a whole text.
+
+    The namespace's length goes in front, so that no two pairs run together. The
+    digest is never null, which spares the joins a filter that would compute it again.
+    """
+    owner = F.coalesce(_col(user_id), F.lit(""))
+    keyed = F.concat(F.length(owner).cast("string"), F.lit(":"), owner, F.coalesce(dedup_key(c), F.lit("")))
+    return F.coalesce(F.unhex(F.sha2(keyed, 256)), F.lit(b""))
 
 
 def record_id(*parts) -> Column:

@@ -14,11 +14,13 @@ def explode_chunks(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     """One row per chunk with ``pos``, ``n_chunks`` and ``memory``.
 
     The count is taken ahead of the explode so that the array itself is not carried
-    on every output row.
+    on every output row. The explode is an outer one because a plain one first filters
+    by the array's size, and that filter would chunk every text a second time.
     """
     kept = [c for c in df.columns if c != chunks]
     return (df.withColumn("n_chunks", F.size(chunks))
-            .select(*kept, "n_chunks", F.posexplode(chunks).alias("pos", "memory")))
+            .select(*kept, "n_chunks", F.posexplode_outer(chunks).alias("pos", "memory"))
+            .where(F.col("pos").isNotNull()))
 
 
 def ingest_verbatim(df: DataFrame, max_chars: int = CHUNK_CHARS, compat: bool = True) -> DataFrame:

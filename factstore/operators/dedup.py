@@ -13,6 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window, functions as F
 
 from factstore.functions.text import is_blank, key_digest, record_id
+from factstore.operators.sizing import is_small
 from factstore.operators.validate import accepted, rejects, validate_import, with_namespace
 from factstore.schema import DEFAULT_USER_ID
 
@@ -23,14 +24,17 @@ class Import(NamedTuple):
     checked: DataFrame
 
 
+def text_keys(store: DataFrame) -> DataFrame:
+    """Digests of the namespaces and texts already stored, one per record."""
+    return store.where(~is_blank("memory")).select(key_digest("user_id", "memory").alias("digest"))
+
+
 def store_keys(store: DataFrame) -> DataFrame:
-    """Distinct (user_id, digest) of the texts already stored."""
-    return (store.where(~is_blank("memory"))
-            .select("user_id", key_digest("memory").alias("digest"))
-            .distinct())
+    """The distinct digests, to be kept beside a store that is often imported into."""
+    return text_keys(store).distinct()
 
 
-def first_per_key(items: DataFrame, keys: tuple[str, ...] = ("user_id", "digest"), order: str = "pos") -> DataFrame:
+def first_per_key(items: DataFrame, keys: tuple[str, ...] = ("digest",), order: str = "pos") -> DataFrame:
     """The first row of each key in input order.
 
     The rank filter is applied by every task to its own rows ahead of the shuffle.
@@ -39,23 +43,33 @@ def first_per_key(items: DataFrame, keys: tuple[str, ...] = ("user_id", "digest"
     return items.withColumn("_nth", F.row_number().over(ranked)).where(F.col("_nth") == 1).drop("_nth")
 
 
-def dedup_against(items: DataFrame, keys: DataFrame) -> DataFrame:
-    """Items whose key is not stored yet. Both sides are partitioned by the same key."""
-    return items.join(keys, ["user_id", "digest"], "left_anti")
+def dedup_against(items: DataFrame, keys: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """Items whose key is not stored yet. Both sides are partitioned by the same key.
+
+    ``few`` holds the batch's digests when the batch is expected to be far smaller
+    than the store. If measuring confirms it they are sent to the scan of the stored
+    keys, and only the keys they meet are shuffled.
+    """
+    if few is not None and is_small(few):
+        keys = keys.join(F.broadcast(few.distinct()), "digest", "left_semi")
+    return items.join(keys.distinct(), "digest", "left_anti")
 
 
 def import_memories(items: DataFrame, store: DataFrame | None, default_user: str = DEFAULT_USER_ID,
-                    batch: str = "import", keys: DataFrame | None = None) -> Import:
+                    batch: str = "import", keys: DataFrame | None = None, small_batch: bool = False) -> Import:
     """Import parsed items ``(user_id, pos, item_type, memory, text_type, metadata)``.
 
     Failures are decided before duplicates. The id, owner and time an item may carry
     are ignored: the target namespace and a new id are used. ``batch`` names this
     import; the same batch run again yields the same ids.
+
+    ``keys`` are digests kept beside the store, read in place of its texts.
+    ``small_batch`` says the items are expected to be few beside the store.
     """
     checked = validate_import(with_namespace(items, default_user))
-    known = keys if keys is not None else store_keys(store)
-    valid = accepted(checked).withColumn("digest", key_digest("memory"))
-    new = dedup_against(first_per_key(valid), known)
+    known = keys if keys is not None else text_keys(store)
+    valid = accepted(checked).withColumn("digest", key_digest("user_id", "memory"))
+    new = dedup_against(first_per_key(valid), known, valid.select("digest") if small_batch else None)
     new_rows = new.select(
         record_id(F.lit(batch), "user_id", "pos").alias("id"), "memory", "user_id", "metadata", "pos", "digest")
     return Import(new_rows, rejects(checked), checked)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factstore.operators.sizing import broadcast_if_small
+from factstore.operators.sizing import is_small
 
 # The published Okapi parameters.
 K1 = 1.2
@@ -21,30 +21,33 @@ def tokens(c) -> Column:
 def bm25(memories: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """``(query_id, id, bm25)`` for every record sharing a term with the query.
 
-    Statistics are per namespace. Only words that occur in some query of the same
-    namespace leave the scan, and they are counted per record before any shuffle, so
-    a very common word costs one row per record that holds it.
+    Statistics are per namespace.
     """
-    asked = (queries.select("query_id", "user_id", F.explode(F.array_distinct(tokens("query"))).alias("term")))
-    wanted = broadcast_if_small(asked.select("user_id", "term").distinct())
-    spaces = broadcast_if_small(queries.select("user_id").distinct())
+    asked = queries.select("query_id", "user_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    # Everything derived from the asked words has at most as many rows as they do.
+    send = F.broadcast if is_small(asked) else (lambda df: df)
+    wanted = send(asked.select("user_id", "term").distinct())
+    spaces = send(queries.select("user_id").distinct())
 
     docs = (memories.select("id", "user_id", tokens("memory").alias("words"))
             .join(spaces, "user_id", "left_semi")
             .withColumn("length", F.size("words")))
     sizes = docs.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    # The scan drops every word no query asked for; what is left is summed per record
-    # before the shuffle. Both uses of ``matched`` below read that one exchange.
-    matched = (docs.select("id", "user_id", "length", F.explode("words").alias("term"))
+    # The scan drops every word no query asked for. The rest is brought together by
+    # record, which serves the counting here and the sum per query further down, so
+    # the many (query, record, word) rows are never shuffled.
+    # (The outer explode: a plain one would add a filter that splits each text twice.)
+    matched = (docs.select("id", "user_id", "length", F.explode_outer("words").alias("term"))
                .join(wanted, ["user_id", "term"], "left_semi")
-               .groupBy("user_id", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf")))
+               .repartition("id")
+               .groupBy("id", "user_id", "term", "length").agg(F.count(F.lit(1)).alias("tf")))
     spread = matched.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = (spread.join(sizes, "user_id")
                .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                .select("user_id", "term", "idf", "avg_length"))
-    # One row per (query, term) carrying its weight: as small as the queries are.
-    terms = broadcast_if_small(asked.join(weights, ["user_id", "term"]))
+    # One row per query and word, carrying the word's weight.
+    terms = send(asked.join(weights, ["user_id", "term"]))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = (matched.join(terms, ["user_id", "term"])

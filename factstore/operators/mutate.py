@@ -12,9 +12,14 @@ from factstore.schema import DEFAULT_USER_ID, PRUNE_DAYS
 
 
 def _unknown(requests: DataFrame, store: DataFrame, verb: str) -> DataFrame:
-    """Requests for ids the store does not hold, as error rows."""
-    ids = store.select(F.col("id").alias("memory_id"))
-    return (requests.join(ids, "memory_id", "left_anti")
+    """Requests for ids the store does not hold, as error rows.
+
+    The store's ids are first reduced to the requested ones, so that few requests
+    never make a large store shuffle.
+    """
+    asked = requests.select("memory_id").distinct()
+    held = store.select(F.col("id").alias("memory_id")).join(asked, "memory_id", "left_semi")
+    return (requests.join(held, "memory_id", "left_anti")
             .withColumns({
                 "error_code": F.lit("unknown_id"),
                 "message": F.concat(F.lit(f"Failed to {verb} memory '"), F.col("memory_id"), F.lit("'.")),

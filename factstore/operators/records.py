@@ -78,11 +78,11 @@ def of_entity(df: DataFrame, user_id: str = "") -> DataFrame:
 def lookup(store: DataFrame, ids: DataFrame, column: str = "memory_id") -> DataFrame:
     """Requested ids with their records; ``found`` is false for an unknown id.
 
-    The ids are made distinct first, so neither side repeats a join key and the
-    join needs no skew handling; the optimizer broadcasts them if they are small.
+    The store is only filtered by the ids, which the optimizer broadcasts if they are
+    few; what is joined afterwards is no larger than the request.
     """
     wanted = ids.select(F.col(column).cast("string").alias("id")).where(F.col("id") != "").distinct()
-    known = store.withColumn("found", F.lit(True))
+    known = store.join(wanted, "id", "left_semi").withColumn("found", F.lit(True))
     return (wanted.join(known, "id", "left")
             .withColumn("found", F.coalesce("found", F.lit(False)))
             .withColumn("message", F.when(~F.col("found"), F.concat(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from factstore.operators.records import score_floor, with_scores
 from factstore.operators.sizing import (
-    MAX_BROADCAST_BYTES, block_counts, block_of, broadcast_if_small, is_small, spread)
+    MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, block_counts, block_of, broadcast_if_small, is_small, spread)
 from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
 
 ROWS_PER_BLOCK = 20_000
@@ -248,16 +248,19 @@ def search(store: DataFrame, query_vector: list[float], user_id: str, limit: int
     query = spark.createDataFrame([(0, user_id, [float(x) for x in query_vector])],
                                   "query_id long, user_id string, embedding array<double>")
     hits = search_batch(store, query, limit, min_score, True, buckets).drop("query_id")
-    return with_scores(with_records(hits, store.where(F.col("user_id") == user_id)), include_scores)
+    return with_scores(with_records(hits, store.where(F.col("user_id") == user_id), limit), include_scores)
 
 
-def with_records(hits: DataFrame, store: DataFrame) -> DataFrame:
+def with_records(hits: DataFrame, store: DataFrame, at_most: int | None = None) -> DataFrame:
     """Add the stored columns to hits, leaving the vectors behind.
 
-    There are at most ``k`` hits per query, so the optimizer sends them to the scan.
+    ``at_most`` is the number of hits there can be, ``k`` per query; within the bound
+    they go to the scan. Without it the optimizer decides.
     """
     payload = store.drop("embedding", "score")
-    return broadcast_if_small(hits).join(payload, "id")
+    if at_most is not None and at_most <= MAX_BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    return hits.join(payload, "id")
 
 
 def search_text(store: DataFrame, queries: DataFrame, encode, k: int = SEARCH_LIMIT,
@@ -296,8 +299,9 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
               .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
     singles = firsts.select("user_id", F.col("first_id").alias("id"), "embedding")
     # A vector with very many copies is spread over blocks for the join back.
-    hot = (firsts.where(F.col("copies") > rows_per_block)
-           .groupBy("user_id", "_same").agg(F.ceil(F.max("copies") / rows_per_block).cast("int").alias("parts")))
+    hot = broadcast_if_small(
+        firsts.where(F.col("copies") > rows_per_block)
+        .groupBy("user_id", "_same").agg(F.ceil(F.max("copies") / rows_per_block).cast("int").alias("parts")))
     same = ["user_id", "_same"]
     repeated = (spread(firsts.where(F.col("copies") > 1), hot, same, "parts")
                 .select(*same, "embedding", "first_id",
@@ -370,4 +374,5 @@ def _with_signatures(df: DataFrame, buckets: Buckets) -> DataFrame:
         return pd.Series(signed)
 
     return (df.withColumn("_signatures", sign("embedding"))
-            .select(*df.columns, F.posexplode("_signatures").alias("table", "signature")))
+            .select(*df.columns, F.posexplode_outer("_signatures").alias("table", "signature"))
+            .where(F.col("signature").isNotNull()))

@@ -40,16 +40,16 @@ def block_counts(df: DataFrame, keys: list[str], rows_per_block: int, name: str)
     """Keys with more rows than one block holds, and how many blocks each needs.
 
     At most ``rows / rows_per_block`` keys can qualify, so the result stays small
-    however many keys there are.
+    however many keys there are; it is broadcast if measuring confirms that.
     """
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > rows_per_block)
-            .select(*keys, F.ceil(F.col("_n") / rows_per_block).cast("int").alias(name)))
+    return broadcast_if_small(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                              .where(F.col("_n") > rows_per_block)
+                              .select(*keys, F.ceil(F.col("_n") / rows_per_block).cast("int").alias(name)))
 
 
 def spread(df: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add the block count of each row's group; 1 for a group that fits one block."""
-    return (df.join(broadcast_if_small(counts), keys, "left")
+    return (df.join(counts, keys, "left")
             .withColumn(name, F.coalesce(F.col(name), F.lit(1))))
 
 

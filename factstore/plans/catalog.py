@@ -63,7 +63,7 @@ def search_approx(spark, sf_dir):
 
 def search_text(spark, sf_dir):
     """Benchmark passages searched in the documents through hashed vectors."""
-    store = embed.embed_hash(inputs.memories(spark, sf_dir).withColumn("user_id", F.lit("corpus")), 256)
+    store = embed.embed_hash(inputs.memories(spark, sf_dir, wide=True).withColumn("user_id", F.lit("corpus")), 256)
     queries = inputs.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.lit("corpus").alias("user_id"), F.col("text").alias("query"))
     hits = search.search_text(store, queries, lambda q: embed.embed_hash(q, 256, "query"), 5)
@@ -93,7 +93,7 @@ def near_duplicates_bucketed(spark, sf_dir):
 
 
 def bm25_scores(spark, sf_dir):
-    store = inputs.memories(spark, sf_dir).withColumn("user_id", F.lit("corpus"))
+    store = inputs.memories(spark, sf_dir, wide=True).withColumn("user_id", F.lit("corpus"))
     queries = inputs.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.lit("corpus").alias("user_id"), F.col("text").alias("query"))
     best = lexical.bm25(store, queries, 10)
@@ -101,7 +101,7 @@ def bm25_scores(spark, sf_dir):
 
 
 def embed_hash(spark, sf_dir):
-    rows = embed.embed_hash(inputs.memories(spark, sf_dir), 64)
+    rows = embed.embed_hash(inputs.memories(spark, sf_dir, wide=True), 64)
     return rows.select("id", F.size("embedding").cast("bigint").alias("dims"),
                        F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x), 3).alias("squared_norm"))
 
@@ -222,13 +222,13 @@ def _pieces(df, key, pieces):
 
 def chunk_texts(spark, sf_dir):
     """Exact chunks of every document."""
-    docs = inputs.table(spark, sf_dir, "documents").withColumn("pieces", chunk_text("text", CHUNK_LIMIT))
+    docs = inputs.documents(spark, sf_dir).withColumn("pieces", chunk_text("text", CHUNK_LIMIT))
     return _pieces(docs, "doc_id", F.col("pieces"))
 
 
 def chunk_paragraphs(spark, sf_dir):
     """Exact chunks when every line is a paragraph of its own, without repetition."""
-    docs = inputs.table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    docs = inputs.documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     docs = docs.withColumn("pieces", chunk_text("text", CHUNK_LIMIT, compat=False))
     return _pieces(docs, "doc_id", F.col("pieces"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factstore.sources.files import read_wide
+
 # 2025-01-01T00:00:00Z, the fixed "now" of the pruning queries.
 AS_OF = 1735689600.0
 
@@ -12,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores for work that is heavy per row."""
+    return read_wide(spark, f"{sf_dir}/documents.parquet")
+
+
 def _created_at():
     """Creation times in every spelling the parser knows, and some it does not."""
     return F.expr("""
@@ -31,9 +38,9 @@ def _created_at():
         END""")
 
 
-def memories(spark: SparkSession, sf_dir: str, scored: bool = False) -> DataFrame:
+def memories(spark: SparkSession, sf_dir: str, scored: bool = False, wide: bool = False) -> DataFrame:
     """Documents as records; with ``scored`` the label's quality is the score."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir) if wide else table(spark, sf_dir, "documents")
     if scored:
         labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("score"))
         docs = docs.join(labels, "doc_id", "left")
@@ -74,14 +81,14 @@ def first_vector(spark: SparkSession, sf_dir: str, user_id: str) -> list[float]:
 def document_files(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -> DataFrame:
     """Documents as files; with ``paragraphs`` every line break opens a paragraph."""
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")) if paragraphs else F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"),
         F.octet_length("text").cast("bigint").alias("n_bytes"), text.alias("text"))
 
 
 def add_requests(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Documents as add requests, some without text, owner or metadata."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = documents(spark, sf_dir) if docs is None else docs
     return docs.select(
         F.col("doc_id").cast("string").alias("request_id"),
         F.expr("CASE doc_id % 50 WHEN 0 THEN null WHEN 1 THEN ' \\n\\t ' ELSE text END").alias("content"),
@@ -92,7 +99,7 @@ def add_requests(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None
 
 def import_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Documents as JSON import items ``(user_id, pos, data)`` of every shape."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = documents(spark, sf_dir) if docs is None else docs
 
     def item(name):
         return F.to_json(F.struct(F.col("text").alias(name), F.struct("lang", "n_chars").alias("metadata")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,3 +32,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
     return fs.exists(where)
+
+
+def read_wide(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table so that every core has a share of it.
+
+    A table of very few files would leave most cores idle in a stage that does much
+    work per row. It is spread out only while it has fewer splits than there are
+    cores, that is while it is small; a large table is read as it lies.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -50,10 +50,10 @@ def _parsed(item: Column) -> Column:
         chosen = F.coalesce(*[_truthy_text(F.try_variant_get(item, f"$.{key}", "variant"))
                               for key in ("memory", "text", "content")])
         metadata = F.try_variant_get(item, "$.metadata", "variant")
-        return F.struct(
-            kind.alias("item_type"),
-            F.when(kind == "dict", chosen).alias("chosen"),
-            F.when((kind == "dict") & (F.schema_of_variant(metadata) != "VOID"), F.to_json(metadata)).alias("metadata"))
+        as_json = F.when((kind == "dict") & (F.schema_of_variant(metadata) != "VOID"), F.to_json(metadata))
+        return let(F.when(kind == "dict", chosen), lambda text: F.struct(
+            kind.alias("item_type"), text["kind"].alias("text_type"), text["text"].alias("memory"),
+            as_json.alias("metadata")))
 
     return let(value_type(item), fields)
 
@@ -62,21 +62,20 @@ def parse_items(df: DataFrame, item: str = "item") -> DataFrame:
     """Turn a VARIANT item into typed columns.
 
     The text is the first of memory, text, content that is neither missing nor empty.
+    The columns come out of a generator, through which no filter is moved: the item is
+    parsed once even where the rows are filtered by several of the columns.
     """
     kept = [c for c in df.columns if c != item]
-    return (df.select(*kept, let(item, _parsed).alias("_item"))
-            .select(*kept, F.col("_item.item_type").alias("item_type"),
-                    F.col("_item.chosen.kind").alias("text_type"),
-                    F.col("_item.chosen.text").alias("memory"),
-                    F.col("_item.metadata").alias("metadata")))
+    return df.select(*kept, F.inline(F.array(let(item, _parsed))))
 
 
 def read_json_array(df: DataFrame, column: str = "data") -> DataFrame:
     """One row per element of the JSON arrays in ``column``, with position and type."""
     kept = [c for c in df.columns if c != column]
     items = F.try_variant_get(strict_json(column), "$", "array<variant>")
-    return parse_items(df.select(*kept, F.posexplode(items).alias("pos", "item"))
-                       .withColumn("pos", F.col("pos").cast("bigint")))
+    # Outer, so that no filter on the array's size parses the text a second time.
+    elements = df.select(*kept, F.posexplode_outer(items).alias("pos", "item")).where(F.col("pos").isNotNull())
+    return parse_items(elements.withColumn("pos", F.col("pos").cast("bigint")))
 
 
 def _wrap_strings(items: DataFrame) -> DataFrame:
@@ -96,7 +95,7 @@ def _read_json(spark: SparkSession, path: str) -> DataFrame:
     enveloped = F.try_variant_get(F.col("data"), "$.memories", "array<variant>")
     items = F.coalesce(as_list, enveloped, F.array("data"))
     return parsed.select(F.monotonically_increasing_id().alias("_file"), items.alias("items")).select(
-        "_file", F.posexplode("items").alias("_at", "item")).select(
+        "_file", F.posexplode_outer("items").alias("_at", "item")).where(F.col("_at").isNotNull()).select(
         (F.col("_file") * (1 << 31) + F.col("_at")).alias("pos"), "item")
 
 

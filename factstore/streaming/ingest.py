@@ -6,6 +6,7 @@ a batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,7 +14,7 @@ from factstore.functions.text import strict_json
 from factstore.operators.chunks import add_facts, add_verbatim
 from factstore.operators.dedup import import_memories, store_keys
 from factstore.schema import ADD_REQUEST, CHUNK_CHARS, DEFAULT_USER_ID
-from factstore.sources.files import children
+from factstore.sources.files import children, exists
 from factstore.sources.imports import parse_items
 from factstore.sources.tables import new_records
 
@@ -37,21 +38,33 @@ def ingest_stream(requests: DataFrame, target: str, checkpoint: str, mode: str =
         rows, failed = add(batch, default_user, max_chars)
         keys = ["request_id", "pos"] if mode == "verbatim" else ["request_id"]
         stored = new_records(rows, mode, keys, created_at)
-        stored.write.mode("overwrite").parquet(f"{target}/records/batch_id={batch_id}")
-        failed.write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
+        stored.write.mode("overwrite").parquet(f"{target}/records/{_BATCH}{batch_id}")
+        failed.write.mode("overwrite").parquet(f"{target}/rejects/{_BATCH}{batch_id}")
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+_BATCH, _MERGED = "batch_id=", "up_to="
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str, complete: bool = False) -> list[int]:
+    names = [n for n in children(spark, path) if n.startswith(prefix)]
+    return sorted(int(n[len(prefix):]) for n in names
+                  if not complete or exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def _earlier_keys(spark: SparkSession, target: str, batch_id: int, base_keys: str | None) -> DataFrame:
-    """Keys stored before this batch; two narrow columns, never the texts."""
-    empty = spark.createDataFrame([], "user_id string, digest binary")
-    keys = spark.read.parquet(base_keys) if base_keys else empty
-    done = [f"{target}/keys/{n}" for n in children(spark, f"{target}/keys")
-            if n.startswith("batch_id=") and int(n.split("=")[1]) < batch_id]
-    if done:
-        keys = keys.unionByName(spark.read.schema(empty.schema).parquet(*done))
-    return keys
+    """Digests stored before this batch: one narrow column, never the texts.
+
+    They lie in the newest merged directory, which includes the base keys, and the
+    directories of the batches after it.
+    """
+    schema = "digest binary"
+    merged = [n for n in _numbers(spark, f"{target}/merged", _MERGED, True) if n < batch_id]
+    paths = [f"{target}/merged/{_MERGED}{merged[-1]}"] if merged else [base_keys] if base_keys else []
+    after = merged[-1] if merged else -1
+    paths += [f"{target}/keys/{_BATCH}{n}" for n in _numbers(spark, f"{target}/keys", _BATCH) if after < n < batch_id]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def write_base_keys(store: DataFrame, path: str) -> None:
@@ -60,24 +73,34 @@ def write_base_keys(store: DataFrame, path: str) -> None:
 
 
 def import_stream(items: DataFrame, target: str, checkpoint: str, base_keys: str | None = None,
-                  default_user: str = DEFAULT_USER_ID, created_at: str | None = None) -> DataStreamWriter:
+                  default_user: str = DEFAULT_USER_ID, created_at: str | None = None,
+                  merge_every: int = 100) -> DataStreamWriter:
     """Duplicate-skipping import of a stream of ``(user_id, pos, data)`` items.
 
     ``data`` is one JSON item. A text counts as a duplicate of anything stored before
-    it, however long ago; within a micro-batch the smallest ``pos`` comes first.
+    it, however long ago; within a micro-batch the smallest ``pos`` comes first. The
+    keys of every ``merge_every`` batches are merged so that their files stay few.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        parsed = parse_items(batch.withColumn(
-            "item", F.coalesce(strict_json("data"), F.parse_json(F.lit("null")))).drop("data"))
         known = _earlier_keys(spark, target, batch_id, base_keys)
-        result = import_memories(parsed, None, default_user, batch="stream", keys=known)
-        place = f"batch_id={batch_id}"
-        stored = new_records(result.new_rows, "stream", ["user_id", "pos"], created_at)
-        stored.write.mode("overwrite").parquet(f"{target}/records/{place}")
-        result.rejects.write.mode("overwrite").parquet(f"{target}/rejects/{place}")
-        # The next batch reads its keys from here, so this is written last.
-        (spark.read.parquet(f"{target}/records/{place}").select("user_id", "digest")
-         .write.mode("overwrite").parquet(f"{target}/keys/{place}"))
+        if batch_id and batch_id % merge_every == 0:
+            place = f"{target}/merged/{_MERGED}{batch_id - 1}"
+            known.distinct().write.mode("overwrite").parquet(place)
+            known = _earlier_keys(spark, target, batch_id, base_keys)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            parsed = parse_items(batch.withColumn(
+                "item", F.coalesce(strict_json("data"), F.parse_json(F.lit("null")))).drop("data"))
+            result = import_memories(parsed, None, default_user, batch="stream", keys=known, small_batch=True)
+            place = f"{_BATCH}{batch_id}"
+            stored = new_records(result.new_rows, "stream", ["user_id", "pos"], created_at)
+            stored.write.mode("overwrite").parquet(f"{target}/records/{place}")
+            result.rejects.write.mode("overwrite").parquet(f"{target}/rejects/{place}")
+            # The next batch reads its keys from here, so this is written last.
+            (spark.read.parquet(f"{target}/records/{place}").select("digest")
+             .write.mode("overwrite").parquet(f"{target}/keys/{place}"))
+        finally:
+            batch.unpersist()
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -3,7 +3,7 @@ import json
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from factstore.functions.chunking import chunk_text
+from factstore.functions.chunking import chunk_text, fold_words, split_words
 from factstore.operators.chunks import (
     add_facts, add_verbatim, chunk_documents, chunk_report, document_report, document_status, import_documents,
     plan_import)
@@ -47,21 +47,33 @@ def test_very_long_word(one):
     assert [len(p) for p in pieces] == [50_000] * 4
 
 
+def solid(text):
+    return text.replace(" ", "").replace("\n", "")
+
+
 words = st.text(alphabet="ab é😀\n", max_size=60)
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(words, min_size=1, max_size=8), st.integers(3, 20))
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(words, min_size=10, max_size=40), st.integers(3, 20))
 def test_chunks_are_bounded_and_whole(one, texts, limit):
     for compat in (True, False):
         for text, chunks in zip(texts, one(texts, chunk_text("c", limit, compat=compat))):
             assert all(len(p) <= limit for p in chunks)
             if not compat:
-                def solid(s):
-                    return s.replace(" ", "").replace("\n", "")
                 assert solid("".join(chunks)) == solid(text)
 
 
+lines = st.text(alphabet="ab  é😀\r", min_size=1, max_size=60)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(lines, min_size=20, max_size=60), st.integers(1, 20))
+def test_word_pattern_equals_the_word_fold(one, texts, limit):
+    texts = [t for t in texts if len(t) > limit] + ["x" * (limit + 1)]
+    assert one(texts, split_words(F.col("c"), F.lit(limit))) == one(texts, fold_words(F.col("c"), F.lit(limit)))
+
+
 def requests(spark, rows):
     return spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)],
                                  "request_id string, content string, user_id string, metadata string")

@@ -54,7 +54,7 @@ def test_import_stream_skips_what_any_earlier_batch_stored(spark, tmp_path):
     def go():
         stream = (spark.readStream.schema("user_id string, pos long, data string")
                   .option("maxFilesPerTrigger", 1).json(str(source)))
-        run(ingest.import_stream(stream, str(target), str(state), str(base), created_at="2025-01-01"))
+        run(ingest.import_stream(stream, str(target), str(state), str(base), created_at="2025-01-01", merge_every=2))
 
     write_lines(source / "1.json", rows[:4])
     go()
@@ -64,6 +64,7 @@ def test_import_stream_skips_what_any_earlier_batch_stored(spark, tmp_path):
     go()
     got = spark.read.parquet(f"{target}/records")
     assert sorted(r["memory"] for r in got.collect()) == ["Alpha", "beta", "delta", "epsilon", "gamma"]
+    assert spark.read.parquet(f"{target}/merged/up_to=1").count() == 5  # base and two batches
 
     items = spark.createDataFrame([(r["user_id"], r["pos"], r["data"]) for r in rows], "user_id string, pos long, data string")
     parsed = imports.parse_items(items.withColumn("item", F.coalesce(F.try_parse_json("data"), F.parse_json(F.lit("null")))).drop("data"))
