@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from factstore.operators.records import score_floor, with_scores
@@ -46,31 +46,23 @@ class Buckets:
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
-def unit_rows(column) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (double) and the positions of the rows that have one.
+def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors (double) with the positions of their rows, once per vector size.
 
-    Rows without a vector, with a zero vector or of another size than the first
-    usable one are left out: there is nothing to score them with.
+    Rows without a vector or with a zero vector are left out: there is nothing to
+    score them with.
     """
-    if isinstance(column, pa.Array):
-        sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.empty(0, dtype=np.int64)
-        if column.null_count:
-            sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-        usable = np.flatnonzero(sizes == (sizes.max() if len(sizes) else 0))
-        if not len(usable) or sizes[usable[0]] == 0:
-            return np.empty((0, 0)), np.empty(0, dtype=np.int64)
-        flat = (column if len(usable) == len(column) else column.take(pa.array(usable))).flatten()
-        matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
-    else:
-        values = [v for v in column]
-        sizes = np.array([0 if v is None else len(v) for v in values])
-        usable = np.flatnonzero(sizes == (sizes.max() if len(sizes) else 0))
-        if not len(usable) or sizes[usable[0]] == 0:
-            return np.empty((0, 0)), np.empty(0, dtype=np.int64)
-        matrix = np.asarray([values[i] for i in usable], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
-    good = lengths > 0
-    return matrix[good] / lengths[good, None], usable[good]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        flat = (column if len(rows) == len(column) else column.take(pa.array(rows))).flatten()
+        matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+        lengths = np.linalg.norm(matrix, axis=1)
+        good = lengths > 0
+        if good.any():
+            yield matrix[good] / lengths[good, None], rows[good]
 
 
 class _Best:
@@ -109,7 +101,7 @@ class _Best:
 def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
                 buckets: Buckets | None) -> None:
     """Offer every (query, row) pair, or with ``buckets`` every pair sharing a signature."""
-    if not len(vectors) or not len(query_ids) or vectors.shape[1] != query_vectors.shape[1]:
+    if vectors.shape[1] != query_vectors.shape[1]:
         return
     row_signatures = buckets.signatures(vectors) if buckets else None
     for start in range(0, len(query_ids), QUERIES_PER_PRODUCT):
@@ -131,12 +123,10 @@ def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np
                     best.offer(query_ids[start + j], np.round(vectors[near] @ part[j], SCORE_DIGITS), ids[near])
 
 
-def _plain(values: list) -> pd.Series:
-    """A column of plain objects, whatever string type pandas would choose."""
-    return pd.Series(values, dtype=object)
-
-
-def _object_ids(column: pa.Array) -> np.ndarray:
+def _values(column) -> np.ndarray:
+    """Ids as numbers, or as plain objects where they are text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False)
     return np.array(column.to_pylist(), dtype=object)
@@ -148,9 +138,8 @@ def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Bu
     spaces: dict = {}
     for user in {r["user_id"] for r in rows}:
         mine = [r for r in rows if r["user_id"] == user]
-        vectors, usable = unit_rows([r["embedding"] for r in mine])
-        if len(usable):
-            spaces[user] = ([mine[i]["query_id"] for i in usable], vectors)
+        column = pa.array([r["embedding"] for r in mine], pa.list_(pa.float64()))
+        spaces[user] = [([mine[i]["query_id"] for i in at], vectors) for vectors, at in unit_rows(column)]
     shared = store.sparkSession.sparkContext.broadcast(spaces)
     out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                         T.StructField("id", store.schema["id"].dataType), T.StructField("score", T.DoubleType())])
@@ -164,9 +153,10 @@ def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Bu
                 if user not in shared.value:
                     continue
                 inside = batch.filter(pa.array(codes == code)) if len(users.dictionary) > 1 else batch
-                query_ids, query_vectors = shared.value[user]
-                vectors, usable = unit_rows(inside.column(2))
-                _score_into(best, query_ids, query_vectors, _object_ids(inside.column(1))[usable], vectors, buckets)
+                ids = _values(inside.column(1))
+                for vectors, at in unit_rows(inside.column(2)):
+                    for query_ids, query_vectors in shared.value[user]:
+                        _score_into(best, query_ids, query_vectors, ids[at], vectors, buckets)
             types = batch.column(1).type
         if types is not None and best.scores:
             yield best.table(query_arrow, types)
@@ -201,22 +191,20 @@ def _search_by_block(store: DataFrame, queries: DataFrame, k: int, buckets: Buck
                        F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"))
     out = T.StructType([asks.schema["query_id"], rows.schema["id"], T.StructField("score", T.DoubleType())])
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
         best = _Best(k)
-        if len(left) and len(right):
-            query_vectors, asked_rows = unit_rows(left["embedding"])
-            vectors, usable = unit_rows(right["embedding"])
-            _score_into(best, left["query_id"].to_numpy()[asked_rows].tolist(), query_vectors,
-                        right["id"].to_numpy()[usable], vectors, buckets)
-        return pd.DataFrame({
-            "query_id": _plain([q for q, kept in best.scores.items() for _ in kept]),
-            "id": _plain([i for kept in best.ids.values() for i in kept]),
-            "score": np.array([s for kept in best.scores.values() for s in kept], dtype=np.float64)})
+        if left.num_rows and right.num_rows:
+            query_ids, ids = _values(left["query_id"]), _values(right["id"])
+            asked_vectors = list(unit_rows(left["embedding"]))
+            for vectors, at in unit_rows(right["embedding"]):
+                for query_vectors, asked_at in asked_vectors:
+                    _score_into(best, query_ids[asked_at].tolist(), query_vectors, ids[at], vectors, buckets)
+        return pa.Table.from_batches([best.table(left["query_id"].type, right["id"].type)])
 
     # Fresh column identities, as queries are often derived from the store itself.
     asks = asks.select(*[F.col(c).alias(c) for c in asks.columns])
     cell = ["user_id", "row_block", "query_block"]
-    return asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(score, out)
+    return asks.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(score, out)
 
 
 def rank_hits(scored: DataFrame, k: int) -> DataFrame:
@@ -292,7 +280,7 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     blocks and every two of them meet in a group of their own.
     """
     rows = (df.select("user_id", "id", "embedding")
-            .where(F.col("embedding").isNotNull())
+            .where(F.exists("embedding", lambda x: x != 0))
             .withColumn("_same", F.xxhash64("embedding")))
     # Group by the vector itself; the hash in front only makes comparing cheap.
     firsts = (rows.groupBy("user_id", "_same", "embedding")
@@ -328,34 +316,34 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     cells = cells.select(*keys, "id", "embedding", "block",
                          F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
-    def best_earlier(group: pd.DataFrame) -> pd.DataFrame:
-        vectors, usable = unit_rows(group["embedding"])
-        ids = group["id"].to_numpy()[usable]
-        block = group["block"].to_numpy()[usable]
-        crossing = bool(group["low"].iloc[0] != group["high"].iloc[0])
-        order = np.argsort(ids, kind="stable")
-        vectors, ids, block = vectors[order], ids[order], block[order]
-        found = []
-        for start in range(0, len(ids), QUERIES_PER_PRODUCT):
-            stop = min(start + QUERIES_PER_PRODUCT, len(ids))
-            scores = np.round(vectors[start:stop] @ vectors[:stop].T, SCORE_DIGITS)
-            allowed = np.arange(stop)[None, :] < np.arange(start, stop)[:, None]
-            if crossing:
-                # Pairs within one block belong to that block's own cell.
-                allowed &= block[start:stop, None] != block[None, :stop]
-            scores = np.where(allowed, scores, -np.inf)
-            if not scores.size:
-                continue
-            at = scores.argmax(axis=1)
-            top = scores[np.arange(stop - start), at]
-            for i in np.flatnonzero(top >= threshold):
-                found.append((ids[start + i], ids[at[i]], float(top[i])))
-        return pd.DataFrame({
-            "user_id": _plain([group["user_id"].iloc[0]] * len(found)),
-            "id": _plain([f[0] for f in found]), "match_id": _plain([f[1] for f in found]),
-            "score": np.array([f[2] for f in found], dtype=np.float64)})
-
-    compared = cells.groupBy(*keys, "low", "high").applyInPandas(best_earlier, out)
+    def best_earlier(group: pa.Table) -> pa.Table:
+        all_ids, blocks = _values(group["id"]), _values(group["block"])
+        crossing = group["low"][0].as_py() != group["high"][0].as_py()
+        later, earlier, best = [], [], []
+        for vectors, at in unit_rows(group["embedding"]):
+            order = np.argsort(all_ids[at], kind="stable")
+            vectors, ids, block = vectors[order], all_ids[at][order], blocks[at][order]
+            for start in range(0, len(ids), QUERIES_PER_PRODUCT):
+                stop = min(start + QUERIES_PER_PRODUCT, len(ids))
+                scores = np.round(vectors[start:stop] @ vectors[:stop].T, SCORE_DIGITS)
+                allowed = np.arange(stop)[None, :] < np.arange(start, stop)[:, None]
+                if crossing:
+                    # Pairs within one block belong to that block's own cell.
+                    allowed &= block[start:stop, None] != block[None, :stop]
+                scores = np.where(allowed, scores, -np.inf)
+                # The first of equal scores is the smaller id.
+                top_at = scores.argmax(axis=1)
+                top = scores[np.arange(stop - start), top_at]
+                near = np.flatnonzero(top >= threshold)
+                later += ids[start + near].tolist()
+                earlier += ids[top_at[near]].tolist()
+                best += top[near].tolist()
+        id_type = group["id"].type
+        return pa.table({"user_id": pa.array([group["user_id"][0].as_py()] * len(later), pa.string()),
+                         "id": pa.array(later, id_type), "match_id": pa.array(earlier, id_type),
+                         "score": pa.array(best, pa.float64())})
+
+    compared = cells.groupBy(*keys, "low", "high").applyInArrow(best_earlier, out)
     return (compared.unionByName(copies)
             .groupBy("user_id", "id")
             .agg(F.min_by("match_id", F.struct(-F.col("score"), F.col("match_id"))).alias("match_id"),
@@ -364,14 +352,13 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
 
 
 def _with_signatures(df: DataFrame, buckets: Buckets) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sign(column: pd.Series) -> pd.Series:
-        vectors, usable = unit_rows(column)
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sign(column: pa.Array) -> pa.Array:
         signed: list = [None] * len(column)
-        if len(usable):
-            for i, row in zip(usable, buckets.signatures(vectors)):
+        for vectors, at in unit_rows(column):
+            for i, row in zip(at, buckets.signatures(vectors)):
                 signed[i] = row.tolist()
-        return pd.Series(signed)
+        return pa.array(signed, pa.list_(pa.int64()))
 
     return (df.withColumn("_signatures", sign("embedding"))
             .select(*df.columns, F.posexplode_outer("_signatures").alias("table", "signature"))
