@@ -134,12 +134,17 @@ def _values(column) -> np.ndarray:
 
 def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Buckets | None) -> DataFrame:
     """Queries sent to every task; the store is not shuffled."""
-    rows = queries.select("query_id", "user_id", "embedding").collect()  # size checked by the caller
-    spaces: dict = {}
-    for user in {r["user_id"] for r in rows}:
-        mine = [r for r in rows if r["user_id"] == user]
-        column = pa.array([r["embedding"] for r in mine], pa.list_(pa.float64()))
-        spaces[user] = [([mine[i]["query_id"] for i in at], vectors) for vectors, at in unit_rows(column)]
+    asked = queries.select("query_id", "user_id", "embedding").toArrow().combine_chunks()  # the caller measured it
+    query_ids, owners, embeddings = (asked.column(i).combine_chunks() for i in range(3))
+    rows_of: dict = {}
+    for row, user in enumerate(owners.to_pylist()):
+        rows_of.setdefault(user, []).append(row)
+    rows_of.pop(None, None)
+    spaces = {}
+    for user, rows in rows_of.items():
+        mine = pa.array(rows, pa.int64())
+        names = query_ids.take(mine).to_pylist()
+        spaces[user] = [([names[i] for i in at], vectors) for vectors, at in unit_rows(embeddings.take(mine))]
     shared = store.sparkSession.sparkContext.broadcast(spaces)
     out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
                         T.StructField("id", store.schema["id"].dataType), T.StructField("score", T.DoubleType())])
@@ -161,9 +166,7 @@ def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Bu
         if types is not None and best.scores:
             yield best.table(query_arrow, types)
 
-    query_arrow = pa.int64() if isinstance(out["query_id"].dataType, (T.LongType, T.IntegerType)) else pa.string()
-    if isinstance(out["query_id"].dataType, T.IntegerType):
-        query_arrow = pa.int32()
+    query_arrow = query_ids.type
     scanned = store.select("user_id", "id", "embedding")
     if len(spaces) <= MAX_PUSHED_NAMESPACES:
         scanned = scanned.where(F.col("user_id").isin(*spaces) if spaces else F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factstore.functions.chunking import chunk_text
@@ -106,6 +107,19 @@ def embed_hash(spark, sf_dir):
                        F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x), 3).alias("squared_norm"))
 
 
+def _letter_counts():
+    def encode(texts):
+        return np.array([[len(t), t.count(" "), t.count("e"), 1.0] for t in texts])
+    return encode
+
+
+def embed_encoder(spark, sf_dir):
+    """A caller's encoder, here one that counts characters."""
+    rows = embed.embed(inputs.memories(spark, sf_dir, wide=True), _letter_counts, 4)
+    return rows.select("id", *[F.col("embedding")[i].cast("bigint").alias(n)
+                               for i, n in enumerate(("chars", "blanks", "letters_e", "one"))])
+
+
 # Listings
 
 def list_namespace(spark, sf_dir):
@@ -185,6 +199,24 @@ def validate_queries(spark, sf_dir):
     return validate.rejects(validate.validate_queries(requests)).select("request_id", "error_code", "message")
 
 
+def validate_ids(spark, sf_dir):
+    """Requests that name an entity, some of them with an empty name."""
+    requests = _entity_rows(spark, sf_dir).select(F.nullif("agent_id", F.lit("error")).alias("user_id"))
+    return validate.validate_ids(requests, "user_id").groupBy("user_id", "error_code", "message").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def validate_batches(spark, sf_dir):
+    """Conversations as import batches, some of them broken."""
+    made = conversations.conversations_to_memories(inputs.table(spark, sf_dir, "conversations"))
+    n = F.col("conv_id") % 9
+    data = (F.when(n == 1, " ").when(n == 2, F.concat(F.lit("x"), "memory")).when(n == 3, F.concat("memory", F.lit(" x")))
+            .when(n == 4, '{"memory":"a"}').when(n == 5, "[]").when(n == 6, F.lit(None)).otherwise(F.col("memory")))
+    owner = F.when(n == 7, " \t").when(n == 8, F.lit(None)).otherwise(F.col("conv_id").cast("string"))
+    checked = validate.validate_batches(made.select("conv_id", owner.alias("user_id"), data.alias("data")))
+    return checked.select("conv_id", "error_code", "message")
+
+
 def short_docs(spark, sf_dir):
     return validate.skip_short(inputs.document_files(spark, sf_dir)).select("file")
 
@@ -243,6 +275,20 @@ def chunk_profile(spark, sf_dir):
         (F.max("n_chunks") == 1).alias("single"), F.sum(solid).alias("solid_chars"))
 
 
+def verbatim_headers(spark, sf_dir):
+    """Headers and tags of verbatim ingest, at a limit most documents exceed."""
+    requests = inputs.add_requests(spark, sf_dir).withColumn("content", F.trim("content"))
+    rows, _ = chunks.add_verbatim(requests.withColumn("size", F.length("content")), max_chars=CHUNK_LIMIT)
+    header = F.concat(F.lit("[Document: d"), "request_id", F.lit("]\n\n"))
+    tag = F.get_json_object("metadata", "$.chunk")
+    return rows.groupBy("request_id").agg(
+        F.max(F.length("memory") <= CHUNK_LIMIT).alias("within_limit"),
+        F.min(F.startswith("memory", header)).alias("headed"),
+        F.count_if(tag == F.concat_ws("/", F.col("pos") + 1, "n_chunks")).alias("_tagged"), F.max("n_chunks").alias("_n"),
+        F.min(F.get_json_object("metadata", "$.lang")).alias("lang"),
+    ).select("request_id", "within_limit", "headed", "lang", (F.col("_tagged") == F.col("_n")).alias("tagged"))
+
+
 def verbatim_rejects(spark, sf_dir):
     _, failed = chunks.add_verbatim(inputs.add_requests(spark, sf_dir))
     return failed.select("request_id", "user_id", "error_code", "message", "fix")
@@ -389,6 +435,16 @@ def export_csv_lines(spark, sf_dir):
     return tables.csv_rows(rows).select(F.md5("value").alias("line_md5"), F.length("value").cast("bigint").alias("chars"))
 
 
+def export_csv_file(spark, sf_dir):
+    """The written CSV document, read back."""
+    place = shared_folder(spark, "csv")
+    tables.export_csv(records.export_records(inputs.memories(spark, sf_dir)), place)
+    back = spark.read.csv(place, schema="id string, memory string, metadata string, created_at string, user_id string",
+                          multiLine=True, escape='"', lineSep="\r\n", emptyValue="")
+    return back.select("id", F.md5("memory").alias("memory_md5"), "metadata",
+                       F.coalesce("created_at", F.lit("")).alias("created_at"), "user_id")
+
+
 def export_csv_quoted(spark, sf_dir):
     rows = records.export_records(inputs.memories(spark, sf_dir))
     return tables.csv_rows(rows, "quoted").select(F.md5("value").alias("line_md5"))
@@ -488,13 +544,13 @@ def stream_import(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     search_topk, search_floor, search_no_scores, search_batch, search_batch_blocks, search_approx, search_text,
-    cosine_to_centroid, near_duplicates, near_duplicates_blocks, near_duplicates_bucketed, bm25_scores, embed_hash,
+    cosine_to_centroid, near_duplicates, near_duplicates_blocks, near_duplicates_bucketed, bm25_scores, embed_hash, embed_encoder,
     list_namespace, page_2, page_of_namespace, get_by_ids, entities, listing_stats, grep_records, entity_filter,
     listing_cards, flatten_payload, conversation_memories, validate_facts, validate_updates, validate_queries,
-    short_docs, parse_dates, dedup_keys, canonical_models, tolerant_numbers, chunk_texts, chunk_paragraphs,
-    chunk_profile, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,
+    validate_ids, validate_batches, short_docs, parse_dates, dedup_keys, canonical_models, tolerant_numbers, chunk_texts, chunk_paragraphs,
+    chunk_profile, verbatim_headers, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,
     import_new_rows, import_rejects, import_report, import_status, import_array, union_store, update_text,
     update_rejects, delete_ids, delete_rejects, delete_namespace, delete_namespaces, prune_dry_run, prune_candidates,
-    prune_apply, prune_min_score, export_records, export_csv_lines, export_csv_quoted, export_manifest,
+    prune_apply, prune_min_score, export_records, export_csv_lines, export_csv_file, export_csv_quoted, export_manifest,
     stored_namespace, snapshot_after_prune, export_round_trip, import_csv, audit_dims, audit_drop, stream_ingest,
     stream_rejects, stream_import)}

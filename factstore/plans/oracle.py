@@ -217,6 +217,9 @@ SELECT id, round(list_cosine_similarity(v, q), 4) AS score FROM vec JOIN center
     "near_duplicates": _PAIRS,
     "near_duplicates_blocks": _PAIRS,
     "bm25_scores": _BM25,
+    "embed_encoder": """SELECT 'doc-' || doc_id AS id, length(text) AS chars,
+  length(text) - length(replace(text, ' ', '')) AS blanks, length(text) - length(replace(text, 'e', '')) AS letters_e,
+  CAST(1 AS BIGINT) AS one FROM documents""",
     "list_namespace": f"""WITH {_MEM}
 SELECT id, md5(memory) AS memory_md5, metadata, created_at FROM mem WHERE user_id = 'src1'""",
     "page_2": f"""WITH {_MEM}
@@ -266,6 +269,19 @@ FROM checked""",
     "validate_queries": f"""WITH {_REQUESTS}
 SELECT request_id, 'empty_query' AS error_code, 'Search query cannot be empty.' AS message
 FROM checked WHERE stripped IS NULL OR stripped = ''""",
+    "validate_ids": """SELECT nullif(event_type, 'error') AS user_id,
+  CASE WHEN event_type = 'error' THEN 'id_required' END AS error_code,
+  CASE WHEN event_type = 'error' THEN 'user_id is required.' END AS message, count(*) AS n FROM events GROUP BY ALL""",
+    "validate_batches": """WITH codes AS (
+  SELECT DISTINCT conv_id, CASE conv_id % 9 WHEN 1 THEN 'data_required' WHEN 2 THEN 'invalid_json'
+    WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'not_an_array' WHEN 5 THEN 'empty_batch' WHEN 6 THEN 'data_required'
+    WHEN 7 THEN 'user_required' WHEN 8 THEN 'user_required' END AS error_code FROM conversations)
+SELECT conv_id, error_code, CASE error_code
+  WHEN 'data_required' THEN 'data is required (JSON string of memory array).'
+  WHEN 'invalid_json' THEN 'data is not valid JSON.'
+  WHEN 'not_an_array' THEN 'data must be a JSON array of memory objects.'
+  WHEN 'empty_batch' THEN 'memories must be a non-empty array'
+  WHEN 'user_required' THEN 'user_id is required' END AS message FROM codes""",
     "short_docs": f"SELECT {_FILE} AS file FROM documents WHERE length({_strip('text')}) >= 50",
     "parse_dates": f"WITH {_DATED} SELECT id, epoch FROM dated",
     "dedup_keys": f"""SELECT doc_id, md5(lower(s)) AS dedup_md5, length(s) AS chars FROM (
@@ -284,6 +300,10 @@ SELECT doc_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS
 SELECT request_id, user_id, true AS within_limit, length(content) <= 3000 AS single,
        length(replace(replace(content, ' ', ''), chr(10), '')) AS solid_chars
 FROM checked WHERE stripped <> ''""",
+    "verbatim_headers": f"""WITH {_REQUESTS},
+kept AS (SELECT request_id, trim(content, ' ') AS c, lang FROM checked JOIN documents USING (doc_id) WHERE stripped <> '')
+SELECT request_id, true AS within_limit, length(c) > 500 AND lang <> 'en' AS headed,
+  CASE WHEN lang <> 'en' THEN lang END AS lang, length(c) > 500 AS tagged FROM kept""",
     "verbatim_rejects": f"""WITH {_REQUESTS}
 SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content_required' ELSE 'empty_content' END AS error_code,
@@ -348,6 +368,9 @@ WHERE NOT coalesce(epoch < {_CUTOFF} AND quality < 0.5, false)""",
     "export_records": f"""WITH {_MEM}
 SELECT id, md5(memory) AS memory, metadata, coalesce(created_at, '') AS created_at, user_id FROM mem""",
     "export_csv_lines": f"WITH {_MEM}, {_CSV} SELECT md5(line) AS line_md5, length(line) AS chars FROM lines",
+    "export_csv_file": f"""WITH {_MEM}
+SELECT id, md5(memory) AS memory_md5, metadata, coalesce(created_at, '') AS created_at, user_id FROM mem
+UNION ALL SELECT 'id', md5('memory'), 'metadata', 'created_at', 'user_id'""",
     "export_csv_quoted": f"""WITH {_MEM}
 SELECT md5('"' || id || '","' || replace(memory, '"', '""') || '","' || replace(metadata, '"', '""') || '","'
   || coalesce(created_at, '') || '","' || user_id || '"') AS line_md5 FROM mem""",
