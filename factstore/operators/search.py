@@ -319,18 +319,60 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     cells = cells.select(*keys, "id", "embedding", "block",
                          F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
-    def best_earlier(group: pa.Table) -> pa.Table:
-        all_ids, blocks = _values(group["id"]), _values(group["block"])
-        crossing = group["low"][0].as_py() != group["high"][0].as_py()
-        later, earlier, best = [], [], []
-        for vectors, at in unit_rows(group["embedding"]):
-            order = np.argsort(all_ids[at], kind="stable")
-            vectors, ids, block = vectors[order], all_ids[at][order], blocks[at][order]
+    cell = [*keys, "low", "high"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if pending is None else pa.concat_tables([pending, table])
+            starts = _runs(table, cell)
+            # The last cell may go on in the next batch.
+            pending = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield from _best_earlier(table.slice(0, starts[-1]), starts[:-1], threshold).to_batches()
+        if pending is not None:
+            yield from _best_earlier(pending, np.array([0]), threshold).to_batches()
+
+    # Cells arrive one after the other, so a task holds one large cell or many small ones.
+    compared = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(compare, out)
+    return (compared.unionByName(copies)
+            .groupBy("user_id", "id")
+            .agg(F.min_by("match_id", F.struct(-F.col("score"), F.col("match_id"))).alias("match_id"),
+                 F.max("score").alias("score"))
+            .where(F.col("score") >= threshold))
+
+
+def _runs(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Positions at which a new combination of the columns begins, in sorted rows."""
+    changed = np.zeros(table.num_rows, dtype=bool)
+    changed[:1] = True
+    for name in columns:
+        column = table[name].combine_chunks()
+        codes = column if pa.types.is_integer(column.type) else column.dictionary_encode().indices
+        codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changed)
+
+
+def _best_earlier(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.Table:
+    """Each row's best match among the smaller ids of its cell, if close enough."""
+    users, all_ids, blocks = table["user_id"], _values(table["id"]), _values(table["block"])
+    crossing = _values(table["low"]) != _values(table["high"])
+    rows, earlier, best = [], [], []
+    for all_vectors, at in unit_rows(table["embedding"]):
+        of_cell = np.searchsorted(starts, at, side="right")
+        edges = np.append(np.flatnonzero(np.diff(of_cell, prepend=0)), len(at))
+        for c in np.flatnonzero(np.diff(edges) > 1):  # a row alone in its cell has nothing to match
+            inside = slice(edges[c], edges[c + 1])
+            order = np.argsort(all_ids[at[inside]], kind="stable")
+            place = at[inside][order]
+            vectors, ids, block = all_vectors[inside][order], all_ids[place], blocks[place]
             for start in range(0, len(ids), QUERIES_PER_PRODUCT):
                 stop = min(start + QUERIES_PER_PRODUCT, len(ids))
                 scores = np.round(vectors[start:stop] @ vectors[:stop].T, SCORE_DIGITS)
                 allowed = np.arange(stop)[None, :] < np.arange(start, stop)[:, None]
-                if crossing:
+                if crossing[place[0]]:
                     # Pairs within one block belong to that block's own cell.
                     allowed &= block[start:stop, None] != block[None, :stop]
                 scores = np.where(allowed, scores, -np.inf)
@@ -338,20 +380,12 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
                 top_at = scores.argmax(axis=1)
                 top = scores[np.arange(stop - start), top_at]
                 near = np.flatnonzero(top >= threshold)
-                later += ids[start + near].tolist()
+                rows += place[start + near].tolist()
                 earlier += ids[top_at[near]].tolist()
                 best += top[near].tolist()
-        id_type = group["id"].type
-        return pa.table({"user_id": pa.array([group["user_id"][0].as_py()] * len(later), pa.string()),
-                         "id": pa.array(later, id_type), "match_id": pa.array(earlier, id_type),
-                         "score": pa.array(best, pa.float64())})
-
-    compared = cells.groupBy(*keys, "low", "high").applyInArrow(best_earlier, out)
-    return (compared.unionByName(copies)
-            .groupBy("user_id", "id")
-            .agg(F.min_by("match_id", F.struct(-F.col("score"), F.col("match_id"))).alias("match_id"),
-                 F.max("score").alias("score"))
-            .where(F.col("score") >= threshold))
+    picked = pa.array(rows, pa.int64())
+    return pa.table({"user_id": users.take(picked), "id": table["id"].take(picked),
+                     "match_id": pa.array(earlier, table["id"].type), "score": pa.array(best, pa.float64())})
 
 
 def _with_signatures(df: DataFrame, buckets: Buckets) -> DataFrame:

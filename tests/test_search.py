@@ -158,3 +158,17 @@ def test_text_search_end_to_end(spark):
     queries = spark.createDataFrame([(1, "u", "where are rows stored in postgres")], "query_id long, user_id string, query string")
     got = search.search_text(store, queries, lambda q: embed.embed_hash(q, 64, "query"), 1).first()
     assert got["id"] == 2
+
+
+@pytest.mark.parametrize("buckets", [None, search.Buckets(6, 3)])
+def test_cells_larger_than_an_arrow_batch(spark, buckets):
+    store, rows = make_store(spark, 250, text_ids=True)
+    want = search.near_duplicates(store, 0.6, buckets, rows_per_block=40).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = search.near_duplicates(store, 0.6, buckets, rows_per_block=40).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want) and got
+    if buckets is None:
+        assert {r["id"]: r["match_id"] for r in got} == brute_duplicates(rows, 0.6)
