@@ -13,6 +13,7 @@ from factstore.functions.text import _col, json_put, let
 _NO_CHUNKS = "cast(array() as array<string>)"
 # Up to this room the regular expression engine needs only a shallow stack.
 _PATTERN_ROOM = 8192
+_BLOCK = 1024
 
 
 def _state(chunks: Column, pending: Column, size: Column) -> Column:
@@ -37,6 +38,30 @@ def _glued_size(size: Column, separator: str, piece: Column) -> Column:
     return F.when(size == 0, F.length(piece)).otherwise(size + len(separator) + F.length(piece))
 
 
+def _after(chunks: Column, state: Column) -> Column:
+    """A state that follows already finished chunks."""
+    return let(state, lambda s: _state(F.concat(chunks, s["chunks"]), s["pending"], s["size"]))
+
+
+def _fold(items: Column, start: Column, step) -> Column:
+    """Fold in blocks, each starting with no finished chunks.
+
+    Every step of ``aggregate`` copies its state. With one long list of chunks in it
+    the time would grow with the square of the text's length.
+    """
+    def add_block(acc, block):
+        fresh = _state(F.expr(_NO_CHUNKS), acc["pending"], acc["size"])
+        return _after(acc["chunks"], F.aggregate(block, fresh, step))
+
+    def over(every):
+        last = F.floor((F.size(every) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last),
+                             lambda i: F.slice(every, i * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.aggregate(blocks, start, add_block)
+
+    return let(items, over)
+
+
 def split_words(line: Column, room: Column) -> Column:
     """Pack the words of one over-long line; a word over the limit is cut by characters.
 
@@ -66,11 +91,10 @@ def fold_words(line: Column, room: Column) -> Column:
             F.when(huge, F.lit("")).when(full, word).otherwise(_glue(pending, " ", word)),
             F.when(huge, F.lit(0)).when(full, F.length(word)).otherwise(_glued_size(acc["size"], " ", word)))
 
-    return F.aggregate(F.split(line, " "), _start(), add_word,
-                       lambda acc: _push(acc["chunks"], acc["pending"]))
+    return let(_fold(F.split(line, " "), _start(), add_word), lambda end: _push(end["chunks"], end["pending"]))
 
 
-def _pack_lines(paragraph: Column, start: Column, room: Column, compat: bool, words) -> Column:
+def _pack_lines(paragraph: Column, pending_now: Column, size_now: Column, room: Column, compat: bool, words) -> Column:
     def add_line(acc, line):
         chunks, pending = acc["chunks"], acc["pending"]
         huge = F.length(line) > room
@@ -84,7 +108,7 @@ def _pack_lines(paragraph: Column, start: Column, room: Column, compat: bool, wo
             F.when(huge, acc["size"] if compat else F.lit(0)).when(full, F.length(line))
              .otherwise(_glued_size(acc["size"], "\n", line)))
 
-    return F.aggregate(F.split(paragraph, "\n"), start, add_line)
+    return _fold(F.split(paragraph, "\n"), _state(F.expr(_NO_CHUNKS), pending_now, size_now), add_line)
 
 
 def pack(text: Column, room: Column, compat: bool = True, words=split_words) -> Column:
@@ -98,13 +122,12 @@ def pack(text: Column, room: Column, compat: bool = True, words=split_words) ->
         chunks, pending, size = acc["chunks"], acc["pending"], acc["size"]
         fits = size + F.length(paragraph) + 2 <= room
         flushed = _push(chunks, pending)
-        start = _state(flushed, pending, size) if compat else _state(flushed, F.lit(""), F.lit(0))
+        carried = (pending, size) if compat else (F.lit(""), F.lit(0))
         return (F.when(fits, _state(chunks, _glue(pending, "\n\n", paragraph), _glued_size(size, "\n\n", paragraph)))
                 .when(F.length(paragraph) <= room, _state(flushed, paragraph, F.length(paragraph)))
-                .otherwise(_pack_lines(paragraph, start, room, compat, words)))
+                .otherwise(_after(flushed, _pack_lines(paragraph, *carried, room, compat, words))))
 
-    return F.aggregate(F.split(text, "\n\n"), _start(), add_paragraph,
-                       lambda acc: _push(acc["chunks"], acc["pending"]))
+    return let(_fold(F.split(text, "\n\n"), _start(), add_paragraph), lambda end: _push(end["chunks"], end["pending"]))
 
 
 def body_room(max_chars: int, header=None) -> Column:

@@ -47,6 +47,20 @@ def test_very_long_word(one):
     assert [len(p) for p in pieces] == [50_000] * 4
 
 
+def test_texts_of_many_blocks(one):
+    line = "abcdefghi"
+    ten_lines, ten_words, ten_paragraphs = "\n".join([line] * 10), " ".join([line] * 10), "\n\n".join([line] * 10)
+    assert one(["\n".join([line] * 3000)], chunk_text("c", 100)) == [[ten_lines] * 300]
+    assert one(["\n\n".join([line] * 3000)], chunk_text("c", 109)) == [[ten_paragraphs] * 300]
+    long_line = " ".join([line] * 3000)
+    assert one([long_line], fold_words(F.col("c"), F.lit(100))) == [[ten_words] * 300]
+    assert one([long_line], split_words(F.col("c"), F.lit(100))) == [[ten_words] * 300]
+    # A paragraph over the limit in each of many blocks keeps the pieces in order.
+    paragraphs = [f"p{i} " + "x" * 20 for i in range(2500)]
+    got = one(["\n\n".join(paragraphs)], chunk_text("c", 12, compat=False))[0]
+    assert [g for g in got if g.startswith("p")] == [f"p{i}" for i in range(2500)]
+
+
 def solid(text):
     return text.replace(" ", "").replace("\n", "")
 
