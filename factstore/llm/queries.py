@@ -5,13 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from factstore.llm import automaton, token_counts, token_files
+from factstore.llm import (automaton, decontaminate, fingerprints, langid, sharding, simhash, token_counts, token_files,
+                           toxicity, warc)
 from factstore.llm.common import table
 from factstore.session import shared_folder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 TOKEN_LIMIT = 1024
+SHARDS = 24
+
+
+def _tokenizer():
+    return token_counts.read_tokenizer(public_tokenizers.path(VOCABULARY))
 
 
 def op1_bpe(spark, sf_dir) -> DataFrame:
@@ -19,18 +25,88 @@ def op1_bpe(spark, sf_dir) -> DataFrame:
                              automaton.read_vocabulary(public_tokenizers.path(VOCABULARY)))
 
 
+def op2_simhash(spark, sf_dir) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark, sf_dir) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op4_token_counts(spark, sf_dir) -> DataFrame:
-    tokenizer = token_counts.read_tokenizer(public_tokenizers.path(VOCABULARY))
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer,
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer(),
                                      shared_folder(spark, "token-counts"), TOKEN_LIMIT)
 
 
+def op5_language(spark, sf_dir) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir) -> DataFrame:
-    tokenizer = token_counts.read_tokenizer(public_tokenizers.path(VOCABULARY))
-    manifest = token_files.write(table(spark, sf_dir, "documents"), tokenizer,
-                                 shared_folder(spark, "token-files"), END_ID)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), _tokenizer(), shared_folder(spark, "token-files"), END_ID)
     return token_files.read(manifest).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op4_token_counts, op6_token_files)}
-ORACLES: dict[str, str] = {}
+def op7_revisits(spark, sf_dir) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_lines(found["headers"]))
+
+
+def op8_toxicity(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_shards(spark, sf_dir) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), SHARDS, _tokenizer())
+
+
+def op10_fingerprints(spark, sf_dir) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_token_counts, op5_language, op6_token_files,
+                                   op7_revisits, op8_toxicity, op9_shards, op10_fingerprints)}
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES = {
+    "op3_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+               FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+               FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.s = iw.s),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+        it AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks
+               FROM (SELECT DISTINCT r, item_id::VARCHAR AS k FROM hits) GROUP BY r)
+        SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ks, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op7_revisits": """
+        WITH p AS (SELECT page_id, url, html, (page_id * 7919) % 1000003 AS turn, '"' || md5(html) || '"' AS tag FROM pages),
+        c AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM p),
+        k AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\\.|:(80|443)$', '', 'g') AS host,
+                     regexp_extract(bare, '^[^/?]*(.*)$', 1) AS rest FROM c),
+        u AS (SELECT *, host || regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') ||
+                     CASE WHEN regexp_extract(rest, '\\?(.*)$', 1) = '' THEN '' ELSE '?' ||
+                     array_to_string(list_sort(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')), '&') END AS canon FROM k),
+        r AS (SELECT canon, turn AS ts, arg_max(struct_pack(id := 'r' || page_id, tag := tag, d := md5(html), n := strlen(html),
+                     turn := turn), 'r' || page_id) AS res FROM u GROUP BY canon, turn),
+        v AS (SELECT 'v' || page_id AS record_id, canon, turn + (page_id * 104729) % 2000003 - 600000 AS ts, page_id % 4 AS kind,
+                     tag, turn - 500 AS stamp FROM u),
+        j AS (SELECT v.*, r.res FROM v ASOF LEFT JOIN r ON v.canon = r.canon AND v.ts > r.ts),
+        o AS (SELECT *, CASE WHEN res IS NULL THEN 'no_response'
+                             WHEN kind IN (0, 1) AND tag = res.tag OR kind = 3 AND stamp = res.turn - 500 THEN 'resolved'
+                             ELSE 'validator_mismatch' END AS outcome FROM j)
+        SELECT record_id, canon AS url, ts, outcome, res.id AS response_id,
+               CASE WHEN outcome = 'resolved' THEN res.d END AS digest,
+               CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || res.n || chr(10) ||
+                    'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || res.tag END AS headers
+        FROM o""",
+}
