@@ -6,8 +6,8 @@ goes out wherever an arc u does, it enters the state that v entered, and the sta
 u enters loses its arc v from then on. The automaton that remains accepts exactly the
 token sequences that the merges produce, so a word has one path, and the path is its
 encoding. A state differs from the one it was split from by one lost arc, so arcs are
-kept as those losses (``cut``) with the ranks at which they took effect, and looked up
-arcs are remembered.
+kept as those losses (``cut``) with the ranks at which they took effect. All new words of
+a slice of text follow the tables together.
 
 A null text counts as empty and has no tokens; its decoded text is empty. Rows are
 independent: ties, repeated rows and other columns, whatever their names, change
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ from factstore.llm.segments import WHITE, SegmentCoder
 #: Fixed value: the split that byte-level vocabularies are made for.
 SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
          rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_KEPT = 400_000
+_KEPT = 100_000
 _SHIFT = 21
-_END = 256
-_AHEAD = 5
+_NEVER = 1 << 60
+#: Words followed together, and bytes of a word that is followed alone.
+_TOGETHER, _LONG_WORD = 20_000, 200
 
 
 def byte_of_char() -> dict[str, int]:
@@ -45,6 +47,41 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Table:
+    """Transitions as an open hash table that is asked for many keys at once."""
+
+    def __init__(self, entries: dict[int, int]):
+        self.shift = 64 - max(4, int(4 * len(entries)).bit_length())
+        self.keys = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.values = np.full(len(self.keys), -1, np.int64)
+        keys = np.fromiter(entries.keys(), np.int64, len(entries))
+        values, at = np.fromiter(entries.values(), np.int64, len(entries)), self._place(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.keys[at[left]] < 0
+            self.keys[at[left[free]]] = keys[left[free]]  # of several for one place the last one stays
+            won = self.keys[at[left]] == keys[left]
+            self.values[at[left[won]]] = values[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of the keys, -1 for those that are not there."""
+        at = self._place(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], -1)
+        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            seen, wanted = self.keys[at[open_]], keys[open_]
+            out[open_] = np.where(seen == wanted, self.values[at[open_]], -1)
+            open_ = open_[(seen != wanted) & (seen >= 0)]
+        return out
+
+
 class Automaton:
     def __init__(self, vocabulary: str):
         """``vocabulary``: the JSON text of a byte-level BPE vocabulary."""
@@ -60,21 +97,13 @@ class Automaton:
             self.labels[i] = text.encode()
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         usable = {i for text, i in ids.items() if len(text) == 1}
         for rank, merge in enumerate(model["merges"]):
             u, v = merge.split(" ") if isinstance(merge, str) else merge
             self._add_gadget(rank, ids[u], ids[v], ids[u + v], usable)
         self.whole = {self.labels[i]: i for i in usable}
-        # The labels as nested tables by byte; at _END stands the arc that a label ends with.
-        self.step: dict[int, dict] = {}
-        for label, i in self.whole.items():
-            node = self.step
-            for b in label:
-                node = node.setdefault(b, {})
-            node[_END] = i
         self.longest = max(map(len, self.whole))
-        self.starts: dict[bytes, tuple[list[tuple[int, int]], dict | None]] = {}
+        self._compile()
         self.words: dict[str, list[int]] = {}
         self.split = regex.compile(SPLIT)
 
@@ -94,9 +123,9 @@ class Automaton:
         part that came before these makings closes the arc.
         """
         born, cut = self.born, self.cut
-        z, before_z = t, 1 << 60
+        z, before_z = t, _NEVER
         while z >= 0:
-            y, before_y = x, 1 << 60
+            y, before_y = x, _NEVER
             while y >= 0:
                 rank = cut.get(z << _SHIFT | y)
                 if rank is not None and rank < before_z and rank <= before_y:
@@ -105,73 +134,114 @@ class Automaton:
             before_z, z = born[z], self.right[z]
         return True
 
-    def _arc(self, t: int, x: int) -> bool:
-        key = t << _SHIFT | x
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= _KEPT:
-                self.arcs.clear()
-            found = self.arcs[key] = self._open(t, x)
-        return found
-
-    def _labels_from(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """Arcs whose labels the word continues with, and the labels' lengths; the longest first.
-
-        What the next few bytes allow is remembered, with the table to go on from.
+    def _compile(self) -> None:
+        """The tables that many words follow at once: bytes of labels, lost arcs, and parts."""
+        step, token_at = {}, [-1]
+        for label, i in self.whole.items():
+            node = 0
+            for b in label:
+                node = step.setdefault(node << 8 | b, len(token_at))
+                if node == len(token_at):
+                    token_at.append(-1)
+            token_at[node] = i
+        self.steps, self.token_at, self.cuts = Table(step), np.array(token_at), Table(self.cut)
+        self.lengths = np.array([len(x) for x in self.labels])
+        self.lefts, self.rights, self.births = (np.array(x) for x in (self.left, self.right, self.born))
+
+    def _all_open(self, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """``_open`` for many pairs."""
+        good = np.ones(len(t), bool)
+        z, before_z, rows = t, np.full(len(t), _NEVER), np.arange(len(t))
+        while len(rows):
+            y, before_y, own, left = x[rows], np.full(len(rows), _NEVER), np.arange(len(rows)), z
+            while len(own):
+                rank = self.cuts.get(left << _SHIFT | y)
+                closed = (rank >= 0) & (rank < before_z[own]) & (rank <= before_y)
+                good[rows[own[closed]]] = False
+                before_y, y = self.births[y], self.lefts[y]
+                go = ~closed & (y >= 0)
+                own, left, y, before_y = own[go], left[go], y[go], before_y[go]
+            before_z, z = self.births[z], self.rights[z]
+            go = good[rows] & (z >= 0)
+            rows, z, before_z = rows[go], z[go], before_z[go]
+        return good
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Follow the arcs over the bytes of all words side by side.
+
+        Every prefix of a word has one path, so one arc is the last before each place. The
+        places of all words are taken in step, and each opens those that its arcs reach.
         """
-        key = word[at:at + _AHEAD]
-        found = self.starts.get(key)
-        if found is None:
-            if len(self.starts) >= _KEPT:
-                self.starts.clear()
-            found = self.starts[key] = self._walk(self.step, key, 0)
-        options, node = found
-        if len(key) < _AHEAD or not node:
-            return options
-        longer, _ = self._walk(node, word[at + _AHEAD:at + self.longest], _AHEAD)
-        return longer + options
-
-    @staticmethod
-    def _walk(node: dict, ahead: bytes, passed: int) -> tuple[list[tuple[int, int]], dict | None]:
-        options = []
-        for b in ahead:
-            node = node.get(b)
-            if node is None:
-                break
-            passed += 1
-            if _END in node:
-                options.append((node[_END], passed))
-        return options[::-1], node
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """Follow the arcs over the bytes of a word, the longest label first."""
-        if word in self.whole:
-            return [self.whole[word]]
-        n, at, path, arcs, before = len(word), 0, [], self.arcs, -1
-        while at < n:
-            for t, size in self._labels_from(word, at):
-                way = before < 0 or arcs.get(before << _SHIFT | t)
-                if way or way is None and self._arc(before, t):
-                    path.append(t)
-                    before = t
-                    at += size
-                    break
-            else:
-                return self._search(word)
-        return path
+        out: list[list[int]] = []
+        short = [w for w in words if len(w) <= _LONG_WORD]
+        for at in range(0, len(short), _TOGETHER):
+            out += self._side_by_side(short[at:at + _TOGETHER])
+        if len(short) == len(words):
+            return out
+        paths = iter(out)
+        return [next(paths) if len(w) <= _LONG_WORD else self._search(w) for w in words]
+
+    def _side_by_side(self, words: list[bytes]) -> list[list[int]]:
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        text = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        place = np.arange(len(text)) - np.repeat(starts, sizes + 1)
+        room = np.repeat(sizes, sizes + 1) - place
+        # All labels that stand anywhere in the words.
+        rows, depth, found = np.flatnonzero(room), 0, []
+        node = np.zeros(len(rows), np.int64)
+        while len(rows):
+            node = self.steps.get(node << 8 | text[rows + depth])
+            depth += 1
+            go = node >= 0
+            rows, node = rows[go], node[go]
+            token = self.token_at[node]
+            some = token >= 0
+            found.append((rows[some], token[some], np.full(int(some.sum()), depth)))
+            go = room[rows] > depth
+            rows, node = rows[go], node[go]
+        at, token, size = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(place[at], kind="stable")
+        at, token, size = at[order], token[order], size[order]
+        cuts = np.searchsorted(place[at], np.arange(int(sizes.max()) + 1))
+        last = np.full(len(text) + 1, -1)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            new = last[at[a:b] + size[a:b]] < 0
+            source, arc, to = at[a:b][new], token[a:b][new], (at[a:b] + size[a:b])[new]
+            if a:
+                way = self._all_open(last[source], arc)
+                arc, to = arc[way], to[way]
+            last[to] = arc
+        # Back along the last arcs.
+        lengths, own, now, owners, tokens = self.lengths, np.arange(len(words)), ends, [], []
+        while len(own):
+            arc = last[now]
+            owners.append(own)
+            tokens.append(arc)
+            now = now - lengths[arc]
+            go = now > starts[own]
+            own, now = own[go], now[go]
+        owner, token = np.concatenate(owners[::-1]), np.concatenate(tokens[::-1])
+        order = np.argsort(owner, kind="stable")
+        cuts, token = np.cumsum([0, *np.bincount(owner, minlength=len(words))]).tolist(), token[order].tolist()
+        return [token[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _search(self, word: bytes) -> list[int]:
-        """As ``encode_word``, but a path that cannot go on goes back to its last choice.
+        """The path of a long word; a trial that cannot go on goes back to its last choice.
 
         Each prefix has one last arc, so a place that was left once is never entered again.
         """
-        n, path, ends, choices, left = len(word), [], [0], [], bytearray(len(word))
-        while ends[-1] < n:
+        left = bytearray(len(word))
+        path, ends, choices = [], [0], []
+        while ends[-1] < len(word):
+            at = ends[-1]
             if len(choices) < len(ends):
-                choices.append(iter(self._labels_from(word, ends[-1])))
+                labels = (word[at:at + n] for n in range(min(self.longest, len(word) - at), 0, -1))
+                choices.append(iter([(self.whole[x], len(x)) for x in labels if x in self.whole]))
             for t, size in choices[-1]:
-                end = ends[-1] + size
-                if not (end < n and left[end]) and (not path or self._arc(path[-1], t)):
+                end = at + size
+                if not (end < len(word) and left[end]) and (not path or self._open(path[-1], t)):
                     path.append(t)
                     ends.append(end)
                     break
@@ -181,19 +251,15 @@ class Automaton:
                 path.pop()
         return path
 
-    def encode_joined(self, pieces: list[str]) -> np.ndarray:
-        out: list[int] = []
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) >= _KEPT:
             self.words.clear()
-        known = self.words
-        for word in self.split.findall("".join(pieces)):
-            path = known.get(word)
-            if path is None:
-                path = self.encode_word(word.encode())
-                if len(path) < 16:
-                    known[word] = path
-            out += path
-        return np.array(out, "<u4")
+        known, found = self.words, [self.split.findall(t) for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in known]
+        own = dict(zip(new, self.encode_words([w.encode() for w in new]))) if new else {}
+        out = [np.array(list(chain.from_iterable([own[w] if w in own else known[w] for w in f])), "<u4") for f in found]
+        known.update((w, p) for w, p in own.items() if len(p) < 8)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other."""
@@ -203,8 +269,7 @@ class Automaton:
 def _coder(vocabulary: str, name: str) -> tuple[Automaton, SegmentCoder]:
     def make():
         automaton = Automaton(vocabulary)
-        lengths = np.array([len(x) for x in automaton.labels])
-        return automaton, SegmentCoder(automaton.encode_joined, lengths, automaton.specials)
+        return automaton, SegmentCoder(automaton.encode_all, automaton.lengths, automaton.specials)
     return worker_state(f"automaton-{name}", make)
 
 
@@ -250,8 +315,25 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return kept.mapInArrow(run, StructType([*kept.schema, StructField("decoded", StringType())]))
 
 
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task holds one automaton."""
+    name = hashlib.sha256(vocabulary.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, coder = _coder(vocabulary, name)
+        for batch, texts in slices(batches):
+            ids = coder.encode(texts)
+            decoded = [automaton.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                   pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                                  ["doc_id", "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode, decode and show both by their SHA-256."""
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = round_trip(docs, vocabulary)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

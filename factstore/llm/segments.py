@@ -15,20 +15,23 @@ import numpy as np
 #: The characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Characters of new pieces that are encoded as one text.
+_GROUP = 20_000
+
 _JOINT = re.compile(f" (?=[^{WHITE}])")
 _PLAIN = re.compile(f" (?:[{WHITE}]|\\Z)")
 
 
 class SegmentCoder:
-    """``encode_joined`` gives the ids of pieces that follow each other in one text.
+    """``encode_all`` gives the ids (unsigned 32-bit) of each of some texts without special strings.
 
     ``lengths`` holds the bytes each id stands for, ``specials`` the strings that are
     one id wherever they stand. The store is emptied when it holds ``most`` pieces.
     """
 
-    def __init__(self, encode_joined: Callable[[list[str]], np.ndarray], lengths: np.ndarray,
-                 specials: dict[str, int], most: int = 500_000):
-        self.encode_joined, self.lengths, self.most = encode_joined, lengths, most
+    def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], lengths: np.ndarray,
+                 specials: dict[str, int], most: int = 600_000):
+        self.encode_all, self.lengths, self.most = encode_all, lengths, most
         self.specials = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") \
             if specials else None
@@ -41,21 +44,27 @@ class SegmentCoder:
         return parts
 
     def _learn(self, new: list[str]) -> None:
-        """New pieces in one go: inner ones joined by their blanks, heads one by one."""
-        inner, heads = [p for p in new if p[:1] != " "], [p for p in new if p[:1] == " "]
-        for group in (inner, *([h] for h in heads)):
-            full = [" " + p for p in group] if group is inner else [group[0][1:]]
-            full = full if full != [""] else []
-            if not full:
-                self.known.update({p: b"" for p in group})
+        """New pieces in one go: inner ones joined by their blanks in groups, heads by themselves."""
+        groups, held = [], _GROUP
+        for piece in new:
+            if piece[:1] == " ":
+                continue
+            if held >= _GROUP:
+                groups.append([])
+                held = 0
+            groups[-1].append(piece)
+            held += len(piece)
+        heads = [p for p in new if p[:1] == " "]
+        full = ["".join([" " + p for p in g]) for g in groups] + [h[1:] for h in heads]
+        known = self.known
+        for k, ids in enumerate(self.encode_all(full)):
+            if k >= len(groups):
+                known[heads[k - len(groups)]] = ids.tobytes()
                 continue
-            ids = self.encode_joined(full).astype("<u4", copy=False)
-            ends = np.cumsum([len(p.encode()) for p in full])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, at = ids.tobytes(), 0
-            for piece, cut in zip(group, cuts.tolist()):
-                self.known[piece] = raw[at * 4:cut * 4]
-                at = cut
+            ends = np.cumsum([len(p.encode()) + 1 for p in groups[k]])
+            cuts = (4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            known.update(zip(groups[k], [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
@@ -64,21 +73,23 @@ class SegmentCoder:
         find, found, new = self.known.get, [], set()
         for text in texts:
             spans = [text] if self.cut is None else self.cut.split(text)
-            for k, span in enumerate(spans):
-                pieces = self._pieces(span) if span and k % 2 == 0 else []
-                ids = list(map(find, pieces)) if k % 2 == 0 else [self.specials[span]]
-                if None in ids:
-                    new.update(p for p, x in zip(pieces, ids) if x is None)
-                found.append((pieces, ids, k == len(spans) - 1))
+            pieces = self._pieces(text) if len(spans) == 1 and text else []
+            for k, span in enumerate(spans if len(spans) > 1 else ()):
+                pieces += [None, span] if k % 2 else self._pieces(span) if span else []
+            ids = list(map(find, pieces))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            if len(spans) > 1:
+                # A mark and a special string stand for the one id.
+                marks = [i for i, p in enumerate(pieces) if p is None]
+                for i in marks:
+                    ids[i], ids[i + 1] = b"", self.specials[pieces[i + 1]]
+                missing = sorted(set(missing).difference(marks, (i + 1 for i in marks)))
+            new.update([pieces[i] for i in missing])
+            found.append((ids, [(i, pieces[i]) for i in missing]))
         if new:
             self._learn(list(new))
-        out, text = [], []
-        for pieces, ids, ends in found:
-            if None in ids:
-                learnt = self.known
-                ids = [learnt[p] if x is None else x for p, x in zip(pieces, ids)]
-            text += ids
-            if ends:
-                out.append(b"".join(text))
-                text = []
-        return out
+        known = self.known
+        for ids, missing in found:
+            for i, piece in missing:
+                ids[i] = known[piece]
+        return [b"".join(ids) for ids, _ in found]

@@ -102,7 +102,7 @@ def pack(docs: DataFrame, shards: int, tokenizer: tuple[str, bytes]) -> DataFram
 
     kind = "digest string, part bigint, shard int"
     heavy_rows = groups.where(F.col("share") > HEAVY)
-    heavy = saved(heavy_rows.groupBy(F.lit(0)).applyInArrow(lambda g: placed(g, np.ones((shards, 3))), kind), "heavy")
+    heavy = saved(heavy_rows.withColumn("block", F.lit(0) + F.col("part") * 0).groupBy("block").applyInArrow(lambda g: placed(g, np.ones((shards, 3))), kind), "heavy")
     left = np.ones((shards, 3))
     used = heavy.join(groups, ["digest", "part"]).groupBy("shard").agg(*(F.sum(m) for m in _MEASURES))
     for shard, *taken in used.collect():

@@ -24,8 +24,6 @@ from factstore.llm.common import slices, worker_state
 from factstore.llm.segments import SegmentCoder
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
-#: Characters handed to the library in one call.
-_CALL = 20_000
 
 
 def read_tokenizer(path: str) -> tuple[str, bytes]:
@@ -51,18 +49,10 @@ def library_coder(content: bytes) -> SegmentCoder:
     for text, i in tokenizer.get_vocab().items():
         lengths[i] = len(text.encode()) if text in added else len(text)
 
-    def encode_joined(pieces: list[str]) -> np.ndarray:
-        calls, held = [[]], 0
-        for piece in pieces:
-            if held > _CALL:
-                calls.append([])
-                held = 0
-            calls[-1].append(piece)
-            held += len(piece)
-        found = tokenizer.encode_batch_fast(["".join(c) for c in calls], add_special_tokens=False)
-        return np.concatenate([np.array(e.ids, "<u4") for e in found])
-
-    return SegmentCoder(encode_joined, lengths, added)
+    def encode_all(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return SegmentCoder(encode_all, lengths, added)
 
 
 def is_byte_level(tokenizer: tuple[str, bytes]) -> bool:

@@ -194,5 +194,6 @@ def read(manifest: DataFrame) -> DataFrame:
                          pa.array(map(zlib.crc32, ids), pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    return (placed.repartition("file_no")
+    # A task for each few files; their number is a count of the manifest's rows.
+    return (placed.repartition(max(1, manifest.count()), "file_no")
             .mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint"))
