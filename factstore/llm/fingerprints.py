@@ -31,7 +31,7 @@ from factstore.llm.common import SLICE_BYTES, slices
 WINDOW, NEIGHBOURS, VOTES = 32, 32, 8
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
 LEVELS = 1000
-CUTOFF = 0.3
+CUTOFF = 0.1
 _PIECE = 200_000
 _ONE = 1 << 16
 _BITS = np.log2(WINDOW)

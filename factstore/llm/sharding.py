@@ -37,6 +37,8 @@ BLOCK_GROUPS = 50_000
 PIECE_ROWS = 50_000
 ROW_BYTES = 8
 _MEASURES = ("size", "tokens", "n")
+#: What bytes, tokens and rows weigh in the dot product; the law ``bytes`` puts bytes first.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 def sized(docs: DataFrame, tokenizer: tuple[str, bytes]) -> DataFrame:
@@ -67,10 +69,11 @@ def place(vectors: np.ndarray, residual: np.ndarray) -> np.ndarray:
     Both are shares of a shard's capacity. Ties go to the shard with the smaller number.
     """
     order = np.argsort(-vectors.max(1), kind="stable")
+    weights = np.array(WEIGHTS)
     shards = np.empty(len(vectors), np.int32)
     for i in order.tolist():
         x = vectors[i]
-        best = int((residual @ x).argmax())
+        best = int((residual @ (x * weights)).argmax())
         shards[i] = best
         residual[best] -= x
     return shards

@@ -223,13 +223,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Among equal ids the smallest fingerprint stays, and one row of those that are left.
     """
-    name, row = fresh_name(docs.columns, "fp"), fresh_name(docs.columns, "place")
+    name, row, kept_id, kept_fp = (fresh_name(docs.columns, c) for c in ("fp", "place", "kept_id", "kept_fp"))
     printed = with_fingerprint(docs, name)
     prints = saved(printed.select("doc_id", F.col(name).alias("fp")).distinct(), "simhash")
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "fp")
     kept = (prints.join(_roots(prints), "fp").withColumn("place", F.row_number().over(order)).where("place = 1")
-            .select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")))
-    joined = printed.join(kept, F.col(name).eqNullSafe(F.col("kept_fp")) & docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    twins = Window.partitionBy(name, "kept_id").orderBy(F.lit(0))
-    return (joined.withColumn(row, F.row_number().over(twins)).where(F.col(row) == 1)
-            .select(*(joined[c] for c in docs.columns)))
+            .select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp)))
+    joined = printed.join(kept, F.col(name).eqNullSafe(F.col(kept_fp)) & F.col("doc_id").eqNullSafe(F.col(kept_id)))
+    twins = Window.partitionBy(kept_fp, kept_id).orderBy(F.lit(0))
+    return joined.withColumn(row, F.row_number().over(twins)).where(F.col(row) == 1).select(*docs.columns)

@@ -5,7 +5,7 @@ Features are words, pairs of neighbours and pairs with one word between them, ha
 and the L1 term leaves the weights of features that say nothing at exactly zero, so the
 weights that remain are few and travel with the scoring tasks.
 
-Learning passes once over a sample of labelled rows of at most ``SAMPLE`` documents, chosen
+Learning passes a few times over a sample of at most ``SAMPLE`` labelled documents, chosen
 by a hash of the id among all labelled rows outside the held-out fold; a long text gives
 its features like any other. Rows with a null label, null id or null text are not learned
 from; a document with several labels counts once, by the largest. Without labels, or with
@@ -27,7 +27,9 @@ from factstore.llm.common import fold, slices, worker_state
 DIMENSIONS = 1 << 20
 #: Bound of the learning sample, in documents.
 SAMPLE = 12_000
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
+#: Passes over the sample.
+PASSES = 5
 THRESHOLD = 0.3
 _KEPT = 500_000
 
@@ -62,15 +64,15 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + np.exp(-min(35.0, max(-35.0, x))))
 
 
-def fit(rows: Iterator[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """One pass of FTRL-proximal: the places and values of the weights that are not zero, and the bias."""
+def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
+    """FTRL-proximal: the places and values of the weights that are not zero, and the bias."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
     def weights(at):
         value = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where(np.abs(z[at]) <= L1, 0.0, value)
 
-    for places, label in rows:
+    for places, label in rows * PASSES:
         at = np.append(places, DIMENSIONS)  # the last place is the bias
         w = weights(at)
         gradient = _sigmoid(w.sum()) - label
@@ -96,8 +98,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
                                   ["doc_id", "toxic", "places"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((np.frombuffer(p, "<i4"), t) for b in batches
-                for t, p in zip(b.column("toxic").to_pylist(), b.column("places").to_pylist()))
+        rows = [(np.frombuffer(p, "<i4"), t) for b in batches
+                for t, p in zip(b.column("toxic").to_pylist(), b.column("places").to_pylist())]
         places, values, bias = fit(rows)
         yield pa.record_batch([pa.array([*places.tolist(), -1], pa.int64()), pa.array([*values.tolist(), bias])],
                               ["place", "weight"])
