@@ -52,7 +52,11 @@ def enforce_dims(collections: dict[str, DataFrame], dims: int = EMBED_DIMS,
         raise ValueError("policy must be 'strict' or 'drop'")
     if policy == "drop":
         return {n: d.where(F.size("embedding") == dims) for n, d in collections.items()}
-    wrong = audit_dims(collections, dims).where(F.col("status") == "mismatch").select("action").limit(20).collect()
-    if wrong:
-        raise DimensionMismatch(f"embedder needs {dims}: " + "; ".join(r["action"] for r in wrong))
+    wrong = audit_dims(collections, dims).where(F.col("status") == "mismatch").agg(
+        F.count_distinct("collection").alias("collections"), F.count(F.lit(1)).alias("sizes"),
+        F.sum("n_rows").alias("rows"), F.min("collection").alias("first")).first()
+    if wrong["sizes"]:
+        raise DimensionMismatch(
+            f"embedder needs {dims}: {wrong['rows']} rows of {wrong['sizes']} other sizes in {wrong['collections']} "
+            f"collections, first '{wrong['first']}'; audit_dims lists them all")
     return collections

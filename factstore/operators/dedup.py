@@ -61,7 +61,8 @@ def import_memories(items: DataFrame, store: DataFrame | None, default_user: str
 
     Failures are decided before duplicates. The id, owner and time an item may carry
     are ignored: the target namespace and a new id are used. ``batch`` names this
-    import; the same batch run again yields the same ids.
+    import; ids come from it and the digest, which is unique after the duplicates are gone,
+    so the same batch run again yields the same ids wherever its rows lay.
 
     ``keys`` are digests kept beside the store, read in place of its texts.
     ``small_batch`` says the items are expected to be few beside the store.
@@ -71,7 +72,7 @@ def import_memories(items: DataFrame, store: DataFrame | None, default_user: str
     valid = accepted(checked).withColumn("digest", key_digest("user_id", "memory"))
     new = dedup_against(first_per_key(valid), known, valid.select("digest") if small_batch else None)
     new_rows = new.select(
-        record_id(F.lit(batch), "user_id", "pos").alias("id"), "memory", "user_id", "metadata", "pos", "digest")
+        record_id(F.lit(batch), F.hex("digest")).alias("id"), "memory", "user_id", "metadata", "pos", "digest")
     return Import(new_rows, rejects(checked), checked)
 
 

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from factstore.functions.text import first_nonempty
 from factstore.operators.records import below_retention, older_than, preview
 from factstore.operators.validate import accepted, rejects, validate_ids, validate_updates
 from factstore.schema import DEFAULT_USER_ID, PRUNE_DAYS
@@ -95,9 +96,12 @@ def prune(store: DataFrame, as_of: float, days: float = PRUNE_DAYS, dry_run: boo
                                      else F.lit(False))
     if user_id is not None:
         old = old & F.col("user_id").eqNullSafe(F.lit(user_id))
-    has_id = F.coalesce(F.col("id"), F.lit("")) != ""
+    # Older rows carry their id as memory_id.
+    names = [c for c in ("id", "memory_id") if c in store.columns]
+    record = F.coalesce(first_nonempty(*names), F.lit(""))
+    has_id = record != ""
     candidates = store.where(old).select(
-        F.coalesce(F.col("id"), F.lit("")).alias("id"), preview().alias("memory"), "created_at")
+        record.alias("id"), preview().alias("memory"), "created_at")
     report = candidates.agg(
         F.count(F.lit(1)).alias("would_delete"),
         (F.lit(0).cast("bigint") if dry_run else F.count_if(F.col("id") != "")).alias("deleted"),

@@ -12,9 +12,15 @@ from factstore.schema import DEFAULT_USER_ID, ENTITY_KEYS, EXPORT_COLUMNS, LIST_
 RESERVED_PAYLOAD_KEYS = ("data", "memory", "text", "user_id", "created_at", "embedding", "text_lemmatized")
 
 
-def list_namespace(df: DataFrame, user_id: str = DEFAULT_USER_ID, limit: int | None = LIST_LIMIT) -> DataFrame:
+def by_time() -> tuple[Column, Column]:
+    """The order of listings: creation time, unknown times first, then id."""
+    return parse_created_at("created_at").asc_nulls_first(), F.col("id").asc_nulls_first()
+
+
+def list_namespace(df: DataFrame, user_id: str = DEFAULT_USER_ID, limit: int | None = None) -> DataFrame:
+    """All records of a namespace; with a limit the earliest ones."""
     rows = df.where(F.col("user_id") == user_id)
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy(*by_time()).limit(limit)
 
 
 def page(df: DataFrame, user_id: str | None = None, limit: int = LIST_LIMIT, page: int = 1) -> DataFrame:
@@ -28,8 +34,8 @@ def page(df: DataFrame, user_id: str | None = None, limit: int = LIST_LIMIT, pag
         raise ValueError("limit and page start at 1")
     first = (page - 1) * limit
     if user_id is not None:
-        return df.where(F.col("user_id") == user_id).orderBy("created_at", "id").offset(first).limit(limit)
-    order = Window.partitionBy("user_id").orderBy("created_at", "id")
+        return df.where(F.col("user_id") == user_id).orderBy(*by_time()).offset(first).limit(limit)
+    order = Window.partitionBy("user_id").orderBy(*by_time())
     return (df.withColumn("position", F.row_number().over(order))
             .where(F.col("position") <= first + limit)
             .where(F.col("position") > first))

@@ -8,6 +8,8 @@ from factstore.functions.chunking import body_room, header_server
 from factstore.functions.text import is_blank, py_strip, strict_json
 from factstore.schema import CHUNK_CHARS, DEFAULT_USER_ID, MIN_DOCUMENT_CHARS
 
+# The message texts below, which callers compare; the hints are free.
+
 ERROR_COLUMNS = ("error_code", "message", "fix")
 
 
@@ -46,16 +48,16 @@ def validate_add(df: DataFrame, mode: str = "fact", max_chars: int = CHUNK_CHARS
     fact = mode == "fact"
     rules = [
         (content.isNull(), "content_required", "content is required.",
-         "Pass the fact as {'content': '...'}" if fact else "Pass the text as {'content': '...'}"),
+         "Send a content value with the text to keep."),
         (is_blank(content), "empty_content", "Cannot save empty content.",
-         "Provide one concise self-contained fact." if fact else "Provide text to store."),
+         "Send at least one visible character."),
     ]
     if fact:
         rules.append((
             F.length(py_strip(content)) > max_chars, "too_long",
             F.concat(F.lit("Content exceeds the verbatim chunk size: "), F.length(content).cast("string"),
                      F.lit(f" chars (limit {max_chars}).")),
-            "Split it into separate concise facts, or add it as verbatim text."))
+            "Send it in verbatim mode, which cuts long texts, or shorten it."))
     elif "metadata" in df.columns:
         room = body_room(max_chars, header_server("metadata"))
         rules.append((

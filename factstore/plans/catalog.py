@@ -484,14 +484,52 @@ def export_round_trip(spark, sf_dir):
 
 
 def import_csv(spark, sf_dir):
-    """Export as CSV and read the file back as import items."""
+    """Export as CSV and read the files back as import items; every part has the header."""
     place = shared_folder(spark, "csv")
     rows = records.export_records(inputs.memories(spark, sf_dir))
-    rows.withColumn("memory", F.regexp_replace("memory", "\\r", "")).coalesce(1).write.csv(
-        place, header=True, quote='"', escape='"', quoteAll=True)
+    rows.repartition(4, "id").write.csv(place, header=True, quote='"', escape='"', quoteAll=True)
     return imports.read_import(spark, place, "csv").select(F.md5("memory").alias("memory_md5"), "item_type", "metadata")
 
 
+def csv_round_trip(spark, sf_dir):
+    """The own CSV export of many parts, whose first part alone has the header."""
+    place = shared_folder(spark, "csv")
+    tables.export(inputs.memories(spark, sf_dir).repartition(4, "id"), place, "csv")
+    return imports.read_import(spark, place).select(F.md5("memory").alias("memory_md5"), "item_type", "metadata")
+
+
+def import_json_files(spark, sf_dir):
+    """Pretty-printed arrays and envelopes, one value for each file, told apart by content."""
+    place = shared_folder(spark, "json")
+    messages = F.to_json(F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.col("text").alias("memory")))), {"pretty": "true"})
+    rows = inputs.table(spark, sf_dir, "conversations")
+    made = rows.groupBy(F.pmod("conv_id", F.lit(6)).alias("k")).agg(messages.alias("items"))
+    wrapped = F.concat(F.lit('{"format": "json",\n"memories": '), F.col("items"), F.lit("}"))
+    value = F.when(F.col("k") % 2 == 0, F.col("items")).otherwise(wrapped).alias("value")
+    made.select(value, "k").write.partitionBy("k").text(place)
+    found = imports.read_import(spark, f"{place}/*")
+    return found.select("item_type", F.md5("memory").alias("memory_md5"))
+
+
+def import_ids_unique(spark, sf_dir):
+    """Every imported record has an id of its own, the same in a second run over other partitions."""
+    def ids(items):
+        parsed = imports.parse_items(items.withColumn("item", F.try_parse_json("data")).drop("data"))
+        return dedup.import_memories(parsed, inputs.import_store(spark, sf_dir)).new_rows.select("id", "pos")
+    items = inputs.import_items(spark, sf_dir)
+    both = ids(items).unionByName(ids(items.repartition(7)))
+    return both.groupBy("pos").agg(F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("runs"))
+
+
+def prune_legacy_ids(spark, sf_dir):
+    """Half of the rows carry their id as memory_id, as older stores do."""
+    rows = inputs.memories(spark, sf_dir)
+    old = F.substring("id", -1, 1).isin("1", "3", "5", "7", "9")
+    legacy = rows.withColumn("memory_id", F.when(old, F.col("id"))).withColumn("id", F.when(~old, F.col("id")))
+    kept = mutate.prune(legacy, AS_OF, 365, dry_run=False).store
+    return kept.select(F.coalesce("id", "memory_id").alias("id"), "user_id")
+
+
 def audit_dims(spark, sf_dir):
     store = inputs.table(spark, sf_dir, "embeddings")
     cut = store.withColumn("embedding", F.when(F.col("label") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
@@ -552,5 +590,5 @@ QUERIES = {f.__name__: f for f in (
     import_new_rows, import_rejects, import_report, import_status, import_array, union_store, update_text,
     update_rejects, delete_ids, delete_rejects, delete_namespace, delete_namespaces, prune_dry_run, prune_candidates,
     prune_apply, prune_min_score, export_records, export_csv_lines, export_csv_file, export_csv_quoted, export_manifest,
-    stored_namespace, snapshot_after_prune, export_round_trip, import_csv, audit_dims, audit_drop, stream_ingest,
+    stored_namespace, snapshot_after_prune, export_round_trip, import_csv, csv_round_trip, import_json_files, import_ids_unique, prune_legacy_ids, audit_dims, audit_drop, stream_ingest,
     stream_rejects, stream_import)}

@@ -180,9 +180,9 @@ SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content is required.' WHEN stripped = '' THEN 'Cannot save empty content.'
        WHEN length(stripped) > 3000 THEN 'Content exceeds the verbatim chunk size: ' || length(content)
             || ' chars (limit 3000).' END AS message,
-  CASE WHEN content IS NULL THEN 'Pass the fact as {{''content'': ''...''}}'
-       WHEN stripped = '' THEN 'Provide one concise self-contained fact.'
-       WHEN length(stripped) > 3000 THEN 'Split it into separate concise facts, or add it as verbatim text.'
+  CASE WHEN content IS NULL THEN 'Send a content value with the text to keep.'
+       WHEN stripped = '' THEN 'Send at least one visible character.'
+       WHEN length(stripped) > 3000 THEN 'Send it in verbatim mode, which cuts long texts, or shorten it.'
   END AS fix
 FROM checked"""
 
@@ -222,12 +222,12 @@ SELECT id, round(list_cosine_similarity(v, q), 4) AS score FROM vec JOIN center
   CAST(1 AS BIGINT) AS one FROM documents""",
     "list_namespace": f"""WITH {_MEM}
 SELECT id, md5(memory) AS memory_md5, metadata, created_at FROM mem WHERE user_id = 'src1'""",
-    "page_2": f"""WITH {_MEM}
+    "page_2": f"""WITH {_DATED}
 SELECT user_id, position, id FROM (
-  SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at NULLS FIRST, id) AS position FROM mem)
+  SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY epoch NULLS FIRST, id) AS position FROM dated)
 WHERE position BETWEEN 11 AND 20""",
-    "page_of_namespace": f"""WITH {_MEM}
-SELECT id, created_at FROM mem WHERE user_id = 'src5' ORDER BY created_at NULLS FIRST, id LIMIT 7 OFFSET 7""",
+    "page_of_namespace": f"""WITH {_DATED}
+SELECT id, created_at FROM dated WHERE user_id = 'src5' ORDER BY epoch NULLS FIRST, id LIMIT 7 OFFSET 7""",
     "get_by_ids": f"""WITH {_MEM}, ids AS (
   SELECT 'doc-' || doc_id AS id FROM labels UNION SELECT 'page-' || page_id FROM pages)
 SELECT ids.id AS id, mem.id IS NOT NULL AS found, user_id,
@@ -256,9 +256,9 @@ FROM mem LEFT JOIN labels USING (doc_id)""",
   CASE doc_id % 5 WHEN 0 THEN '{"lang":"' || lang || '","n_chars":' || n_chars || '}'
        WHEN 2 THEN '{"lang":"' || lang || '"}' WHEN 3 THEN '{"agent_id":"a1"}' ELSE '{}' END AS metadata
 FROM documents""",
-    "conversation_memories": """SELECT conv_id, CAST(0 AS BIGINT) AS part,
+    "conversation_memories": """SELECT conv_id, CAST(coalesce(turn // 10000, 0) AS BIGINT) AS part,
   CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS memory, count(*) AS messages
-FROM conversations GROUP BY conv_id""",
+FROM conversations GROUP BY conv_id, part""",
     "validate_facts": _FACT_CHECK,
     "validate_updates": f"""WITH {_REQUESTS}
 SELECT request_id,
@@ -308,7 +308,7 @@ SELECT request_id, true AS within_limit, length(c) > 500 AND lang <> 'en' AS hea
 SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content_required' ELSE 'empty_content' END AS error_code,
   CASE WHEN content IS NULL THEN 'content is required.' ELSE 'Cannot save empty content.' END AS message,
-  CASE WHEN content IS NULL THEN 'Pass the text as {{''content'': ''...''}}' ELSE 'Provide text to store.' END AS fix
+  CASE WHEN content IS NULL THEN 'Send a content value with the text to keep.' ELSE 'Send at least one visible character.' END AS fix
 FROM checked WHERE stripped IS NULL OR stripped = ''""",
     "chunk_reports": f"""WITH {_REQUESTS}
 SELECT request_id, request_id || '-0' AS first_id, true AS complete FROM checked WHERE stripped <> ''""",
@@ -385,7 +385,13 @@ n AS (SELECT count(*) FILTER (k <> '') AS valid, count(*) FILTER (k = '') AS fai
 SELECT 'first' AS run, keys AS imported, valid - keys AS skipped, failed FROM n
 UNION ALL SELECT 'second', 0, valid, failed FROM n""",
     "import_csv": f"""WITH {_MEM}
-SELECT md5(replace(memory, chr(13), '')) AS memory_md5, 'dict' AS item_type, metadata FROM mem""",
+SELECT md5(memory) AS memory_md5, 'dict' AS item_type, metadata FROM mem""",
+    "csv_round_trip": f"""WITH {_MEM}
+SELECT md5(memory) AS memory_md5, 'dict' AS item_type, metadata FROM mem""",
+    "import_json_files": "SELECT 'dict' AS item_type, md5(nullif(text, '')) AS memory_md5 FROM conversations",
+    "import_ids_unique": f"SELECT pos, 1::BIGINT AS ids, 2::BIGINT AS runs FROM ({_NEW_ROWS})",
+    "prune_legacy_ids": f"""WITH {_DATED}
+SELECT id, user_id FROM dated WHERE epoch IS NULL OR epoch >= {_CUTOFF}""",
     "audit_dims": """WITH a AS (
   SELECT 'records' AS collection, len(embedding) AS dim FROM embeddings
   UNION ALL SELECT 'migrations', CASE WHEN label % 2 = 1 THEN 32 ELSE len(embedding) END FROM embeddings)

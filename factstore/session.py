@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -27,8 +29,6 @@ def build_session(app_name: str = "factstore", master: str | None = None, **conf
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # As common JSON readers do, the last of two equal keys counts.
         "spark.sql.variant.allowDuplicateKeys": "true",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -37,15 +37,22 @@ def build_session(app_name: str = "factstore", master: str | None = None, **conf
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="factstore-")
+    folder = tempfile.mkdtemp(prefix="factstore-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
     The setting ``spark.checkpoint.dir`` names storage every executor can reach.
-    Only where it is unset (a local run) is a temporary folder used.
+    Only where it is unset in a local run is a temporary folder used, which goes with
+    the process; on a cluster that folder would not be shared.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder())
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

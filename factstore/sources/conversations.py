@@ -4,26 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factstore.operators.sizing import broadcast_if_small
+TURNS_PER_MEMORY = 10_000
 
-MAX_TURNS = 10_000
 
+def conversations_to_memories(df: DataFrame, turns_per_memory: int = TURNS_PER_MEMORY) -> DataFrame:
+    """Messages ``(conv_id, turn, role, text)`` as JSON lists.
 
-def conversations_to_memories(df: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame:
-    """Messages ``(conv_id, turn, role, text)`` as one JSON list per conversation.
-
-    A conversation of more than ``max_turns`` messages becomes several memories, each
-    holding the messages of one range of turns, so that no group outgrows a task.
-    Only the keys of such conversations are joined back, and there are at most
-    ``messages / max_turns`` of them.
+    The message of turn t belongs to part ``floor(t / turns_per_memory)`` of its
+    conversation, whatever other messages there are; a message without a turn belongs
+    to part 0. So no group outgrows a task, and nothing has to be counted first.
     """
-    long = (df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > max_turns).select("conv_id", F.lit(True).alias("_long")))
-    parts = (df.join(broadcast_if_small(long), "conv_id", "left")
-             .withColumn("part", F.when(F.col("_long"), F.floor(F.col("turn") / max_turns)).otherwise(F.lit(0))
-                         .cast("bigint")))
+    part = F.coalesce(F.floor(F.col("turn") / turns_per_memory), F.lit(0)).cast("bigint")
     messages = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     as_json = F.to_json(F.transform(messages, lambda m: F.struct(
         m["role"].alias("role"), F.coalesce(m["text"], F.lit("")).alias("content"))))
-    return (parts.groupBy("conv_id", "part")
+    return (df.withColumn("part", part).groupBy("conv_id", "part")
             .agg(as_json.alias("memory"), F.count(F.lit(1)).alias("messages")))

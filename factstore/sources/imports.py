@@ -7,9 +7,13 @@ one JSON value and is therefore read as one row.
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factstore.functions.text import _col, is_blank, let, py_strip, strict_json
+from factstore.sources.files import children, is_directory
 
 ITEM_COLUMNS = ("pos", "item_type", "text_type", "memory", "metadata")
 FORMATS = ("auto", "json", "jsonl", "csv", "tsv")
@@ -85,54 +89,101 @@ def _wrap_strings(items: DataFrame) -> DataFrame:
     return items.withColumn("item", F.when(value_type("item") == "str", wrapped).otherwise(F.col("item")))
 
 
+def _position() -> Column:
+    """Where a row of a file source stands: file, place of its block, row in reading order, item.
+
+    The order is that of the file names and of the rows in them, however the files are
+    split among tasks.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"), F.lit(0).cast("bigint").alias("item")).alias("pos")
+
+
 def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(py_strip("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(_position(), py_strip("value").alias("text"))
 
 
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    parsed = _texts(spark, path).select(strict_json("text").alias("data"))
+    parsed = _texts(spark, path).select("pos", strict_json("text").alias("data"))
     as_list = F.try_variant_get(F.col("data"), "$", "array<variant>")
     enveloped = F.try_variant_get(F.col("data"), "$.memories", "array<variant>")
     items = F.coalesce(as_list, enveloped, F.array("data"))
-    return parsed.select(F.monotonically_increasing_id().alias("_file"), items.alias("items")).select(
-        "_file", F.posexplode_outer("items").alias("_at", "item")).where(F.col("_at").isNotNull()).select(
-        (F.col("_file") * (1 << 31) + F.col("_at")).alias("pos"), "item")
+    return parsed.select("pos", items.alias("items")).select(
+        "pos", F.posexplode_outer("items").alias("_at", "item")).where(F.col("_at").isNotNull()).select(
+        F.col("pos").withField("item", F.col("_at").cast("bigint")).alias("pos"), "item")
 
 
 def _read_lines(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"),
-                                         py_strip("value").alias("line"))
+    lines = spark.read.text(path).select(_position(), py_strip("value").alias("line"))
     parsed = lines.where(F.col("line") != "").withColumn("item", strict_json("line"))
     # A line that is no JSON is kept as an item that fails validation.
     return parsed.select("pos", F.coalesce("item", F.parse_json(F.lit("null"))).alias("item"))
 
 
+def _header(spark: SparkSession, path: str, separator: str) -> list[str]:
+    """Column names: the first line of the first file that has one."""
+    files = [path]
+    if is_directory(spark, path):
+        files = [f"{path}/{n}" for n in children(spark, path) if n[0] not in "._"]
+    lines = (spark.read.text(f).first() for f in files)
+    line = next((r["value"] for r in lines if r is not None), "")
+    return next(csv.reader([line], delimiter=separator), [])
+
+
 def _read_table(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"',
-                          inferSchema=False, enforceSchema=False)
-    names = {c.strip(): c for c in rows.columns}
+    """Rows of CSV files of which the first, or each, starts with the header."""
+    header = _header(spark, path, separator)
+    schema = ", ".join(f"_c{i} string" for i in range(max(1, len(header))))
+    # With a line end of its own the reader leaves CR within quotes alone; the CR of a line's end
+    # is then left on the last cell, and alone on an empty line.
+    rows = spark.read.csv(path, schema=schema, header=False, sep=separator, multiLine=True, escape='"', lineSep="\n")
+    last = f"_c{max(1, len(header)) - 1}"
+    rows = rows.select(_position(), "*").withColumn(last, F.regexp_replace(last, "\r$", "")).withColumn(last, F.nullif(last, F.lit("")))
+    rest = [F.col(f"_c{i}").isNull() for i in range(1, len(header))]
+    blank = reduce(Column.__and__, rest, F.col("_c0").eqNullSafe(F.lit("\r" if rest else None)))
+    rows = rows.where(~blank)
+    is_header = reduce(Column.__and__, [F.col(f"_c{i}").eqNullSafe(F.lit(n or None)) for i, n in enumerate(header)], F.lit(True))
+    rows = rows.where(~is_header)
+    names = {n.strip(): f"_c{i}" for i, n in enumerate(header)}
     if "memory" not in names:
         raise ValueError("CSV has no memory column")
     meta = F.col(f"`{names['metadata']}`") if "metadata" in names else F.lit(None).cast("string")
     as_object = F.try_variant_get(F.try_parse_json(meta), "$", "map<string,variant>")
     return rows.select(
-        F.monotonically_increasing_id().alias("pos"), F.lit("dict").alias("item_type"), F.lit("str").alias("text_type"),
+        "pos", F.lit("dict").alias("item_type"), F.lit("str").alias("text_type"),
         F.col(f"`{names['memory']}`").alias("memory"),
         F.when(as_object.isNotNull(), meta).alias("metadata"))
 
 
-def detect_format(spark: SparkSession, path: str) -> str:
-    """Format of a payload by its content. Files of different formats need ``fmt``."""
-    text = F.col("text")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: py_strip(x)), lambda x: x != "")
-    all_json = F.forall(lines, lambda x: strict_json(x).isNotNull())
-    head = F.split(text, "\n")[0]
-    kind = (F.when(is_blank("text"), "empty")
-            .when(strict_json(text).isNotNull(), "json")
-            .when(all_json, "jsonl")
-            .when(head.contains("memory"), F.when(head.contains("\t"), "tsv").otherwise("csv"))
+def _table_kind(head: Column) -> Column:
+    return (F.when(head.contains("memory"), F.when(head.contains("\t"), "tsv").otherwise("csv"))
             .otherwise("unknown"))
-    kinds = [r["kind"] for r in _texts(spark, path).select(kind.alias("kind")).distinct().collect()]
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """Format of a payload by its content. Files of different formats need ``fmt``.
+
+    Files are judged by their lines, so that JSON Lines stays splittable; only files that
+    start like a JSON value and have lines that are none are read as a whole.
+    """
+    line = spark.read.text(path).select(_position(), py_strip("value").alias("line")).where(F.col("line") != "")
+    files = line.groupBy("pos.file").agg(
+        F.count(F.lit(1)).alias("lines"), F.bool_and(strict_json("line").isNotNull()).alias("all_json"),
+        F.min_by("line", "pos").alias("head"))
+    head = F.col("head")
+    kind = (F.when(F.col("all_json"), F.when(F.col("lines") == 1, "json").otherwise("jsonl"))
+            .when(head.startswith("[") | head.startswith("{"), "whole")
+            .otherwise(_table_kind(head)))
+    first = {r["kind"]: r["first"] for r in files.groupBy(kind.alias("kind")).agg(F.min("file").alias("first")).collect()}
+    # The parts of a CSV document after its first have no header.
+    headed = [first[k] for k in ("csv", "tsv") if k in first]
+    kinds = [k for k in first if k != "unknown" or not headed or min(headed) > first[k]]
+    if "whole" in kinds:
+        whole = (F.when(is_blank("text"), "empty").when(strict_json("text").isNotNull(), "json")
+                 .otherwise(_table_kind(F.split("text", "\n")[0])))
+        found = [r["kind"] for r in _texts(spark, path).select(whole.alias("kind")).distinct().collect()]
+        kinds = [k for k in kinds if k in ("json", "jsonl")] + [k for k in found if k != "unknown" or "jsonl" not in kinds]
+        kinds = list(dict.fromkeys(kinds))
     if kinds == ["empty"] or not kinds:
         raise ValueError("Nothing to import")
     if "unknown" in kinds:

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factstore.functions.dates import utc_now_text
 from factstore.functions.text import csv_line, metadata_cell, quoted_csv_line, record_id
-from factstore.operators.records import export_records, of_entity
+from factstore.operators.records import export_records, list_namespace, of_entity
 from factstore.operators.validate import check_export_format
-from factstore.schema import EXPORT_COLUMNS, LIST_LIMIT
+from factstore.schema import EXPORT_COLUMNS
 from factstore.sources.files import children, exists
 
 BUCKETS = 64
@@ -71,13 +72,20 @@ def write_snapshot(df: DataFrame, root: str, buckets: int = BUCKETS) -> int:
     """Write a changed table as the next version and return its number.
 
     The version being read is never overwritten, and a version counts only once its
-    job has finished, so a failed write leaves the table as it was.
+    job has finished, so a failed write leaves the table as it was. A number that
+    another job has taken is left to it and the next one is tried.
     """
     spark = df.sparkSession
-    done = snapshot_versions(spark, root)
-    version = (done[-1] + 1) if done else 1
-    _write(df, f"{root}/version={version}", "overwrite", buckets)
-    return version
+    taken = [int(m.group(1)) for m in map(_VERSION.match, children(spark, root)) if m]
+    version = max(taken, default=0) + 1
+    while True:
+        try:
+            _write(df, f"{root}/version={version}", "errorifexists", buckets)
+            return version
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None, user_id: str | None = None) -> DataFrame:
@@ -87,9 +95,9 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None, us
     return scan(spark, f"{root}/version={version or done[-1]}", user_id)
 
 
-def list_page(spark: SparkSession, path: str, user_id: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """A bounded listing without vectors."""
-    return scan(spark, path, user_id, limit).drop("embedding")
+def list_page(spark: SparkSession, path: str, user_id: str, limit: int | None = None) -> DataFrame:
+    """A listing without vectors; with a limit the earliest records."""
+    return list_namespace(scan(spark, path, user_id).drop("embedding"), user_id, limit)
 
 
 def export_manifest(df: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ def ingest_stream(requests: DataFrame, target: str, checkpoint: str, mode: str =
     """Validate, chunk and store a stream of add requests.
 
     Records go to ``target/records``, failed requests to ``target/rejects``. Ids come
-    from ``request_id`` and chunk number.
+    from namespace, ``request_id`` and chunk number.
     """
     add = add_verbatim if mode == "verbatim" else add_facts
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows, failed = add(batch, default_user, max_chars)
-        keys = ["request_id", "pos"] if mode == "verbatim" else ["request_id"]
+        keys = ["user_id", "request_id", "pos"] if mode == "verbatim" else ["user_id", "request_id"]
         stored = new_records(rows, mode, keys, created_at)
         stored.write.mode("overwrite").parquet(f"{target}/records/{_BATCH}{batch_id}")
         failed.write.mode("overwrite").parquet(f"{target}/rejects/{_BATCH}{batch_id}")
@@ -94,7 +94,7 @@ def import_stream(items: DataFrame, target: str, checkpoint: str, base_keys: str
                 "item", F.coalesce(strict_json("data"), F.parse_json(F.lit("null")))).drop("data"))
             result = import_memories(parsed, None, default_user, batch="stream", keys=known, small_batch=True)
             place = f"{_BATCH}{batch_id}"
-            stored = new_records(result.new_rows, "stream", ["user_id", "pos"], created_at)
+            stored = new_records(result.new_rows, "stream", ["digest"], created_at)
             stored.write.mode("overwrite").parquet(f"{target}/records/{place}")
             result.rejects.write.mode("overwrite").parquet(f"{target}/rejects/{place}")
             # The next batch reads its keys from here, so this is written last.

@@ -163,7 +163,7 @@ def test_dimension_audit(spark):
         {"a": ok, "b": mixed, "c": empty}, 2).collect()}
     assert got == {("a", 2): "a OK (2)", ("b", 2): "b OK (2)", ("b", 1): "b mismatch (was 1)"}
     assert audit.enforce_dims({"a": ok}, 2)["a"] is ok
-    with pytest.raises(audit.DimensionMismatch, match="was 1"):
+    with pytest.raises(audit.DimensionMismatch, match="1 rows of 1 other sizes"):
         audit.enforce_dims({"b": mixed}, 2)
     assert audit.enforce_dims({"b": mixed}, 2, "drop")["b"].count() == 1
     with pytest.raises(ValueError):
