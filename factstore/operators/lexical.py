@@ -18,8 +18,8 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
-def bm25(memories: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """``(query_id, id, bm25)`` for every record sharing a term with the query.
+def bm25(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, bm25, rank)``: the best ``k`` records sharing a term with each query.
 
     Statistics are per namespace.
     """
@@ -53,7 +53,5 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
     scored = (matched.join(terms, ["user_id", "term"])
               # Rounded so that the order of summation cannot decide a tie.
               .groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("bm25")))
-    if k is None:
-        return scored
     best = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
     return (scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))

@@ -132,9 +132,9 @@ def _values(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Buckets | None) -> DataFrame:
-    """Queries sent to every task; the store is not shuffled."""
-    asked = queries.select("query_id", "user_id", "embedding").toArrow().combine_chunks()  # the caller measured it
+def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType, k: int,
+                       buckets: Buckets | None) -> DataFrame:
+    """Queries ``(query_id, user_id, embedding)`` sent to every task; the store is not shuffled."""
     query_ids, owners, embeddings = (asked.column(i).combine_chunks() for i in range(3))
     rows_of: dict = {}
     for row, user in enumerate(owners.to_pylist()):
@@ -146,7 +146,7 @@ def _search_everywhere(store: DataFrame, queries: DataFrame, k: int, buckets: Bu
         names = query_ids.take(mine).to_pylist()
         spaces[user] = [([names[i] for i in at], vectors) for vectors, at in unit_rows(embeddings.take(mine))]
     shared = store.sparkSession.sparkContext.broadcast(spaces)
-    out = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+    out = T.StructType([T.StructField("query_id", query_type),
                         T.StructField("id", store.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def search_batch(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, mi
     """
     small = queries.select("query_id", "user_id", "embedding")
     if is_small(small, max_query_bytes):
-        scored = _search_everywhere(store, small, k, buckets)
+        scored = _search_everywhere(store, small.toArrow().combine_chunks(), small.schema["query_id"].dataType, k, buckets)
     else:
         scored = _search_by_block(store, small, k, buckets, rows_per_block)
     hits = score_floor(rank_hits(scored, k), min_score).select("query_id", "rank", "id", "score")
@@ -235,10 +235,12 @@ def search_batch(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, mi
 def search(store: DataFrame, query_vector: list[float], user_id: str, limit: int = SEARCH_LIMIT,
            min_score: float | None = 0.0, include_scores: bool = True, buckets: Buckets | None = None) -> DataFrame:
     """One query against one namespace; the records themselves are joined back on."""
-    spark = store.sparkSession
-    query = spark.createDataFrame([(0, user_id, [float(x) for x in query_vector])],
-                                  "query_id long, user_id string, embedding array<double>")
-    hits = search_batch(store, query, limit, min_score, True, buckets).drop("query_id")
+    asked = pa.table({"query_id": pa.array([0], pa.int64()), "user_id": [user_id],
+                      "embedding": pa.array([[float(x) for x in query_vector]], pa.list_(pa.float64()))})
+    scored = _search_everywhere(store, asked, T.LongType(), limit, buckets)
+    # Each task sends its best rows, and the sort with a limit keeps the best of those.
+    best = scored.orderBy(F.desc_nulls_last("score"), "id").limit(limit)
+    hits = score_floor(rank_hits(best, limit), min_score).select("rank", "id", "score")
     return with_scores(with_records(hits, store.where(F.col("user_id") == user_id), limit), include_scores)
 
 
@@ -282,24 +284,17 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     A namespace (or with ``buckets`` a signature) larger than a block is cut into
     blocks and every two of them meet in a group of their own.
     """
+    same = ["user_id", "_same"]
+    # Two 64-bit hashes of the vector stand for it, so that ids alone are grouped.
     rows = (df.select("user_id", "id", "embedding")
             .where(F.exists("embedding", lambda x: x != 0))
-            .withColumn("_same", F.xxhash64("embedding")))
-    # Group by the vector itself; the hash in front only makes comparing cheap.
-    firsts = (rows.groupBy("user_id", "_same", "embedding")
-              .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    singles = firsts.select("user_id", F.col("first_id").alias("id"), "embedding")
-    # A vector with very many copies is spread over blocks for the join back.
-    hot = broadcast_if_small(
-        firsts.where(F.col("copies") > rows_per_block)
-        .groupBy("user_id", "_same").agg(F.ceil(F.max("copies") / rows_per_block).cast("int").alias("parts")))
-    same = ["user_id", "_same"]
-    repeated = (spread(firsts.where(F.col("copies") > 1), hot, same, "parts")
-                .select(*same, "embedding", "first_id",
-                        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    placed_rows = spread(rows, hot, same, "parts").withColumn("part", block_of("id", "parts"))
-    copies = (placed_rows.join(repeated, [*same, "embedding", "part"])
-              .where(F.col("id") > F.col("first_id"))
+            .withColumn("_same", F.struct(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding"))))
+    repeated = (rows.groupBy(*same).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+                .where(F.col("copies") > 1).select(*same, "first_id"))
+    # A vector with very many copies is a skewed key, which adaptive execution splits.
+    marked = rows.join(repeated, same, "left")
+    singles = marked.where(F.col("first_id").isNull() | (F.col("id") == F.col("first_id"))).select("user_id", "id", "embedding")
+    copies = (rows.drop("embedding").join(repeated, same).where(F.col("id") > F.col("first_id"))
               .select("user_id", "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score")))
 
     if buckets is None:
@@ -310,7 +305,8 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     id_field = singles.schema["id"]
     out = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("id", id_field.dataType),
                         T.StructField("match_id", id_field.dataType), T.StructField("score", T.DoubleType())])
-    counts = block_counts(grouped, keys, rows_per_block, "blocks")
+    # Blocks of a namespace are counted on the stored rows, copies included, without their vectors.
+    counts = block_counts(df if buckets is None else grouped, keys, rows_per_block, "blocks")
     placed = spread(grouped, counts, keys, "blocks").withColumn("block", block_of("id", "blocks"))
     # A row of block b visits cell (min(b, j), max(b, j)) for every block j.
     cells = placed.select(
@@ -391,11 +387,19 @@ def _best_earlier(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
 def _with_signatures(df: DataFrame, buckets: Buckets) -> DataFrame:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def sign(column: pa.Array) -> pa.Array:
-        signed: list = [None] * len(column)
+        # Rows without a usable vector get an empty list.
+        places, signed = [], []
         for vectors, at in unit_rows(column):
-            for i, row in zip(at, buckets.signatures(vectors)):
-                signed[i] = row.tolist()
-        return pa.array(signed, pa.list_(pa.int64()))
+            places.append(at)
+            signed.append(buckets.signatures(vectors))
+        width = signed[0].shape[1] if signed else 0
+        sizes = np.zeros(len(column), np.int32)
+        for at in places:
+            sizes[at] = width
+        order = np.argsort(np.concatenate(places), kind="stable") if places else []
+        values = np.concatenate(signed)[order].ravel() if signed else np.zeros(0, np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
 
     return (df.withColumn("_signatures", sign("embedding"))
             .select(*df.columns, F.posexplode_outer("_signatures").alias("table", "signature"))

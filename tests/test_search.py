@@ -131,7 +131,7 @@ def test_bm25_equals_the_formula(spark):
             score += np.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
         if score:
             want[i] = pytest.approx(score)
-    got = lexical.bm25(store, queries).collect()
+    got = lexical.bm25(store, queries, 100).collect()
     assert {r["id"]: r["bm25"] for r in got} == want and {r["query_id"] for r in got} == {1}
     assert lexical.bm25(store, queries, 1).count() == 1
 
