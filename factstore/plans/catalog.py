@@ -265,14 +265,18 @@ def chunk_paragraphs(spark, sf_dir):
     return _pieces(docs, "doc_id", F.col("pieces"))
 
 
-def chunk_profile(spark, sf_dir):
-    """Bounds and preservation of verbatim ingest at the default limit."""
-    rows, _ = chunks.add_verbatim(inputs.add_requests(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string")),
-                                  compat=False)
-    solid = F.length(F.translate("memory", " \n", ""))
+def _whole(rows):
+    """Number of chunks of each request, and the digest of all of them in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "memory")))
     return rows.groupBy("request_id", "user_id").agg(
-        F.max(F.length("memory") <= 3000).alias("within_limit"),
-        (F.max("n_chunks") == 1).alias("single"), F.sum(solid).alias("solid_chars"))
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.md5(F.array_join(F.transform(ordered, lambda r: r["memory"]), "\x01")).alias("chunks_md5"))
+
+
+def chunk_profile(spark, sf_dir):
+    """Exact chunks of verbatim ingest at the default limit."""
+    rows, _ = chunks.add_verbatim(inputs.add_requests(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string")))
+    return _whole(rows)
 
 
 def verbatim_headers(spark, sf_dir):
@@ -295,10 +299,10 @@ def verbatim_rejects(spark, sf_dir):
 
 
 def chunk_reports(spark, sf_dir):
-    rows, _ = chunks.add_verbatim(inputs.add_requests(spark, sf_dir))
+    """Number and ids of the chunks stored for each request, in order."""
+    rows, _ = chunks.add_verbatim(inputs.add_requests(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string")))
     report = chunks.chunk_report(rows.withColumn("id", F.concat_ws("-", "request_id", "pos")))
-    return report.select("request_id", F.element_at("results", 1).alias("first_id"),
-                         (F.size("results") == F.col("chunks")).alias("complete"))
+    return report.select("request_id", "chunks", F.array_join("results", ",").alias("ids"))
 
 
 def plan_import(spark, sf_dir):
@@ -558,9 +562,7 @@ def stream_ingest(spark, sf_dir):
     requests = inputs.add_requests(spark, sf_dir, _stream(spark, sf_dir, "documents"))
     plain = requests.withColumn("metadata", F.lit(None).cast("string"))
     ingest.ingest_stream(plain, target, f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{target}/records")
-    return rows.groupBy("request_id", "user_id").agg(
-        F.max(F.length("memory") <= 3000).alias("within_limit"), (F.max("n_chunks") == 1).alias("single"))
+    return _whole(spark.read.parquet(f"{target}/records"))
 
 
 def stream_rejects(spark, sf_dir):

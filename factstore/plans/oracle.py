@@ -111,7 +111,7 @@ def _cut_line(limit: int) -> str:
     """Words of one line packed under the limit, as a list."""
     return f"""list_transform([list_reduce(
       list_transform(string_split(l, ' '), lambda w:
-        {{'c': CASE WHEN length(w) > {limit} THEN regexp_extract_all(w, '(?s).{{1,{limit}}}') ELSE {_NONE} END, 'p': w}}),
+        {{'c': CASE WHEN length(w) > {limit} THEN list_transform(range(0, length(w), {limit}), lambda i: substr(w, i + 1, {limit})) ELSE {_NONE} END, 'p': w}}),
       lambda a, x: CASE
         WHEN length(x.p) > {limit} THEN
           {{'c': list_concat(CASE WHEN a.p <> '' THEN list_append(a.c, a.p) ELSE a.c END, x.c), 'p': ''}}
@@ -173,6 +173,10 @@ _NEW_ROWS = f"""WITH {_ITEMS}
 SELECT pos, 'team' AS user_id, md5(text) AS memory_md5,
        '{{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS metadata FROM fresh"""
 
+_VERBATIM = f"""WITH {_REQUESTS}, {_packed(3000, True)}
+SELECT request_id, user_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5
+FROM checked JOIN packed USING (doc_id) WHERE stripped <> ''"""
+
 _FACT_CHECK = f"""WITH {_REQUESTS}
 SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content_required' WHEN stripped = '' THEN 'empty_content'
@@ -296,10 +300,7 @@ FROM events""",
 SELECT doc_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5 FROM packed""",
     "chunk_paragraphs": f"""WITH {_packed(500, False)}
 SELECT doc_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5 FROM packed""",
-    "chunk_profile": f"""WITH {_REQUESTS}
-SELECT request_id, user_id, true AS within_limit, length(content) <= 3000 AS single,
-       length(replace(replace(content, ' ', ''), chr(10), '')) AS solid_chars
-FROM checked WHERE stripped <> ''""",
+    "chunk_profile": _VERBATIM,
     "verbatim_headers": f"""WITH {_REQUESTS},
 kept AS (SELECT request_id, trim(content, ' ') AS c, lang FROM checked JOIN documents USING (doc_id) WHERE stripped <> '')
 SELECT request_id, true AS within_limit, length(c) > 500 AND lang <> 'en' AS headed,
@@ -310,8 +311,10 @@ SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content is required.' ELSE 'Cannot save empty content.' END AS message,
   CASE WHEN content IS NULL THEN 'Send a content value with the text to keep.' ELSE 'Send at least one visible character.' END AS fix
 FROM checked WHERE stripped IS NULL OR stripped = ''""",
-    "chunk_reports": f"""WITH {_REQUESTS}
-SELECT request_id, request_id || '-0' AS first_id, true AS complete FROM checked WHERE stripped <> ''""",
+    "chunk_reports": f"""WITH {_REQUESTS}, {_packed(3000, True)}
+SELECT request_id, len(pieces) AS chunks,
+       array_to_string(list_transform(range(len(pieces)), lambda i: request_id || '-' || i), ',') AS ids
+FROM checked JOIN packed USING (doc_id) WHERE stripped <> ''""",
     "plan_import": f"""WITH {_packed(500, True)}
 SELECT {_FILE} AS file, strlen(text) AS n_bytes, len(pieces) AS n_chunks FROM documents JOIN packed USING (doc_id)""",
     "import_documents": f"""SELECT {_FILE} AS file, true AS all_headed, true AS within_limit,
@@ -399,8 +402,7 @@ SELECT collection, dim, count(*) AS n_rows, CASE WHEN dim = 64 THEN 'ok' ELSE 'm
   collection || CASE WHEN dim = 64 THEN ' OK (' ELSE ' mismatch (was ' END || dim || ')' AS action
 FROM a GROUP BY collection, dim""",
     "audit_drop": "SELECT vec_id, label FROM embeddings WHERE label % 2 = 0",
-    "stream_ingest": f"""WITH {_REQUESTS}
-SELECT request_id, user_id, true AS within_limit, length(content) <= 3000 AS single FROM checked WHERE stripped <> ''""",
+    "stream_ingest": _VERBATIM,
     "stream_rejects": f"SELECT * FROM ({_FACT_CHECK}) WHERE error_code IS NOT NULL",
     "stream_import": _NEW_ROWS,
 }
