@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ from factstore.llm.common import fold, saved, slices
 #: Bounds of the model: words of a language, n-grams of a length, languages, and letters of a word.
 WORDS, GRAMS, LANGUAGES, LETTERS = 30_000, 20_000, 400, 64
 LONGEST = 4
-_KEPT = 200_000
+#: Different words, or n-grams, that a task counts before it hands them on.
+_KEPT = 400_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
 
 def words(text: str) -> list[str]:
-    return [w[:LETTERS] for w in _WORD.findall(text.lower())]
+    """Runs of letters; a longer run than ``LETTERS`` is several words."""
+    return _WORD.findall(text.lower())
 
 
 def has_letter(text: str) -> bool:
@@ -76,16 +79,24 @@ def learn(docs: DataFrame) -> dict:
     rows = counts.join(known.distinct(), "word", "left_semi").collect()  # at most WORDS rows for each of the languages
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], dict[str, int]] = {}
+
+        def flush():
+            rows = [(lang, size, g, n) for (lang, size), counted in held.items() for g, n in counted.items()]
+            held.clear()
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "size", "gram", "n"])
+
         for batch in batches:
-            held: Counter = Counter()
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
                 for size in range(1, LONGEST + 1):
+                    counted = held.setdefault((lang, size), {})
                     for g in grams(word, size):
-                        held[lang, size, g] += n
-            keys = list(held)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                                   pa.array([k[2] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())],
-                                  ["lang", "size", "gram", "n"])
+                        counted[g] = counted.get(g, 0) + n
+            if sum(map(len, held.values())) > _KEPT:
+                yield flush()
+        if any(held.values()):
+            yield flush()
 
     cuts = saved(counts.mapInArrow(cut, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram")
                  .agg(F.sum("n").alias("n")), "gram-counts")
@@ -114,13 +125,11 @@ def _logs(rows: list[tuple], langs: list[str], totals: dict) -> tuple[dict[str,
 
 class Scorer:
     def __init__(self, model: dict):
-        self.langs, (self.place, self.table), self.grams = model["langs"], model["words"], model["grams"]
-        self.unseen: dict[str, np.ndarray] = {}
+        self.langs, (self.place, table), self.grams = model["langs"], model["words"], model["grams"]
+        self.table = np.concatenate([table, np.zeros((1, len(self.langs)))])
 
     def back_off(self, word: str) -> np.ndarray:
         """Mean score of the n-grams that cover the word, the longest known ones first."""
-        if word in self.unseen:
-            return self.unseen[word]
         total, used, free = np.zeros(len(self.langs)), 0, [True] * len(word)
         for size in range(LONGEST, 0, -1):
             place, table = self.grams[size]
@@ -133,24 +142,30 @@ class Scorer:
                     used += 1
                     for k in over:
                         free[k] = False
-        if len(self.unseen) >= _KEPT:
-            self.unseen.clear()
-        self.unseen[word] = found = total / max(1, used)
-        return found
+        return total / max(1, used)
 
     def predict(self, text: str) -> tuple[str, float]:
         found = words(text) if self.langs else []
         if not found or not has_letter(text):
             return UNKNOWN, 0.0
-        get, known, score = self.place.get, [], np.zeros(len(self.langs))
-        for word in found:
-            row = get(word)
-            if row is None:
-                score += self.back_off(word)
+        # An unseen word gets the last row, which is zero.
+        rows = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
+        score = self.table[rows].sum(0)
+        unseen = [found[i] for i in np.flatnonzero(rows < 0).tolist()]
+        # Longest n-grams that cover a word without a gap decide alone; their means are taken together.
+        longest, table = self.grams[LONGEST]
+        gram, covered, sizes = longest.get, [], []
+        for word in unseen:
+            framed = f"<{word}>"
+            own = [gram(framed[i:i + LONGEST]) for i in range(len(framed) - LONGEST + 1)]
+            if own and None not in own:
+                covered += own
+                sizes.append(len(own))
             else:
-                known.append(row)
-        if known:
-            score += self.table[known].sum(0)
+                score += self.back_off(word)
+        if sizes:
+            sizes = np.array(sizes)
+            score += np.repeat(1 / sizes, sizes) @ table[covered]
         # A few words decide on their own; a long text counts as a few dozen.
         share = score / len(found) * min(len(found), 30)
         share = np.exp(share - share.max())
