@@ -1,4 +1,5 @@
 import json
+import random
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -182,3 +183,13 @@ def test_chunk_report_keeps_order(spark):
     in_order = [r["id"] for r in rows.orderBy("pos").collect()]
     assert report["chunks"] == 3 and report["results"] == in_order
     assert chunk_documents(docs(spark, []), "p").count() == 0
+
+
+def test_both_word_packers_agree_around_the_switch(one):
+    """The limit at which packing changes its implementation changes no chunk."""
+    rng = random.Random(21)
+    words = ["w" * n for n in (1, 7, 300, 8191, 8192, 8193, 20_000)] + ["", "", "\U0001F600" * 40, "é́"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(12)]
+    texts += ["a" * 8192 + " " + "b" * 8192, " " * 9000 + "x", "\U0001F600" * 9000]
+    for limit in (8191, 8192, 8193, 8200):
+        assert one(texts, split_words(F.col("c"), F.lit(limit))) == one(texts, fold_words(F.col("c"), F.lit(limit)))
