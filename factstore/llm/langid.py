@@ -1,7 +1,7 @@
 """Language identification by words first, character n-grams where a word is unknown.
 
 Learning counts, in every labelled row it is given, the words of each language; the model
-keeps the ``WORDS`` most frequent words of each language and, from the counts of all
+keeps the most frequent words of each language, ``WORDS`` together, and, from the counts of all
 words, the ``GRAMS`` most frequent n-grams of each length, so its size has a bound that
 does not depend on the data. A known word scores by its log frequency in each language.
 An unseen word is cut into n-grams of the longest length; the places that no known n-gram
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factstore.llm.common import fold, saved, slices
 
-#: Bounds of the model: words of a language, n-grams of a length, languages, and letters of a word.
-WORDS, GRAMS, LANGUAGES, LETTERS = 30_000, 20_000, 400, 64
+#: Bounds of the model: words of all languages, n-grams of a length, languages, and letters of a word.
+WORDS, GRAMS, LANGUAGES, LETTERS = 120_000, 20_000, 400, 64
 LONGEST = 4
 #: Different words, or n-grams, that a task counts before it hands them on.
 _KEPT = 400_000
@@ -75,8 +75,8 @@ def learn(docs: DataFrame) -> dict:
               .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(totals)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    known = counts.where("n > 1").withColumn("r", F.row_number().over(best)).where(F.col("r") <= WORDS).select("word")
-    rows = counts.join(known.distinct(), "word", "left_semi").collect()  # at most WORDS rows for each of the languages
+    known = counts.where("n > 1").withColumn("r", F.row_number().over(best)).where(F.col("r") <= WORDS // max(1, len(langs))).select("word")
+    rows = counts.join(known.distinct(), "word", "left_semi").collect()  # at most WORDS words, each with the languages it occurs in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], dict[str, int]] = {}
