@@ -256,6 +256,17 @@ def with_records(hits: DataFrame, store: DataFrame, at_most: int | None = None)
     return hits.join(payload, "id")
 
 
+def search_records(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, min_score: float | None = 0.0,
+                   include_scores: bool = True, **options) -> DataFrame:
+    """As ``search_batch``, with the stored columns of every hit.
+
+    Ids are looked up within the query's namespace, as another one may hold the same id.
+    """
+    hits = search_batch(store, queries, k, min_score, True, **options)
+    placed = hits.join(queries.select("query_id", "user_id"), "query_id")
+    return with_scores(placed.join(store.drop("embedding", "score"), ["user_id", "id"]), include_scores)
+
+
 def search_text(store: DataFrame, queries: DataFrame, encode, k: int = SEARCH_LIMIT,
                 min_score: float | None = 0.0, include_scores: bool = True) -> DataFrame:
     """Search with query texts ``(query_id, user_id, query)``.

@@ -51,6 +51,14 @@ def search_batch(spark, sf_dir):
     return _score(search.search_batch(inputs.vectors(spark, sf_dir), inputs.centroids(spark, sf_dir), 10))
 
 
+def search_records(spark, sf_dir):
+    """The best records of each namespace's mean vector, with their texts."""
+    texts = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("memory"))
+    store = inputs.vectors(spark, sf_dir).join(texts, "id", "left")
+    hits = search.search_records(store, inputs.centroids(spark, sf_dir), 10)
+    return _score(hits).select("query_id", "rank", "user_id", "id", "score", F.md5("memory").alias("memory_md5"))
+
+
 def search_batch_blocks(spark, sf_dir):
     """Every record is a query, met block by block."""
     store = inputs.vectors(spark, sf_dir)
@@ -583,7 +591,7 @@ def stream_import(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    search_topk, search_floor, search_no_scores, search_batch, search_batch_blocks, search_approx, search_text,
+    search_topk, search_floor, search_no_scores, search_batch, search_records, search_batch_blocks, search_approx, search_text,
     cosine_to_centroid, near_duplicates, near_duplicates_blocks, near_duplicates_bucketed, bm25_scores, embed_hash, embed_encoder,
     list_namespace, page_2, page_of_namespace, get_by_ids, entities, listing_stats, grep_records, entity_filter,
     listing_cards, flatten_payload, conversation_memories, validate_facts, validate_updates, validate_queries,

@@ -209,6 +209,12 @@ ORACLES = {
 SELECT user_id AS query_id, rank, id, round(s, 4) AS score FROM (
   SELECT user_id, id, s, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, id) AS rank
   FROM (SELECT user_id, id, round(list_cosine_similarity(v, q), 12) AS s FROM vec JOIN center USING (user_id)))
+WHERE rank <= 10""",
+    "search_records": f"""WITH {_CENTER}
+SELECT user_id AS query_id, rank, user_id, hits.id AS id, round(s, 4) AS score, md5(text) AS memory_md5 FROM (
+  SELECT user_id, id, s, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, id) AS rank
+  FROM (SELECT user_id, id, round(list_cosine_similarity(v, q), 12) AS s FROM vec JOIN center USING (user_id))) AS hits
+LEFT JOIN documents ON doc_id = hits.id
 WHERE rank <= 10""",
     "search_batch_blocks": f"""WITH {_VEC}
 SELECT query_id, rank, id, round(s, 4) AS score FROM (
