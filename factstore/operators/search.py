@@ -20,6 +20,7 @@ from factstore.operators.records import score_floor, with_scores
 from factstore.operators.sizing import (
     MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, block_counts, block_of, broadcast_if_small, is_small, spread)
 from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
+from factstore.session import shared_folder
 
 ROWS_PER_BLOCK = 20_000
 QUERIES_PER_PRODUCT = 512
@@ -27,6 +28,8 @@ MAX_PUSHED_NAMESPACES = 200
 # Equal vectors must get equal scores wherever they sit in a matrix, so that ties
 # go by id and results do not depend on how the table is partitioned.
 SCORE_DIGITS = 12
+#: Signatures stand for the exact comparison only where a pair shares one with this chance.
+RECALL = 0.99
 
 
 @dataclass(frozen=True)
@@ -34,7 +37,8 @@ class Buckets:
     """Random-hyperplane signatures: ``tables`` numbers of ``bits`` bits each.
 
     Vectors at a small angle share a signature in at least one table with high
-    probability; only such pairs are compared.
+    probability; only such pairs are compared. For cosines below ``surest`` that
+    chance is under ``RECALL``, and the callers compare exactly.
     """
     tables: int = 8
     bits: int = 6
@@ -45,6 +49,16 @@ class Buckets:
         signs = (vectors @ planes > 0).reshape(len(vectors), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
+    def recall(self, cosine: float) -> float:
+        """The chance that two vectors of this cosine share a signature."""
+        return 1 - (1 - (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** self.bits) ** self.tables
+
+    @property
+    def surest(self) -> float:
+        """The smallest cosine whose recall is at least ``RECALL``."""
+        same = 1 - (1 - RECALL) ** (1 / self.tables)
+        return float(np.cos(np.pi * (1 - same ** (1 / self.bits))))
+
 
 def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Unit vectors (double) with the positions of their rows, once per vector size.
@@ -276,10 +290,24 @@ def search_text(store: DataFrame, queries: DataFrame, encode, k: int = SEARCH_LI
     return search_batch(store, encode(queries), k, min_score, include_scores)
 
 
-def search_approx(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT,
-                  buckets: Buckets = Buckets(), **options) -> DataFrame:
-    """Top-k among the rows sharing a signature with the query, scored exactly."""
-    return search_batch(store, queries, k, buckets=buckets, **options)
+def search_approx(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, buckets: Buckets = Buckets(),
+                  min_score: float | None = 0.0, include_scores: bool = True, **options) -> DataFrame:
+    """Top-k among the rows sharing a signature with the query, scored exactly.
+
+    A query is settled when its ``k``-th hit, or the floor, is at a cosine from which
+    signatures find what there is. All others are asked again of every row.
+    """
+    if min_score and min_score >= buckets.surest:
+        return search_batch(store, queries, k, min_score, include_scores, buckets, **options)
+    found = search_batch(store, queries, k, None, True, buckets, **options)
+    place = shared_folder(store.sparkSession, "signature-hits")
+    found.write.parquet(place)
+    found = store.sparkSession.read.schema(found.schema).parquet(place)
+    settled = (found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"))
+               .where((F.col("n") == k) & (F.col("lowest") >= buckets.surest)).select("query_id"))
+    again = search_batch(store, queries.join(settled, "query_id", "left_anti"), k, None, True, **options)
+    hits = score_floor(found.join(settled, "query_id", "left_semi").unionByName(again), min_score)
+    return with_scores(hits, include_scores)
 
 
 def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets: Buckets | None = None,
@@ -293,8 +321,11 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     Equal vectors are folded into their first record before anything is compared:
     its copies match it with score one and it answers for them towards later rows.
     A namespace (or with ``buckets`` a signature) larger than a block is cut into
-    blocks and every two of them meet in a group of their own.
+    blocks and every two of them meet in a group of their own. ``buckets`` that would
+    lose pairs at the threshold (``Buckets.surest``) are left aside: all pairs are compared.
     """
+    if buckets is not None and threshold < buckets.surest:
+        buckets = None
     same = ["user_id", "_same"]
     # Two 64-bit hashes of the vector stand for it, so that ids alone are grouped.
     rows = (df.select("user_id", "id", "embedding")

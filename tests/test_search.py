@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factstore.operators import embed, lexical, search
+from factstore.plans import catalog, inputs
 
 RNG = np.random.default_rng(5)
 
@@ -172,3 +175,38 @@ def test_cells_larger_than_an_arrow_batch(spark, buckets):
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want) and got
     if buckets is None:
         assert {r["id"]: r["match_id"] for r in got} == brute_duplicates(rows, 0.6)
+
+
+EMBEDDINGS = os.environ.get("FACTSTORE_TEST_SF", "/root/testdata/sf0.001")
+
+
+def test_recall_of_the_registered_settings(spark):
+    store = inputs.vectors(spark, EMBEDDINGS).cache()
+    asked = store.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = hits_of(search.search_batch(store, asked, 10))
+    for options in ({}, {"max_query_bytes": 0, "rows_per_block": 100}):
+        near = hits_of(search.search_approx(store, asked, 10, catalog.BUCKETS, **options))
+        assert len(exact) >= 10 and near == exact
+    rows = [sorted(tuple(r) for r in q(spark, EMBEDDINGS).collect())
+            for q in (catalog.near_duplicates, catalog.near_duplicates_bucketed)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_signatures_decide_alone_where_they_are_sure(spark, monkeypatch):
+    buckets = search.Buckets(12, 3)
+    assert buckets.recall(buckets.surest) == pytest.approx(search.RECALL) and buckets.surest < 0.9
+    store, rows = make_store(spark, 250, text_ids=True)
+    signed = []
+    original = search._with_signatures
+    monkeypatch.setattr(search, "_with_signatures", lambda *a: signed.append(1) or original(*a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = search.near_duplicates(store, 0.9, buckets, rows_per_block=40).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = brute_duplicates(rows, 0.9)
+    found = {r["id"]: r["match_id"] for r in got}
+    assert signed and sum(found.get(i) == m for i, m in want.items()) >= 0.95 * len(want)
+    signed.clear()
+    search.near_duplicates(store, 0.3, buckets)
+    assert not signed
