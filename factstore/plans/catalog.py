@@ -20,6 +20,7 @@ from factstore.streaming import ingest
 
 DUPLICATE_THRESHOLD = 0.3
 CHUNK_LIMIT = 500
+MESSAGES_PER_FILE = 500
 BUCKETS = search.Buckets(tables=10, bits=4)
 
 
@@ -511,11 +512,16 @@ def csv_round_trip(spark, sf_dir):
 
 
 def import_json_files(spark, sf_dir):
-    """Pretty-printed arrays and envelopes, one value for each file, told apart by content."""
+    """Pretty-printed arrays and envelopes, one value for each file, told apart by content.
+
+    Every range of messages gives an array and an envelope, so files stay small and grow in number.
+    """
     place = shared_folder(spark, "json")
     messages = F.to_json(F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.col("text").alias("memory")))), {"pretty": "true"})
-    rows = inputs.table(spark, sf_dir, "conversations")
-    made = rows.groupBy(F.pmod("conv_id", F.lit(6)).alias("k")).agg(messages.alias("items"))
+    # Ids count up within a task, whatever values the rows have.
+    rows = inputs.table(spark, sf_dir, "conversations").withColumn("_at", F.monotonically_increasing_id())
+    place_of = F.floor(F.col("_at") / (2 * MESSAGES_PER_FILE)) * 2 + F.col("_at") % 2
+    made = rows.groupBy(place_of.alias("k")).agg(messages.alias("items"))
     wrapped = F.concat(F.lit('{"format": "json",\n"memories": '), F.col("items"), F.lit("}"))
     value = F.when(F.col("k") % 2 == 0, F.col("items")).otherwise(wrapped).alias("value")
     made.select(value, "k").write.partitionBy("k").text(place)

@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import io
 import json
 import os
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factstore.operators import dedup, records, validate
+from factstore.plans import catalog
 from factstore.sources import conversations, imports, markdown, tables
 
 
@@ -241,3 +243,16 @@ def test_own_csv_export_of_many_parts(spark, tmp_path):
     for fmt in ("csv", "auto"):
         got = imports.read_import(spark, str(tmp_path / "out"), fmt)
         assert sorted(r["memory"] for r in got.collect()) == sorted(r[1] for r in rows)
+
+
+def test_json_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    texts = [(1 if i % 3 else i, i % 7, "user", f"text {i}") for i in range(5000)]
+    (spark.createDataFrame(texts, "conv_id bigint, turn bigint, role string, text string")
+     .write.parquet(str(tmp_path / "conversations.parquet")))
+    monkeypatch.setattr(catalog, "shared_folder", lambda _, label: str(tmp_path / label))
+    got = sorted(r["memory_md5"] for r in catalog.import_json_files(spark, str(tmp_path)).collect())
+    assert got == sorted(hashlib.md5(t[3].encode()).hexdigest() for t in texts)
+    found = [json.loads(f.read_text()) for f in (tmp_path / "json").glob("*/part-*")]
+    assert {type(v) for v in found} == {list, dict}
+    sizes = [len(v if isinstance(v, list) else v["memories"]) for v in found]
+    assert sum(sizes) == 5000 and max(sizes) <= 500
