@@ -1,11 +1,13 @@
 """Language identification by words first, character n-grams where a word is unknown.
 
-Learning counts, in every labelled row it is given, the words of each language; the model
-keeps the most frequent words of each language, ``WORDS`` together, and, from the counts of all
-words, the ``GRAMS`` most frequent n-grams of each length, so its size has a bound that
-does not depend on the data. A known word scores by its log frequency in each language.
-An unseen word is cut into n-grams of the longest length; the places that no known n-gram
-covers go to the next shorter length, down to single letters.
+Learning counts, in every labelled row it is given, the words of each language and their
+n-grams, and keeps all of them as tables. A known word scores by its log frequency in each
+language. An unseen word is cut into n-grams of the longest length; the places that no known
+n-gram covers go to the next shorter length, down to single letters.
+
+Each task holds the most frequent words and n-grams, up to ``CELLS`` log frequencies a table.
+Words that are not among them are joined with the whole counts, so what a task holds decides
+the time and not the prediction. Their scores are summed as whole numbers, in any order.
 
 A text without a letter, or a null text, is ``und`` with score 0. Rows without a label or
 text are not learned from. Without any label every text is ``und``. The score is the share
@@ -22,12 +24,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from factstore.llm.common import fold, saved, slices
 
-#: Bounds of the model: words of all languages, n-grams of a length, languages, and letters of a word.
-WORDS, GRAMS, LANGUAGES, LETTERS = 120_000, 20_000, 400, 64
+#: Log frequencies of words, and of n-grams of a length, that a task holds; letters of a word.
+CELLS, LETTERS = 500_000, 64
+#: A log frequency of one in the sums of joined words.
+ONE = 1 << 30
 LONGEST = 4
 #: Different words, or n-grams, that a task counts before it hands them on.
 _KEPT = 400_000
@@ -72,11 +76,11 @@ def learn(docs: DataFrame) -> dict:
     counts = saved(labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word")
                    .agg(F.sum("n").alias("n")), "word-counts")
     totals = {r["lang"]: (r["n"], r["v"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-              .orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+              .collect()}
     langs = sorted(totals)
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    known = counts.where("n > 1").withColumn("r", F.row_number().over(best)).where(F.col("r") <= WORDS // max(1, len(langs))).select("word")
-    rows = counts.join(known.distinct(), "word", "left_semi").collect()  # at most WORDS words, each with the languages it occurs in
+    held = max(1, CELLS // max(1, len(langs)))
+    sized = counts.withColumn("size", F.lit(0)).withColumnRenamed("word", "key")
+    whole, tables = _frequent(sized, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], dict[str, int]] = {}
@@ -100,15 +104,40 @@ def learn(docs: DataFrame) -> dict:
 
     cuts = saved(counts.mapInArrow(cut, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram")
                  .agg(F.sum("n").alias("n")), "gram-counts")
-    most = Window.partitionBy("size").orderBy(F.desc("n"), "gram")
-    kept = (cuts.groupBy("size", "gram").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(most))
-            .where(F.col("r") <= GRAMS).select("size", "gram"))
-    gram_rows = cuts.join(kept, ["size", "gram"], "left_semi").collect()
+    whole_grams, gram_tables = _frequent(cuts.withColumnRenamed("gram", "key"), held)
+    whole, tables = whole | whole_grams, tables | gram_tables
     gram_totals = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in
                    cuts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    return {"langs": langs, "words": _logs([(r["lang"], r["word"], r["n"]) for r in rows], langs, totals),
-            "grams": {s: _logs([(r["lang"], r["gram"], r["n"]) for r in gram_rows if r["size"] == s], langs,
-                               {g: gram_totals.get((g, s), (0, 1)) for g in langs}) for s in range(1, LONGEST + 1)}}
+    of_size = {0: totals} | {s: {g: gram_totals.get((g, s), (0, 1)) for g in langs} for s in range(1, LONGEST + 1)}
+    return {"langs": langs, "words": _logs(tables.get(0, []), langs, totals),
+            "grams": {s: _logs(tables.get(s, []), langs, of_size[s]) for s in range(1, LONGEST + 1)},
+            "base": {s: np.log(0.5 / _sizes(langs, t)) for s, t in of_size.items()},
+            "whole": {s: whole.get(s, True) for s in of_size}, "counts": counts, "cuts": cuts}
+
+
+def _frequent(rows: DataFrame, held: int) -> tuple[dict, dict]:
+    """By ``size``: whether all keys are held, and the rows of the most frequent, at most ``held`` keys."""
+    totals = rows.groupBy("size", "key").agg(F.sum("n").alias("total"))
+    # How many keys occur how often is a short list, from which the cut follows without a sort of the keys.
+    often: dict[int, list] = {}
+    for r in totals.groupBy("size", "total").agg(F.count("*").alias("keys")).orderBy("size", F.desc("total")).toLocalIterator():
+        often.setdefault(r["size"], []).append((r["total"], r["keys"]))
+    whole, wanted = {}, F.lit(False)
+    for size, counted in often.items():
+        sums = np.cumsum([k for _, k in counted])
+        fits = int(np.searchsorted(sums, held, side="right"))
+        whole[size] = fits == len(counted)
+        if fits:
+            wanted = wanted | ((F.col("size") == size) & (F.col("total") >= counted[fits - 1][0]))
+    kept = rows.join(totals.where(wanted).select("size", "key"), ["size", "key"], "left_semi").select("size", "lang", "key", "n").toArrow()
+    tables: dict[int, list] = {}
+    for size, *row in zip(*(kept.column(c).to_pylist() for c in ("size", "lang", "key", "n"))):
+        tables.setdefault(size, []).append(row)
+    return whole, tables
+
+
+def _sizes(langs: list[str], totals: dict) -> np.ndarray:
+    return np.array([totals[g][0] + 0.5 * (totals[g][1] + 1) for g in langs])
 
 
 def _logs(rows: list[tuple], langs: list[str], totals: dict) -> tuple[dict[str, int], np.ndarray]:
@@ -119,39 +148,64 @@ def _logs(rows: list[tuple], langs: list[str], totals: dict) -> tuple[dict[str,
     for lang, key, n in rows:
         if lang in column:
             found[place[key], column[lang]] = n
-    size = np.array([totals[g][0] + 0.5 * (totals[g][1] + 1) for g in langs])
-    return place, np.log((found + 0.5) / size)
+    return place, np.log((found + 0.5) / _sizes(langs, totals))
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.langs, (self.place, table), self.grams = model["langs"], model["words"], model["grams"]
         self.table = np.concatenate([table, np.zeros((1, len(self.langs)))])
+        self.base, self.whole = model["base"], model["whole"]
+
+    def back_off(self, word: str, joined: dict | None = None) -> np.ndarray:
+        """Mean score of the n-grams that cover the word, the longest known ones first.
+
+        Where all of the longest are known, they decide alone.
+        ``joined`` holds scores of n-grams, by length and n-gram, that are not among the held ones.
+        """
+        def scores(size, gram):
+            place, table = self.grams[size]
+            row = place.get(gram)
+            return table[row] if row is not None else (joined or {}).get((size, gram))
 
-    def back_off(self, word: str) -> np.ndarray:
-        """Mean score of the n-grams that cover the word, the longest known ones first."""
+        own = [scores(LONGEST, gram) for gram in grams(word, LONGEST)]
+        if own and all(s is not None for s in own):
+            return np.mean(own, axis=0)
         total, used, free = np.zeros(len(self.langs)), 0, [True] * len(word)
         for size in range(LONGEST, 0, -1):
-            place, table = self.grams[size]
             shift = 1 if size > 1 else 0
             for i, gram in enumerate(grams(word, size)):
                 over = range(max(0, i - shift), min(len(word), i - shift + size))
-                row = place.get(gram) if any(free[k] for k in over) else None
-                if row is not None:
-                    total += table[row]
+                found = scores(size, gram) if any(free[k] for k in over) else None
+                if found is not None:
+                    total += found
                     used += 1
                     for k in over:
                         free[k] = False
         return total / max(1, used)
 
+    def open_grams(self, word: str) -> set[tuple[int, str]]:
+        """N-grams of the word that only the whole counts can tell known or not."""
+        return {(size, g) for size in range(1, LONGEST + 1) if not self.whole[size]
+                for g in grams(word, size) if g not in self.grams[size][0]}
+
+    def held(self, text: str) -> tuple[int, np.ndarray, list[str]]:
+        """Number of words, the sum of the scores of the held ones, and the others."""
+        found = words(text) if self.langs and has_letter(text) else []
+        rows = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
+        return len(found), self.table[rows].sum(0), [found[i] for i in np.flatnonzero(rows < 0).tolist()]
+
+    def best(self, score: np.ndarray, found: int) -> tuple[str, float]:
+        # A few words decide on their own; a long text counts as a few dozen.
+        share = score / found * min(found, 30)
+        share = np.exp(share - share.max())
+        best = int(share.argmax())
+        return self.langs[best], float(share[best] / share.sum())
+
     def predict(self, text: str) -> tuple[str, float]:
-        found = words(text) if self.langs else []
-        if not found or not has_letter(text):
+        found, score, unseen = self.held(text)
+        if not found:
             return UNKNOWN, 0.0
-        # An unseen word gets the last row, which is zero.
-        rows = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
-        score = self.table[rows].sum(0)
-        unseen = [found[i] for i in np.flatnonzero(rows < 0).tolist()]
         # Longest n-grams that cover a word without a gap decide alone; their means are taken together.
         longest, table = self.grams[LONGEST]
         gram, covered, sizes = longest.get, [], []
@@ -166,25 +220,131 @@ class Scorer:
         if sizes:
             sizes = np.array(sizes)
             score += np.repeat(1 / sizes, sizes) @ table[covered]
-        # A few words decide on their own; a long text counts as a few dozen.
-        share = score / len(found) * min(len(found), 30)
-        share = np.exp(share - share.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+        return self.best(score, found)
+
+
+def _held(model: dict) -> dict:
+    """What tasks get of the model."""
+    return {k: model[k] for k in ("langs", "words", "grams", "base", "whole")}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``; only the text decides."""
+    held = _held(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(held)
         for batch, texts in slices(batches):
             found = [scorer.predict(t) for t in texts]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()),
                                    pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text")
-            .mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"))
+    shape = f"doc_id {kind}, held_out boolean, lang_pred string, score double"
+    rows = docs.select("doc_id", (fold(5) == 0).alias("held_out"), "text")
+    if all(model["whole"].values()):
+        return rows.mapInArrow(run, shape)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held)
+        for batch, texts in slices(batches):
+            found, sums, rest = zip(*map(scorer.held, texts))
+            yield pa.record_batch(
+                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.int64()),
+                 pa.array(sums, pa.list_(pa.float64())), pa.array([list(Counter(r).items()) for r in rest], pa.map_(pa.string(), pa.int64()))],
+                ["row", "doc_id", "held_out", "found", "sums", "rest"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held)
+        for batch in batches:
+            got = []
+            for found, sums, parts in zip(*(batch.column(c).to_pylist() for c in ("found", "sums", "parts"))):
+                score = np.array(sums)
+                for part in sorted(parts or [], key=lambda p: p["k"]):
+                    if part["k"] < 0:
+                        score += part["v"] / ONE * scorer.base[-1 - part["k"]]
+                    else:
+                        score[part["k"]] += part["v"] / ONE
+                got.append(scorer.best(score, found) if found else (UNKNOWN, 0.0))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()),
+                                   pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    # The numbers of the rows hold from here on, as they are written.
+    scanned = saved(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        scan, f"row bigint, doc_id {kind}, held_out boolean, found bigint, sums array<double>, rest map<string,bigint>"), "language-scan")
+    rest = scanned.select("row", F.explode("rest").alias("word", "times"))
+    parts = (rest.join(_parts(rest.select("word").distinct(), model), "word").repartition("row")
+             .select("row", "times", F.inline("parts")).groupBy("row", "k").agg(F.sum(F.col("v") * F.col("times")).alias("v"))
+             .groupBy("row").agg(F.collect_list(F.struct("k", "v")).alias("parts")))
+    return scanned.drop("rest").join(parts, "row", "left").mapInArrow(finish, shape)
+
+
+def _parts(asked: DataFrame, model: dict) -> DataFrame:
+    """``word, parts`` of the words: what each adds to language ``k``, in units of 1 / ``ONE``.
+
+    The part -1 counts known words: every language gets what it gives a word that it does not hold.
+    """
+    held, spark = _held(model), asked.sparkSession
+    shape = "word string, parts array<struct<k:int,v:bigint>>"
+    places = F.broadcast(spark.createDataFrame([(g, i) for i, g in enumerate(model["langs"])], "lang string, k int"))
+    gain = F.round(F.log(2 * F.col("n") + 1) * ONE).cast("bigint")
+    known = (model["counts"].join(places, "lang").groupBy("word").agg(F.collect_list(F.struct("k", gain.alias("v"))).alias("parts"))
+             .select("word", F.concat("parts", F.array(F.struct(F.lit(-1).alias("k"), F.lit(ONE).cast("bigint").alias("v")))).alias("parts")))
+    met = asked.join(known, "word", "left")
+    if not all(model["whole"].values()):
+        met = saved(met, "language-words")
+    unseen = met.where(F.col("parts").isNull()).select("word")
+
+    def split(scorer: Scorer, word: str, joined: dict) -> list[tuple[int, int]]:
+        """The score of an unseen word; every language gets its own number."""
+        return [(k, round(float(x) * ONE)) for k, x in enumerate(scorer.back_off(word, joined)) if x]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held)
+        for batch in batches:
+            yield _packed([(w, split(scorer, w, {})) for w in batch.column("word").to_pylist()])
+
+    if all(model["whole"][s] for s in range(1, LONGEST + 1)):
+        backed = unseen.mapInArrow(alone, shape)
+    else:
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(held)
+            for batch in batches:
+                rows = [(w, s, g) for w in batch.column("word").to_pylist() for s, g in [(0, ""), *sorted(scorer.open_grams(w))]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))],
+                                      ["word", "size", "gram"]) if rows else pa.record_batch(
+                    [pa.array([], t) for t in (pa.string(), pa.int32(), pa.string())], ["word", "size", "gram"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer, word, joined = Scorer(held), None, {}
+            for batch in batches:
+                done = []
+                for w, s, g, counted in zip(*(batch.column(c).to_pylist() for c in ("word", "size", "gram", "counted"))):
+                    if w != word:
+                        if word is not None:
+                            done.append((word, split(scorer, word, joined)))
+                        word, joined = w, {}
+                    if counted:
+                        joined[s, g] = scorer.base[s].copy()
+                        for c in counted:
+                            joined[s, g][c["k"]] += np.log(2 * c["n"] + 1)
+                yield _packed(done)
+            if word is not None:
+                yield _packed([(word, split(scorer, word, joined))])
+
+        counted = (model["cuts"].join(places, "lang").groupBy("size", "gram")
+                   .agg(F.collect_list(F.struct("k", "n")).alias("counted")))
+        asks = unseen.mapInArrow(ask, "word string, size int, gram string")
+        backed = (asks.join(counted, ["size", "gram"], "left").select("word", "size", "gram", "counted")
+                  .repartition("word").sortWithinPartitions("word").mapInArrow(gather, shape))
+    return met.where(F.col("parts").isNotNull()).unionByName(backed)
+
+
+def _packed(rows: list[tuple[str, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    """Words with their parts."""
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.int64())]))
+    return pa.record_batch([pa.array([w for w, _ in rows], pa.string()),
+                            pa.array([[{"k": k, "v": v} for k, v in p] for _, p in rows], kind)], ["word", "parts"])
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -194,11 +354,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def known_language(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns; ``und`` goes."""
-    columns = docs.columns
+    columns, held = docs.columns, _held(model)
 
     def run(batches):
-        scorer = Scorer(model)
+        scorer = Scorer(held)
         for batch, texts in slices(batches):
-            yield batch.filter(pa.array([scorer.predict(t)[0] != UNKNOWN for t in texts], pa.bool_())).select(columns)
+            yield batch.filter(pa.array([scorer.held(t)[0] > 0 for t in texts], pa.bool_())).select(columns)
 
     return docs.mapInArrow(run, docs.schema)

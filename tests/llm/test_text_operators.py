@@ -141,6 +141,36 @@ def test_decontamination_equals_all_windows(spark, monkeypatch, block):
     assert clean == {i for i, f in found.items() if f[1] == 0}
 
 
+def test_language_has_no_last_language(spark):
+    rng = random.Random(4)
+    names = [f"l{i:03}" for i in range(405)]
+    own = {g: ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3)] for g in names}
+    rows = [(i, " ".join(own[g]), g) for i, g in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.learn(docs)).collect()}
+    assert found == {i: g for i, _, g in rows}
+
+
+def test_language_is_the_same_whatever_a_task_holds(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = {"big": "abcdefgh", **{f"s{i}": "efghijkl"[i:] + "mn" for i in range(4)}}
+    word = lambda g: "".join(rng.choices(letters[g], k=rng.randint(1, 9)))
+    rows = [(i, " ".join(word(g) for _ in range(rng.randint(1, 20))), g) for i in range(600)
+            for g in [rng.choice([*letters, *["big"] * 20])]] + [(900, "12 -", "big"), (901, None, "s1"), (902, "ωψ", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+    def predicted():
+        return {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 5)) for r in langid.identify(docs).collect()}
+
+    whole = predicted()
+    assert len(whole) == len(rows) and whole[900][1] == "und"
+    for cells in (20_000, 1_000, 5):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        got = predicted()
+        assert {i: g[:2] for i, g in got.items()} == {i: g[:2] for i, g in whole.items()}
+        assert all(abs(g[2] - whole[i][2]) < 2e-5 for i, g in got.items())
+
+
 def test_language_backs_off_to_grams(spark):
     rng = random.Random(2)
     parts = {"aa": ["ba", "bo", "bi", "be"], "kk": ["ka", "ko", "ki", "ke"]}
