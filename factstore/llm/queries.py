@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from factstore.llm import (automaton, decontaminate, fingerprints, langid, sharding, simhash, token_counts, token_files,
-                           toxicity, warc)
+from factstore.llm import (automaton, decontaminate, fingerprints, langid, lexical_ranking, sharding, simhash, token_counts,
+                           token_files, toxicity, url_filters, warc)
 from factstore.llm.common import table
 from factstore.session import shared_folder
 
@@ -14,6 +14,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 TOKEN_LIMIT = 1024
 SHARDS = 24
+#: Host, path and verdict of each rule for pages.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def _tokenizer():
@@ -65,12 +67,27 @@ def op10_fingerprints(spark, sf_dir) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark, sf_dir) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_lexical_ranking(spark, sf_dir) -> DataFrame:
+    return lexical_ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_token_counts, op5_language, op6_token_files,
-                                   op7_revisits, op8_toxicity, op9_shards, op10_fingerprints)}
+                                   op7_revisits, op8_toxicity, op9_shards, op10_fingerprints, op11_url_filters,
+                                   op13_lexical_ranking)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
 ORACLES = {
     "op3_decontaminate": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -109,4 +126,25 @@ ORACLES = {
                CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || res.n || chr(10) ||
                     'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || res.tag END AS headers
         FROM o""",
+    "op11_url_filters": f"""
+        WITH r AS (SELECT * FROM (VALUES {_RULES}) AS v(rule_host, rule_path, verdict)),
+        u AS (SELECT page_id, row_number() OVER () AS k,
+                     CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        f AS (SELECT k, arg_max({{'rule': rule_host || rule_path, 'verdict': verdict}}, length(rule_host || rule_path)) AS best
+              FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k)
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (k)""",
+    "op13_lexical_ranking": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        o AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+        g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS every FROM o),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q)
+              GROUP BY r, term),
+        f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+        s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // every))))::BIGINT AS score
+              FROM q JOIN p USING (term) JOIN f USING (term) JOIN o USING (r), g GROUP BY item_id, r, doc_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50""",
 }
