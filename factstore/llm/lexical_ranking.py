@@ -66,61 +66,77 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 
 class Shared:
-    """The graph of sums: ``nodes`` in order, each of places below it, and ``sums`` of the given sets.
+    """The graph of sums: ``nodes`` in order, each of cells below it, and ``sums`` of the given sets.
 
-    Places 0 to ``size - 1`` are the terms, the following ones the nodes.
+    A place held by one set alone belongs to ``owner``. The places that several sets hold
+    have the first cells, the nodes the following ones.
     """
 
     def __init__(self, sets: list[np.ndarray], size: int):
-        self.size, self.nodes = size, []
-        used = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
-        most = 3 * len(sets)
-        # One row for each set and node, one column for each term in use and each node.
-        holds = np.zeros((len(sets) + most, len(used) + most), bool)
+        holders = np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]), minlength=size)
+        self.owner = np.full(size, -1)
         for row, own in enumerate(sets):
-            holds[row, np.searchsorted(used, own)] = True
-        rows, columns = len(sets), len(used)
-        common = np.zeros((len(holds), len(holds)), np.float32)
-        self._count(holds, common, np.arange(rows), rows)
+            self.owner[own[holders[own] == 1]] = row
+        self.cell = np.cumsum(holders > 1) - 1
+        self.leaves, self.rows, most = int((holders > 1).sum()), len(sets), 3 * len(sets)
+        # One row for each set and node, one column for each shared place and each node.
+        holds = np.zeros((len(sets) + most, self.leaves + most), np.float32)
+        for row, own in enumerate(sets):
+            holds[row, self.cell[own[holders[own] > 1]]] = 1
+        rows, columns = len(sets), self.leaves
+        common = holds[:, :columns] @ holds[:, :columns].T
+        np.fill_diagonal(common, 0)
         while rows < len(holds):
-            best = int(common[:rows, :rows].argmax())
-            a, b = divmod(best, rows)
+            a, b = divmod(int(common[:rows, :rows].argmax()), rows)
             if common[a, b] < 2:
                 break
-            part = holds[a] & holds[b]
-            whole = np.flatnonzero((holds[:rows] & part).sum(1) == part.sum())
-            holds[whole] &= ~part
-            holds[whole, columns] = True
-            holds[rows] = part
+            part = np.flatnonzero(holds[a] * holds[b])
+            whole = np.flatnonzero(holds[:rows, part].sum(1) == len(part))
+            holds[np.ix_(whole, part)] = 0
+            holds[whole, columns] = 1
+            holds[rows, part] = 1
             rows, columns = rows + 1, columns + 1
-            self._count(holds, common, np.append(whole, rows - 1), rows)
-        place = np.concatenate([used, size + np.arange(most)])
-        found = [place[np.flatnonzero(own)] for own in holds[:rows]]
+            changed = np.append(whole, rows - 1)
+            counts = holds[changed, :columns] @ holds[:rows, :columns].T
+            common[changed, :rows], common[:rows, changed] = counts, counts.T
+            common[changed, changed] = 0
+        found = [np.flatnonzero(own) for own in holds[:rows]]
         self.sums = found[:len(sets)]
-        # A node holds nodes that were mined after it, so the last comes first.
-        self.nodes = [(size + k, found[len(sets) + k]) for k in reversed(range(rows - len(sets)))]
-
-    @staticmethod
-    def _count(holds: np.ndarray, common: np.ndarray, changed: np.ndarray, rows: int) -> None:
-        """Places that each of the changed rows has in common with every other row."""
-        counts = holds[changed].astype(np.float32) @ holds[:rows].astype(np.float32).T
-        common[changed, :rows] = counts
-        common[:rows, changed] = counts.T
-        common[changed, changed] = 0
+        self.nodes = self._in_order(found[len(sets):])
+
+    def _in_order(self, below: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+        """Nodes with those that they hold before them."""
+        done, out = set(), []
+        for first in range(len(below)):
+            trail = [first]
+            while trail:
+                open_ = [c - self.leaves for c in below[trail[-1]].tolist() if c >= self.leaves and c - self.leaves not in done]
+                if open_:
+                    trail += open_
+                    continue
+                node = trail.pop()
+                if node not in done:
+                    done.add(node)
+                    out.append((self.leaves + node, below[node]))
+        return out
 
     @property
     def additions(self) -> int:
-        return sum(len(own) - 1 for own in [*self.sums, *(below for _, below in self.nodes)] if len(own))
+        return sum(max(0, len(own) - 1) for own in [*self.sums, *(below for _, below in self.nodes)])
 
     def scores(self, at: np.ndarray, column: np.ndarray, values: np.ndarray, documents: int) -> np.ndarray:
         """Sums of all sets for each document, from contributions ``values`` at (place, document)."""
-        cells = np.zeros((self.size + len(self.nodes), documents), np.int64)
-        cells[at, column] = values
+        cells = np.zeros((self.leaves + len(self.nodes), documents), np.int64)
+        out = np.zeros((self.rows, documents), np.int64)
+        owner = self.owner[at]
+        own, many = owner >= 0, owner < 0
+        np.add.at(out, (owner[own], column[own]), values[own])
+        cells[self.cell[at[many]], column[many]] = values[many]
         for node, below in self.nodes:
             cells[node] = cells[below].sum(0)
-        out = np.zeros((len(self.sums), documents), np.int64)
-        for row, own in enumerate(self.sums):
-            out[row] = cells[own].sum(0)
+        for row, held in enumerate(self.sums):
+            if len(held):
+                out[row] += cells[held].sum(0)
         return out
 
 
@@ -233,12 +249,11 @@ class _Best:
 def _scored(counted: DataFrame, block: Block, k: int) -> DataFrame:
     """``item`` (its place in the block), ``doc_id, score, part``: the best rows of each task."""
     documents, every, weights = _weights(counted, len(block.number))
-    groups = counted.sparkSession.sparkContext.broadcast(block.groups)
-    n_items = len(block.items)
+    groups, n_items = block.groups, len(block.items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, part = _Best(n_items, k), TaskContext.get().partitionId() % TASK_GROUPS
-        widest = max(shared.size + len(shared.nodes) + len(shared.sums) for _, shared in groups.value)
+        widest = max(shared.leaves + len(shared.nodes) + shared.rows for _, shared in groups)
         at_once = max(16, CELLS // widest)
         for whole in batches:
             for start in range(0, whole.num_rows, at_once):
@@ -250,12 +265,12 @@ def _scored(counted: DataFrame, block: Block, k: int) -> DataFrame:
                 length = _lengths(batch.column("n").to_numpy(zero_copy_only=False), documents, every)[column]
                 value = weights[place] * ((1_000_000_000 * tf) // (1000 * tf + 20 * length))
                 first = 0
-                for used, shared in groups.value:
+                for used, shared in groups:
                     own = np.minimum(np.searchsorted(used, place), len(used) - 1)
                     here = used[own] == place
                     best.offer(shared.scores(own[here], column[here], value[here], batch.num_rows),
                                batch.column("doc_id"), first)
-                    first += len(shared.sums)
+                    first += shared.rows
         rows = best.fold()
         if rows is not None:
             rows = rows.append_column("part", pa.array(np.full(len(rows), part), pa.int32()))

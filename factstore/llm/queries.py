@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from factstore.llm import (automaton, decontaminate, fingerprints, langid, lexical_ranking, sharding, simhash, token_counts,
-                           token_files, toxicity, url_filters, warc)
+from factstore.llm import (automaton, decontaminate, dialogue, fingerprints, langid, lexical_ranking, sharding, simhash,
+                           token_counts, token_files, toxicity, url_filters, warc)
 from factstore.llm.common import table
 from factstore.session import shared_folder
 
@@ -72,13 +72,17 @@ def op11_url_filters(spark, sf_dir) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_dialogue_repair(spark, sf_dir) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_lexical_ranking(spark, sf_dir) -> DataFrame:
     return lexical_ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_simhash, op3_decontaminate, op4_token_counts, op5_language, op6_token_files,
                                    op7_revisits, op8_toxicity, op9_shards, op10_fingerprints, op11_url_filters,
-                                   op13_lexical_ranking)}
+                                   op12_dialogue_repair, op13_lexical_ranking)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -88,6 +92,38 @@ _TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+_CRC = ("xor(list_reduce(list_transform(string_split({x}, ''), lambda ch: ascii(ch)::BIGINT), "
+        "lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)")
+_CALLS = _CRC.format(x="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+
+
+def _option(condition: str, cost: str, letters: str, behind: str, lines: str) -> str:
+    """A way to go on from a state: its cost, audit and text, or one that is never the cheapest."""
+    return (f"CASE WHEN {condition} THEN {{'c': {behind}.c + {cost}, 'a': '{letters}' || {behind}.a, 'b': {lines} || {behind}.b}} "
+            "ELSE {'c': 1000000000, 'a': '', 'b': ''} END")
+
+
+def _cheapest(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+_LINE, _USER, _ASSISTANT = "chr(10) || role || ':' || text", "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+
+def _edited(state: str, kept: list[tuple[str, str]], name: str, to: str) -> str:
+    return _cheapest(_option("true", "3", "D", state, "''"),
+                     *[_option(f"live AND initial = '{i}'", "late", "K", t, _LINE) for i, t in kept],
+                     _option("live", "2 + late", "R", to, f"{name} || text"))
+
+
+_EDITED = ", ".join(f"{edited} AS e{state}" for state, edited in (
+    ("z", _edited("z", [("s", "s"), ("u", "u")], _USER, "u")), ("s", _edited("s", [("u", "u")], _USER, "u")),
+    ("u", _edited("u", [("a", "a")], _ASSISTANT, "a")), ("a", _edited("a", [("u", "u")], _USER, "u"))))
+_INSERTED = ", ".join(f"{_cheapest(*ways)} AS {state}" for state, ways in (
+    ("z", ["ez", _option("true", "2", "I", "eu", _USER), _option("true", "4", "II", "ea", f"{_USER} || {_ASSISTANT}")]),
+    ("s", ["es", _option("true", "2", "I", "eu", _USER), _option("true", "4", "II", "ea", f"{_USER} || {_ASSISTANT}")]),
+    ("u", ["eu", _option("true", "2", "I", "ea", _ASSISTANT)]), ("a", ["ea", _option("true", "2", "I", "eu", _USER)])))
+
 ORACLES = {
     "op3_decontaminate": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -147,4 +183,31 @@ ORACLES = {
               FROM q JOIN p USING (term) JOIN f USING (term) JOIN o USING (r), g GROUP BY item_id, r, doc_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50""",
+    "op12_dialogue_repair": f"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+                               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+        m AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS k, conv_id, turn, coalesce(role, ' ') AS role,
+                     coalesce(text, ' ') AS text, {_CALLS} % 20 AS h FROM conversations, t),
+        g AS (SELECT k, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                     CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM m),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM g),
+        f AS (SELECT *, CASE WHEN regexp_full_match(text, '[\x20\x09-\x0D]*') THEN 'b'
+                             WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'd'
+                             WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault,
+                     lag(initial) OVER (PARTITION BY k ORDER BY i) || initial AS pair FROM o),
+        x AS (SELECT *, fault IN ('t', '-') AS live, (fault = 't')::INTEGER AS late FROM f),
+        n AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                     count(*) FILTER (fault = 't') AS truncated,
+                     count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY k),
+        v AS (SELECT k, n + 1 AS i, {{'c': 0, 'a': '', 'b': ''}} AS z, {{'c': 4, 'a': 'II', 'b': {_USER} || {_ASSISTANT}}} AS s,
+                     {{'c': 2, 'a': 'I', 'b': {_ASSISTANT}}} AS u, {{'c': 0, 'a': '', 'b': ''}} AS a FROM n
+              UNION ALL
+              SELECT k, i, {_INSERTED}
+              FROM (SELECT v.k, x.i, {_EDITED} FROM v JOIN x ON v.k = x.k AND x.i = v.i - 1))
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.c, 0)::BIGINT AS cost,
+               coalesce(z.a, '') AS audit, sha256(substr(coalesce(z.b, ''), 2)) AS repaired_sha256
+        FROM (SELECT DISTINCT k, conv_id FROM m) LEFT JOIN n USING (k) LEFT JOIN (SELECT * FROM v WHERE i = 1) USING (k)""",
 }

@@ -59,61 +59,58 @@ def _clean(rules: DataFrame) -> DataFrame:
             .agg(F.max("verdict").alias("verdict")))
 
 
-class _Paths:
-    """Where rules of one host may stand: on whole segments, or inside the next one."""
-
-    __slots__ = ("rule", "segments", "inside")
-
-    def __init__(self):
-        self.rule, self.segments, self.inside = None, {}, {}
+class Trie:
+    """Plain lists and dictionaries, so that tasks need no code to read them.
 
+    A host node is ``[below by label, paths or None]``; a path node is ``[rule or None, below by
+    segment, rules that end inside the next segment by length and text]``.
+    """
 
-class Trie:
     def __init__(self, rules: list[tuple[str, str, str]]):
         # A rule's place in this order is its precedence.
         self.rules = sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]), r))
-        self.root = ({}, None)
+        self.root: list = [{}, None]
         for rank, (host, path, _) in enumerate(self.rules):
-            labels, node = host.split(".")[::-1], self.root
-            for label in labels[:-1]:
-                node = node[0].setdefault(label, ({}, None))
-            children, _ = node
-            below, paths = children.get(labels[-1], ({}, None))
-            paths = paths or _Paths()
-            children[labels[-1]] = (below, paths)
-            segments = _SEGMENT.findall(path)
+            node = self.root
+            for label in reversed(host.split(".")):
+                node = node[0].setdefault(label, [{}, None])
+            if node[1] is None:
+                node[1] = [None, {}, {}]
+            paths, segments = node[1], _SEGMENT.findall(path)
             for segment in segments:
-                paths = paths.segments.setdefault(segment, _Paths())
+                paths = paths[1].setdefault(segment, [None, {}, {}])
             rest = path[sum(map(len, segments)):]
             if rest:
-                paths.inside.setdefault(len(rest), {})[rest] = rank
+                paths[2].setdefault(len(rest), {})[rest] = rank
             else:
-                paths.rule = rank
-
-    def longest(self, host: str, path: str) -> int:
-        """The place of the rule that wins, or -1."""
-        best, segments, node = -1, None, self.root
-        for label in reversed(host.split(".")):
-            node = node[0].get(label)
-            if node is None:
-                break
-            paths = node[1]
+                paths[0] = rank
+
+
+def longest(root: list, host: str, path: str) -> int:
+    """The place of the rule that wins, or -1."""
+    best, segments, node = -1, None, root
+    for label in reversed(host.split(".")):
+        node = node[0].get(label)
+        if node is None:
+            break
+        paths = node[1]
+        if paths is None:
+            continue
+        if segments is None:
+            segments = _SEGMENT.findall(path)
+            segments.append(path[sum(map(len, segments)):])
+        for segment in segments:
+            rule, below, inside = paths
+            if rule is not None and rule > best:
+                best = rule
+            for size, found in inside.items():
+                rank = found.get(segment[:size])
+                if rank is not None and rank > best:
+                    best = rank
+            paths = below.get(segment)
             if paths is None:
-                continue
-            if segments is None:
-                segments = _SEGMENT.findall(path)
-                segments.append(path[sum(map(len, segments)):])
-            for segment in segments:
-                if paths.rule is not None and paths.rule > best:
-                    best = paths.rule
-                for size, found in paths.inside.items():
-                    rank = found.get(segment[:size])
-                    if rank is not None and rank > best:
-                        best = rank
-                paths = paths.segments.get(segment)
-                if paths is None:
-                    break
-        return best
+                break
+    return best
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, rule_bytes: int = RULE_BYTES) -> DataFrame:
@@ -126,14 +123,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, rule_bytes:
     size = listed.agg(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + 16)).first()[0] or 0
     if size > rule_bytes:
         return _judge_by_joins(parts, listed, default)
-    trie = pages.sparkSession.sparkContext.broadcast(Trie([tuple(r) for r in listed.collect()]))
+    trie = Trie([tuple(r) for r in listed.collect()])
+    shared = pages.sparkSession.sparkContext.broadcast((trie.rules, trie.root))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest, every = trie.value.longest, trie.value.rules
+        every, root = shared.value
         names = [host + path for host, path, _ in every] + [None]
         verdicts = [verdict for _, _, verdict in every] + [default]
         for batch in batches:
-            found = list(map(longest, batch.column("host").to_pylist(), batch.column("path").to_pylist()))
+            found = [longest(root, h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
             yield pa.record_batch([*batch.columns, pa.array([names[i] for i in found], pa.string()),
                                    pa.array([verdicts[i] for i in found], pa.string())],
                                   ["page_id", "host", "path", "rule", "verdict"])
