@@ -77,7 +77,7 @@ class Shared:
         self.owner = np.full(size, -1)
         for row, own in enumerate(sets):
             self.owner[own[holders[own] == 1]] = row
-        self.cell = np.cumsum(holders > 1) - 1
+        self.cell = np.where(holders > 1, np.cumsum(holders > 1) - 1, -1)
         self.leaves, self.rows, most = int((holders > 1).sum()), len(sets), 3 * len(sets)
         # One row for each set and node, one column for each shared place and each node.
         holds = np.zeros((len(sets) + most, self.leaves + most), np.float32)
@@ -128,10 +128,10 @@ class Shared:
         """Sums of all sets for each document, from contributions ``values`` at (place, document)."""
         cells = np.zeros((self.leaves + len(self.nodes), documents), np.int64)
         out = np.zeros((self.rows, documents), np.int64)
-        owner = self.owner[at]
-        own, many = owner >= 0, owner < 0
+        owner, cell = self.owner[at], self.cell[at]
+        own, many = owner >= 0, cell >= 0
         np.add.at(out, (owner[own], column[own]), values[own])
-        cells[self.cell[at[many]], column[many]] = values[many]
+        cells[cell[many], column[many]] = values[many]
         for node, below in self.nodes:
             cells[node] = cells[below].sum(0)
         for row, held in enumerate(self.sums):
