@@ -1,4 +1,4 @@
-"""Namespace-scoped vector search: exact, approximate, and near-duplicate checks.
+"""Namespace-scoped vector search and near-duplicate checks; ``vector_index`` searches a stored index.
 
 The store is scored where it lies. Each task turns its Arrow batches into matrices,
 multiplies them with the query matrix of the same namespace and keeps only its best
@@ -9,18 +9,17 @@ sets too large to send to every task are met block by block instead.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from factstore.operators.cells import ROWS_PER_CELL, cells_for, fit, meeting, unit_rows
 from factstore.operators.records import score_floor, with_scores
 from factstore.operators.sizing import (
     MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, block_counts, block_of, broadcast_if_small, is_small, spread)
 from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
-from factstore.session import shared_folder
 
 ROWS_PER_BLOCK = 20_000
 QUERIES_PER_PRODUCT = 512
@@ -28,55 +27,6 @@ MAX_PUSHED_NAMESPACES = 200
 # Equal vectors must get equal scores wherever they sit in a matrix, so that ties
 # go by id and results do not depend on how the table is partitioned.
 SCORE_DIGITS = 12
-#: Signatures stand for the exact comparison only where a pair shares one with this chance.
-RECALL = 0.99
-
-
-@dataclass(frozen=True)
-class Buckets:
-    """Random-hyperplane signatures: ``tables`` numbers of ``bits`` bits each.
-
-    Vectors at a small angle share a signature in at least one table with high
-    probability; only such pairs are compared. For cosines below ``surest`` that
-    chance is under ``RECALL``, and the callers compare exactly.
-    """
-    tables: int = 8
-    bits: int = 6
-    seed: int = 17
-
-    def signatures(self, vectors: np.ndarray) -> np.ndarray:
-        planes = np.random.default_rng(self.seed).standard_normal((vectors.shape[1], self.tables * self.bits))
-        signs = (vectors @ planes > 0).reshape(len(vectors), self.tables, self.bits)
-        return signs @ (1 << np.arange(self.bits, dtype=np.int64))
-
-    def recall(self, cosine: float) -> float:
-        """The chance that two vectors of this cosine share a signature."""
-        return 1 - (1 - (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** self.bits) ** self.tables
-
-    @property
-    def surest(self) -> float:
-        """The smallest cosine whose recall is at least ``RECALL``."""
-        same = 1 - (1 - RECALL) ** (1 / self.tables)
-        return float(np.cos(np.pi * (1 - same ** (1 / self.bits))))
-
-
-def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Unit vectors (double) with the positions of their rows, once per vector size.
-
-    Rows without a vector or with a zero vector are left out: there is nothing to
-    score them with.
-    """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    for size in np.unique(sizes[sizes > 0]):
-        rows = np.flatnonzero(sizes == size)
-        flat = (column if len(rows) == len(column) else column.take(pa.array(rows))).flatten()
-        matrix = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
-        lengths = np.linalg.norm(matrix, axis=1)
-        good = lengths > 0
-        if good.any():
-            yield matrix[good] / lengths[good, None], rows[good]
 
 
 class _Best:
@@ -112,29 +62,20 @@ class _Best:
             names=["query_id", "id", "score"])
 
 
-def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
-                buckets: Buckets | None) -> None:
-    """Offer every (query, row) pair, or with ``buckets`` every pair sharing a signature."""
+def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    """Offer every (query, row) pair."""
     if vectors.shape[1] != query_vectors.shape[1]:
         return
-    row_signatures = buckets.signatures(vectors) if buckets else None
     for start in range(0, len(query_ids), QUERIES_PER_PRODUCT):
         part = query_vectors[start:start + QUERIES_PER_PRODUCT]
-        if buckets is None:
-            scores = np.round(vectors @ part.T, SCORE_DIGITS)
-            tops = scores.max(axis=0)
-            for j in range(len(part)):
-                query = query_ids[start + j]
-                floor = best.floor(query)
-                if tops[j] >= floor:
-                    near = np.flatnonzero(scores[:, j] >= floor)
-                    best.offer(query, scores[near, j], ids[near])
-        else:
-            shared = (row_signatures[:, None, :] == buckets.signatures(part)[None, :, :]).any(axis=2)
-            for j in range(len(part)):
-                near = np.flatnonzero(shared[:, j])
-                if len(near):
-                    best.offer(query_ids[start + j], np.round(vectors[near] @ part[j], SCORE_DIGITS), ids[near])
+        scores = np.round(vectors @ part.T, SCORE_DIGITS)
+        tops = scores.max(axis=0)
+        for j in range(len(part)):
+            query = query_ids[start + j]
+            floor = best.floor(query)
+            if tops[j] >= floor:
+                near = np.flatnonzero(scores[:, j] >= floor)
+                best.offer(query, scores[near, j], ids[near])
 
 
 def _values(column) -> np.ndarray:
@@ -146,8 +87,7 @@ def _values(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType, k: int,
-                       buckets: Buckets | None) -> DataFrame:
+def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType, k: int) -> DataFrame:
     """Queries ``(query_id, user_id, embedding)`` sent to every task; the store is not shuffled."""
     query_ids, owners, embeddings = (asked.column(i).combine_chunks() for i in range(3))
     rows_of: dict = {}
@@ -175,7 +115,7 @@ def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType
                 ids = _values(inside.column(1))
                 for vectors, at in unit_rows(inside.column(2)):
                     for query_ids, query_vectors in shared.value[user]:
-                        _score_into(best, query_ids, query_vectors, ids[at], vectors, buckets)
+                        _score_into(best, query_ids, query_vectors, ids[at], vectors)
             types = batch.column(1).type
         if types is not None and best.scores:
             yield best.table(query_arrow, types)
@@ -187,8 +127,7 @@ def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType
     return scanned.mapInArrow(score, out)
 
 
-def _search_by_block(store: DataFrame, queries: DataFrame, k: int, buckets: Buckets | None,
-                     rows_per_block: int) -> DataFrame:
+def _search_by_block(store: DataFrame, queries: DataFrame, k: int, rows_per_block: int) -> DataFrame:
     """Every block of a namespace's rows meets every block of its queries.
 
     A namespace is cut into as many blocks as its size asks for, so a namespace with
@@ -215,7 +154,7 @@ def _search_by_block(store: DataFrame, queries: DataFrame, k: int, buckets: Buck
             asked_vectors = list(unit_rows(left["embedding"]))
             for vectors, at in unit_rows(right["embedding"]):
                 for query_vectors, asked_at in asked_vectors:
-                    _score_into(best, query_ids[asked_at].tolist(), query_vectors, ids[at], vectors, buckets)
+                    _score_into(best, query_ids[asked_at].tolist(), query_vectors, ids[at], vectors)
         return pa.Table.from_batches([best.table(left["query_id"].type, right["id"].type)])
 
     # Fresh column identities, as queries are often derived from the store itself.
@@ -231,27 +170,27 @@ def rank_hits(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search_batch(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, min_score: float | None = 0.0,
-                 include_scores: bool = True, buckets: Buckets | None = None,
-                 max_query_bytes: int = MAX_BROADCAST_BYTES, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 include_scores: bool = True, max_query_bytes: int = MAX_BROADCAST_BYTES,
+                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``(query_id, rank, id, score)`` for many queries ``(query_id, user_id, embedding)``.
 
     The floor applies after the limit, so fewer than ``k`` rows may come back.
     """
     small = queries.select("query_id", "user_id", "embedding")
     if is_small(small, max_query_bytes):
-        scored = _search_everywhere(store, small.toArrow().combine_chunks(), small.schema["query_id"].dataType, k, buckets)
+        scored = _search_everywhere(store, small.toArrow().combine_chunks(), small.schema["query_id"].dataType, k)
     else:
-        scored = _search_by_block(store, small, k, buckets, rows_per_block)
+        scored = _search_by_block(store, small, k, rows_per_block)
     hits = score_floor(rank_hits(scored, k), min_score).select("query_id", "rank", "id", "score")
     return with_scores(hits, include_scores)
 
 
 def search(store: DataFrame, query_vector: list[float], user_id: str, limit: int = SEARCH_LIMIT,
-           min_score: float | None = 0.0, include_scores: bool = True, buckets: Buckets | None = None) -> DataFrame:
+           min_score: float | None = 0.0, include_scores: bool = True) -> DataFrame:
     """One query against one namespace; the records themselves are joined back on."""
     asked = pa.table({"query_id": pa.array([0], pa.int64()), "user_id": [user_id],
                       "embedding": pa.array([[float(x) for x in query_vector]], pa.list_(pa.float64()))})
-    scored = _search_everywhere(store, asked, T.LongType(), limit, buckets)
+    scored = _search_everywhere(store, asked, T.LongType(), limit)
     # Each task sends its best rows, and the sort with a limit keeps the best of those.
     best = scored.orderBy(F.desc_nulls_last("score"), "id").limit(limit)
     hits = score_floor(rank_hits(best, limit), min_score).select("rank", "id", "score")
@@ -290,27 +229,7 @@ def search_text(store: DataFrame, queries: DataFrame, encode, k: int = SEARCH_LI
     return search_batch(store, encode(queries), k, min_score, include_scores)
 
 
-def search_approx(store: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, buckets: Buckets = Buckets(),
-                  min_score: float | None = 0.0, include_scores: bool = True, **options) -> DataFrame:
-    """Top-k among the rows sharing a signature with the query, scored exactly.
-
-    A query is settled when its ``k``-th hit, or the floor, is at a cosine from which
-    signatures find what there is. All others are asked again of every row.
-    """
-    if min_score and min_score >= buckets.surest:
-        return search_batch(store, queries, k, min_score, include_scores, buckets, **options)
-    found = search_batch(store, queries, k, None, True, buckets, **options)
-    place = shared_folder(store.sparkSession, "signature-hits")
-    found.write.parquet(place)
-    found = store.sparkSession.read.schema(found.schema).parquet(place)
-    settled = (found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"))
-               .where((F.col("n") == k) & (F.col("lowest") >= buckets.surest)).select("query_id"))
-    again = search_batch(store, queries.join(settled, "query_id", "left_anti"), k, None, True, **options)
-    hits = score_floor(found.join(settled, "query_id", "left_semi").unionByName(again), min_score)
-    return with_scores(hits, include_scores)
-
-
-def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets: Buckets | None = None,
+def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_cell: int = ROWS_PER_CELL,
                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Records that resemble an earlier one: ``(user_id, id, match_id, score)``.
 
@@ -320,12 +239,10 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
 
     Equal vectors are folded into their first record before anything is compared:
     its copies match it with score one and it answers for them towards later rows.
-    A namespace (or with ``buckets`` a signature) larger than a block is cut into
-    blocks and every two of them meet in a group of their own. ``buckets`` that would
-    lose pairs at the threshold (``Buckets.surest``) are left aside: all pairs are compared.
+    The rest is compared cell by cell: ``meeting`` sends each row to the pivots that the
+    threshold's angle allows, and each pair to one of them. A cell larger than a block is
+    cut into blocks and every two of them meet in a group of their own.
     """
-    if buckets is not None and threshold < buckets.surest:
-        buckets = None
     same = ["user_id", "_same"]
     # Two 64-bit hashes of the vector stand for it, so that ids alone are grouped.
     rows = (df.select("user_id", "id", "embedding")
@@ -339,22 +256,19 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, buckets:
     copies = (rows.drop("embedding").join(repeated, same).where(F.col("id") > F.col("first_id"))
               .select("user_id", "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score")))
 
-    if buckets is None:
-        keys, grouped = ["user_id"], singles
-    else:
-        keys = ["user_id", "table", "signature"]
-        grouped = _with_signatures(singles, buckets)
+    keys = ["user_id", "cell"]
+    pivots = fit(singles, cells_for(df.count(), rows_per_cell))
+    grouped = meeting(singles, pivots, threshold)
     id_field = singles.schema["id"]
     out = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("id", id_field.dataType),
                         T.StructField("match_id", id_field.dataType), T.StructField("score", T.DoubleType())])
-    # Blocks of a namespace are counted on the stored rows, copies included, without their vectors.
-    counts = block_counts(df if buckets is None else grouped, keys, rows_per_block, "blocks")
+    counts = block_counts(grouped, keys, rows_per_block, "blocks")
     placed = spread(grouped, counts, keys, "blocks").withColumn("block", block_of("id", "blocks"))
     # A row of block b visits cell (min(b, j), max(b, j)) for every block j.
     cells = placed.select(
-        *keys, "id", "embedding", "block",
+        *keys, "id", "embedding", "home", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(*keys, "id", "embedding", "block",
+    cells = cells.select(*keys, "id", "embedding", "home", "block",
                          F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     cell = [*keys, "low", "high"]
@@ -393,9 +307,24 @@ def _runs(table: pa.Table, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+class _Earlier:
+    """The best match of each row of a cell, in the order of ids."""
+
+    def __init__(self, rows: int):
+        self.scores, self.at = np.full(rows, -np.inf), np.zeros(rows, np.int64)
+
+    def offer(self, rows: np.ndarray, others: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` of each row with each of ``others``, which ascend; what may not match is -inf."""
+        top = scores.argmax(axis=1)  # the first of equal scores is the smaller id
+        score, other = scores[np.arange(len(rows)), top], others[top]
+        better = (score > self.scores[rows]) | (score == self.scores[rows]) & (other < self.at[rows])
+        self.scores[rows[better]], self.at[rows[better]] = score[better], other[better]
+
+
 def _best_earlier(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.Table:
-    """Each row's best match among the smaller ids of its cell, if close enough."""
+    """Each row's best match among the smaller ids that it meets in its cell, if close enough."""
     users, all_ids, blocks = table["user_id"], _values(table["id"]), _values(table["block"])
+    at_home = table["home"].combine_chunks().to_numpy(zero_copy_only=False)
     crossing = _values(table["low"]) != _values(table["high"])
     rows, earlier, best = [], [], []
     for all_vectors, at in unit_rows(table["embedding"]):
@@ -406,43 +335,27 @@ def _best_earlier(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
             order = np.argsort(all_ids[at[inside]], kind="stable")
             place = at[inside][order]
             vectors, ids, block = all_vectors[inside][order], all_ids[place], blocks[place]
-            for start in range(0, len(ids), QUERIES_PER_PRODUCT):
-                stop = min(start + QUERIES_PER_PRODUCT, len(ids))
-                scores = np.round(vectors[start:stop] @ vectors[:stop].T, SCORE_DIGITS)
-                allowed = np.arange(stop)[None, :] < np.arange(start, stop)[:, None]
-                if crossing[place[0]]:
-                    # Pairs within one block belong to that block's own cell.
-                    allowed &= block[start:stop, None] != block[None, :stop]
-                scores = np.where(allowed, scores, -np.inf)
-                # The first of equal scores is the smaller id.
-                top_at = scores.argmax(axis=1)
-                top = scores[np.arange(stop - start), top_at]
-                near = np.flatnonzero(top >= threshold)
-                rows += place[start + near].tolist()
-                earlier += ids[top_at[near]].tolist()
-                best += top[near].tolist()
+            homes, guests = np.flatnonzero(at_home[place]), np.flatnonzero(~at_home[place])
+            found = _Earlier(len(place))
+            # Those at home meet each other; guests meet them, and either may be the earlier one.
+            for asking, both in ((homes, False), (guests, True)):
+                for start in range(0, len(asking), QUERIES_PER_PRODUCT):
+                    some = asking[start:start + QUERIES_PER_PRODUCT]
+                    others = homes if both else homes[:start + len(some)]
+                    if not len(others):
+                        continue
+                    scores = np.round(vectors[some] @ vectors[others].T, SCORE_DIGITS)
+                    if crossing[place[0]]:
+                        # Pairs within one block belong to that block's own cell.
+                        scores[block[some, None] == block[None, others]] = -np.inf
+                    before = others[None, :] < some[:, None]
+                    found.offer(some, others, np.where(before, scores, -np.inf))
+                    if both:
+                        found.offer(others, some, np.where(before, -np.inf, scores).T)
+            near = np.flatnonzero(found.scores >= threshold)
+            rows += place[near].tolist()
+            earlier += ids[found.at[near]].tolist()
+            best += found.scores[near].tolist()
     picked = pa.array(rows, pa.int64())
     return pa.table({"user_id": users.take(picked), "id": table["id"].take(picked),
                      "match_id": pa.array(earlier, table["id"].type), "score": pa.array(best, pa.float64())})
-
-
-def _with_signatures(df: DataFrame, buckets: Buckets) -> DataFrame:
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def sign(column: pa.Array) -> pa.Array:
-        # Rows without a usable vector get an empty list.
-        places, signed = [], []
-        for vectors, at in unit_rows(column):
-            places.append(at)
-            signed.append(buckets.signatures(vectors))
-        width = signed[0].shape[1] if signed else 0
-        sizes = np.zeros(len(column), np.int32)
-        for at in places:
-            sizes[at] = width
-        order = np.argsort(np.concatenate(places), kind="stable") if places else []
-        values = np.concatenate(signed)[order].ravel() if signed else np.zeros(0, np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int64)))
-
-    return (df.withColumn("_signatures", sign("embedding"))
-            .select(*df.columns, F.posexplode_outer("_signatures").alias("table", "signature"))
-            .where(F.col("signature").isNotNull()))

@@ -10,7 +10,7 @@ from factstore.functions.dates import parse_created_at
 from factstore.functions.numbers import float_or, int_or
 from factstore.functions.text import canonical_model, dedup_key, py_strip
 from factstore.functions.vectors import cosine
-from factstore.operators import audit, chunks, dedup, embed, lexical, mutate, records, search, validate
+from factstore.operators import audit, chunks, dedup, embed, lexical, mutate, records, search, validate, vector_index
 from factstore.plans import inputs
 from factstore.plans.inputs import AS_OF
 from factstore.session import shared_folder
@@ -21,7 +21,7 @@ from factstore.streaming import ingest
 DUPLICATE_THRESHOLD = 0.3
 CHUNK_LIMIT = 500
 MESSAGES_PER_FILE = 500
-BUCKETS = search.Buckets(tables=10, bits=4)
+ROWS_PER_CELL = 50
 
 
 def _score(df: DataFrame) -> DataFrame:
@@ -68,7 +68,11 @@ def search_batch_blocks(spark, sf_dir):
 
 
 def search_approx(spark, sf_dir):
-    return _score(search.search_approx(inputs.vectors(spark, sf_dir), inputs.centroids(spark, sf_dir), 10, BUCKETS))
+    """Every record whose id is divisible by 50 is a query, asked of a stored index by cells."""
+    store, place = inputs.vectors(spark, sf_dir), shared_folder(spark, "vector-index")
+    vector_index.write_index(store, place, ROWS_PER_CELL)
+    queries = store.where(F.col("id") % 50 == 0).withColumnRenamed("id", "query_id")
+    return _score(vector_index.search_index(spark, place, queries, 10))
 
 
 def search_text(spark, sf_dir):
@@ -98,7 +102,8 @@ def near_duplicates_blocks(spark, sf_dir):
 
 
 def near_duplicates_bucketed(spark, sf_dir):
-    found = search.near_duplicates(inputs.vectors(spark, sf_dir), DUPLICATE_THRESHOLD, BUCKETS)
+    """The same check among many cells, each cut into blocks."""
+    found = search.near_duplicates(inputs.vectors(spark, sf_dir), DUPLICATE_THRESHOLD, ROWS_PER_CELL, rows_per_block=50)
     return found.withColumn("score", F.round("score", 4))
 
 

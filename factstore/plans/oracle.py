@@ -226,6 +226,13 @@ WHERE rank <= 5""",
 SELECT id, round(list_cosine_similarity(v, q), 4) AS score FROM vec JOIN center USING (user_id)""",
     "near_duplicates": _PAIRS,
     "near_duplicates_blocks": _PAIRS,
+    "near_duplicates_bucketed": _PAIRS,
+    "search_approx": f"""WITH {_VEC}
+SELECT query_id, rank, id, round(s, 4) AS score FROM (
+  SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank
+  FROM (SELECT a.id AS query_id, b.id AS id, round(list_cosine_similarity(a.v, b.v), 12) AS s
+        FROM vec a JOIN vec b USING (user_id) WHERE a.id % 50 = 0))
+WHERE rank <= 10""",
     "bm25_scores": _BM25,
     "embed_encoder": """SELECT 'doc-' || doc_id AS id, length(text) AS chars,
   length(text) - length(replace(text, ' ', '')) AS blanks, length(text) - length(replace(text, 'e', '')) AS letters_e,

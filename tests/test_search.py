@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factstore.operators import embed, lexical, search
+from factstore.operators import cells, embed, lexical, search, vector_index
 from factstore.plans import catalog, inputs
 
 RNG = np.random.default_rng(5)
@@ -74,19 +74,59 @@ def test_single_search_orders_floors_and_strips(spark):
     assert search.search(store, [1.0, 0.0], "nobody").count() == 0
 
 
-def test_approximate_search_recalls_close_rows(spark):
-    dims = 16
-    centers = [RNG.standard_normal(dims) for _ in range(6)]
-    rows = [(i, "u", [float(x) for x in centers[i % 6] + 0.05 * RNG.standard_normal(dims)]) for i in range(600)]
-    store = spark.createDataFrame(rows, "id long, user_id string, embedding array<float>")
-    queries = [(q, "u", [float(x) for x in c]) for q, c in enumerate(centers)]
+def clustered(rng, centers, rows, dims, spread, user="u"):
+    middle = [rng.standard_normal(dims) for _ in range(centers)]
+    return middle, [(i, user, [float(x) for x in middle[i % centers] + spread * rng.standard_normal(dims)]) for i in range(rows)]
+
+
+def opened_share(path, opened):
+    """Part of the index's files that lie in cells which were opened."""
+    files = {}
+    for folder, _, names in os.walk(f"{path}/rows"):
+        for name in names:
+            if name.endswith(".parquet"):
+                files.setdefault(int(folder.rsplit("=", 1)[1]), []).append(name)
+    return sum(len(files[c]) for c in set().union(*opened)) / sum(map(len, files.values()))
+
+
+def test_index_search_is_exact_and_opens_few_cells(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    middle, rows = clustered(rng, 20, 2000, 16, 0.05)
+    store = spark.createDataFrame(rows, "id long, user_id string, embedding array<float>").repartition(6)
+    vector_index.write_index(store, str(tmp_path / "index"), 50)
+    asked = spark.createDataFrame([(q, "u", [float(x) for x in c]) for q, c in enumerate(middle[:4])] +
+                                  [(99, "nobody", [1.0] * 16)], "query_id long, user_id string, embedding array<float>")
+    opened = []
+    found = vector_index.search_index(spark, str(tmp_path / "index"), asked, 10, opened=opened)
+    assert hits_of(found) == hits_of(search.search_batch(store, asked, 10))
+    assert 0 < opened_share(tmp_path / "index", opened) < 0.5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" in plan and "isnotnull" in plan.lower() or "IN (" in plan or "In " in plan
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+@pytest.mark.parametrize("options", [{}, {"max_query_bytes": 2000}, {"min_score": 0.4}])
+def test_index_search_equals_brute_force(spark, tmp_path, text_ids, options):
+    """Random vectors, copies, other sizes, zero and null vectors, several namespaces."""
+    store, rows = make_store(spark, text_ids=text_ids)
+    vector_index.write_index(store, str(tmp_path / "index"), 40)
+    rng = np.random.default_rng(3)
+    queries = [(q, user, [float(x) for x in rng.standard_normal(8)]) for q, user in enumerate(["hot"] * 20 + ["u0", "u2", "nobody", None])]
+    queries += [(90, "hot", [1.0] * 8), (91, "hot", [1.0] * 7), (92, "hot", [0.0] * 8), (93, "hot", None), (94, "hot", [1.0] * 5)]
     asked = spark.createDataFrame(queries, "query_id long, user_id string, embedding array<float>")
-    exact = hits_of(search.search_batch(store, asked, 10))
-    near = hits_of(search.search_approx(store, asked, 10, search.Buckets(8, 8)))
-    recall = np.mean([len(set(exact[q]) & set(near.get(q, []))) / 10 for q in exact])
-    assert recall >= 0.95
-    by_block = hits_of(search.search_approx(store, asked, 10, search.Buckets(8, 8), max_query_bytes=0, rows_per_block=50))
-    assert by_block == near
+    found = vector_index.search_index(spark, str(tmp_path / "index"), asked, 5, **options)
+    exact = search.search_batch(store, asked, 5, options.get("min_score", 0.0))
+    order = ["query_id", "rank"]
+    assert found.orderBy(*order).collect() == exact.orderBy(*order).collect()
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, user_id string, embedding array<float>")
+    vector_index.write_index(none, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "u", [1.0])], "query_id long, user_id string, embedding array<float>")
+    assert vector_index.search_index(spark, str(tmp_path / "index"), asked).collect() == []
+    vector_index.write_index(asked.withColumnRenamed("query_id", "id"), str(tmp_path / "one"))
+    assert vector_index.search_index(spark, str(tmp_path / "one"), asked.limit(0)).collect() == []
 
 
 def brute_duplicates(rows, threshold):
@@ -108,14 +148,30 @@ def test_near_duplicates_equal_brute_force(spark, rows_per_block):
     assert len(got) == len({r["id"] for r in got})
 
 
-def test_near_duplicates_by_signature(spark):
-    base = [RNG.standard_normal(12) for _ in range(40)]
-    rows = [(i, "u", [float(x) for x in v]) for i, v in enumerate(base)]
-    rows += [(100 + i, "u", [float(x) for x in v + 0.02 * RNG.standard_normal(12)]) for i, v in enumerate(base)]
+@pytest.mark.parametrize("threshold", [0.3, 0.95])
+def test_near_duplicates_among_cells(spark, threshold):
+    """Many cells, visited by what may be near, cut into blocks."""
+    store, rows = make_store(spark, 300)
+    _, more = clustered(np.random.default_rng(5), 12, 200, 8, 0.1, "near")
+    rows = rows + [(20_000 + i, u, v) for i, u, v in more]
+    store = spark.createDataFrame(rows, store.schema)
+    for rows_per_block in (20_000, 5):
+        got = search.near_duplicates(store, threshold, 20, rows_per_block).collect()
+        assert {r["id"]: r["match_id"] for r in got} == brute_duplicates(rows, threshold)
+        assert len(got) == len({r["id"] for r in got})
+
+
+def test_few_rows_meet(spark):
+    """In clustered data under a fifth of all pairs is compared, and no row goes to every cell."""
+    rng = np.random.default_rng(9)
+    _, rows = clustered(rng, 25, 1500, 16, 0.04)
     store = spark.createDataFrame(rows, "id long, user_id string, embedding array<float>")
-    got = {r["id"]: r["match_id"] for r in search.near_duplicates(store, 0.95, search.Buckets(10, 6)).collect()}
-    found = sum(got.get(100 + i) == i for i in range(40))
-    assert found >= 38
+    pivots = cells.fit(store, 30)
+    met = cells.meeting(store, pivots, 0.95)
+    assert cells.comparisons(met) < 0.2 * 1500 * 1499 / 2
+    assert met.count() < 2 * 1500
+    got = {r["id"]: r["match_id"] for r in search.near_duplicates(store, 0.95, 50).collect()}
+    assert got == brute_duplicates(rows, 0.95)
 
 
 def test_bm25_equals_the_formula(spark):
@@ -163,50 +219,30 @@ def test_text_search_end_to_end(spark):
     assert got["id"] == 2
 
 
-@pytest.mark.parametrize("buckets", [None, search.Buckets(6, 3)])
-def test_cells_larger_than_an_arrow_batch(spark, buckets):
+@pytest.mark.parametrize("rows_per_cell", [cells.ROWS_PER_CELL, 20])
+def test_cells_larger_than_an_arrow_batch(spark, rows_per_cell):
     store, rows = make_store(spark, 250, text_ids=True)
-    want = search.near_duplicates(store, 0.6, buckets, rows_per_block=40).collect()
+    want = search.near_duplicates(store, 0.6, rows_per_cell, rows_per_block=40).collect()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        got = search.near_duplicates(store, 0.6, buckets, rows_per_block=40).collect()
+        got = search.near_duplicates(store, 0.6, rows_per_cell, rows_per_block=40).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want) and got
-    if buckets is None:
-        assert {r["id"]: r["match_id"] for r in got} == brute_duplicates(rows, 0.6)
+    assert {r["id"]: r["match_id"] for r in got} == brute_duplicates(rows, 0.6)
 
 
 EMBEDDINGS = os.environ.get("FACTSTORE_TEST_SF", "/root/testdata/sf0.001")
 
 
-def test_recall_of_the_registered_settings(spark):
+def test_recall_of_the_registered_settings(spark, tmp_path):
     store = inputs.vectors(spark, EMBEDDINGS).cache()
     asked = store.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     exact = hits_of(search.search_batch(store, asked, 10))
-    for options in ({}, {"max_query_bytes": 0, "rows_per_block": 100}):
-        near = hits_of(search.search_approx(store, asked, 10, catalog.BUCKETS, **options))
+    vector_index.write_index(store, str(tmp_path / "index"), catalog.ROWS_PER_CELL)
+    for options in ({}, {"max_query_bytes": 500}):
+        near = hits_of(vector_index.search_index(spark, str(tmp_path / "index"), asked, 10, **options))
         assert len(exact) >= 10 and near == exact
     rows = [sorted(tuple(r) for r in q(spark, EMBEDDINGS).collect())
             for q in (catalog.near_duplicates, catalog.near_duplicates_bucketed)]
     assert rows[0] == rows[1] and rows[0]
-
-
-def test_signatures_decide_alone_where_they_are_sure(spark, monkeypatch):
-    buckets = search.Buckets(12, 3)
-    assert buckets.recall(buckets.surest) == pytest.approx(search.RECALL) and buckets.surest < 0.9
-    store, rows = make_store(spark, 250, text_ids=True)
-    signed = []
-    original = search._with_signatures
-    monkeypatch.setattr(search, "_with_signatures", lambda *a: signed.append(1) or original(*a))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        got = search.near_duplicates(store, 0.9, buckets, rows_per_block=40).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = brute_duplicates(rows, 0.9)
-    found = {r["id"]: r["match_id"] for r in got}
-    assert signed and sum(found.get(i) == m for i, m in want.items()) >= 0.95 * len(want)
-    signed.clear()
-    search.near_duplicates(store, 0.3, buckets)
-    assert not signed
