@@ -71,9 +71,20 @@ def import_memories(items: DataFrame, store: DataFrame | None, default_user: str
     known = keys if keys is not None else text_keys(store)
     valid = accepted(checked).withColumn("digest", key_digest("user_id", "memory"))
     new = dedup_against(first_per_key(valid), known, valid.select("digest") if small_batch else None)
-    new_rows = new.select(
+    return Import(imported_rows(new, batch), rejects(checked), checked)
+
+
+def first_of_batch(items: DataFrame, default_user: str = DEFAULT_USER_ID) -> tuple[DataFrame, DataFrame]:
+    """The first valid item of each ``digest`` among parsed items, and the failed items."""
+    checked = validate_import(with_namespace(items, default_user))
+    valid = accepted(checked).withColumn("digest", key_digest("user_id", "memory"))
+    return first_per_key(valid), rejects(checked)
+
+
+def imported_rows(new: DataFrame, batch: str) -> DataFrame:
+    """New items with the ids that they get in the import named ``batch``."""
+    return new.select(
         record_id(F.lit(batch), F.hex("digest")).alias("id"), "memory", "user_id", "metadata", "pos", "digest")
-    return Import(new_rows, rejects(checked), checked)
 
 
 def import_report(result: Import) -> DataFrame:

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the add and import operations.
 
 Every micro-batch writes to a directory named after its number and overwrites it, so
-a batch that is run again after a failure replaces its own output.
+a batch that is run again after a failure replaces its own output. What an import has
+seen is kept by a state store.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from factstore.functions.text import strict_json
 from factstore.operators.chunks import add_facts, add_verbatim
-from factstore.operators.dedup import import_memories, store_keys
+from factstore.operators.dedup import first_of_batch, imported_rows, store_keys
 from factstore.schema import ADD_REQUEST, CHUNK_CHARS, DEFAULT_USER_ID
 from factstore.sources.files import children, exists
 from factstore.sources.imports import parse_items
@@ -35,36 +36,63 @@ def ingest_stream(requests: DataFrame, target: str, checkpoint: str, mode: str =
     add = add_verbatim if mode == "verbatim" else add_facts
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows, failed = add(batch, default_user, max_chars)
-        keys = ["user_id", "request_id", "pos"] if mode == "verbatim" else ["user_id", "request_id"]
-        stored = new_records(rows, mode, keys, created_at)
-        stored.write.mode("overwrite").parquet(f"{target}/records/{_BATCH}{batch_id}")
-        failed.write.mode("overwrite").parquet(f"{target}/rejects/{_BATCH}{batch_id}")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            rows, failed = add(batch, default_user, max_chars)
+            keys = ["user_id", "request_id", "pos"] if mode == "verbatim" else ["user_id", "request_id"]
+            stored = new_records(rows, mode, keys, created_at)
+            stored.write.mode("overwrite").parquet(f"{target}/records/{_BATCH}{batch_id}")
+            failed.write.mode("overwrite").parquet(f"{target}/rejects/{_BATCH}{batch_id}")
+        finally:
+            batch.unpersist()
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-_BATCH, _MERGED = "batch_id=", "up_to="
+_BATCH, _BASE = "batch_id=", -1
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str, complete: bool = False) -> list[int]:
-    names = [n for n in children(spark, path) if n.startswith(prefix)]
-    return sorted(int(n[len(prefix):]) for n in names
-                  if not complete or exists(spark, f"{path}/{n}/_SUCCESS"))
+class _Seen:
+    """The digests ever met, as the state of a stream over the batches' digests.
 
-
-def _earlier_keys(spark: SparkSession, target: str, batch_id: int, base_keys: str | None) -> DataFrame:
-    """Digests stored before this batch: one narrow column, never the texts.
-
-    They lie in the newest merged directory, which includes the base keys, and the
-    directories of the batches after it.
+    A batch adds its digests below ``keys/batch_id=<n>`` and runs the stream on what is
+    there anew: its state, in RocksDB, lets the unseen ones through to ``fresh``. No batch
+    reads what an earlier one wrote, whatever their number, and the digests of an existing
+    store go in once, as a batch before the first.
     """
-    schema = "digest binary"
-    merged = [n for n in _numbers(spark, f"{target}/merged", _MERGED, True) if n < batch_id]
-    paths = [f"{target}/merged/{_MERGED}{merged[-1]}"] if merged else [base_keys] if base_keys else []
-    after = merged[-1] if merged else -1
-    paths += [f"{target}/keys/{_BATCH}{n}" for n in _numbers(spark, f"{target}/keys", _BATCH) if after < n < batch_id]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+    def _place(self, kind: str, batch_id: int) -> str:
+        return f"{self.folder}/{kind}/{_BATCH}{batch_id}"
+
+    def begin(self, base_keys: str | None) -> None:
+        place = self._place("keys", _BASE)
+        if base_keys and not exists(self.spark, f"{place}/_SUCCESS"):
+            self.spark.read.schema("digest binary").parquet(base_keys).write.mode("overwrite").parquet(place)
+            self._run()
+
+    def fresh(self, digests: DataFrame, batch_id: int) -> DataFrame:
+        """Those of the batch's digests that no earlier batch had; the same again for a batch that is run again."""
+        place = self._place("keys", batch_id)
+        if children(self.spark, place):
+            # A batch that did not end: what it has added already stands.
+            digests = digests.join(self.spark.read.schema("digest binary").parquet(place), "digest", "left_anti")
+        digests.write.mode("append").parquet(place)
+        self._run()
+        found = self.spark.read.schema(f"digest binary, {_BATCH[:-1]} bigint").parquet(f"{self.folder}/fresh")
+        return found.where(F.col(_BATCH[:-1]) == batch_id).select("digest")
+
+    def _run(self) -> None:
+        digests = self.spark.readStream.schema(f"digest binary, {_BATCH[:-1]} bigint").parquet(f"{self.folder}/keys")
+        unseen = digests.dropDuplicates(["digest"]).where(F.col(_BATCH[:-1]) > _BASE)
+        query = (unseen.writeStream.format("parquet").partitionBy(_BATCH[:-1]).option("path", f"{self.folder}/fresh")
+                 .option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start())
+        query.awaitTermination()
 
 
 def write_base_keys(store: DataFrame, path: str) -> None:
@@ -73,33 +101,26 @@ def write_base_keys(store: DataFrame, path: str) -> None:
 
 
 def import_stream(items: DataFrame, target: str, checkpoint: str, base_keys: str | None = None,
-                  default_user: str = DEFAULT_USER_ID, created_at: str | None = None,
-                  merge_every: int = 100) -> DataStreamWriter:
+                  default_user: str = DEFAULT_USER_ID, created_at: str | None = None) -> DataStreamWriter:
     """Duplicate-skipping import of a stream of ``(user_id, pos, data)`` items.
 
     ``data`` is one JSON item. A text counts as a duplicate of anything stored before
-    it, however long ago; within a micro-batch the smallest ``pos`` comes first. The
-    keys of every ``merge_every`` batches are merged so that their files stay few.
+    it, however long ago; within a micro-batch the smallest ``pos`` comes first. What was
+    stored is the state of an inner stream beside the checkpoint, and is lost with it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _earlier_keys(spark, target, batch_id, base_keys)
-        if batch_id and batch_id % merge_every == 0:
-            place = f"{target}/merged/{_MERGED}{batch_id - 1}"
-            known.distinct().write.mode("overwrite").parquet(place)
-            known = _earlier_keys(spark, target, batch_id, base_keys)
+        seen = _Seen(batch.sparkSession, f"{checkpoint.rstrip('/')}-keys")
+        seen.begin(base_keys)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             parsed = parse_items(batch.withColumn(
                 "item", F.coalesce(strict_json("data"), F.parse_json(F.lit("null")))).drop("data"))
-            result = import_memories(parsed, None, default_user, batch="stream", keys=known, small_batch=True)
+            first, failed = first_of_batch(parsed, default_user)
+            fresh = seen.fresh(first.select("digest"), batch_id)
             place = f"{_BATCH}{batch_id}"
-            stored = new_records(result.new_rows, "stream", ["digest"], created_at)
+            stored = new_records(imported_rows(first.join(fresh, "digest", "left_semi"), "stream"), "stream", ["digest"], created_at)
             stored.write.mode("overwrite").parquet(f"{target}/records/{place}")
-            result.rejects.write.mode("overwrite").parquet(f"{target}/rejects/{place}")
-            # The next batch reads its keys from here, so this is written last.
-            (spark.read.parquet(f"{target}/records/{place}").select("digest")
-             .write.mode("overwrite").parquet(f"{target}/keys/{place}"))
+            failed.write.mode("overwrite").parquet(f"{target}/rejects/{place}")
         finally:
             batch.unpersist()
 

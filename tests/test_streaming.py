@@ -1,4 +1,6 @@
 import json
+import shutil
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -54,17 +56,22 @@ def test_import_stream_skips_what_any_earlier_batch_stored(spark, tmp_path):
     def go():
         stream = (spark.readStream.schema("user_id string, pos long, data string")
                   .option("maxFilesPerTrigger", 1).json(str(source)))
-        run(ingest.import_stream(stream, str(target), str(state), str(base), created_at="2025-01-01", merge_every=2))
+        run(ingest.import_stream(stream, str(target), str(state), str(base), created_at="2025-01-01"))
 
     write_lines(source / "1.json", rows[:4])
     go()
     write_lines(source / "2.json", rows[4:7])
     go()
+    # Neither the base nor the digests of earlier batches are read again.
+    spoilt = [f for folder in (base, f"{state}-keys/keys") for f in Path(folder).rglob("*.parquet")]
+    assert len(spoilt) >= 3
+    for file in spoilt:
+        file.write_bytes(b"no longer a table")
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
     write_lines(source / "3.json", rows[7:])
     go()
     got = spark.read.parquet(f"{target}/records")
     assert sorted(r["memory"] for r in got.collect()) == ["Alpha", "beta", "delta", "epsilon", "gamma"]
-    assert spark.read.parquet(f"{target}/merged/up_to=1").count() == 5  # base and two batches
 
     items = spark.createDataFrame([(r["user_id"], r["pos"], r["data"]) for r in rows], "user_id string, pos long, data string")
     parsed = imports.parse_items(items.withColumn("item", F.coalesce(F.try_parse_json("data"), F.parse_json(F.lit("null")))).drop("data"))
@@ -82,3 +89,25 @@ def test_a_replayed_batch_replaces_its_own_output(spark, tmp_path):
         run(ingest.import_stream(stream, str(target), str(tmp_path / state), created_at="2025-01-01"))
     got = spark.read.parquet(f"{target}/records")
     assert sorted(r["memory"] for r in got.collect()) == ["m0", "m1", "m2"]
+
+
+def test_a_batch_that_broke_off_is_completed(spark, tmp_path):
+    """The digests of a batch are known when it runs again; its records are written all the same."""
+    source, target, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
+    source.mkdir()
+    write_lines(source / "1.json", [{"user_id": "u", "pos": i, "data": json.dumps({"memory": f"m{i % 3}"})} for i in range(9)])
+
+    def go():
+        stream = spark.readStream.schema("user_id string, pos long, data string").json(str(source))
+        run(ingest.import_stream(stream, str(target), str(state), created_at="2025-01-01"))
+
+    go()
+    write_lines(source / "2.json", [{"user_id": "u", "pos": i, "data": json.dumps({"memory": f"m{i}"})} for i in range(6)])
+    go()
+    # As if the second batch had not been committed, nor its records written.
+    (state / "commits" / "1").unlink()
+    (state / "commits" / ".1.crc").unlink(missing_ok=True)
+    shutil.rmtree(target / "records" / "batch_id=1")
+    go()
+    got = spark.read.parquet(f"{target}/records")
+    assert sorted((r["memory"], r["batch_id"]) for r in got.collect()) == [("m0", 0), ("m1", 0), ("m2", 0), ("m3", 1), ("m4", 1), ("m5", 1)]
