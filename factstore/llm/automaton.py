@@ -27,24 +27,14 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from factstore.llm.common import slices, worker_state
-from factstore.llm.segments import WHITE, SegmentCoder
+from factstore.llm.common import text_slices, worker_state
+from factstore.llm.segments import SPLIT, SegmentCoder, binaries, byte_chars
 
-#: Fixed value: the split that byte-level vocabularies are made for.
-SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
-         rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_KEPT = 100_000
+_KEPT = 20_000
 _SHIFT = 21
 _NEVER = 1 << 60
 #: Words followed together, and bytes of a word that is followed alone.
-_TOGETHER, _LONG_WORD = 20_000, 200
-
-
-def byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as itself if it prints in Latin-1, others from 256 on."""
-    prints = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
-    others = (b for b in range(256) if b not in set(prints))
-    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
+_TOGETHER, _LONG_WORD = 4_000, 200
 
 
 class Table:
@@ -86,7 +76,7 @@ class Automaton:
     def __init__(self, vocabulary: str):
         """``vocabulary``: the JSON text of a byte-level BPE vocabulary."""
         spec = json.loads(vocabulary)
-        model, as_byte = spec["model"], byte_of_char()
+        model, as_byte = spec["model"], {c: b for b, c in byte_chars()}
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         ids = model["vocab"]
         size = max([*ids.values(), *self.specials.values()]) + 1
@@ -265,6 +255,18 @@ class Automaton:
         """The labels of the arcs, one after the other."""
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_runs(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The texts of many runs of ids."""
+        raw = b"".join(map(self.labels.__getitem__, ids.tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        texts = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(ends[starts].astype(np.int32)), pa.py_buffer(raw)])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # some run is not the whole of its characters
+            cuts = ends[starts].tolist()
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], pa.string())
+        return texts
+
 
 def _coder(vocabulary: str, name: str) -> tuple[Automaton, SegmentCoder]:
     def make():
@@ -288,10 +290,10 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = _coder(vocabulary, name)
-        for batch, texts in slices(batches):
-            ids = coder.encode(texts)
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                   pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for batch, texts in text_slices(batches):
+            ids, starts = coder.pack(texts)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(starts)), binaries(ids, starts)],
+                                  ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary")
@@ -321,12 +323,10 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, coder = _coder(vocabulary, name)
-        for batch, texts in slices(batches):
-            ids = coder.encode(texts)
-            decoded = [automaton.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                   pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
-                                  ["doc_id", "n_tokens", "ids", "decoded"])
+        for batch, texts in text_slices(batches):
+            ids, starts = coder.pack(texts)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(starts)), binaries(ids, starts),
+                                   automaton.decode_runs(ids, starts)], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")

@@ -7,25 +7,30 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factstore.session import shared_folder
 
-#: Bytes of text that a task holds decoded at a time.
-SLICE_BYTES = 4_000_000
+#: Bytes of text that a task holds decoded at a time, and of text that is cut into pieces at a time.
+SLICE_BYTES, PIECES_BYTES = 4_000_000, 1_000_000
 
 
 def worker_state(key: str, make: Callable[[], object]):
-    """An object that later tasks of the same Python worker find again.
+    """An object that later tasks of the same Python worker find again, until another key takes its place.
 
     Functions travel with their code, so module globals are new in every task; the
-    place for what may be kept is a module of its own. A new worker builds it anew.
+    place for what may be kept is a module of its own. A worker keeps one object, so that
+    the stages of a long job do not add theirs up. A new worker builds it anew.
     """
     kept = sys.modules.setdefault("factstore_worker_state", types.ModuleType("factstore_worker_state")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("held", None)
+        pa.default_memory_pool().release_unused()
+        kept["held"], kept["key"] = make(), key
+    return kept["held"]
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -73,6 +78,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at, len(texts)), texts
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As ``slices``, with the texts as an Arrow array (null: empty)."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(column), "")
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + PIECES_BYTES, "right")))
+            yield batch.slice(at, end - at), texts.slice(at, end - at)
+            at = end
+
+
 def filter_rows(docs: DataFrame, masks: Callable[[list[str]], list[bool]]) -> DataFrame:
     """Keep the rows whose text passes; all columns, whatever their names, stay as they are."""
     columns = docs.columns

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factstore.llm.common import saved, slices, worker_state
-from factstore.llm.token_counts import counter, tokenizer_digest
+from factstore.llm.common import saved, text_slices, worker_state
+from factstore.llm.token_counts import counter, merges_by_id, tokenizer_digest
 
 HEAVY = 1 / 500
 BLOCK_GROUPS = 50_000
@@ -43,13 +43,13 @@ WEIGHTS = (1.0, 0.1, 0.1)
 
 def sized(docs: DataFrame, tokenizer: tuple[str, bytes]) -> DataFrame:
     """``row, doc_id, digest, size, tokens, text_crc32`` of every row; ``row`` tells rows apart."""
-    name = tokenizer_digest(tokenizer)
+    name, ranked = tokenizer_digest(tokenizer), merges_by_id(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = worker_state(f"counter-{name}", lambda: counter(tokenizer))
+        count = worker_state(f"counter-{name}", lambda: counter(tokenizer, ranked))
         at = TaskContext.get().partitionId() << 40
-        for batch, texts in slices(batches):
-            raw = [t.encode() for t in texts]
+        for batch, texts in text_slices(batches):
+            raw = [t.encode() for t in texts.to_pylist()]
             yield pa.record_batch(
                 [pa.array(range(at, at + len(raw)), pa.int64()), batch.column("doc_id"),
                  pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),

@@ -13,6 +13,7 @@ stored count and each get their result row; null ids are kept. Extra columns are
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factstore.llm.common import slices, worker_state
-from factstore.llm.segments import SegmentCoder
+from factstore.llm.common import text_slices, worker_state
+from factstore.llm.segments import SPLIT, SegmentCoder, byte_chars
+from factstore.operators.sizing import is_small
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
 
@@ -36,8 +38,11 @@ def tokenizer_digest(tokenizer: tuple[str, bytes]) -> str:
     return hashlib.sha256(tokenizer[0].encode() + b"\0" + tokenizer[1]).hexdigest()
 
 
-def library_coder(content: bytes) -> SegmentCoder:
-    """Pieces encoded by the tokenizers library, for byte-level vocabularies."""
+def library_coder(content: bytes, ranked: bool = False) -> SegmentCoder:
+    """Pieces encoded for a byte-level vocabulary, by the tokenizers library or, if ``ranked``, by tiktoken.
+
+    ``ranked`` says that ``merges_by_id`` holds, where both give the same ids.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,13 +57,44 @@ def library_coder(content: bytes) -> SegmentCoder:
     def encode_all(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return SegmentCoder(encode_all, lengths, added)
+    def encode_ranked(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ranks.encode_ordinary(t), "<u4") for t in texts]
+
+    if ranked:
+        import tiktoken
+
+        as_byte = {c: b for b, c in byte_chars()}
+        ranks = tiktoken.Encoding("ranked", pat_str=SPLIT, special_tokens={}, mergeable_ranks={
+            bytes(as_byte[c] for c in text): i for text, i in tokenizer.get_vocab().items() if text not in added})
+    return SegmentCoder(encode_ranked if ranked else encode_all, lengths, added)
+
+
+def merges_by_id(tokenizer: tuple[str, bytes]) -> bool:
+    """Whether merging the pair with the smallest resulting id always does the vocabulary's own merges.
+
+    So it is if every token longer than a byte comes from one merge, later merges give larger
+    ids, and every token's own bytes merge into it: two neighbours whose join is a token then
+    are the parts of its merge.
+    """
+    from tokenizers import Tokenizer
+
+    if not is_byte_level(tokenizer):
+        return False
+    model = json.loads(tokenizer[1])["model"]
+    if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") \
+            or model.get("end_of_word_suffix"):
+        return False
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    own = Tokenizer.from_str(tokenizer[1].decode())
+    special = {t.content for t in own.get_added_tokens_decoder().values()}
+    plain = {t: i for t, i in model["vocab"].items() if t not in special}
+    return (made == sorted(set(made)) and len(made) == sum(len(t) > 1 for t in plain)
+            and {c for _, c in byte_chars()} <= plain.keys()
+            and all([x.id for x in own.model.tokenize(t)] == [i] for t, i in plain.items()))
 
 
 def is_byte_level(tokenizer: tuple[str, bytes]) -> bool:
     """Whether texts may be cut at blanks: no normaliser, and the byte-level split without a prefix."""
-    import json
-
     if tokenizer[0] != ".json":
         return False
     spec = json.loads(tokenizer[1])
@@ -68,23 +104,23 @@ def is_byte_level(tokenizer: tuple[str, bytes]) -> bool:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or []))
 
 
-def counter(tokenizer: tuple[str, bytes]):
-    """A function from texts to token counts, made once for each worker."""
+def counter(tokenizer: tuple[str, bytes], ranked: bool = False):
+    """A function from texts (no nulls) to token counts, made once for each worker."""
     kind, content = tokenizer
     if kind == ".model":
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
-        return lambda texts: [len(pieces.encode(t)) for t in texts]
+        return lambda texts: [len(pieces.encode(t)) for t in texts.to_pylist()]
     if is_byte_level(tokenizer):
-        coder = library_coder(content)
-        return lambda texts: [len(x) // 4 for x in coder.encode(texts)]
+        coder = library_coder(content, ranked)
+        return lambda texts: np.diff(coder.pack(texts)[1])
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(content.decode())
     whole.no_padding()
     whole.no_truncation()
-    return lambda texts: [len(e.ids) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [len(e.ids) for e in whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
 
 def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame:
@@ -104,15 +140,18 @@ def count_tokens(docs: DataFrame, tokenizer: tuple[str, bytes], cache: str, limi
     content = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", content.alias("text"), F.sha2(F.encode(content, "UTF-8"), 256).alias("digest"))
 
-    # Ids and digests alone choose the row that stands for a missing digest.
-    missing = (keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-               .join(_stored(spark, cache, version), "digest", "left_anti"))
-    chosen = keyed.join(missing, (keyed.digest == missing.digest) & keyed.doc_id.eqNullSafe(missing.first_id),
-                        "left_semi").select("digest", "text")
+    # Digests alone tell what is missing; a copy of each missing text is chosen in the tasks that
+    # read it, and only then are texts moved. Many missing texts are folded before the join.
+    missing = keyed.select("digest").distinct().join(_stored(spark, cache, version), "digest", "left_anti")
+    one = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
+    content = keyed.select("digest", "text")
+    chosen = (one(content.join(F.broadcast(missing), "digest", "left_semi")) if is_small(missing)
+              else one(content).join(missing, "digest", "left_semi"))
+    ranked = merges_by_id(tokenizer)
 
     def run(batches):
-        count = worker_state(f"counter-{version}", lambda: counter(tokenizer))
-        for batch, texts in slices(batches):
+        count = worker_state(f"counter-{version}", lambda: counter(tokenizer, ranked))
+        for batch, texts in text_slices(batches):
             yield pa.record_batch([batch.column("digest"), pa.array(count(texts), pa.int64())], ["digest", "n_tokens"])
 
     counted = chosen.mapInArrow(run, "digest string, n_tokens bigint")

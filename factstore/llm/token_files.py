@@ -27,8 +27,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from factstore.llm.common import slices, worker_state
-from factstore.llm.token_counts import library_coder, tokenizer_digest
+from factstore.llm.common import text_slices, worker_state
+from factstore.llm.token_counts import library_coder, merges_by_id, tokenizer_digest
 
 _MAGIC = b"DACT"
 _BLOCK = 512
@@ -37,6 +37,8 @@ _MANIFEST = "file_no bigint, path string, n_docs bigint, n_tokens bigint"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Tokens of a file at most, unless one document has more.
 TOKENS_PER_FILE = 4_000_000
+#: Files that a task reads back.
+FILES_PER_TASK = 4
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray) -> bytes:
@@ -136,31 +138,38 @@ def _put(path: str, content: bytes) -> None:
 
 def write(docs: DataFrame, tokenizer: tuple[str, bytes], folder: str, end_id: int) -> DataFrame:
     """Encode ``docs`` into files below ``folder``; returns the manifest, one row for each file."""
-    name = tokenizer_digest(tokenizer)
+    name, ranked = tokenizer_digest(tokenizer), merges_by_id(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_state(f"library-{name}", lambda: library_coder(tokenizer[1]))
-        end = np.array([end_id], "<u4").tobytes()
+        coder = worker_state(f"library-{name}", lambda: library_coder(tokenizer[1], ranked))
         part, files = TaskContext.get().partitionId(), 0
-        doc_ids, held, tokens = [], [], 0
+        doc_ids, sizes, held, tokens = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(held), "<u4")
-            starts = np.cumsum([0, *(len(h) // 4 for h in held)])
+            ids, starts = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             path = f"{folder}/part-{part:06d}-{files:06d}.dac"
             _put(path, pack(ids, doc_ids, starts))
             return pa.record_batch([[part * 1_000_000 + files], [path], [len(doc_ids)], [len(ids)]],
                                    ["file_no", "path", "n_docs", "n_tokens"])
 
-        for batch, texts in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts)):
-                if held and tokens + len(ids) // 4 + 1 > TOKENS_PER_FILE:
+        for batch, texts in text_slices(batches):
+            ids, starts = coder.pack(texts)
+            ids, starts = np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
+            own, at = batch.column("doc_id").to_pylist(), 0
+            while at < len(own):
+                # As many documents as the file has room for; one that is too long is a file of its own.
+                end = int(np.searchsorted(starts, starts[at] + TOKENS_PER_FILE - tokens, "right")) - 1
+                if end <= at and held:
                     yield flush()
                     files += 1
-                    doc_ids, held, tokens = [], [], 0
-                doc_ids.append(doc_id)
-                held.append(ids + end)
-                tokens += len(ids) // 4 + 1
+                    doc_ids, sizes, held, tokens = [], [], [], 0
+                    continue
+                end = max(end, at + 1)
+                doc_ids += own[at:end]
+                sizes.append(np.diff(starts[at:end + 1]))
+                held.append(ids[starts[at]:starts[end]])
+                tokens += int(starts[end] - starts[at])
+                at = end
         if held:
             yield flush()
 
@@ -194,6 +203,6 @@ def read(manifest: DataFrame) -> DataFrame:
                          pa.array(map(zlib.crc32, ids), pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
-    # A task for each few files; their number is a count of the manifest's rows.
-    return (placed.repartition(max(1, manifest.count()), "file_no")
+    # Their number is a count of the manifest's rows.
+    return (placed.repartition(max(1, -(-manifest.count() // FILES_PER_TASK)), "file_no")
             .mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary, ids_crc32 bigint"))
