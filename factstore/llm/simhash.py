@@ -34,7 +34,7 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 #: Variants that a group unfolds at a time.
-CELL_VARIANTS = 4_000_000
+CELL_VARIANTS = 1_000_000
 _SHINGLES_AT_ONCE = 100_000
 
 
@@ -109,9 +109,12 @@ def _unfold(rest: np.ndarray, reach: np.ndarray, size: int, most: int) -> Iterat
             masks, _ = _around(size, r)
             variants.append((rest[own, None] ^ masks[None, :]).ravel())
             owners.append(np.repeat(own, len(masks)))
-    variant, owner = np.concatenate(variants), np.concatenate(owners)
+    variant = np.concatenate(variants)
+    owner = np.concatenate(owners).astype(np.int32)
+    del variants, owners
     ordered = np.sort(variant)
-    shared = ordered[1:][ordered[1:] == ordered[:-1]]
+    shared = ordered[1:][ordered[1:] == ordered[:-1]].copy()
+    del ordered
     if not len(shared):
         return
     # A small table of hashes leaves few candidates for the exact look-up.

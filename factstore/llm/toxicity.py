@@ -31,7 +31,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 #: Passes over the sample.
 PASSES = 5
 THRESHOLD = 0.3
-_KEPT = 500_000
+_KEPT = 200_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
