@@ -504,15 +504,15 @@ def export_round_trip(spark, sf_dir):
 def import_csv(spark, sf_dir):
     """Export as CSV and read the files back as import items; every part has the header."""
     place = shared_folder(spark, "csv")
-    rows = records.export_records(inputs.memories(spark, sf_dir))
-    rows.repartition(4, "id").write.csv(place, header=True, quote='"', escape='"', quoteAll=True)
+    rows = records.export_records(inputs.memories(spark, sf_dir, wide=True))
+    rows.write.csv(place, header=True, quote='"', escape='"', quoteAll=True)
     return imports.read_import(spark, place, "csv").select(F.md5("memory").alias("memory_md5"), "item_type", "metadata")
 
 
 def csv_round_trip(spark, sf_dir):
     """The own CSV export of many parts, whose first part alone has the header."""
     place = shared_folder(spark, "csv")
-    tables.export(inputs.memories(spark, sf_dir).repartition(4, "id"), place, "csv")
+    tables.export(inputs.memories(spark, sf_dir, wide=True), place, "csv")
     return imports.read_import(spark, place).select(F.md5("memory").alias("memory_md5"), "item_type", "metadata")
 
 

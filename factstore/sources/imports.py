@@ -9,13 +9,21 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factstore.functions.text import _col, is_blank, let, py_strip, strict_json
+from factstore.session import shared_folder
+from factstore.sources import ranges
 from factstore.sources.files import children, is_directory
 
 ITEM_COLUMNS = ("pos", "item_type", "text_type", "memory", "metadata")
+#: A JSON file up to this size is read as one value.
+WHOLE_BYTES = 32_000_000
+#: The start of an envelope up to its list, and the end of a list with what may follow it.
+ENVELOPE_START = "^" + ranges.ENVELOPE_HEAD.pattern
+ARRAY_END = r"\s*\](?:\s*,\s*%s\s*:\s*%s)*\s*\}?\s*$" % (ranges._STRING, ranges._SCALAR)
 FORMATS = ("auto", "json", "jsonl", "csv", "tsv")
 
 
@@ -99,12 +107,61 @@ def _position() -> Column:
                     F.monotonically_increasing_id().alias("row"), F.lit(0).cast("bigint").alias("item")).alias("pos")
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(_position(), py_strip("value").alias("text"))
+def _texts(spark: SparkSession, path, chosen: Column | None = None) -> DataFrame:
+    files = spark.read.text(path, wholetext=True)
+    files = files if chosen is None else files.where(chosen)
+    return files.select(_position(), py_strip("value").alias("text"))
+
+
+def _read_large(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Items of large arrays and envelopes, read by ranges, and the files that are something else.
+
+    A record is a stretch of an array's text: what opens the array or the comma before it, and
+    elements up to one that is an object. The texts before and behind the elements of a file must
+    be JSON by themselves, and each record's elements too; else the file is no JSON.
+    """
+    found, starts = ranges.records(spark, path, ranges.JsonScan(), WHOLE_BYTES)
+    place = shared_folder(spark, "json-records")
+    found.write.parquet(f"{place}/records")
+    starts.where("block = 0").select("file", "base").write.parquet(f"{place}/files")
+    found, files = (spark.read.parquet(f"{place}/{n}") for n in ("records", "files"))
+    edge = F.when((F.col("block") == 0) & (F.col("seq") == 0), F.struct(F.lit(True).alias("first"))).isNotNull()
+    head = F.regexp_extract("text", ENVELOPE_START, 0)
+    head = F.when(head != "", head).otherwise(F.regexp_extract("text", r"^\s*\[", 0))
+    rest = F.when(edge, F.substr("text", F.length(head) + 1)).otherwise(F.regexp_replace("text", r"^\s*,", ""))
+    tail = F.when(~F.col("closed"), F.regexp_extract(rest, ARRAY_END, 0)).otherwise("")
+    cut = found.select("*", edge.alias("edge"), head.alias("head"), tail.alias("tail"), rest.alias("rest"))
+    body = F.expr("substr(rest, 1, length(rest) - length(tail))")
+    # Only the first record may do without a comma, and the last one if it holds no element.
+    empty = F.trim(F.regexp_replace(body, r"\s", "")) == ""
+    follows = F.col("edge") | F.col("text").rlike(r"^\s*,") | (~F.col("closed") & empty)
+    odd = ~follows | ((~F.col("edge")) & F.col("text").rlike(r"^\s*,") & empty)
+    cut = cut.select("file", "block", "seq", "closed", "edge", "head", "tail", odd.alias("odd"), empty.alias("empty"),
+                     strict_json(F.concat(F.lit("["), body, F.lit("]"))).alias("data"))
+    judged = (cut.groupBy("file").agg(
+        F.bool_or(F.col("odd") | F.col("data").isNull()).alias("odd"), F.count_if(~F.col("closed")).alias("open"),
+        F.max(F.when(F.col("edge"), F.col("head"))).alias("head"), F.max("tail").alias("tail")))
+    sound = ~F.col("odd") & (F.col("open") == 1) & (F.col("tail") != "") & strict_json(F.concat("head", "tail")).isNotNull()
+    states = files.join(judged, "file", "left").select("file", F.coalesce(sound, F.lit(False)).alias("sound"))
+    others = [unquote(r["file"]) for r in states.where(~F.col("sound")).select("file").collect()]
+    elements = cut.join(states.where("sound").select("file"), "file", "left_semi").where(~F.col("empty"))
+    items = elements.select("file", "block", "seq", F.posexplode_outer(F.try_variant_get("data", "$", "array<variant>")).alias("_at", "item"))
+    return items.where(F.col("_at").isNotNull()).select(
+        F.struct("file", "block", F.col("seq").alias("row"), F.col("_at").cast("bigint").alias("item")).alias("pos"), "item"), others
 
 
 def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    parsed = _texts(spark, path).select("pos", strict_json("text").alias("data"))
+    if spark.read.format("binaryFile").load(path).where(F.col("length") > WHOLE_BYTES).limit(1).isEmpty():
+        return _read_whole(_texts(spark, path))
+    small = _texts(spark, path, F.col("_metadata.file_size") <= WHOLE_BYTES)
+    items, others = _read_large(spark, path)
+    found = _read_whole(small).unionByName(items)
+    return found.unionByName(_read_whole(_texts(spark, others))) if others else found
+
+
+def _read_whole(texts: DataFrame) -> DataFrame:
+    """Items of files whose text is one value each."""
+    parsed = texts.select("pos", strict_json("text").alias("data"))
     as_list = F.try_variant_get(F.col("data"), "$", "array<variant>")
     enveloped = F.try_variant_get(F.col("data"), "$.memories", "array<variant>")
     items = F.coalesce(as_list, enveloped, F.array("data"))
@@ -131,19 +188,25 @@ def _header(spark: SparkSession, path: str, separator: str) -> list[str]:
 
 
 def _read_table(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """Rows of CSV files of which the first, or each, starts with the header."""
+    """Rows of CSV files of which the first, or each, starts with the header.
+
+    Records may hold line ends; large files are read by ranges all the same.
+    """
     header = _header(spark, path, separator)
     schema = ", ".join(f"_c{i} string" for i in range(max(1, len(header))))
-    # With a line end of its own the reader leaves CR within quotes alone; the CR of a line's end
-    # is then left on the last cell, and alone on an empty line.
-    rows = spark.read.csv(path, schema=schema, header=False, sep=separator, multiLine=True, escape='"', lineSep="\n")
+    found, _ = ranges.records(spark, path, ranges.CsvScan(separator))
+    # The line end behind a record is not part of it, nor is a blank line a record.
+    record = F.regexp_replace("text", "\r?\n?$", "")
+    found = found.select("file", "block", "seq", record.alias("record")).where(F.col("record") != "")
+    cells = F.from_csv("record", schema, {"sep": separator, "escape": '"'})
+    pos = F.struct("file", "block", F.col("seq").alias("row"), F.lit(0).cast("bigint").alias("item"))
     last = f"_c{max(1, len(header)) - 1}"
-    rows = rows.select(_position(), "*").withColumn(last, F.regexp_replace(last, "\r$", "")).withColumn(last, F.nullif(last, F.lit("")))
-    rest = [F.col(f"_c{i}").isNull() for i in range(1, len(header))]
-    blank = reduce(Column.__and__, rest, F.col("_c0").eqNullSafe(F.lit("\r" if rest else None)))
-    rows = rows.where(~blank)
+    rows = found.select(pos.alias("pos"), cells.alias("_c")).select("pos", "_c.*").withColumn(last, F.nullif(last, F.lit("")))
+    # A header stands first in its file, before which there may be blank lines only.
+    first = rows.groupBy(F.col("pos.file").alias("file")).agg(F.min("pos").alias("first"))
     is_header = reduce(Column.__and__, [F.col(f"_c{i}").eqNullSafe(F.lit(n or None)) for i, n in enumerate(header)], F.lit(True))
-    rows = rows.where(~is_header)
+    headed = rows.where(is_header).join(first, F.col("pos") == F.col("first")).select(F.col("pos").alias("header"))
+    rows = rows.join(headed, F.col("pos") == F.col("header"), "left_anti")
     names = {n.strip(): f"_c{i}" for i, n in enumerate(header)}
     if "memory" not in names:
         raise ValueError("CSV has no memory column")
