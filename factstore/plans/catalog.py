@@ -480,11 +480,11 @@ def stored_namespace(spark, sf_dir):
 
 
 def snapshot_after_prune(spark, sf_dir):
-    """Store a version, prune it into a second one, read the newest."""
+    """Store a version, prune it into a second one bucket by bucket, read the newest."""
     root = shared_folder(spark, "snapshots")
     tables.write_snapshot(inputs.memories(spark, sf_dir), root)
-    kept = mutate.prune(tables.read_snapshot(spark, root), AS_OF, 365, dry_run=False).store
-    tables.write_snapshot(kept, root)
+    tables.change_snapshot(spark, root, lambda store: store.where(records.older_than(365, AS_OF)),
+                           lambda store: mutate.prune(store, AS_OF, 365, dry_run=False).store)
     return tables.read_snapshot(spark, root).select("id", "user_id")
 
 

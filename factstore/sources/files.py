@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +37,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def create_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its content at once; false if there is one already.
+
+    The content is written aside and then linked to its place by a rename that does not
+    replace, so no reader meets half of it and of two writers one succeeds.
+    """
+    jvm = spark._jvm
+    fs, where = _fs(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs.mkdirs(where.getParent())
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    # The claim: a marker that only one writer can create.
+    try:
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}.claim"), False).close()
+    except Py4JJavaError as error:
+        if "already exists" not in str(error.java_exception):
+            raise
+        fs.delete(aside, False)
+        return False
+    return bool(fs.rename(aside, where))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, where = _fs(spark, path)
+    file = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(file)).decode()
+    finally:
+        file.close()
+
+
 def read_wide(spark: SparkSession, path: str) -> DataFrame:
     """Read a Parquet table so that every core has a share of it.
 

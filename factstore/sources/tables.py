@@ -8,19 +8,24 @@ row groups of the others.
 
 from __future__ import annotations
 
+import json
 import re
+import time
+import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from factstore.functions.dates import utc_now_text
 from factstore.functions.text import csv_line, metadata_cell, quoted_csv_line, record_id
 from factstore.operators.records import export_records, list_namespace, of_entity
 from factstore.operators.validate import check_export_format
 from factstore.schema import EXPORT_COLUMNS
-from factstore.sources.files import children, exists
+from factstore.sources.files import children, create_exclusively, exists, read_text
 
 BUCKETS = 64
+#: How long a version that another job has begun is waited for.
+CLAIM_SECONDS = 60.0
 _BUCKET_COLUMN = "namespace_of_{}"
 _VERSION = re.compile(r"^version=(\d+)$")
 
@@ -62,37 +67,102 @@ def scan(spark: SparkSession, path: str, user_id: str | None = None, limit: int
     return df if limit is None else df.limit(limit)
 
 
+def _version_file(root: str, version: int) -> str:
+    return f"{root}/version={version}/paths.json"
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Completely written versions, oldest first."""
     names = [(_VERSION.match(n), n) for n in children(spark, root)]
-    return sorted(int(m.group(1)) for m, n in names if m and exists(spark, f"{root}/{n}/_SUCCESS"))
+    return sorted(int(m.group(1)) for m, n in names if m and exists(spark, f"{root}/{n}/paths.json"))
+
+
+def _claim(spark: SparkSession, root: str, version: int, content: dict) -> bool:
+    """Make ``version`` the given one, unless another job has taken its number."""
+    place = f"{root}/version={version}"
+    return not exists(spark, place) and create_exclusively(spark, f"{place}/paths.json", json.dumps(content))
+
+
+def _snapshot(spark: SparkSession, root: str, version: int) -> dict:
+    return json.loads(read_text(spark, _version_file(root, version)))
+
+
+def _store_part(df: DataFrame, root: str, buckets: int) -> dict[str, list[str]]:
+    """Write rows below ``data``; the directory of each bucket that has some, relative to the root."""
+    spark, part = df.sparkSession, f"data/{uuid.uuid4().hex}"
+    _write(df, f"{root}/{part}", "errorifexists", buckets)
+    prefix = _BUCKET_COLUMN.format(buckets) + "="
+    return {n[len(prefix):]: [f"{part}/{n}"] for n in children(spark, f"{root}/{part}") if n.startswith(prefix)}
 
 
 def write_snapshot(df: DataFrame, root: str, buckets: int = BUCKETS) -> int:
-    """Write a changed table as the next version and return its number.
+    """Write a whole table as the next version and return its number.
 
-    The version being read is never overwritten, and a version counts only once its
-    job has finished, so a failed write leaves the table as it was. A number that
-    another job has taken is left to it and the next one is tried.
+    Rows lie below ``data``, a directory for each bucket; a version is a file that names the
+    directories, created last and by one job alone. So the version being read is never
+    overwritten, a failed write leaves the table as it was, and a number that another job has
+    taken is left to it and the next one is tried.
     """
     spark = df.sparkSession
+    content = {"buckets": buckets, "schema": df.schema.json(), "paths": _store_part(df, root, buckets)}
     taken = [int(m.group(1)) for m in map(_VERSION.match, children(spark, root)) if m]
     version = max(taken, default=0) + 1
-    while True:
-        try:
-            _write(df, f"{root}/version={version}", "errorifexists", buckets)
-            return version
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
-            version += 1
+    while not _claim(spark, root, version, content):
+        version += 1
+    return version
+
+
+def _paths(spark: SparkSession, root: str, content: dict, chosen: list[str] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(content["schema"]))
+    paths = [f"{root}/{p}" for k, own in content["paths"].items() if chosen is None or k in chosen for p in own]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None, user_id: str | None = None) -> DataFrame:
+    """A version of the table, the newest one by default; with ``user_id`` only its bucket is opened."""
     done = snapshot_versions(spark, root)
     if not done:
         raise ValueError(f"no snapshot below '{root}'")
-    return scan(spark, f"{root}/version={version or done[-1]}", user_id)
+    content = _snapshot(spark, root, version or done[-1])
+    if user_id is None:
+        return _paths(spark, root, content)
+    own = spark.range(1).select(_bucket(F.lit(user_id), content["buckets"]).alias("b")).first()["b"]
+    return _paths(spark, root, content, [str(own)]).where(F.col("user_id") == user_id)
+
+
+def change_snapshot(spark: SparkSession, root: str, changed: Callable[[DataFrame], DataFrame],
+                    change: Callable[[DataFrame], DataFrame]) -> int:
+    """The next version, in which only the buckets of the rows that change are written anew.
+
+    ``changed`` gives, of the newest version, the rows that a change concerns (their ``user_id``
+    counts); ``change`` gives rows as they are afterwards, of whole buckets. Where nothing
+    changes the version stays. If another job makes a version meanwhile, the change is made again
+    on that one, so none is lost. Rows may get another ``user_id``; their new bucket then holds
+    files of both.
+    """
+    while True:
+        version = snapshot_versions(spark, root)[-1]
+        content = _snapshot(spark, root, version)
+        buckets = content["buckets"]
+        # At most one row for each bucket.
+        rows = changed(_paths(spark, root, content)).select(_bucket(F.col("user_id"), buckets).alias("b")).distinct().collect()
+        touched = sorted(str(r["b"]) for r in rows)
+        if not touched:
+            return version
+        written = _store_part(change(_paths(spark, root, content, touched)), root, buckets)
+        paths = {k: own for k, own in content["paths"].items() if k not in touched}
+        for k, own in written.items():
+            paths[k] = paths.get(k, []) + own
+        number, since = version + 1, time.monotonic()
+        while exists(spark, f"{root}/version={number}") and snapshot_versions(spark, root)[-1] == version:
+            # Another job has the number. If it does not end, it is passed over.
+            if time.monotonic() - since < CLAIM_SECONDS:
+                time.sleep(0.2)
+            else:
+                number += 1
+        if snapshot_versions(spark, root)[-1] == version and _claim(spark, root, number, {**content, "paths": paths}):
+            if snapshot_versions(spark, root)[-1] == number:
+                return number
 
 
 def list_page(spark: SparkSession, path: str, user_id: str, limit: int | None = None) -> DataFrame:

@@ -3,6 +3,8 @@ import hashlib
 import io
 import json
 import os
+import pathlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +195,61 @@ def test_snapshots(spark, tmp_path):
     assert tables.read_snapshot(spark, root, user_id="ann").count() == 0
 
 
+def files_of(root):
+    return {str(p.relative_to(root)) for p in pathlib.Path(root).rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    df = spark.createDataFrame([(str(i), f"text {i}", f"u{i % 20}") for i in range(200)], "id string, memory string, user_id string")
+    tables.write_snapshot(df, root, 8)
+    before, first = files_of(root), tables._snapshot(spark, root, 1)
+    ids = spark.createDataFrame([("3",), ("23",), ("none",)], "id string")
+    gone = lambda store: store.join(ids, "id", "left_semi")
+    assert tables.change_snapshot(spark, root, gone, lambda store: store.join(ids, "id", "left_anti")) == 2
+    second = tables._snapshot(spark, root, 2)
+    # Both rows are of one namespace, so one of the buckets has files of its own now.
+    assert sum(first["paths"][k] != second["paths"].get(k) for k in first["paths"]) == 1
+    assert before < files_of(root)
+    assert {r["id"] for r in tables.read_snapshot(spark, root).collect()} == {str(i) for i in range(200)} - {"3", "23"}
+    assert tables.read_snapshot(spark, root, 1).count() == 200
+    assert tables.read_snapshot(spark, root, user_id="u3").count() == 8
+    assert tables.change_snapshot(spark, root, gone, lambda store: store) == 2  # nothing is left to change
+    moved = lambda store: store.where("user_id = 'u5'")
+    tables.change_snapshot(spark, root, moved, lambda store: store.withColumn("user_id", F.expr("if(user_id = 'u5', 'u6', user_id)")))
+    assert tables.read_snapshot(spark, root, user_id="u6").count() == 20 and tables.read_snapshot(spark, root).count() == 198
+
+
+def test_of_two_writers_one_tries_again(spark, tmp_path):
+    root = str(tmp_path / "snap")
+    df = spark.createDataFrame([(str(i), f"u{i % 4}") for i in range(40)], "id string, user_id string")
+    tables.write_snapshot(df, root, 4)
+    tries = []
+
+    def change(store):
+        tries.append(1)
+        if len(tries) == 1:  # another job is faster
+            assert tables.change_snapshot(spark, root, lambda s: s.where("id = '7'"), lambda s: s.where("id <> '7'")) == 2
+        return store.where("id <> '1'")
+
+    assert tables.change_snapshot(spark, root, lambda s: s.where("id = '1'"), change) == 3
+    assert len(tries) == 2
+    assert {r["id"] for r in tables.read_snapshot(spark, root).collect()} == {str(i) for i in range(40)} - {"1", "7"}
+    with ThreadPoolExecutor(4) as pool:
+        drop = lambda i: tables.change_snapshot(spark, root, lambda s: s.where(f"id = '{i}'"), lambda s: s.where(f"id <> '{i}'"))
+        assert sorted(pool.map(drop, [10, 11, 12, 13])) == [4, 5, 6, 7]
+    assert tables.read_snapshot(spark, root).count() == 34
+
+
+def test_a_writer_that_broke_off_is_passed_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "CLAIM_SECONDS", 0.5)
+    root = tmp_path / "snap"
+    tables.write_snapshot(spark.createDataFrame([("1", "u"), ("2", "u")], "id string, user_id string"), str(root), 4)
+    (root / "version=2").mkdir()
+    assert tables.change_snapshot(spark, str(root), lambda s: s.where("id = '1'"), lambda s: s.where("id <> '1'")) == 3
+    assert [r["id"] for r in tables.read_snapshot(spark, str(root)).collect()] == ["2"]
+
+
 def test_markdown_discovery(spark, tmp_path):
     for name, data in {"b.md": b"x\xffy\r\nz\rw", "a/z.md": b"z", "a.md": b"top", "note.txt": b"no",
                        "node_modules/m.md": b"no", "deep/dist/m.md": b"no", "deep/er/m.md": b"\xc3\xa9"}.items():
