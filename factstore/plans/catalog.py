@@ -14,7 +14,7 @@ from factstore.operators import audit, chunks, dedup, embed, lexical, mutate, re
 from factstore.plans import inputs
 from factstore.plans.inputs import AS_OF
 from factstore.session import shared_folder
-from factstore.sources import conversations, imports, tables
+from factstore.sources import conversations, files, imports, markdown, tables
 from factstore.sources.files import is_directory
 from factstore.streaming import ingest
 
@@ -293,18 +293,25 @@ def chunk_profile(spark, sf_dir):
     return _whole(rows)
 
 
+def _digests(rows, key, order):
+    """Number of chunks, and the digests of all chunks and of all their metadata in order."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "memory", F.coalesce("metadata", F.lit("")).alias("metadata"))))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"), ordered.alias("_rows")).select(
+        key, "n_chunks", F.md5(F.array_join(F.col("_rows.memory"), "\x01")).alias("chunks_md5"),
+        F.md5(F.array_join(F.col("_rows.metadata"), "\x01")).alias("metadata_md5"))
+
+
 def verbatim_headers(spark, sf_dir):
-    """Headers and tags of verbatim ingest, at a limit most documents exceed."""
+    """Exact chunks and metadata of verbatim ingest under headers, at a limit most documents exceed."""
     requests = inputs.add_requests(spark, sf_dir).withColumn("content", F.trim("content"))
-    rows, _ = chunks.add_verbatim(requests.withColumn("size", F.length("content")), max_chars=CHUNK_LIMIT)
-    header = F.concat(F.lit("[Document: d"), "request_id", F.lit("]\n\n"))
-    tag = F.get_json_object("metadata", "$.chunk")
-    return rows.groupBy("request_id").agg(
-        F.max(F.length("memory") <= CHUNK_LIMIT).alias("within_limit"),
-        F.min(F.startswith("memory", header)).alias("headed"),
-        F.count_if(tag == F.concat_ws("/", F.col("pos") + 1, "n_chunks")).alias("_tagged"), F.max("n_chunks").alias("_n"),
-        F.min(F.get_json_object("metadata", "$.lang")).alias("lang"),
-    ).select("request_id", "within_limit", "headed", "lang", (F.col("_tagged") == F.col("_n")).alias("tagged"))
+    rows, _ = chunks.add_verbatim(requests, max_chars=CHUNK_LIMIT)
+    return _digests(rows, "request_id", ["pos"])
+
+
+def add_facts(spark, sf_dir):
+    """Single facts that are stored, as they are."""
+    rows, _ = chunks.add_facts(inputs.add_requests(spark, sf_dir))
+    return rows.select("request_id", "user_id", F.md5("memory").alias("memory_md5"), "metadata")
 
 
 def verbatim_rejects(spark, sf_dir):
@@ -324,13 +331,27 @@ def plan_import(spark, sf_dir):
 
 
 def import_documents(spark, sf_dir):
-    rows = chunks.import_documents(inputs.document_files(spark, sf_dir), "team")
-    return rows.groupBy("file").agg(
-        F.min(F.startswith("memory", F.concat(F.lit("[Document: "), "file", F.lit("][Source: docs_import]\n\n"))))
-        .alias("all_headed"),
-        F.max(F.length("memory") <= 3000).alias("within_limit"),
-        (F.max("n_chunks") > 1).alias("split"),
-        F.count_if(F.get_json_object("metadata", "$.chunk").isNotNull() != (F.col("n_chunks") > 1)).alias("bad_tags"))
+    """Exact chunks of the document importer, with header, tag and metadata."""
+    return _digests(chunks.import_documents(inputs.document_files(spark, sf_dir), "team"), "file", ["part", "pos"])
+
+
+def markdown_files(spark, sf_dir):
+    """Markdown files of several folders, hidden ones among them, read back.
+
+    A file holds the digests of fifty documents, with line ends of another system.
+    """
+    place, k = shared_folder(spark, "markdown"), F.floor(F.col("doc_id") / 50)
+    line = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\r\n"), F.md5("text"))
+    # The lines of a document are two, and each line end but the last is one character longer.
+    made = inputs.table(spark, sf_dir, "documents").groupBy(k.alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("lines"))
+    folder = (F.when(F.col("k") % 6 == 0, "a/").when(F.col("k") % 6 == 1, "node_modules/").when(F.col("k") % 6 == 2, "b/.hidden/")
+              .when(F.col("k") % 6 == 3, "b/_own/").otherwise(""))
+    start = F.when(F.col("k") % 5 == 0, ".").when(F.col("k") % 5 == 1, "_").otherwise("f")
+    ending = F.when(F.col("k") % 7 == 0, ".txt").otherwise(".md")
+    text = F.array_join(F.transform("lines", lambda r: r["line"]), "\r\n")
+    files.write_files(made.select(F.concat(folder, start, F.col("k").cast("string"), ending).alias("file"), text.alias("text")), place)
+    return markdown.read_markdown(spark, place).select("file", "n_bytes", F.md5("text").alias("text_md5"))
 
 
 def rechunk_documents(spark, sf_dir):
@@ -416,6 +437,20 @@ def delete_namespace(spark, sf_dir):
     return mutate.delete_namespace(inputs.memories(spark, sf_dir), "src4").select("id", "user_id")
 
 
+def delete_entity(spark, sf_dir):
+    return mutate.delete_entity(inputs.memories(spark, sf_dir), "src2").select("id", "user_id")
+
+
+def update_then_search(spark, sf_dir):
+    """Texts replaced and embedded anew, then searched: the vectors are those of the new texts."""
+    encode = lambda df, text="memory": embed.embed(df, _letter_counts, 4, text)
+    store = encode(inputs.memories(spark, sf_dir, wide=True)).withColumn("user_id", F.lit("corpus"))
+    changed, _ = mutate.update_memories(store, _updates(spark, sf_dir), encode)
+    queries = inputs.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.lit("corpus").alias("user_id"), F.col("text").alias("query"))
+    return _score(search.search_text(changed, queries, lambda q: encode(q, "query"), 5))
+
+
 def delete_namespaces(spark, sf_dir):
     """Namespaces without a single good label are removed."""
     scored = inputs.memories(spark, sf_dir, scored=True)
@@ -560,6 +595,29 @@ def audit_dims(spark, sf_dir):
     return report.withColumn("dim", F.col("dim").cast("bigint"))
 
 
+def audit_strict(spark, sf_dir):
+    """What the strict audit says of a collection with two sizes, and of one that conforms."""
+    store = inputs.table(spark, sf_dir, "embeddings")
+    cut = store.withColumn("embedding", F.when(F.col("label") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    found = []
+    for name, df in (("cut", cut), ("whole", store)):
+        try:
+            audit.enforce_dims({name: df}, 64)
+            found.append((name, None))
+        except audit.DimensionMismatch as error:
+            found.append((name, str(error)))
+    return spark.createDataFrame(found, "collection string, refusal string")
+
+
+def audit_settings(spark, sf_dir):
+    """The vector size that each collection's setting names, in every shape a setting has."""
+    sizes = inputs.table(spark, sf_dir, "embeddings").groupBy("label").agg(F.max(F.size("embedding")).cast("string").alias("n"))
+    plain = F.concat(F.lit('{"size":'), F.col("n"), F.lit(',"distance":"Cosine"}'))
+    config = (F.when(F.col("label") % 5 == 0, plain).when(F.col("label") % 5 == 1, F.concat(F.lit('{"text":'), plain, F.lit("}")))
+              .when(F.col("label") % 5 == 2, F.concat(F.lit("["), plain, F.lit("]"))).when(F.col("label") % 5 == 3, "{}"))
+    return sizes.select("label", F.coalesce(audit.config_dims(config), F.lit(0)).cast("bigint").alias("dims"))
+
+
 def audit_drop(spark, sf_dir):
     store = inputs.table(spark, sf_dir, "embeddings")
     cut = store.withColumn("embedding", F.when(F.col("label") % 2 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
@@ -607,9 +665,9 @@ QUERIES = {f.__name__: f for f in (
     list_namespace, page_2, page_of_namespace, get_by_ids, entities, listing_stats, grep_records, entity_filter,
     listing_cards, flatten_payload, conversation_memories, validate_facts, validate_updates, validate_queries,
     validate_ids, validate_batches, short_docs, parse_dates, dedup_keys, canonical_models, tolerant_numbers, chunk_texts, chunk_paragraphs,
-    chunk_profile, verbatim_headers, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,
+    chunk_profile, verbatim_headers, add_facts, markdown_files, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,
     import_new_rows, import_rejects, import_report, import_status, import_array, union_store, update_text,
-    update_rejects, delete_ids, delete_rejects, delete_namespace, delete_namespaces, prune_dry_run, prune_candidates,
+    update_rejects, delete_ids, delete_rejects, delete_namespace, delete_entity, update_then_search, delete_namespaces, prune_dry_run, prune_candidates,
     prune_apply, prune_min_score, export_records, export_csv_lines, export_csv_file, export_csv_quoted, export_manifest,
-    stored_namespace, snapshot_after_prune, export_round_trip, import_csv, csv_round_trip, import_json_files, import_ids_unique, prune_legacy_ids, audit_dims, audit_drop, stream_ingest,
+    stored_namespace, snapshot_after_prune, export_round_trip, import_csv, csv_round_trip, import_json_files, import_ids_unique, prune_legacy_ids, audit_dims, audit_strict, audit_settings, audit_drop, stream_ingest,
     stream_rejects, stream_import)}

@@ -86,32 +86,43 @@ def document_files(spark: SparkSession, sf_dir: str, paragraphs: bool = False) -
         F.octet_length("text").cast("bigint").alias("n_bytes"), text.alias("text"))
 
 
+def _with_extra(docs: DataFrame, whole: list, extra: list[tuple]) -> DataFrame:
+    """Every document as ``whole`` says, and beside it a row for each condition of ``extra`` that it meets.
+
+    An array per document does this in streams as well.
+    """
+    rows = [F.struct(*whole)] + [F.when(condition, F.struct(*columns)) for condition, columns in extra]
+    return docs.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+
+
 def add_requests(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """Documents as add requests, some without text, owner or metadata."""
+    """Documents as add requests, some without owner or metadata, and requests without text beside them."""
     docs = documents(spark, sf_dir) if docs is None else docs
-    return docs.select(
-        F.col("doc_id").cast("string").alias("request_id"),
-        F.expr("CASE doc_id % 50 WHEN 0 THEN null WHEN 1 THEN ' \\n\\t ' ELSE text END").alias("content"),
-        F.nullif("source", F.lit("src3")).alias("user_id"),
-        F.when(F.col("lang") != "en", F.to_json(F.struct(
-            F.col("lang"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file")))).alias("metadata"))
+    name, owner = F.col("doc_id").cast("string"), F.nullif("source", F.lit("src3"))
+    metadata = F.when(F.col("lang") != "en", F.to_json(F.struct(F.col("lang"), F.concat(F.lit("d"), name).alias("file"))))
+
+    def request(key, content):
+        return [key.alias("request_id"), content.alias("content"), owner.alias("user_id"), metadata.alias("metadata")]
+
+    return _with_extra(docs, request(name, F.col("text")), [
+        (F.col("doc_id") % 50 == 0, request(F.concat(F.lit("none-"), name), F.lit(None).cast("string"))),
+        (F.col("doc_id") % 50 == 1, request(F.concat(F.lit("blank-"), name), F.lit(" \n\t ")))])
 
 
 def import_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """Documents as JSON import items ``(user_id, pos, data)`` of every shape."""
+    """Documents as JSON import items ``(user_id, pos, data)`` of every shape, and broken items beside them."""
     docs = documents(spark, sf_dir) if docs is None else docs
 
     def item(name):
         return F.to_json(F.struct(F.col("text").alias(name), F.struct("lang", "n_chars").alias("metadata")))
 
-    data = (F.when(F.col("doc_id") % 20 == 3, "17")
-            .when(F.col("doc_id") % 20 == 7, '"bare"')
-            .when(F.col("doc_id") % 20 == 11, '{"memory":"  ","text":"","metadata":{}}')
-            .when(F.col("doc_id") % 20 == 13, "[1,2]")
-            .when(F.col("doc_id") % 3 == 0, item("memory"))
-            .when(F.col("doc_id") % 3 == 1, item("text"))
-            .otherwise(item("content")))
-    return docs.select(F.lit("team").alias("user_id"), F.col("doc_id").alias("pos"), data.alias("data"))
+    def row(pos, data):
+        return [F.lit("team").alias("user_id"), pos.alias("pos"), data.alias("data")]
+
+    data = (F.when(F.col("doc_id") % 3 == 0, item("memory")).when(F.col("doc_id") % 3 == 1, item("text")).otherwise(item("content")))
+    broken = {3: "17", 7: '"bare"', 11: '{"memory":"  ","text":"","metadata":{}}', 13: "[1,2]"}
+    return _with_extra(docs, row(F.col("doc_id"), data), [
+        (F.col("doc_id") % 20 == n, row(-F.col("doc_id") - 1, F.lit(text))) for n, text in broken.items()])
 
 
 def import_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +134,14 @@ def import_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stored points whose text sits under varying members."""
-    base = table(spark, sf_dir, "documents").withColumn("n", F.col("doc_id") % 5)
-    owner = F.col("source").alias("user_id")
+    """Documents as stored points whose text sits under varying members, and points without text beside them."""
+    base, n = table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    owner, name = F.col("source").alias("user_id"), F.col("doc_id").cast("string")
     shapes = (
-        F.when(F.col("n") == 0, F.to_json(F.struct(F.col("text").alias("data"), owner, "lang", "n_chars")))
-        .when(F.col("n") == 1, F.to_json(F.struct(F.col("text").alias("memory"), owner, F.lit("2020-01-01").alias("created_at"))))
-        .when(F.col("n") == 2, F.to_json(F.struct(F.col("text").alias("text"), F.lit("x").alias("text_lemmatized"), "lang")))
-        .when(F.col("n") == 3, F.to_json(F.struct(F.lit("").alias("data"), F.col("text").alias("memory"), owner,
-                                                  F.lit("a1").alias("agent_id")))))
-    return base.select(F.col("doc_id").cast("string").alias("id"), shapes.alias("payload"))
+        F.when(n == 0, F.to_json(F.struct(F.col("text").alias("data"), owner, "lang", "n_chars")))
+        .when(n == 1, F.to_json(F.struct(F.col("text").alias("memory"), owner, F.lit("2020-01-01").alias("created_at"))))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("text"), F.lit("x").alias("text_lemmatized"), "lang"))))
+    empty = F.to_json(F.struct(F.lit("").alias("data"), F.col("text").alias("memory"), owner, F.lit("a1").alias("agent_id")))
+    return _with_extra(base, [name.alias("id"), shapes.alias("payload")], [
+        (F.col("doc_id") % 5 == 3, [F.concat(F.lit("empty-"), name).alias("id"), empty.alias("payload")]),
+        (F.col("doc_id") % 5 == 4, [F.concat(F.lit("none-"), name).alias("id"), F.lit(None).cast("string").alias("payload")])])

@@ -145,23 +145,34 @@ def _packed(limit: int, compat: bool) -> str:
 
 
 _REQUESTS = f"""
+asked AS (
+  SELECT CAST(doc_id AS VARCHAR) AS request_id, text AS content, * FROM documents
+  UNION ALL SELECT 'none-' || doc_id, NULL, * FROM documents WHERE doc_id % 50 = 0
+  UNION ALL SELECT 'blank-' || doc_id, ' ' || chr(10) || chr(9) || ' ', * FROM documents WHERE doc_id % 50 = 1),
 requests AS (
-  SELECT CAST(doc_id AS VARCHAR) AS request_id, nullif(source, 'src3') AS owner, source, text, doc_id,
-         CASE doc_id % 50 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) || chr(9) || ' ' ELSE text END AS content
-  FROM documents),
+  SELECT request_id, nullif(source, 'src3') AS owner, source, text, doc_id, lang, content FROM asked),
 checked AS (
   SELECT *, coalesce(owner, 'dev') AS user_id, {_strip('content')} AS stripped FROM requests)"""
 
+def _under(source: str, limit: int) -> str:
+    """Chunks of ``text`` in rows of ``source`` under the header ``head``, whose length varies."""
+    packed = _packed("room", True).replace("FROM documents)", "FROM roomy)").replace("SELECT doc_id,", "SELECT *,")
+    return f"""roomy AS (SELECT *, {limit} - CASE WHEN head = '' THEN 0 ELSE length(head) + 2 END AS room FROM {source}),
+{packed},
+headed AS (SELECT * EXCLUDE (pieces), CASE WHEN head = '' THEN pieces
+  ELSE list_transform(pieces, lambda p: head || chr(10) || chr(10) || p) END AS pieces FROM packed)"""
+
+
 _FILE = "source || '/' || doc_id || '.md'"
 
 _ITEMS = f"""
 items AS (
   SELECT doc_id AS pos, text, lang, n_chars,
-    CASE WHEN doc_id % 20 = 3 THEN 'Non-dict item skipped: int'
-         WHEN doc_id % 20 = 7 THEN 'Non-dict item skipped: str'
-         WHEN doc_id % 20 = 13 THEN 'Non-dict item skipped: list'
-         WHEN doc_id % 20 = 11 OR {_strip('text')} = '' THEN 'Empty memory text, skipped' END AS message
-  FROM documents),
+         CASE WHEN {_strip('text')} = '' THEN 'Empty memory text, skipped' END AS message FROM documents
+  UNION ALL SELECT -doc_id - 1, NULL, NULL, NULL,
+    CASE doc_id % 20 WHEN 3 THEN 'Non-dict item skipped: int' WHEN 7 THEN 'Non-dict item skipped: str'
+         WHEN 13 THEN 'Non-dict item skipped: list' ELSE 'Empty memory text, skipped' END
+  FROM documents WHERE doc_id % 20 IN (3, 7, 11, 13)),
 valid AS (SELECT pos, text, lang, n_chars, lower({_strip('text')}) AS k FROM items WHERE message IS NULL),
 stored AS (
   SELECT DISTINCT lower({_strip('text')}) AS k FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
@@ -265,14 +276,14 @@ SELECT md5(replace(memory, '<', '&lt;')) AS card_text, user_id AS owner, substr(
        coalesce(created_at, '-') AS created,
        CASE WHEN quality IS NULL THEN '' ELSE printf('%.3f', CAST(quality AS DOUBLE)) END AS score_text
 FROM mem LEFT JOIN labels USING (doc_id)""",
-    "flatten_payload": """SELECT CAST(doc_id AS VARCHAR) AS id,
-  md5(CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN text ELSE '' END) AS memory_md5,
-  CASE WHEN doc_id % 5 IN (0, 1, 3) THEN source ELSE '' END AS user_id,
-  CASE WHEN doc_id % 5 = 3 THEN 'a1' END AS agent_id,
-  CASE WHEN doc_id % 5 = 1 THEN '2020-01-01' ELSE '' END AS created_at,
-  CASE doc_id % 5 WHEN 0 THEN '{"lang":"' || lang || '","n_chars":' || n_chars || '}'
-       WHEN 2 THEN '{"lang":"' || lang || '"}' WHEN 3 THEN '{"agent_id":"a1"}' ELSE '{}' END AS metadata
-FROM documents""",
+    "flatten_payload": """SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS memory_md5,
+  CASE WHEN doc_id % 3 < 2 THEN source ELSE '' END AS user_id, CAST(NULL AS VARCHAR) AS agent_id,
+  CASE WHEN doc_id % 3 = 1 THEN '2020-01-01' ELSE '' END AS created_at,
+  CASE doc_id % 3 WHEN 0 THEN '{"lang":"' || lang || '","n_chars":' || n_chars || '}'
+       WHEN 2 THEN '{"lang":"' || lang || '"}' ELSE '{}' END AS metadata
+FROM documents
+UNION ALL SELECT 'empty-' || doc_id, md5(''), source, 'a1', '', '{"agent_id":"a1"}' FROM documents WHERE doc_id % 5 = 3
+UNION ALL SELECT 'none-' || doc_id, md5(''), '', NULL, '', '{}' FROM documents WHERE doc_id % 5 = 4""",
     "conversation_memories": """SELECT conv_id, CAST(coalesce(turn // 10000, 0) AS BIGINT) AS part,
   CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS memory, count(*) AS messages
 FROM conversations GROUP BY conv_id, part""",
@@ -315,9 +326,17 @@ SELECT doc_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS
 SELECT doc_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5 FROM packed""",
     "chunk_profile": _VERBATIM,
     "verbatim_headers": f"""WITH {_REQUESTS},
-kept AS (SELECT request_id, trim(content, ' ') AS c, lang FROM checked JOIN documents USING (doc_id) WHERE stripped <> '')
-SELECT request_id, true AS within_limit, length(c) > 500 AND lang <> 'en' AS headed,
-  CASE WHEN lang <> 'en' THEN lang END AS lang, length(c) > 500 AS tagged FROM kept""",
+kept AS (SELECT request_id, trim(content, ' ') AS text, lang, doc_id,
+                CASE WHEN lang <> 'en' AND length(trim(content, ' ')) > 500 THEN '[Document: d' || doc_id || ']' ELSE '' END AS head
+         FROM checked WHERE stripped <> ''),
+{_under('kept', 500)},
+tagged AS (SELECT *, length(text) > 500 AS cut, CASE WHEN lang <> 'en' THEN '"file":"d' || doc_id || '","lang":"' || lang || '"' END AS own
+           FROM headed)
+SELECT request_id, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5,
+  md5(array_to_string(list_transform(range(len(pieces)), lambda i: CASE
+    WHEN cut THEN '{{' || coalesce(own || ',', '') || '"chunk":"' || (i + 1) || '/' || len(pieces) || '"}}'
+    WHEN own IS NULL THEN '' ELSE '{{"lang":"' || lang || '","file":"d' || doc_id || '"}}' END), chr(1))) AS metadata_md5
+FROM tagged""",
     "verbatim_rejects": f"""WITH {_REQUESTS}
 SELECT request_id, user_id,
   CASE WHEN content IS NULL THEN 'content_required' ELSE 'empty_content' END AS error_code,
@@ -330,9 +349,15 @@ SELECT request_id, len(pieces) AS chunks,
 FROM checked JOIN packed USING (doc_id) WHERE stripped <> ''""",
     "plan_import": f"""WITH {_packed(500, True)}
 SELECT {_FILE} AS file, strlen(text) AS n_bytes, len(pieces) AS n_chunks FROM documents JOIN packed USING (doc_id)""",
-    "import_documents": f"""SELECT {_FILE} AS file, true AS all_headed, true AS within_limit,
-  length(text) + length('[Document: ' || {_FILE} || '][Source: docs_import]') + 2 > 3000 AS split, 0 AS bad_tags
-FROM documents WHERE length({_strip('text')}) >= 50""",
+    "import_documents": f"""WITH
+files AS (SELECT doc_id, text, {_FILE} AS file, '[Document: ' || {_FILE} || '][Source: docs_import]' AS head
+          FROM documents WHERE length({_strip('text')}) >= 50),
+{_under('files', 3000)}
+SELECT file, len(pieces) AS n_chunks, md5(array_to_string(pieces, chr(1))) AS chunks_md5,
+  md5(array_to_string(list_transform(range(len(pieces)), lambda i:
+    '{{"file":"' || file || '","repo":"team","source":"docs_import"'
+    || CASE WHEN len(pieces) > 1 THEN ',"chunk":"' || (i + 1) || '/' || len(pieces) || '"' ELSE '' END || '}}'), chr(1))) AS metadata_md5
+FROM headed""",
     "rechunk_documents": f"""SELECT {_FILE} AS file, true AS within_limit
 FROM documents WHERE length({_strip('text')}) >= 50""",
     "document_report": f"""SELECT count(*) FILTER (n >= 50) AS imported, CAST(0 AS BIGINT) AS failed,
@@ -370,6 +395,21 @@ SELECT id, user_id FROM mem WHERE id NOT IN (SELECT memory_id FROM updates)""",
 SELECT memory_id, 'unknown_id' AS error_code, 'Failed to delete memory ''' || memory_id || '''.' AS message
 FROM updates WHERE memory_id NOT IN (SELECT id FROM mem)""",
     "delete_namespace": "SELECT 'doc-' || doc_id AS id, source AS user_id FROM documents WHERE source IS DISTINCT FROM 'src4'",
+    "delete_entity": "SELECT 'doc-' || doc_id AS id, source AS user_id FROM documents WHERE source <> 'src2'",
+    "add_facts": f"""WITH {_REQUESTS}
+SELECT request_id, user_id, md5(content) AS memory_md5,
+       CASE WHEN lang <> 'en' THEN '{{"lang":"' || lang || '","file":"d' || doc_id || '"}}' END AS metadata
+FROM checked WHERE stripped <> '' AND length(stripped) <= 3000""",
+    "update_then_search": f"""WITH {_MEM},
+changed AS (SELECT 'doc-' || doc_id AS id, 'quality ' || quality AS content FROM labels WHERE toxic <> 1),
+stored AS (SELECT mem.id, coalesce(content, memory) AS memory FROM mem LEFT JOIN changed USING (id)),
+vec AS (SELECT id, [CAST(length(memory) AS DOUBLE), length(memory) - length(replace(memory, ' ', '')),
+                    length(memory) - length(replace(memory, 'e', '')), 1.0] AS v FROM stored),
+asked AS (SELECT item_id AS query_id, [CAST(length(text) AS DOUBLE), length(text) - length(replace(text, ' ', '')),
+                    length(text) - length(replace(text, 'e', '')), 1.0] AS q FROM benchmark),
+scored AS (SELECT query_id, id, round(list_cosine_similarity(v, q), 12) AS s FROM vec CROSS JOIN asked)
+SELECT query_id, rank, id, round(s, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored) WHERE rank <= 5""",
     "delete_namespaces": """SELECT 'doc-' || doc_id AS id, source AS user_id FROM documents WHERE source NOT IN (
   SELECT source FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source HAVING avg(quality) < 0.85)""",
     "prune_dry_run": f"""WITH {_DATED}
@@ -414,6 +454,19 @@ SELECT id, user_id FROM dated WHERE epoch IS NULL OR epoch >= {_CUTOFF}""",
 SELECT collection, dim, count(*) AS n_rows, CASE WHEN dim = 64 THEN 'ok' ELSE 'mismatch' END AS status,
   collection || CASE WHEN dim = 64 THEN ' OK (' ELSE ' mismatch (was ' END || dim || ')' AS action
 FROM a GROUP BY collection, dim""",
+    "audit_strict": """SELECT 'cut' AS collection, 'embedder needs 64: ' || count(*) ||
+  ' rows of 1 other sizes in 1 collections, first ''cut''; audit_dims lists them all' AS refusal FROM embeddings WHERE label % 2 = 1
+UNION ALL SELECT 'whole', NULL""",
+    "audit_settings": """SELECT label, CASE WHEN label % 5 < 2 THEN max(len(embedding)) ELSE 0 END AS dims
+FROM embeddings GROUP BY label""",
+    "markdown_files": """WITH g AS (
+  SELECT doc_id // 50 AS k, string_agg('# ' || doc_id || chr(10) || md5(text), chr(10) ORDER BY doc_id) AS body,
+         count(*) AS n FROM documents GROUP BY k),
+f AS (SELECT CASE k % 6 WHEN 0 THEN 'a/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'b/.hidden/' WHEN 3 THEN 'b/_own/' ELSE '' END
+             || CASE k % 5 WHEN 0 THEN '.' WHEN 1 THEN '_' ELSE 'f' END || k || CASE k % 7 WHEN 0 THEN '.txt' ELSE '.md' END AS file,
+             body, n FROM g)
+SELECT file, length(body) + 2 * n - 1 AS n_bytes, md5(body) AS text_md5 FROM f
+WHERE file LIKE '%.md' AND file NOT LIKE 'node_modules/%'""",
     "audit_drop": "SELECT vec_id, label FROM embeddings WHERE label % 2 = 0",
     "stream_ingest": _VERBATIM,
     "stream_rejects": f"SELECT * FROM ({_FACT_CHECK}) WHERE error_code IS NOT NULL",
