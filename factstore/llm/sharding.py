@@ -3,8 +3,9 @@
 Equal texts are one group. Each group goes to the shard where the dot product of its size
 vector with the residual capacity is highest, the largest groups first.
 
-* A group larger than half a shard in any measure cannot stay whole in balanced shards; it
-  is split by row into parts of at most half a shard. There are at most a few for a shard.
+* A group of more than half a shard's bytes cannot stay whole in shards of near equal bytes; it
+  is split by row into parts of at most half a shard in any measure. There are at most two for a shard. A
+  group of many rows or tokens that are few bytes stays whole, as the law does not need more.
 * Groups above ``HEAVY`` of a shard, whose number that share bounds, are placed together.
 * All others are dealt by hash into blocks of about ``BLOCK_GROUPS`` groups. Each block
   fills its part of the capacity that is left, so blocks are placed side by side.
@@ -88,8 +89,9 @@ def pack(docs: DataFrame, shards: int, tokenizer: tuple[str, bytes]) -> DataFram
 
     share = F.greatest(*(F.col(m) / c for m, c in zip(_MEASURES, capacity)))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
-    # The shares of all groups add up to three times the shards, so at most 6 * shards groups are split.
-    large = rows.groupBy("digest").agg(*sums).where(share > 0.5).select("digest", F.ceil(share * 2).alias("parts")).collect()
+    # The shares in bytes add up to the number of shards, so at most 2 * shards groups are split.
+    in_bytes = F.col("size") / capacity[0]
+    large = rows.groupBy("digest").agg(*sums).where(in_bytes > 0.5).select("digest", F.ceil(share * 2).alias("parts")).collect()
     parts = F.broadcast(spark.createDataFrame(large, "digest string, parts bigint"))
     rows = (rows.join(parts, "digest", "left")
             .withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts"))

@@ -183,3 +183,22 @@ def test_pipeline_stages(spark):
     vocabulary = automaton.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     last = sorted(map(tuple, automaton.digests(docs, vocabulary).collect()))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == last
+
+
+def test_groups_of_few_bytes_stay_whole(spark):
+    """Null and short hot texts are many rows and few bytes, so nothing asks to split them."""
+    import public_tokenizers
+
+    from factstore.llm import token_counts
+
+    rng = random.Random(4)
+    texts = [None] * 300 + ["ab"] * 300 + ["".join(rng.choices("abcd efg", k=300)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = sharding.report(docs, 4, token_counts.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    for text in (None, "ab"):
+        assert len({r["shard"] for r in rows if texts[r["doc_id"]] == text}) == 1
+    sizes = [s for s, _ in shares(rows, 4)]
+    assert len(rows) == 800 and max(sizes) / min(sizes) < 1.05
+    none = sharding.report(spark.createDataFrame([(i, None) for i in range(40)], "doc_id bigint, text string"), 4,
+                           token_counts.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    assert {n for _, n in shares(none, 4)} <= set(range(5, 16)) and sum(n for _, n in shares(none, 4)) == 40
