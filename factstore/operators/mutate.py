@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from factstore.functions.text import first_nonempty
-from factstore.operators.records import below_retention, older_than, preview
+from factstore.operators.records import below_retention, of_ids, older_than, preview
 from factstore.operators.validate import accepted, rejects, validate_ids, validate_updates
 from factstore.schema import DEFAULT_USER_ID, PRUNE_DAYS
 
@@ -18,8 +18,7 @@ def _unknown(requests: DataFrame, store: DataFrame, verb: str) -> DataFrame:
     The store's ids are first reduced to the requested ones, so that few requests
     never make a large store shuffle.
     """
-    asked = requests.select("memory_id").distinct()
-    held = store.select(F.col("id").alias("memory_id")).join(asked, "memory_id", "left_semi")
+    held = of_ids(store.select("id"), requests.select(F.col("memory_id").cast("string").alias("id"))).withColumnRenamed("id", "memory_id")
     return (requests.join(held, "memory_id", "left_anti")
             .withColumns({
                 "error_code": F.lit("unknown_id"),

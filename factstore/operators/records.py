@@ -12,6 +12,10 @@ from factstore.schema import DEFAULT_USER_ID, ENTITY_KEYS, EXPORT_COLUMNS, LIST_
 RESERVED_PAYLOAD_KEYS = ("data", "memory", "text", "user_id", "created_at", "embedding", "text_lemmatized")
 
 
+#: Ids that are compared in the scan one by one.
+MAX_PUSHED_IDS = 100
+
+
 def by_time() -> tuple[Column, Column]:
     """The order of listings: creation time, unknown times first, then id."""
     return parse_created_at("created_at").asc_nulls_first(), F.col("id").asc_nulls_first()
@@ -81,14 +85,30 @@ def of_entity(df: DataFrame, user_id: str = "") -> DataFrame:
     return df.where(F.coalesce(F.col("user_id"), F.lit("")) == user_id) if user_id else df
 
 
+def of_ids(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``store`` whose ``id`` is among those of ``ids`` (one column ``id``).
+
+    A few ids go into the scan as comparisons with single values, so that files and row groups
+    are left out by their ranges and Bloom filters of ids; more are joined, which the optimizer
+    does by broadcasting them if they are small.
+    """
+    few = ids.where(F.col("id").isNotNull()).distinct().limit(MAX_PUSHED_IDS + 1).collect()
+    if len(few) > MAX_PUSHED_IDS:
+        return store.join(ids.distinct(), "id", "left_semi")
+    tests = [F.col("id") == F.lit(r["id"]) for r in few] or [F.lit(False)]
+    while len(tests) > 1:  # a flat tree, however many there are
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2:]
+    return store.where(tests[0])
+
+
 def lookup(store: DataFrame, ids: DataFrame, column: str = "memory_id") -> DataFrame:
     """Requested ids with their records; ``found`` is false for an unknown id.
 
-    The store is only filtered by the ids, which the optimizer broadcasts if they are
-    few; what is joined afterwards is no larger than the request.
+    The store is only filtered by the ids (``of_ids``); what is joined afterwards is no
+    larger than the request.
     """
     wanted = ids.select(F.col(column).cast("string").alias("id")).where(F.col("id") != "").distinct()
-    known = store.join(wanted, "id", "left_semi").withColumn("found", F.lit(True))
+    known = of_ids(store, wanted).withColumn("found", F.lit(True))
     return (wanted.join(known, "id", "left")
             .withColumn("found", F.coalesce("found", F.lit(False)))
             .withColumn("message", F.when(~F.col("found"), F.concat(

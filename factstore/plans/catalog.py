@@ -158,6 +158,17 @@ def get_by_ids(spark, sf_dir):
     return got.select("id", "found", "user_id", "message")
 
 
+def get_stored_ids(spark, sf_dir):
+    """The first labelled documents of each source, looked up in a stored table."""
+    place = shared_folder(spark, "records")
+    tables.append(inputs.memories(spark, sf_dir), place)
+    docs = inputs.table(spark, sf_dir, "documents").join(inputs.table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    asked = docs.groupBy("source").agg(F.min("doc_id").alias("first")).select(
+        F.concat(F.lit("doc-"), F.col("first").cast("string")).alias("memory_id"))
+    got = tables.find(spark, place, asked.union(asked.select(F.concat("memory_id", F.lit("-none")))))
+    return got.select("id", "found", "user_id", F.md5("memory").alias("memory_md5"))
+
+
 def _entity_rows(spark, sf_dir):
     return inputs.table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("agent_id"),
@@ -662,7 +673,7 @@ def stream_import(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     search_topk, search_floor, search_no_scores, search_batch, search_records, search_batch_blocks, search_approx, search_text,
     cosine_to_centroid, near_duplicates, near_duplicates_blocks, near_duplicates_bucketed, bm25_scores, embed_hash, embed_encoder,
-    list_namespace, page_2, page_of_namespace, get_by_ids, entities, listing_stats, grep_records, entity_filter,
+    list_namespace, page_2, page_of_namespace, get_by_ids, get_stored_ids, entities, listing_stats, grep_records, entity_filter,
     listing_cards, flatten_payload, conversation_memories, validate_facts, validate_updates, validate_queries,
     validate_ids, validate_batches, short_docs, parse_dates, dedup_keys, canonical_models, tolerant_numbers, chunk_texts, chunk_paragraphs,
     chunk_profile, verbatim_headers, add_facts, markdown_files, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,

@@ -261,6 +261,10 @@ SELECT id, created_at FROM dated WHERE user_id = 'src5' ORDER BY epoch NULLS FIR
 SELECT ids.id AS id, mem.id IS NOT NULL AS found, user_id,
        CASE WHEN mem.id IS NULL THEN 'Failed to retrieve memory ''' || ids.id || '''.' END AS message
 FROM ids LEFT JOIN mem ON ids.id = mem.id""",
+    "get_stored_ids": f"""WITH {_MEM}, first AS (
+  SELECT 'doc-' || min(doc_id) AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY source)
+SELECT mem.id AS id, true AS found, user_id, md5(memory) AS memory_md5 FROM mem JOIN first USING (id)
+UNION ALL SELECT id || '-none', false, NULL, NULL FROM first""",
     "entities": """SELECT DISTINCT entity FROM (
   SELECT CAST(user_id AS VARCHAR) AS entity FROM events UNION ALL SELECT event_type FROM events
   UNION ALL SELECT json_extract_string(props, '$.k') FROM events) WHERE entity <> ''""",

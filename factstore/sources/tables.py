@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from factstore.functions.dates import utc_now_text
 from factstore.functions.text import csv_line, metadata_cell, quoted_csv_line, record_id
-from factstore.operators.records import export_records, list_namespace, of_entity
+from factstore.operators.records import export_records, list_namespace, lookup, of_entity
 from factstore.operators.validate import check_export_format
 from factstore.schema import EXPORT_COLUMNS
 from factstore.sources.files import children, create_exclusively, exists, read_text
@@ -36,11 +36,15 @@ def _bucket(user_id: Column, buckets: int) -> Column:
 
 def _write(df: DataFrame, path: str, mode: str, buckets: int) -> None:
     column = _BUCKET_COLUMN.format(buckets)
+    # Rows lie by namespace and id, and each row group tells which ids it may hold.
+    order = ["user_id", *(c for c in ("id",) if c in df.columns)]
+    writer = df.withColumn(column, _bucket(F.col("user_id"), buckets))
     # Rebalancing merges small partitions and splits the one a large namespace makes.
-    (df.withColumn(column, _bucket(F.col("user_id"), buckets))
-       .hint("rebalance", column)
-       .sortWithinPartitions(column, "user_id")
-       .write.mode(mode).partitionBy(column).parquet(path))
+    writer = writer.hint("rebalance", column).sortWithinPartitions(column, *order).write.mode(mode).partitionBy(column)
+    for name in order[1:]:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(
+            f"parquet.bloom.filter.adaptive.enabled#{name}", "true")
+    writer.parquet(path)
 
 
 def new_records(rows: DataFrame, batch: str, keys: list[str], created_at: str | None = None) -> DataFrame:
@@ -71,6 +75,11 @@ def _version_file(root: str, version: int) -> str:
     return f"{root}/version={version}/paths.json"
 
 
+def find(spark: SparkSession, path: str, ids: DataFrame, column: str = "memory_id") -> DataFrame:
+    """Requested ids with their stored records; a few ids open few row groups."""
+    return lookup(scan(spark, path), ids, column)
+
+
 def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
     """Completely written versions, oldest first."""
     names = [(_VERSION.match(n), n) for n in children(spark, root)]
