@@ -21,6 +21,7 @@ from factstore.streaming import ingest
 DUPLICATE_THRESHOLD = 0.3
 CHUNK_LIMIT = 500
 MESSAGES_PER_FILE = 500
+ROWS_PER_RANGE = 100
 ROWS_PER_CELL = 50
 
 
@@ -150,6 +151,16 @@ def page_of_namespace(spark, sf_dir):
     return records.page(inputs.memories(spark, sf_dir), "src5", limit=7, page=2).select("id", "created_at")
 
 
+def page_far(spark, sf_dir):
+    """A page behind the middle of each namespace of a stored listing, of which two ranges of a namespace are read."""
+    place = shared_folder(spark, "listing")
+    tables.write_listing(inputs.memories(spark, sf_dir), place, ROWS_PER_RANGE)
+    rows = tables.listing_page(spark, place, None, 10, 4)
+    one = tables.listing_page(spark, place, "src5", 7, 6)
+    return rows.select(F.lit("each").alias("of"), "user_id", F.col("position").cast("bigint").alias("position"), "id").union(
+        one.select(F.lit("src5"), "user_id", F.col("position").cast("bigint"), "id"))
+
+
 def get_by_ids(spark, sf_dir):
     """Ids of all labelled documents and of all pages; the latter are unknown."""
     labelled = inputs.table(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("memory_id"))
@@ -673,7 +684,7 @@ def stream_import(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     search_topk, search_floor, search_no_scores, search_batch, search_records, search_batch_blocks, search_approx, search_text,
     cosine_to_centroid, near_duplicates, near_duplicates_blocks, near_duplicates_bucketed, bm25_scores, embed_hash, embed_encoder,
-    list_namespace, page_2, page_of_namespace, get_by_ids, get_stored_ids, entities, listing_stats, grep_records, entity_filter,
+    list_namespace, page_2, page_of_namespace, page_far, get_by_ids, get_stored_ids, entities, listing_stats, grep_records, entity_filter,
     listing_cards, flatten_payload, conversation_memories, validate_facts, validate_updates, validate_queries,
     validate_ids, validate_batches, short_docs, parse_dates, dedup_keys, canonical_models, tolerant_numbers, chunk_texts, chunk_paragraphs,
     chunk_profile, verbatim_headers, add_facts, markdown_files, verbatim_rejects, chunk_reports, plan_import, import_documents, rechunk_documents, document_report,

@@ -254,6 +254,10 @@ SELECT id, md5(memory) AS memory_md5, metadata, created_at FROM mem WHERE user_i
 SELECT user_id, position, id FROM (
   SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY epoch NULLS FIRST, id) AS position FROM dated)
 WHERE position BETWEEN 11 AND 20""",
+    "page_far": f"""WITH {_DATED},
+placed AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY epoch NULLS FIRST, id) AS position FROM dated)
+SELECT 'each' AS of, user_id, position, id FROM placed WHERE position BETWEEN 31 AND 40
+UNION ALL SELECT 'src5', user_id, position, id FROM placed WHERE user_id = 'src5' AND position BETWEEN 36 AND 42""",
     "page_of_namespace": f"""WITH {_DATED}
 SELECT id, created_at FROM dated WHERE user_id = 'src5' ORDER BY epoch NULLS FIRST, id LIMIT 7 OFFSET 7""",
     "get_by_ids": f"""WITH {_MEM}, ids AS (

@@ -14,16 +14,19 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from factstore.functions.dates import utc_now_text
+from factstore.functions.dates import parse_created_at, utc_now_text
 from factstore.functions.text import csv_line, metadata_cell, quoted_csv_line, record_id
 from factstore.operators.records import export_records, list_namespace, lookup, of_entity
+from factstore.operators.sizing import broadcast_if_small
 from factstore.operators.validate import check_export_format
-from factstore.schema import EXPORT_COLUMNS
+from factstore.schema import EXPORT_COLUMNS, LIST_LIMIT
 from factstore.sources.files import children, create_exclusively, exists, read_text
 
 BUCKETS = 64
+#: Records of a range of a stored listing.
+ROWS_PER_RANGE = 50_000
 #: How long a version that another job has begun is waited for.
 CLAIM_SECONDS = 60.0
 _BUCKET_COLUMN = "namespace_of_{}"
@@ -179,6 +182,52 @@ def list_page(spark: SparkSession, path: str, user_id: str, limit: int | None =
     return list_namespace(scan(spark, path, user_id).drop("embedding"), user_id, limit)
 
 
+def write_listing(df: DataFrame, path: str, rows_per_range: int = ROWS_PER_RANGE) -> None:
+    """Records in the order of listings, cut into ranges, with a directory of their counts.
+
+    A range holds neighbouring records of one namespace or several; the directory says how
+    many of each namespace it holds, so that the range of any position follows from sums.
+    """
+    spark, order = df.sparkSession, ["user_id", "_epoch", "id"]
+    ranges = max(1, -(-df.count() // rows_per_range))
+    rows = df.withColumn("_epoch", parse_created_at("created_at")).repartitionByRange(ranges, *order)
+    (rows.withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order)
+     .write.mode("errorifexists").partitionBy("range").parquet(f"{path}/rows"))
+    # Written from the files themselves; a listing without it is not finished.
+    (spark.read.schema(_listed(df.schema)).parquet(f"{path}/rows").groupBy("user_id", "range").agg(F.count(F.lit(1)).alias("n"))
+     .sort("user_id", "range").write.mode("errorifexists").parquet(f"{path}/ranges"))
+
+
+def _listed(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema, T.StructField("_epoch", T.DoubleType()), T.StructField("range", T.IntegerType())])
+
+
+def listing_page(spark: SparkSession, path: str, user_id: str | None = None, limit: int = LIST_LIMIT, page: int = 1) -> DataFrame:
+    """A page of one namespace, or of each, with its ``position``: only the ranges that it lies in are read.
+
+    The records before them are counted in the directory and never sorted.
+    """
+    if limit < 1 or page < 1:
+        raise ValueError("limit and page start at 1")
+    first = (page - 1) * limit
+    before = Window.partitionBy("user_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = spark.read.parquet(f"{path}/ranges").select("user_id", "range", "n")
+    ranges = ranges if user_id is None else ranges.where(F.col("user_id") == user_id)
+    met = (ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+           .where((F.col("before") < first + limit) & (F.col("before") + F.col("n") > first)))
+    # A page lies in a few ranges of a namespace; the first of them says where the count starts.
+    met = met.select("user_id", "range", F.min("before").over(Window.partitionBy("user_id")).alias("before"))
+    if user_id is not None:
+        held = met.collect()
+        rows = spark.read.parquet(f"{path}/rows").where(F.col("range").isin(*[r["range"] for r in held]) if held else F.lit(False))
+        rows = rows.where(F.col("user_id") == user_id).withColumn("before", F.lit(held[0]["before"] if held else 0))
+    else:
+        rows = spark.read.parquet(f"{path}/rows").join(broadcast_if_small(met), ["user_id", "range"])
+    place = Window.partitionBy("user_id").orderBy(F.col("_epoch").asc_nulls_first(), F.col("id").asc_nulls_first())
+    return (rows.withColumn("position", F.row_number().over(place) + F.col("before"))
+            .where((F.col("position") > first) & (F.col("position") <= first + limit)).drop("_epoch", "range", "before"))
+
+
 def export_manifest(df: DataFrame) -> DataFrame:
     """Number of exported records per namespace."""
     return df.groupBy("user_id").agg(F.count(F.lit(1)).alias("count"))

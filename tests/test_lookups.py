@@ -1,5 +1,6 @@
-"""Lookups by id in a stored table open few of its row groups."""
+"""Lookups by id and far pages open little of a stored table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from factstore.operators import mutate, records
@@ -64,3 +65,23 @@ def test_many_ids_give_the_same(spark, monkeypatch):
         assert left.count() == 200 and sorted(str(r["memory_id"]) for r in failed.collect()) == ["None", "x"]
     monkeypatch.undo()
     assert records.of_ids(store, asked.limit(0)).count() == 0
+
+
+def test_far_pages_read_one_range(spark, tmp_path):
+    when = F.concat(F.lit("2024-01-01T00:"), F.lpad((F.col("id") * 7 % 60).cast("string"), 2, "0"))
+    df = spark.range(3000).select(
+        F.concat(F.lit("m"), F.col("id")).alias("id"), F.when(F.col("id") % 5 == 0, "a").when(F.col("id") % 50 == 1, "b").otherwise("hot").alias("user_id"),
+        F.when(F.col("id") % 11 > 0, when).alias("created_at"))
+    tables.write_listing(df.repartition(5), str(tmp_path / "l"), 100)
+    for limit, page in ((10, 1), (10, 100), (170, 3), (7, 500), (100, 24)):
+        want = [r["id"] for r in records.page(df, "hot", limit, page).collect()]
+        got = tables.listing_page(spark, str(tmp_path / "l"), "hot", limit, page)
+        assert [r["id"] for r in got.orderBy("position").collect()] == want
+        every = records.page(df, None, limit, page).select("user_id", "position", "id")
+        each = tables.listing_page(spark, str(tmp_path / "l"), None, limit, page).select("user_id", "position", "id")
+        assert sorted(map(tuple, each.collect())) == sorted(map(tuple, every.collect()))
+    far = tables.listing_page(spark, str(tmp_path / "l"), "hot", 10, 150)
+    assert 0 < rows_read(far) <= 250  # of 3000, one range or two
+    assert tables.listing_page(spark, str(tmp_path / "l"), "nobody").count() == 0
+    with pytest.raises(ValueError):
+        tables.listing_page(spark, str(tmp_path / "l"), "hot", 0)
