@@ -30,7 +30,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from factstore.llm.common import text_slices, worker_state
 from factstore.llm.segments import SPLIT, SegmentCoder, binaries, byte_chars
 
-_KEPT = 20_000
+#: Bytes of text whose new words are followed together with all that this takes, and words kept.
+_SLICE, _KEPT = 1_000_000, 100_000
 _SHIFT = 21
 _NEVER = 1 << 60
 #: Words followed together, and bytes of a word that is followed alone.
@@ -290,7 +291,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, coder = _coder(vocabulary, name)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, _SLICE):
             ids, starts = coder.pack(texts)
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(starts)), binaries(ids, starts)],
                                   ["doc_id", "n_tokens", "ids"])
@@ -323,7 +324,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, coder = _coder(vocabulary, name)
-        for batch, texts in text_slices(batches):
+        for batch, texts in text_slices(batches, _SLICE):
             ids, starts = coder.pack(texts)
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(starts)), binaries(ids, starts),
                                    automaton.decode_runs(ids, starts)], ["doc_id", "n_tokens", "ids", "decoded"])

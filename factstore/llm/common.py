@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factstore.session import shared_folder
 
-#: Bytes of text that a task holds decoded at a time, and of text that is cut into pieces at a time.
-SLICE_BYTES, PIECES_BYTES = 4_000_000, 1_000_000
+#: Bytes of text that a task holds decoded at a time.
+SLICE_BYTES = 4_000_000
 
 
 def worker_state(key: str, make: Callable[[], object]):
@@ -78,14 +78,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at, len(texts)), texts
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """As ``slices``, with the texts as an Arrow array (null: empty)."""
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As ``slices`` of ``size`` bytes, with the texts as an Arrow array (null: empty)."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column), "")
         ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, before + PIECES_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(at, end - at), texts.slice(at, end - at)
             at = end
 

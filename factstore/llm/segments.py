@@ -48,7 +48,7 @@ class SegmentCoder:
     """
 
     def __init__(self, encode_all: Callable[[list[str]], list[np.ndarray]], lengths: np.ndarray,
-                 specials: dict[str, int], most: int = 600_000, most_bytes: int = 40_000_000):
+                 specials: dict[str, int], most: int = 600_000, most_bytes: int = 64_000_000):
         self.encode_all, self.lengths, self.most, self.most_bytes = encode_all, lengths, most, most_bytes
         self.specials = specials
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") \

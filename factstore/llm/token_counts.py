@@ -66,7 +66,7 @@ def library_coder(content: bytes, ranked: bool = False) -> SegmentCoder:
         as_byte = {c: b for b, c in byte_chars()}
         ranks = tiktoken.Encoding("ranked", pat_str=SPLIT, special_tokens={}, mergeable_ranks={
             bytes(as_byte[c] for c in text): i for text, i in tokenizer.get_vocab().items() if text not in added})
-    return SegmentCoder(encode_ranked if ranked else encode_all, lengths, added)
+    return SegmentCoder(encode_ranked if ranked else encode_all, lengths, added, most_bytes=100_000_000)
 
 
 def merges_by_id(tokenizer: tuple[str, bytes]) -> bool:
