@@ -22,7 +22,7 @@ from factstore.operators.sizing import (
 from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
 
 ROWS_PER_BLOCK = 20_000
-QUERIES_PER_PRODUCT = 512
+QUERIES_PER_PRODUCT, ROWS_PER_PRODUCT = 512, 4096
 MAX_PUSHED_NAMESPACES = 200
 # Equal vectors must get equal scores wherever they sit in a matrix, so that ties
 # go by id and results do not depend on how the table is partitioned.
@@ -130,8 +130,8 @@ def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType
 def _search_by_block(store: DataFrame, queries: DataFrame, k: int, rows_per_block: int) -> DataFrame:
     """Every block of a namespace's rows meets every block of its queries.
 
-    A namespace is cut into as many blocks as its size asks for, so a namespace with
-    a third of all rows becomes many groups of bounded size instead of one.
+    A namespace is cut into as many blocks as its size asks for (``block_counts``), so a
+    namespace with a third of all rows becomes many groups of bounded size instead of one.
     """
     keys = ["user_id"]
     store_blocks = block_counts(store, keys, rows_per_block, "row_blocks")
@@ -240,8 +240,9 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_
     Equal vectors are folded into their first record before anything is compared:
     its copies match it with score one and it answers for them towards later rows.
     The rest is compared cell by cell: ``meeting`` sends each row to the pivots that the
-    threshold's angle allows, and each pair to one of them. A cell larger than a block is
-    cut into blocks and every two of them meet in a group of their own.
+    threshold's angle allows, and each pair to one of them. A cell larger than a block is cut into blocks
+    (``block_counts``) and every two of them meet in a group of their own. So the rows that
+    are shuffled stay a small multiple of the store, while the pairs to compare may be all.
     """
     same = ["user_id", "_same"]
     # Two 64-bit hashes of the vector stand for it, so that ids alone are grouped.
@@ -256,22 +257,12 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_
     copies = (rows.drop("embedding").join(repeated, same).where(F.col("id") > F.col("first_id"))
               .select("user_id", "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score")))
 
-    keys = ["user_id", "cell"]
     pivots = fit(singles, cells_for(df.count(), rows_per_cell))
-    grouped = meeting(singles, pivots, threshold)
+    cells = _paired(meeting(singles, pivots, threshold), rows_per_block)
     id_field = singles.schema["id"]
     out = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("id", id_field.dataType),
                         T.StructField("match_id", id_field.dataType), T.StructField("score", T.DoubleType())])
-    counts = block_counts(grouped, keys, rows_per_block, "blocks")
-    placed = spread(grouped, counts, keys, "blocks").withColumn("block", block_of("id", "blocks"))
-    # A row of block b visits cell (min(b, j), max(b, j)) for every block j.
-    cells = placed.select(
-        *keys, "id", "embedding", "home", "block",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(*keys, "id", "embedding", "home", "block",
-                         F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    cell = [*keys, "low", "high"]
+    cell = ["user_id", "cell", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None
@@ -295,6 +286,19 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_
             .where(F.col("score") >= threshold))
 
 
+def _paired(grouped: DataFrame, rows_per_block: int) -> DataFrame:
+    """Rows of cells, once for each pair of blocks ``(low, high)`` that a row's ``block`` belongs to."""
+    keys = ["user_id", "cell"]
+    counts = block_counts(grouped, keys, rows_per_block, "blocks")
+    placed = spread(grouped, counts, keys, "blocks").withColumn("block", block_of("id", "blocks"))
+    # A row of block b visits cell (min(b, j), max(b, j)) for every block j.
+    cells = placed.select(
+        *keys, "id", "embedding", "home", "block",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return cells.select(*keys, "id", "embedding", "home", "block",
+                        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def _runs(table: pa.Table, columns: list[str]) -> np.ndarray:
     """Positions at which a new combination of the columns begins, in sorted rows."""
     changed = np.zeros(table.num_rows, dtype=bool)
@@ -341,17 +345,17 @@ def _best_earlier(table: pa.Table, starts: np.ndarray, threshold: float) -> pa.T
             for asking, both in ((homes, False), (guests, True)):
                 for start in range(0, len(asking), QUERIES_PER_PRODUCT):
                     some = asking[start:start + QUERIES_PER_PRODUCT]
-                    others = homes if both else homes[:start + len(some)]
-                    if not len(others):
-                        continue
-                    scores = np.round(vectors[some] @ vectors[others].T, SCORE_DIGITS)
-                    if crossing[place[0]]:
-                        # Pairs within one block belong to that block's own cell.
-                        scores[block[some, None] == block[None, others]] = -np.inf
-                    before = others[None, :] < some[:, None]
-                    found.offer(some, others, np.where(before, scores, -np.inf))
-                    if both:
-                        found.offer(others, some, np.where(before, -np.inf, scores).T)
+                    met = homes if both else homes[:start + len(some)]
+                    for first in range(0, len(met), ROWS_PER_PRODUCT):
+                        others = met[first:first + ROWS_PER_PRODUCT]
+                        scores = np.round(vectors[some] @ vectors[others].T, SCORE_DIGITS)
+                        if crossing[place[0]]:
+                            # Pairs within one block belong to that block's own cell.
+                            scores[block[some, None] == block[None, others]] = -np.inf
+                        before = others[None, :] < some[:, None]
+                        found.offer(some, others, np.where(before, scores, -np.inf))
+                        if both:
+                            found.offer(others, some, np.where(before, -np.inf, scores).T)
             near = np.flatnonzero(found.scores >= threshold)
             rows += place[near].tolist()
             earlier += ids[found.at[near]].tolist()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 MAX_BROADCAST_ROWS = 1_000_000
+#: Blocks that a group is cut into at most, as long as they hold no more than this many rows.
+MOST_BLOCKS, ROWS_HELD = 6, 20_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -39,12 +41,16 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
 def block_counts(df: DataFrame, keys: list[str], rows_per_block: int, name: str) -> DataFrame:
     """Keys with more rows than one block holds, and how many blocks each needs.
 
+    A row is sent to a task for each block that it meets, so small blocks of a large group
+    would copy the table hundreds of times. Beyond ``MOST_BLOCKS`` blocks grow with
+    the group instead, up to ``ROWS_HELD`` rows; only then are there more of them.
     At most ``rows / rows_per_block`` keys can qualify, so the result stays small
     however many keys there are; it is broadcast if measuring confirms that.
     """
+    most = F.greatest(F.lit(MOST_BLOCKS), F.ceil(F.col("_n") / ROWS_HELD))
     return broadcast_if_small(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                               .where(F.col("_n") > rows_per_block)
-                              .select(*keys, F.ceil(F.col("_n") / rows_per_block).cast("int").alias(name)))
+                              .select(*keys, F.least(F.ceil(F.col("_n") / rows_per_block), most).cast("int").alias(name)))
 
 
 def spread(df: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factstore.operators import cells, embed, lexical, search, vector_index
+from factstore.operators import cells, embed, lexical, search, sizing, vector_index
 from factstore.plans import catalog, inputs
 
 RNG = np.random.default_rng(5)
@@ -246,3 +246,22 @@ def test_recall_of_the_registered_settings(spark, tmp_path):
     rows = [sorted(tuple(r) for r in q(spark, EMBEDDINGS).collect())
             for q in (catalog.near_duplicates, catalog.near_duplicates_bucketed)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_rows_travel_a_few_times_however_small_the_blocks(spark):
+    """Blocks and cells copy a row to each one that it meets; their number does not follow the rows."""
+    for n in (300, 1200):
+        rng = np.random.default_rng(3)
+        store = spark.createDataFrame([(i, "u", rng.normal(size=8).tolist()) for i in range(n)],
+                                      "id long, user_id string, embedding array<float>")
+        counts = sizing.block_counts(store, ["user_id"], 2, "blocks").first()
+        assert counts["blocks"] == sizing.MOST_BLOCKS
+        met = cells.meeting(store, cells.fit(store, 1), 0.3)
+        assert search._paired(met, 2).count() == sizing.MOST_BLOCKS * n
+
+
+def test_blocks_that_would_hold_too_much_become_more(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "ROWS_HELD", 10)
+    store = spark.range(95).select("id", F.lit("u").alias("user_id"))
+    assert sizing.block_counts(store, ["user_id"], 3, "blocks").first()["blocks"] == 10
+    assert sizing.block_counts(store, ["user_id"], 30, "blocks").first()["blocks"] == 4
