@@ -7,7 +7,7 @@ exclude need not be read or compared, and nothing else is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ SLACK = 1e-6
 #: The cell of rows whose vectors have another size than the pivots; nothing is known of their angles.
 APART = -1
 _ROUNDS = 4
+#: Cells that a row visits on average, at most, when rows are sent to meet.
+MOST_VISITS = 2
 
 
 def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,6 +112,51 @@ def placed(df: DataFrame, pivots: Pivots) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
 
 
+def _visits(df: DataFrame, pivots: Pivots, threshold: float) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Says of unit vectors their cells, and of all cells whether they visit them (see ``meeting``)."""
+    near = float(angle_of(threshold)) + SLACK
+    radius = np.full(len(pivots.vectors), -np.inf)
+    found = placed(df.select("user_id", "id", "embedding"), pivots).where("cell >= 0")
+    for row in found.groupBy("cell").agg(F.max("angle").alias("r")).collect():
+        radius[row["cell"]] = row["r"]
+
+    def visits(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angles = pivots.angles(own)
+        cell = angles.argmin(1)
+        reach = np.minimum(angles[np.arange(len(own)), cell][:, None] + 2 * near, radius[None, :] + near) + SLACK
+        return cell, (angles <= reach) & (np.arange(angles.shape[1])[None, :] < cell[:, None])
+
+    return visits
+
+
+def fit_for(df: DataFrame, cells: int, threshold: float) -> Pivots:
+    """Pivots for ``meeting``: at most ``cells``, and so few that a row visits ``MOST_VISITS`` others on average.
+
+    Where angles exclude little, more cells save no comparison and only copy the rows. All
+    rows are asked, without sending any; the next try follows from their count.
+    """
+    while True:
+        pivots = fit(df, cells)
+        visits = _visits(df, pivots, threshold)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = visited = 0
+            for batch in batches:
+                for vectors, at in unit_rows(batch.column("embedding")):
+                    for start in range(0, len(at) if pivots.fits(vectors) else 0, 1000):
+                        own = vectors[start:start + 1000]
+                        rows, visited = rows + len(own), visited + int(visits(own)[1].sum())
+            yield pa.record_batch([pa.array([rows], pa.int64()), pa.array([visited], pa.int64())], ["rows", "visited"])
+
+        if len(pivots.vectors) == 1:
+            return pivots
+        all_rows, visited = df.select("embedding").mapInArrow(run, "rows bigint, visited bigint").agg(
+            F.sum("rows"), F.sum("visited")).first()
+        if (visited or 0) <= MOST_VISITS * (all_rows or 0):
+            return pivots
+        cells = max(1, min(len(pivots.vectors) - 1, int(len(pivots.vectors) * MOST_VISITS * all_rows / visited)))
+
+
 def meeting(df: DataFrame, pivots: Pivots, threshold: float) -> DataFrame:
     """``user_id, id, embedding, cell, home``: every usable row in its own cell and in those it visits.
 
@@ -118,11 +165,7 @@ def meeting(df: DataFrame, pivots: Pivots, threshold: float) -> DataFrame:
     triangle inequality the cell's pivot is then no farther than the cell's radius plus that
     angle, nor than the row's own pivot plus twice the angle.
     """
-    near = float(angle_of(threshold)) + SLACK
-    rows = df.select("user_id", "id", "embedding")
-    radius = np.full(len(pivots.vectors), -np.inf)
-    for row in placed(rows, pivots).where("cell >= 0").groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radius[row["cell"]] = row["r"]
+    rows, visits = df.select("user_id", "id", "embedding"), _visits(df, pivots, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +175,8 @@ def meeting(df: DataFrame, pivots: Pivots, threshold: float) -> DataFrame:
                     row, cell = np.arange(len(place)), np.full(len(place), APART)
                     home = np.ones(len(place), bool)
                     if pivots.fits(own):
-                        angles = pivots.angles(own)
-                        cell = angles.argmin(1)
-                        reach = np.minimum(angles[row, cell][:, None] + 2 * near, radius[None, :] + near) + SLACK
-                        visits = (angles <= reach) & (np.arange(angles.shape[1])[None, :] < cell[:, None])
-                        guest, visited = np.nonzero(visits)
+                        cell, visited = visits(own)
+                        guest, visited = np.nonzero(visited)
                         row, cell = np.concatenate([row, guest]), np.concatenate([cell, visited])
                         home = np.concatenate([home, np.zeros(len(guest), bool)])
                     for part in range(0, len(row), 4000):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from factstore.operators.cells import ROWS_PER_CELL, cells_for, fit, meeting, unit_rows
+from factstore.operators.cells import ROWS_PER_CELL, cells_for, fit_for, meeting, unit_rows
 from factstore.operators.records import score_floor, with_scores
 from factstore.operators.sizing import (
     MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, block_counts, block_of, broadcast_if_small, is_small, spread)
@@ -240,7 +240,8 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_
     Equal vectors are folded into their first record before anything is compared:
     its copies match it with score one and it answers for them towards later rows.
     The rest is compared cell by cell: ``meeting`` sends each row to the pivots that the
-    threshold's angle allows, and each pair to one of them. A cell larger than a block is cut into blocks
+    threshold's angle allows, and each pair to one of them; there are only so many cells that
+    a row visits few others. A cell larger than a block is cut into blocks
     (``block_counts``) and every two of them meet in a group of their own. So the rows that
     are shuffled stay a small multiple of the store, while the pairs to compare may be all.
     """
@@ -257,7 +258,7 @@ def near_duplicates(df: DataFrame, threshold: float = DUPLICATE_SCORE, rows_per_
     copies = (rows.drop("embedding").join(repeated, same).where(F.col("id") > F.col("first_id"))
               .select("user_id", "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score")))
 
-    pivots = fit(singles, cells_for(df.count(), rows_per_cell))
+    pivots = fit_for(singles, cells_for(df.count(), rows_per_cell), threshold)
     cells = _paired(meeting(singles, pivots, threshold), rows_per_block)
     id_field = singles.schema["id"]
     out = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("id", id_field.dataType),

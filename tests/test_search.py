@@ -256,8 +256,10 @@ def test_rows_travel_a_few_times_however_small_the_blocks(spark):
                                       "id long, user_id string, embedding array<float>")
         counts = sizing.block_counts(store, ["user_id"], 2, "blocks").first()
         assert counts["blocks"] == sizing.MOST_BLOCKS
-        met = cells.meeting(store, cells.fit(store, 1), 0.3)
-        assert search._paired(met, 2).count() == sizing.MOST_BLOCKS * n
+        pivots = cells.fit_for(store, n // 5, 0.3)
+        met = cells.meeting(store, pivots, 0.3)
+        assert met.count() <= (1 + cells.MOST_VISITS) * n
+        assert search._paired(met, 2).count() <= sizing.MOST_BLOCKS * (1 + cells.MOST_VISITS) * n
 
 
 def test_blocks_that_would_hold_too_much_become_more(spark, monkeypatch):
