@@ -68,14 +68,15 @@ def _score_into(best: _Best, query_ids: list, query_vectors: np.ndarray, ids: np
         return
     for start in range(0, len(query_ids), QUERIES_PER_PRODUCT):
         part = query_vectors[start:start + QUERIES_PER_PRODUCT]
-        scores = np.round(vectors @ part.T, SCORE_DIGITS)
-        tops = scores.max(axis=0)
-        for j in range(len(part)):
-            query = query_ids[start + j]
-            floor = best.floor(query)
-            if tops[j] >= floor:
-                near = np.flatnonzero(scores[:, j] >= floor)
-                best.offer(query, scores[near, j], ids[near])
+        for at in range(0, len(vectors), ROWS_PER_PRODUCT):
+            scores = np.round(vectors[at:at + ROWS_PER_PRODUCT] @ part.T, SCORE_DIGITS)
+            tops = scores.max(axis=0)
+            for j in range(len(part)):
+                query = query_ids[start + j]
+                floor = best.floor(query)
+                if tops[j] >= floor:
+                    near = np.flatnonzero(scores[:, j] >= floor)
+                    best.offer(query, scores[near, j], ids[at + near])
 
 
 def _values(column) -> np.ndarray:
