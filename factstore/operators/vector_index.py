@@ -115,8 +115,17 @@ def _asked(spark: SparkSession, path: str, pivots: Pivots, part: pa.Table) -> _A
     return _Asked(ids, owners, vectors, angles, cells)
 
 
-def _scan(rows: DataFrame, asked: _Asked, chosen: dict[int, list[int]], floors: np.ndarray, k: int, query_type: T.DataType) -> DataFrame:
-    """The best ``k`` of each query in each task, from the chosen cells alone."""
+def _plan(asked: _Asked, chosen: dict[int, list[int]], floors: np.ndarray) -> tuple[dict, dict]:
+    """What tasks get: each namespace's queries by size of vector, and for each of its cells their places and a ring.
+
+    A query's vector is in it once, however many cells the query opens.
+    """
+    asking, place = {}, {}
+    for q, (owner, vector) in enumerate(zip(asked.owners, asked.vectors)):
+        if chosen.get(q):
+            own = asking.setdefault(owner, {}).setdefault(len(vector), [])
+            place[q] = len(own)
+            own.append(q)
     wanted: dict = {}
     for q, cells in chosen.items():
         for cell in cells:
@@ -126,36 +135,46 @@ def _scan(rows: DataFrame, asked: _Asked, chosen: dict[int, list[int]], floors:
     for (owner, cell), queries in wanted.items():
         by_size: dict = {}
         for q in queries:
-            by_size.setdefault(len(asked.vectors[q]), []).append(q)
-        groups = [([asked.ids[q] for q in own], np.array([asked.vectors[q] for q in own])) for own in by_size.values()]
+            by_size.setdefault(len(asked.vectors[q]), []).append(place[q])
         # A row outside this ring is too far from every query of the group.
         ring = None if cell == APART else (min(asked.angles[q][cell] - reach[q] for q in queries),
                                            max(asked.angles[q][cell] + reach[q] for q in queries))
-        plan[owner, cell] = groups, ring
-    shared = rows.sparkSession.sparkContext.broadcast(plan)
+        plan[owner, cell] = {size: np.array(at, np.int32) for size, at in by_size.items()}, ring
+    vectors = {owner: {size: ([asked.ids[q] for q in own], np.array([asked.vectors[q] for q in own])) for size, own in by_size.items()}
+               for owner, by_size in asking.items()}
+    return vectors, plan
+
+
+def _scan(rows: DataFrame, asked: _Asked, chosen: dict[int, list[int]], floors: np.ndarray, k: int, query_type: T.DataType) -> DataFrame:
+    """The best ``k`` of each query in each task, from the chosen cells alone."""
+    vectors, plan = _plan(asked, chosen, floors)
+    shared = rows.sparkSession.sparkContext.broadcast((vectors, plan))
     query_arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}.get(query_type, pa.string())
     out = T.StructType([T.StructField("query_id", query_type), T.StructField("id", rows.schema["id"].dataType),
                         T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, types = _Best(k), None
+        asking, plan = shared.value
         for batch in batches:
             types = batch.schema.field("id").type
             users, cells = batch.column("user_id").to_pylist(), batch.column("cell").to_pylist()
             keys = list(zip(users, cells))
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
-                if a == b or keys[a] not in shared.value:
+                if a == b or keys[a] not in plan:
                     continue
-                groups, ring = shared.value[keys[a]]
+                places, ring = plan[keys[a]]
                 own = batch.slice(a, b - a)
                 if ring is not None:
                     angle = own.column("angle").to_numpy(zero_copy_only=False)
                     own = own.filter(pa.array((angle >= ring[0]) & (angle <= ring[1])))
                 ids = _values(own.column("id"))
                 for vectors, at in unit_rows(own.column("embedding")):
-                    for names, asked_vectors in groups:
-                        _score_into(best, names, asked_vectors, ids[at], vectors)
+                    places_of = places.get(vectors.shape[1], ())
+                    if len(places_of):
+                        names, asked_vectors = asking[users[a]][vectors.shape[1]]
+                        _score_into(best, [names[i] for i in places_of], asked_vectors[places_of], ids[at], vectors)
         if types is not None and best.scores:
             yield best.table(query_arrow, types)
 

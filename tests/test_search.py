@@ -267,3 +267,17 @@ def test_blocks_that_would_hold_too_much_become_more(spark, monkeypatch):
     store = spark.range(95).select("id", F.lit("u").alias("user_id"))
     assert sizing.block_counts(store, ["user_id"], 3, "blocks").first()["blocks"] == 10
     assert sizing.block_counts(store, ["user_id"], 30, "blocks").first()["blocks"] == 4
+
+
+def test_tasks_get_each_query_once(spark, tmp_path):
+    """A query that opens many cells is sent with one vector, not with one for each cell."""
+    store, _ = make_store(spark, 400, 16)
+    vector_index.write_index(store, str(tmp_path / "index"), 10)
+    asked = store.where("id % 5 = 0").withColumnRenamed("id", "query_id").select("query_id", "user_id", "embedding")
+    pivots = vector_index.read_pivots(spark, str(tmp_path / "index"))
+    part = vector_index._asked(spark, str(tmp_path / "index"), pivots, asked.toArrow().combine_chunks())
+    every = part.open(np.full(len(part.ids), -1.0), {q: [] for q in range(len(part.ids))})
+    vectors, plan = vector_index._plan(part, every, np.full(len(part.ids), -1.0))
+    assert sum(map(len, every.values())) > 5 * len(part.ids)
+    assert sum(len(m) for sizes in vectors.values() for _, m in sizes.values()) == len(part.ids)
+    assert sum(len(at) for places, _ in plan.values() for at in places.values()) == sum(map(len, every.values()))
