@@ -23,6 +23,8 @@ from factstore.schema import DUPLICATE_SCORE, SEARCH_LIMIT
 
 ROWS_PER_BLOCK = 20_000
 QUERIES_PER_PRODUCT, ROWS_PER_PRODUCT = 512, 4096
+#: Rows of a batch whose vectors a task of the whole scan holds as doubles at a time.
+ROWS_PER_SLICE = 1_000
 MAX_PUSHED_NAMESPACES = 200
 # Equal vectors must get equal scores wherever they sit in a matrix, so that ties
 # go by id and results do not depend on how the table is partitioned.
@@ -88,6 +90,13 @@ def _values(column) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=object)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: doubles of a whole batch of long vectors would be many times the batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_PER_SLICE):
+            yield batch.slice(start, ROWS_PER_SLICE)
+
+
 def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType, k: int) -> DataFrame:
     """Queries ``(query_id, user_id, embedding)`` sent to every task; the store is not shuffled."""
     query_ids, owners, embeddings = (asked.column(i).combine_chunks() for i in range(3))
@@ -106,7 +115,7 @@ def _search_everywhere(store: DataFrame, asked: pa.Table, query_type: T.DataType
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, types = _Best(k), None
-        for batch in batches:
+        for batch in _slices(batches):
             users = batch.column(0).dictionary_encode()
             codes = users.indices.to_numpy(zero_copy_only=False)
             for code, user in enumerate(users.dictionary.to_pylist()):

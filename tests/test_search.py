@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,10 @@ def test_tasks_get_each_query_once(spark, tmp_path):
     assert sum(map(len, every.values())) > 5 * len(part.ids)
     assert sum(len(m) for sizes in vectors.values() for _, m in sizes.values()) == len(part.ids)
     assert sum(len(at) for places, _ in plan.values() for at in places.values()) == sum(map(len, every.values()))
+
+
+def test_few_rows_of_a_batch_become_doubles_at_a_time():
+    batch = pa.record_batch([pa.array(range(2 * search.ROWS_PER_SLICE + 7))], ["id"])
+    parts = list(search._slices([batch, batch.slice(0, 0), batch.slice(3, 5)]))
+    assert [p.num_rows for p in parts] == [search.ROWS_PER_SLICE, search.ROWS_PER_SLICE, 7, 5]
+    assert [i for p in parts[:3] for i in p.column(0).to_pylist()] == batch.column(0).to_pylist()
