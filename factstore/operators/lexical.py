@@ -9,6 +9,10 @@ from factstore.operators.sizing import is_small
 # The published Okapi parameters.
 K1 = 1.2
 B = 0.75
+#: Sums (one for a query and a record that share a word) that a task makes, and records it takes, at most.
+SUMS_PER_TASK, RECORDS_PER_TASK = 500_000, 20_000
+#: Tasks at most; beyond, their sums grow and Spark spills them.
+MOST_TASKS = 10_000
 # Lower-case words: runs of letters and digits.
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -18,6 +22,12 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
+def _tasks(records: int, queries: int) -> int:
+    """Partitions of the records, of which each has to be summed up with all queries."""
+    each = min(RECORDS_PER_TASK, max(1, SUMS_PER_TASK // max(1, queries)))
+    return max(1, min(MOST_TASKS, -(-records // each)))
+
+
 def bm25(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, id, bm25, rank)``: the best ``k`` records sharing a term with each query.
 
@@ -36,11 +46,12 @@ def bm25(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     # The scan drops every word no query asked for. The rest is brought together by
     # record, which serves the counting here and the sum per query further down, so
-    # the many (query, record, word) rows are never shuffled.
+    # the many (query, record, word) rows are never shuffled. A task holds a sum for each
+    # of its records and queries, so their number decides how many tasks there are.
     # (The outer explode: a plain one would add a filter that splits each text twice.)
     matched = (docs.select("id", "user_id", "length", F.explode_outer("words").alias("term"))
                .join(wanted, ["user_id", "term"], "left_semi")
-               .repartition("id")
+               .repartition(_tasks(memories.count(), queries.count()), "id")
                .groupBy("id", "user_id", "term", "length").agg(F.count(F.lit(1)).alias("tf")))
     spread = matched.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = (spread.join(sizes, "user_id")

@@ -289,3 +289,14 @@ def test_few_rows_of_a_batch_become_doubles_at_a_time():
     parts = list(search._slices([batch, batch.slice(0, 0), batch.slice(3, 5)]))
     assert [p.num_rows for p in parts] == [search.ROWS_PER_SLICE, search.ROWS_PER_SLICE, 7, 5]
     assert [i for p in parts[:3] for i in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
+def test_keyword_sums_of_a_task_do_not_follow_the_table(spark, monkeypatch):
+    assert lexical._tasks(3_000_000, 200) == 1200 and lexical._tasks(0, 0) == 1 and lexical._tasks(10**6, 10**6) == lexical.MOST_TASKS
+    store = spark.createDataFrame([(i, "u", f"red fox {i}") for i in range(60)], "id long, user_id string, memory string")
+    queries = spark.createDataFrame([(1, "u", "red"), (2, "u", "fox 3")], "query_id long, user_id string, query string")
+    want = sorted(tuple(r) for r in lexical.bm25(store, queries, 5).collect())
+    monkeypatch.setattr(lexical, "SUMS_PER_TASK", 10)
+    found = lexical.bm25(store, queries, 5)
+    assert "hashpartitioning(id#" in (plan := found._jdf.queryExecution().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    assert sorted(tuple(r) for r in found.collect()) == want
