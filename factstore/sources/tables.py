@@ -27,6 +27,8 @@ from factstore.sources.files import children, create_exclusively, exists, read_t
 BUCKETS = 64
 #: Records of a range of a stored listing.
 ROWS_PER_RANGE = 50_000
+#: Records that a task puts in order, and tasks of a listing at most: the driver samples for each task and lists its directory.
+ROWS_PER_TASK, MOST_TASKS = 5_000, 1_000
 #: How long a version that another job has begun is waited for.
 CLAIM_SECONDS = 60.0
 _BUCKET_COLUMN = "namespace_of_{}"
@@ -187,19 +189,34 @@ def write_listing(df: DataFrame, path: str, rows_per_range: int = ROWS_PER_RANGE
 
     A range holds neighbouring records of one namespace or several; the directory says how
     many of each namespace it holds, so that the range of any position follows from sums.
+    Tasks get more records than a small range has, and cut what they have put in order into
+    the ranges of one directory, each a row group of its own.
     """
     spark, order = df.sparkSession, ["user_id", "_epoch", "id"]
-    ranges = max(1, -(-df.count() // rows_per_range))
-    rows = df.withColumn("_epoch", parse_created_at("created_at")).repartitionByRange(ranges, *order)
-    (rows.withColumn("range", F.spark_partition_id()).sortWithinPartitions(*order)
-     .write.mode("errorifexists").partitionBy("range").parquet(f"{path}/rows"))
+    rows = df.withColumn("_epoch", parse_created_at("created_at")).repartitionByRange(_listing_tasks(df.count(), rows_per_range), *order)
+    # The number of a task, and below it that of the record in the task's order.
+    place = rows.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    task, row = F.shiftright("_place", 33), F.expr("_place & 8589934591")
+    (place.withColumn("range", F.shiftleft(task, 33) + F.floor(row / rows_per_range)).withColumn("part", _part_of("range")).drop("_place")
+     .sortWithinPartitions("part", "range", *order).write.mode("errorifexists").partitionBy("part")
+     .option("parquet.block.row.count.limit", rows_per_range).parquet(f"{path}/rows"))
     # Written from the files themselves; a listing without it is not finished.
     (spark.read.schema(_listed(df.schema)).parquet(f"{path}/rows").groupBy("user_id", "range").agg(F.count(F.lit(1)).alias("n"))
      .sort("user_id", "range").write.mode("errorifexists").parquet(f"{path}/ranges"))
 
 
+def _listing_tasks(records: int, rows_per_range: int) -> int:
+    return max(1, min(-(-records // max(rows_per_range, ROWS_PER_TASK)), MOST_TASKS))
+
+
+def _part_of(range_name: str) -> Column:
+    """The directory of a range."""
+    return F.shiftright(range_name, 33).cast("int")
+
+
 def _listed(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema, T.StructField("_epoch", T.DoubleType()), T.StructField("range", T.IntegerType())])
+    return T.StructType([*schema, T.StructField("_epoch", T.DoubleType()), T.StructField("range", T.LongType()),
+                         T.StructField("part", T.IntegerType())])
 
 
 def listing_page(spark: SparkSession, path: str, user_id: str | None = None, limit: int = LIST_LIMIT, page: int = 1) -> DataFrame:
@@ -216,16 +233,17 @@ def listing_page(spark: SparkSession, path: str, user_id: str | None = None, lim
     met = (ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
            .where((F.col("before") < first + limit) & (F.col("before") + F.col("n") > first)))
     # A page lies in a few ranges of a namespace; the first of them says where the count starts.
-    met = met.select("user_id", "range", F.min("before").over(Window.partitionBy("user_id")).alias("before"))
+    met = met.select("user_id", "range", _part_of("range").alias("part"), F.min("before").over(Window.partitionBy("user_id")).alias("before"))
     if user_id is not None:
         held = met.collect()
-        rows = spark.read.parquet(f"{path}/rows").where(F.col("range").isin(*[r["range"] for r in held]) if held else F.lit(False))
+        rows = spark.read.parquet(f"{path}/rows").where(
+            F.col("range").isin(*[r["range"] for r in held]) & F.col("part").isin(*{r["part"] for r in held}) if held else F.lit(False))
         rows = rows.where(F.col("user_id") == user_id).withColumn("before", F.lit(held[0]["before"] if held else 0))
     else:
-        rows = spark.read.parquet(f"{path}/rows").join(broadcast_if_small(met), ["user_id", "range"])
+        rows = spark.read.parquet(f"{path}/rows").join(broadcast_if_small(met), ["user_id", "part", "range"])
     place = Window.partitionBy("user_id").orderBy(F.col("_epoch").asc_nulls_first(), F.col("id").asc_nulls_first())
     return (rows.withColumn("position", F.row_number().over(place) + F.col("before"))
-            .where((F.col("position") > first) & (F.col("position") <= first + limit)).drop("_epoch", "range", "before"))
+            .where((F.col("position") > first) & (F.col("position") <= first + limit)).drop("_epoch", "range", "part", "before"))
 
 
 def export_manifest(df: DataFrame) -> DataFrame:

@@ -85,3 +85,17 @@ def test_far_pages_read_one_range(spark, tmp_path):
     assert tables.listing_page(spark, str(tmp_path / "l"), "nobody").count() == 0
     with pytest.raises(ValueError):
         tables.listing_page(spark, str(tmp_path / "l"), "hot", 0)
+
+
+def test_ranges_of_a_listing_are_cut_by_few_tasks(spark, tmp_path):
+    """The driver samples for each task, so the tasks must not follow the number of small ranges."""
+    assert tables._listing_tasks(3_000_000, 100) == 600 and tables._listing_tasks(10**9, 100) == tables.MOST_TASKS
+    df = spark.range(500).selectExpr("concat('r', id) AS id", "'u' AS user_id", "cast(1500000000 + id * 7 % 90 AS string) AS created_at")
+    tables.write_listing(df, str(tmp_path / "l"), 10)
+    held = spark.read.parquet(str(tmp_path / "l" / "ranges")).collect()
+    assert len(held) == 50 and {r["n"] for r in held} == {10}
+    rows = spark.read.parquet(str(tmp_path / "l" / "rows"))
+    assert [p.name for p in (tmp_path / "l" / "rows").glob("part=*")] == ["part=0"]
+    assert len(rows.inputFiles()) == 1
+    got = [r["id"] for r in tables.listing_page(spark, str(tmp_path / "l"), "u", 30, 4).orderBy("position").collect()]
+    assert got == sorted((f"r{i}" for i in range(500)), key=lambda r: (int(r[1:]) * 7 % 90, r))[90:120]
