@@ -195,6 +195,10 @@ def _read_table(spark: SparkSession, path: str, separator: str) -> DataFrame:
     header = _header(spark, path, separator)
     schema = ", ".join(f"_c{i} string" for i in range(max(1, len(header))))
     found, _ = ranges.records(spark, path, ranges.CsvScan(separator))
+    # Three reads of the records follow, and each would cut the files anew.
+    place = shared_folder(spark, "csv-records")
+    found.write.parquet(place)
+    found = spark.read.parquet(place)
     # The line end behind a record is not part of it, nor is a blank line a record.
     record = F.regexp_replace("text", "\r?\n?$", "")
     found = found.select("file", "block", "seq", record.alias("record")).where(F.col("record") != "")

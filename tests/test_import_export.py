@@ -313,3 +313,13 @@ def test_json_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
     assert {type(v) for v in found} == {list, dict}
     sizes = [len(v if isinstance(v, list) else v["memories"]) for v in found]
     assert sum(sizes) == 5000 and max(sizes) <= 500
+
+
+def test_csv_files_are_cut_into_records_once(spark, tmp_path):
+    """What finds the header and what drops it reads the records and not the files."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('id,memory\n1,"two\nlines"\n2,b\n')
+    (tmp_path / "in" / "b.csv").write_text("3,c\n")
+    found = imports.read_import(spark, str(tmp_path / "in"), "csv")
+    assert "FileScan text" not in found._jdf.queryExecution().toString()
+    assert sorted(r["memory"] for r in found.collect()) == ["b", "c", "two\nlines"]
