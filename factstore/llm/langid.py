@@ -13,20 +13,27 @@ A text without a letter, or a null text, is ``und`` with score 0. Rows without a
 text are not learned from. Without any label every text is ``und``. The score is the share
 of the best language among all, from the mean log likelihood of a word. Ties go to the
 language that sorts first. Repeated rows, null ids and extra columns change nothing.
+
+``known_language`` asks more: whether a text reads as a learnt language at all. It holds the
+text's longest n-grams against letters at random, by hashed places that all n-grams of the
+whole counts share, so none is left out. What the text itself may have taught is taken off;
+copies of a text do teach each other. A language weighs by its share of the learned n-grams, so
+that one with few, which excludes little, does not let everything pass. A text of few unknown
+words stays where little was learned, as it tells too little; so do texts of one-letter words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factstore.llm.common import fold, saved, slices
+from factstore.llm.common import filter_rows, fold, saved, slices
 
 #: Log frequencies of words, and of n-grams of a length, that a task holds; letters of a word.
 CELLS, LETTERS = 500_000, 64
@@ -35,6 +42,12 @@ ONE = 1 << 30
 LONGEST = 4
 #: Different words, or n-grams, that a task counts before it hands them on.
 _KEPT = 400_000
+#: Places of the longest n-grams for up to 8 languages (fewer for more), and the words of a text that are hashed at a time.
+PLACES, _WORDS = 1 << 19, 20_000
+#: A text is in no known language where letters at random are so many times likelier than the best one.
+ODDS = 10_000
+#: N-grams that a longer text counts for.
+ENOUGH = 1000
 UNKNOWN = "und"
 _WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
@@ -53,9 +66,9 @@ def grams(word: str, size: int) -> list[str]:
     return [framed[i:i + size] for i in range(len(framed) - size + 1)]
 
 
-def learn(docs: DataFrame) -> dict:
-    """The model: languages, word rows and n-gram rows of log frequencies."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count(docs: DataFrame) -> dict:
+    """The whole counts: languages with their numbers of words, and tables of words and n-grams."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
         def flush():
@@ -73,14 +86,10 @@ def learn(docs: DataFrame) -> dict:
             yield flush()
 
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    counts = saved(labelled.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word")
+    counts = saved(labelled.mapInArrow(gather, "lang string, word string, n bigint").groupBy("lang", "word")
                    .agg(F.sum("n").alias("n")), "word-counts")
     totals = {r["lang"]: (r["n"], r["v"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
               .collect()}
-    langs = sorted(totals)
-    held = max(1, CELLS // max(1, len(langs)))
-    sized = counts.withColumn("size", F.lit(0)).withColumnRenamed("word", "key")
-    whole, tables = _frequent(sized, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], dict[str, int]] = {}
@@ -104,15 +113,25 @@ def learn(docs: DataFrame) -> dict:
 
     cuts = saved(counts.mapInArrow(cut, "lang string, size int, gram string, n bigint").groupBy("lang", "size", "gram")
                  .agg(F.sum("n").alias("n")), "gram-counts")
+    return {"langs": sorted(totals), "totals": totals, "counts": counts, "cuts": cuts}
+
+
+def learn(docs: DataFrame) -> dict:
+    """The model: the counts, and word rows and n-gram rows of log frequencies."""
+    counted = count(docs)
+    langs, totals, counts, cuts = (counted[k] for k in ("langs", "totals", "counts", "cuts"))
+    held = max(1, CELLS // max(1, len(langs)))
+    sized = counts.withColumn("size", F.lit(0)).withColumnRenamed("word", "key")
+    whole, tables = _frequent(sized, held)
     whole_grams, gram_tables = _frequent(cuts.withColumnRenamed("gram", "key"), held)
     whole, tables = whole | whole_grams, tables | gram_tables
     gram_totals = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in
                    cuts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     of_size = {0: totals} | {s: {g: gram_totals.get((g, s), (0, 1)) for g in langs} for s in range(1, LONGEST + 1)}
-    return {"langs": langs, "words": _logs(tables.get(0, []), langs, totals),
+    return counted | {"words": _logs(tables.get(0, []), langs, totals),
             "grams": {s: _logs(tables.get(s, []), langs, of_size[s]) for s in range(1, LONGEST + 1)},
             "base": {s: np.log(0.5 / _sizes(langs, t)) for s, t in of_size.items()},
-            "whole": {s: whole.get(s, True) for s in of_size}, "counts": counts, "cuts": cuts}
+            "whole": {s: whole.get(s, True) for s in of_size}}
 
 
 def _frequent(rows: DataFrame, held: int) -> tuple[dict, dict]:
@@ -352,13 +371,75 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs.where(fold(5) != 0)))
 
 
-def known_language(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with all their columns; ``und`` goes."""
-    columns, held = docs.columns, _held(model)
+def _hashed(grams: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """Places of n-grams, given by their first, second, third and fourth letters."""
+    mixed = (x.astype(np.uint64) * np.uint64(k) for x, k in
+             zip(grams, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)))
+    return ((sum(mixed) >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
 
-    def run(batches):
-        scorer = Scorer(held)
-        for batch, texts in slices(batches):
-            yield batch.filter(pa.array([scorer.held(t)[0] > 0 for t in texts], pa.bool_())).select(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def places(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places, of ``size``, of the text's longest n-grams, and how often each occurs."""
+    parts, found = [], words(text)
+    for at in range(0, len(found), _WORDS):
+        codes = _codes(f"<{'><'.join(found[at:at + _WORDS])}>")
+        a, b, c, d = (codes[i:len(codes) - LONGEST + 1 + i] for i in range(LONGEST))
+        # A mark inside belongs to two words.
+        inside = (b != ord("<")) & (b != ord(">")) & (c != ord(">"))
+        parts.append(np.unique(_hashed((x[inside] for x in (a, b, c, d)), size), return_counts=True))
+    if len(parts) == 1:
+        return parts[0]
+    every = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in parts)])
+    keys, back = np.unique(every, return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(keys))
+
+
+class Likeness:
+    """How much likelier a text is in its best language than as letters at random."""
+
+    def __init__(self, counted: dict):
+        self.langs = counted["langs"]
+        self.size = size = PLACES >> max(0, (len(self.langs) - 1).bit_length() - 3)
+        column = {g: i for i, g in enumerate(self.langs)}
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = _codes("".join(batch.column("gram").to_pylist())).reshape(-1, LONGEST)
+                yield pa.record_batch([batch.column("lang"), pa.array(_hashed(codes.T, size), pa.int64()), batch.column("n")],
+                                      ["lang", "place", "n"])
+
+        summed = (counted["cuts"].where(F.col("size") == LONGEST).select("lang", "gram", "n")
+                  .mapInArrow(place, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow())
+        known, at = np.unique(summed.column("place").to_numpy(), return_inverse=True)
+        # The last key and row stand for places that no language has.
+        self.keys, self.table = np.append(known, size), np.zeros((len(known) + 1, len(self.langs)))
+        self.table[at, [column[g] for g in summed.column("lang").to_pylist()]] = summed.column("n").to_numpy()
+        self.totals = self.table.sum(0)
+        self.weights = np.log((self.totals + 1) / (self.totals.sum() + len(self.langs)))
+
+    def gain(self, text: str) -> float:
+        """The logarithm; what the text itself may have taught is taken off the counts."""
+        found, times = places(text, self.size)
+        row = np.searchsorted(self.keys, found)
+        row = np.where(self.keys[row] == found, row, len(self.keys) - 1)
+        whole = self.table[row]
+        rest = np.maximum(whole - times[:, None], 0)
+        totals = self.totals - (whole - rest).sum(0)
+        n = times.sum()
+        gains = times @ np.log(rest + 0.5) + n * np.log(self.size / (totals + 0.5 * self.size))
+        return float((gains * min(1, ENOUGH / max(1, n)) + self.weights).max())
+
+
+def known_language(docs: DataFrame, counted: dict) -> DataFrame:
+    """The rows of ``docs`` whose text reads as a learnt language, with all their columns.
+
+    ``counted`` comes from ``count`` or ``learn``. A text without letters goes, and one of which
+    letters at random are ``ODDS`` times likelier than the language that fits it best.
+    """
+    likeness = Likeness(counted)
+    least = -np.log(ODDS)
+    return filter_rows(docs, lambda texts: [bool(likeness.langs) and has_letter(t) and likeness.gain(t) > least for t in texts])

@@ -185,6 +185,18 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == last
 
 
+def test_the_language_stage_decides_by_what_was_learned(spark):
+    """Random letters and a script that no labelled row has do not reach the next stage; all else does."""
+    rng = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(200)) for _ in range(8)]
+    noise.append("Γειά σου κόσμε, τι κάνεις σήμερα και αύριο; " * 5)
+    added = [(10**6 + i, text, [None, "en", "de"][i % 3], "src0", len(text)) for i, text in enumerate(noise)]
+    kept = corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(added, docs.schema)), "")
+    want = [r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
+
+
 def test_groups_of_few_bytes_stay_whole(spark):
     """Null and short hot texts are many rows and few bytes, so nothing asks to split them."""
     import public_tokenizers

@@ -1,6 +1,7 @@
 """Tokenizing, language, toxicity, decontamination and fingerprints against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -197,6 +198,64 @@ def test_language_backs_off_to_grams(spark):
             assert abs(table[place[w], sorted(parts).index(g)] - np.log((n + 0.5) / (n_words + 0.5 * (n_distinct + 1)))) < 1e-9
 
 
+def two_languages(rng):
+    parts = {"aa": ["ba", "bo", "bi", "be"], "kk": ["ka", "ko", "ki", "ke"]}
+    text = lambda g: " ".join("".join(rng.choices(parts[g], k=rng.randint(1, 4))) for _ in range(rng.randint(50, 150)))
+    return [(i, text(g), g) for i in range(300) for g in [rng.choice(["aa", "kk"])]]
+
+
+def plain_gain(text, rows):
+    """Likeness by dictionaries of n-grams."""
+    size, mixers = langid.PLACES, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+    def counted(some):
+        out = {}
+        for word in re.findall(r"[^\W\d_]{1,64}", some.lower()):
+            for i in range(len(word) - 1):
+                place = (sum(ord(c) * k for c, k in zip(f"<{word}>"[i:i + 4], mixers)) % 2**64 >> 32) % size
+                out[place] = out.get(place, 0) + 1
+        return out
+
+    own, gains, totals = counted(text), [], []
+    for lang in {g for *_, g in rows}:
+        whole = {}
+        for _, some, g in rows:
+            for place, n in counted(some if g == lang else "").items():
+                whole[place] = whole.get(place, 0) + n
+        totals.append(sum(whole.values()) + 1)
+        rest = {p: max(0, n - own.get(p, 0)) for p, n in whole.items()}
+        total = sum(rest.values()) + size / 2
+        gain = sum(n * math.log((rest.get(p, 0) + 0.5) * size / total) for p, n in own.items())
+        gains.append(gain * min(1, langid.ENOUGH / max(1, sum(own.values()))))
+    return max(gain + math.log(n / sum(totals)) for gain, n in zip(gains, totals))
+
+
+def test_likeness_is_that_of_the_counts(spark, monkeypatch):
+    rows = two_languages(random.Random(6))
+    likeness = langid.Likeness(langid.count(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    for text in (rows[0][1], "babo kaki", "boba x qqq zzzz ωψ", "a b", "ÄÖ " * 50 + "b" * 200, rows[1][1] * 9):
+        want = plain_gain(text, rows)
+        for held in (20_000, 2):
+            monkeypatch.setattr(langid, "_WORDS", held)
+            assert abs(likeness.gain(text) - want) < 1e-6 * max(1, abs(want))
+
+
+def test_letters_in_no_language_go(spark):
+    rng = random.Random(7)
+    noise = lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(400))
+    known = two_languages(rng) + [(400, "boba bibe", None), (401, "KOKI, kake!", None), (402, "zq", None)]
+    # Labelled noise was learned from; a language of one row excludes little.
+    strange = [(500, noise(), None), (501, noise(), "aa"), (502, noise(), "kk"), (503, "ωψαβ γδεζη " * 200, None), (504, "12 -", "aa"),
+               (505, None, "aa")]
+    rows = [(*r, "kept") for r in [*known, *strange, known[0], strange[0], (None, known[0][1], None), (600, "ba", "rare")]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, gain string").repartition(3)
+    for counted in (langid.count(docs), langid.learn(docs)):
+        kept = langid.known_language(docs, counted)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] not in range(500, 506))
+    assert langid.known_language(docs, langid.count(docs.where("lang = 'none'"))).collect() == []
+
+
 def test_toxicity_learns_marked_words(spark):
     rng = random.Random(4)
     plain, bad = [f"w{i}" for i in range(60)], ["vile", "nasty", "foul"]
