@@ -14,7 +14,8 @@ text are not learned from. Without any label every text is ``und``. The score is
 of the best language among all, from the mean log likelihood of a word. Ties go to the
 language that sorts first. Repeated rows, null ids and extra columns change nothing.
 
-``known_language`` asks more: whether a text reads as a learnt language at all. It holds the
+``known_language`` predicts as above and asks more: whether a text reads as the predicted language,
+or as another one by more than the prediction speaks against that. It holds the
 text's longest n-grams against letters at random, by hashed places that all n-grams of the
 whole counts share, so none is left out. What the text itself may have taught is taken off;
 copies of a text do teach each other. A language weighs by its share of the learned n-grams, so
@@ -24,6 +25,7 @@ words stays where little was learned, as it tells too little; so do texts of one
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,8 +34,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from factstore.llm.common import filter_rows, fold, saved, slices
+from factstore.llm.common import filter_rows, fold, fresh_name, saved, slices
 
 #: Log frequencies of words, and of n-grams of a length, that a task holds; letters of a word.
 CELLS, LETTERS = 500_000, 64
@@ -44,10 +47,12 @@ LONGEST = 4
 _KEPT = 400_000
 #: Places of the longest n-grams for up to 8 languages (fewer for more), and the words of a text that are hashed at a time.
 PLACES, _WORDS = 1 << 19, 20_000
-#: A text is in no known language where letters at random are so many times likelier than the best one.
+#: A text is in no known language where letters at random are so many times likelier than each one.
 ODDS = 10_000
 #: N-grams that a longer text counts for.
 ENOUGH = 1000
+#: Digests of texts that a task holds; more are joined.
+FEW = 50_000
 UNKNOWN = "und"
 _WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
@@ -118,7 +123,11 @@ def count(docs: DataFrame) -> dict:
 
 def learn(docs: DataFrame) -> dict:
     """The model: the counts, and word rows and n-gram rows of log frequencies."""
-    counted = count(docs)
+    return fitted(count(docs))
+
+
+def fitted(counted: dict) -> dict:
+    """The model of the counts."""
     langs, totals, counts, cuts = (counted[k] for k in ("langs", "totals", "counts", "cuts"))
     held = max(1, CELLS // max(1, len(langs)))
     sized = counts.withColumn("size", F.lit(0)).withColumnRenamed("word", "key")
@@ -214,17 +223,25 @@ class Scorer:
         rows = np.fromiter(map(self.place.get, found, repeat(-1)), np.int64, len(found))
         return len(found), self.table[rows].sum(0), [found[i] for i in np.flatnonzero(rows < 0).tolist()]
 
-    def best(self, score: np.ndarray, found: int) -> tuple[str, float]:
+    def odds(self, score: np.ndarray, found: int) -> np.ndarray:
+        """Logarithms of each language's odds against the best one."""
         # A few words decide on their own; a long text counts as a few dozen.
         share = score / found * min(found, 30)
-        share = np.exp(share - share.max())
+        return share - share.max()
+
+    def best(self, score: np.ndarray, found: int) -> tuple[str, float]:
+        if not found:
+            return UNKNOWN, 0.0
+        share = np.exp(self.odds(score, found))
         best = int(share.argmax())
         return self.langs[best], float(share[best] / share.sum())
 
     def predict(self, text: str) -> tuple[str, float]:
+        return self.best(*self.score(text))
+
+    def score(self, text: str) -> tuple[np.ndarray, int]:
+        """The sum of the words' scores in each language, and the number of words."""
         found, score, unseen = self.held(text)
-        if not found:
-            return UNKNOWN, 0.0
         # Longest n-grams that cover a word without a gap decide alone; their means are taken together.
         longest, table = self.grams[LONGEST]
         gram, covered, sizes = longest.get, [], []
@@ -239,7 +256,7 @@ class Scorer:
         if sizes:
             sizes = np.array(sizes)
             score += np.repeat(1 / sizes, sizes) @ table[covered]
-        return self.best(score, found)
+        return score, found
 
 
 def _held(model: dict) -> dict:
@@ -276,26 +293,35 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held)
         for batch in batches:
-            got = []
-            for found, sums, parts in zip(*(batch.column(c).to_pylist() for c in ("found", "sums", "parts"))):
-                score = np.array(sums)
-                for part in sorted(parts or [], key=lambda p: p["k"]):
-                    if part["k"] < 0:
-                        score += part["v"] / ONE * scorer.base[-1 - part["k"]]
-                    else:
-                        score[part["k"]] += part["v"] / ONE
-                got.append(scorer.best(score, found) if found else (UNKNOWN, 0.0))
+            got = [scorer.best(score, found) for score, found in _whole_scores(scorer, batch)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()),
                                    pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     # The numbers of the rows hold from here on, as they are written.
     scanned = saved(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         scan, f"row bigint, doc_id {kind}, held_out boolean, found bigint, sums array<double>, rest map<string,bigint>"), "language-scan")
+    return _joined(scanned, model).mapInArrow(finish, shape)
+
+
+def _joined(scanned: DataFrame, model: dict) -> DataFrame:
+    """The rows without ``rest``, and the ``parts`` that its words add to the scores."""
     rest = scanned.select("row", F.explode("rest").alias("word", "times"))
     parts = (rest.join(_parts(rest.select("word").distinct(), model), "word").repartition("row")
              .select("row", "times", F.inline("parts")).groupBy("row", "k").agg(F.sum(F.col("v") * F.col("times")).alias("v"))
              .groupBy("row").agg(F.collect_list(F.struct("k", "v")).alias("parts")))
-    return scanned.drop("rest").join(parts, "row", "left").mapInArrow(finish, shape)
+    return scanned.drop("rest").join(parts, "row", "left")
+
+
+def _whole_scores(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+    """The scores with all parts, and the numbers of words."""
+    for found, sums, parts in zip(*(batch.column(c).to_pylist() for c in ("found", "sums", "parts"))):
+        score = np.array(sums)
+        for part in sorted(parts or [], key=lambda p: p["k"]):
+            if part["k"] < 0:
+                score += part["v"] / ONE * scorer.base[-1 - part["k"]]
+            else:
+                score[part["k"]] += part["v"] / ONE
+        yield score, found
 
 
 def _parts(asked: DataFrame, model: dict) -> DataFrame:
@@ -305,7 +331,7 @@ def _parts(asked: DataFrame, model: dict) -> DataFrame:
     """
     held, spark = _held(model), asked.sparkSession
     shape = "word string, parts array<struct<k:int,v:bigint>>"
-    places = F.broadcast(spark.createDataFrame([(g, i) for i, g in enumerate(model["langs"])], "lang string, k int"))
+    places = F.broadcast(spark.range(1).select(F.posexplode(F.lit(model["langs"])).alias("k", "lang")))
     gain = F.round(F.log(2 * F.col("n") + 1) * ONE).cast("bigint")
     known = (model["counts"].join(places, "lang").groupBy("word").agg(F.collect_list(F.struct("k", gain.alias("v"))).alias("parts"))
              .select("word", F.concat("parts", F.array(F.struct(F.lit(-1).alias("k"), F.lit(ONE).cast("bigint").alias("v")))).alias("parts")))
@@ -422,7 +448,11 @@ class Likeness:
         self.weights = np.log((self.totals + 1) / (self.totals.sum() + len(self.langs)))
 
     def gain(self, text: str) -> float:
-        """The logarithm; what the text itself may have taught is taken off the counts."""
+        """The logarithm."""
+        return float(self.gains(text).max())
+
+    def gains(self, text: str) -> np.ndarray:
+        """The logarithm for each language; what the text itself may have taught is taken off the counts."""
         found, times = places(text, self.size)
         row = np.searchsorted(self.keys, found)
         row = np.where(self.keys[row] == found, row, len(self.keys) - 1)
@@ -431,15 +461,61 @@ class Likeness:
         totals = self.totals - (whole - rest).sum(0)
         n = times.sum()
         gains = times @ np.log(rest + 0.5) + n * np.log(self.size / (totals + 0.5 * self.size))
-        return float((gains * min(1, ENOUGH / max(1, n)) + self.weights).max())
+        return gains * min(1, ENOUGH / max(1, n)) + self.weights
 
 
-def known_language(docs: DataFrame, counted: dict) -> DataFrame:
+def known_language(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of ``docs`` whose text reads as a learnt language, with all their columns.
 
-    ``counted`` comes from ``count`` or ``learn``. A text without letters goes, and one of which
-    letters at random are ``ODDS`` times likelier than the language that fits it best.
+    The language of every text is predicted as ``predict`` does; ``und`` goes. So does a text of which
+    letters at random are ``ODDS`` times likelier than the predicted language, and than each other one, which
+    counts less by the odds that the prediction gives against it. ``model`` comes from ``learn``, or from
+    ``count`` and is completed here.
     """
-    likeness = Likeness(counted)
-    least = -np.log(ODDS)
-    return filter_rows(docs, lambda texts: [bool(likeness.langs) and has_letter(t) and likeness.gain(t) > least for t in texts])
+    model = model if "words" in model else fitted(model)
+    scorer, likeness, least = Scorer(model), Likeness(model), -np.log(ODDS)
+
+    def reads(score: np.ndarray, found: int, gains: np.ndarray) -> bool:
+        return bool((scorer.odds(score, found) + gains).max() > least)
+
+    def passes(text: str) -> bool:
+        score, found = scorer.score(text)
+        return found > 0 and reads(score, found, likeness.gains(text))
+
+    if all(model["whole"].values()):
+        return filter_rows(docs, lambda texts: [passes(t) for t in texts])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            found, sums, rest = zip(*map(scorer.held, texts))
+            gains = [likeness.gains(t) if n else [] for n, t in zip(found, texts)]
+            yield pa.record_batch(
+                [batch.column("row"), pa.array(map(_digest, texts), pa.string()), pa.array(found, pa.int64()), pa.array(sums, pa.list_(pa.float64())),
+                 pa.array(gains, pa.list_(pa.float64())), pa.array([list(Counter(r).items()) for r in rest], pa.map_(pa.string(), pa.int64()))],
+                ["row", "digest", "found", "sums", "gains", "rest"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [not found or not reads(score, found, np.array(gains)) for (score, found), gains in
+                    zip(_whole_scores(scorer, batch), batch.column("gains").to_pylist())]
+            yield batch.select(["digest"]).filter(pa.array(gone, pa.bool_()))
+
+    # Only the text decides, so the digests of the texts that go tell the rows; texts do not move with their scores.
+    scanned = saved(docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
+        scan, "row bigint, digest string, found bigint, sums array<double>, gains array<double>, rest map<string,bigint>"), "language-scan")
+    gone = saved(_joined(scanned, model).mapInArrow(finish, "digest string").distinct(), "language-gone")
+    few = {r["digest"] for r in gone.limit(FEW + 1).collect()}
+    if len(few) <= FEW:
+        return filter_rows(docs, lambda texts: [_digest(t) not in few for t in texts])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            yield pa.record_batch([*batch.columns, pa.array(map(_digest, texts), pa.string())], [*batch.schema.names, name])
+
+    name = fresh_name(docs.columns, "digest")
+    return (docs.mapInArrow(digested, StructType([*docs.schema, StructField(name, StringType())]))
+            .join(gone.withColumnRenamed("digest", name), name, "left_anti").drop(name))
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

@@ -256,6 +256,39 @@ def test_letters_in_no_language_go(spark):
     assert langid.known_language(docs, langid.count(docs.where("lang = 'none'"))).collect() == []
 
 
+def test_a_text_must_read_as_what_is_predicted(spark, monkeypatch):
+    """A language of few n-grams excludes little, yet keeps no text that the prediction gives to another one."""
+    rng = random.Random(8)
+    known = [(i, text, "aa" if "b" in text else "kk") for i, text, _ in two_languages(rng)]
+    known = [r for r in known if r[2] == "aa"] + [r for r in known if r[2] == "kk"][:2] + [(400, "boba bibe", None), (401, "KOKI, kake!", None)]
+    words = ["".join(rng.choices("cdfghjlmnpqrstvwxyz", k=6)) for _ in range(300)]
+    # The words of 500 are known from its label alone.
+    junk = [(500, "zqxvwj dhtrln " * 200, "aa"), (501, " ".join(words), None), (502, "12 -", "aa"), (503, None, "kk"), (504, "", None)]
+    rows = [(*r, "kept", i) for i, r in enumerate([*known, *junk, known[0], (None, known[0][1], None)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, gain string, row int").repartition(3)
+    model = langid.learn(docs)
+    scorer, likeness = langid.Scorer(model), langid.Likeness(model)
+    assert scorer.predict(junk[0][1])[0] == "aa" and likeness.gain(junk[0][1]) > -np.log(langid.ODDS)
+
+    def stays(text):
+        lang, share = scorer.predict(text or "")
+        if lang == "und":
+            return False
+        score, n = scorer.score(text)
+        gains = likeness.gains(text) + (score - score.max()) * min(1, 30 / n)
+        assert scorer.langs[int(score.argmax())] == lang and 0 <= share <= 1
+        return gains.max() > -np.log(langid.ODDS)
+
+    want = sorted(str(r) for r in docs.collect() if stays(r["text"]))
+    assert not any(f"doc_id={i}," in r for r in want for i in (500, 502, 503, 504)) and len(want) >= len(known)
+    for cells, few in ((langid.CELLS, langid.FEW), (1_000, langid.FEW), (5, 1), (5, 0)):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        monkeypatch.setattr(langid, "FEW", few)
+        for some in (langid.learn(docs), langid.count(docs)):
+            kept = langid.known_language(docs, some)
+            assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == want
+
+
 def test_toxicity_learns_marked_words(spark):
     rng = random.Random(4)
     plain, bad = [f"w{i}" for i in range(60)], ["vile", "nasty", "foul"]
